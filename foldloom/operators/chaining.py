@@ -183,4 +183,5 @@ def chain_regions(matches: DataFrame, tracks: DataFrame) -> DataFrame:
     x, y, z and ``idx``, the residue of every chain in that column.  One group holds one merge, so a
     group is bounded by the lengths of two alignments and never by the size of the data.
     """
-    return matches.groupBy("grp").cogroup(tracks.groupBy("grp")).applyInPandas(_regions, REGION_SCHEMA)
+    tracks = tracks.withColumnRenamed("grp", "track_grp")
+    return matches.groupBy("grp").cogroup(tracks.groupBy("track_grp")).applyInPandas(_regions, REGION_SCHEMA)
