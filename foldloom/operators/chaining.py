@@ -19,6 +19,7 @@ from foldloom.functions.scoring import (
     displacement_bonus,
 )
 from foldloom.functions.superpose import affine, rotations
+from foldloom.session import spread
 
 UNREACHED = -5000.0
 REGION_SCHEMA = "grp string, ord int, p1 int, p2 int, len int, m array<double>, total double"
@@ -163,7 +164,7 @@ def _relax(ms: _Matches) -> list[tuple[int, float]]:
     return chain
 
 
-def _regions(key, matches: pd.DataFrame, tracks: pd.DataFrame) -> pd.DataFrame:
+def _regions(key: tuple, matches: pd.DataFrame, tracks: pd.DataFrame) -> pd.DataFrame:
     names = ["grp", "ord", "p1", "p2", "len", "m", "total"]
     if not len(matches):
         return pd.DataFrame(columns=names)
@@ -183,5 +184,5 @@ def chain_regions(matches: DataFrame, tracks: DataFrame) -> DataFrame:
     x, y, z and ``idx``, the residue of every chain in that column.  One group holds one merge, so a
     group is bounded by the lengths of two alignments and never by the size of the data.
     """
-    tracks = tracks.withColumnRenamed("grp", "track_grp")
-    return matches.groupBy("grp").cogroup(tracks.groupBy("track_grp")).applyInPandas(_regions, REGION_SCHEMA)
+    tracks = spread(tracks.withColumnRenamed("grp", "track_grp"), ["track_grp"])
+    return spread(matches, ["grp"]).groupBy("grp").cogroup(tracks.groupBy("track_grp")).applyInPandas(_regions, REGION_SCHEMA)

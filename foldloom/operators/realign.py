@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldloom.functions.scoring import EXTEND_DISTANCE, EXTEND_OVERLAP
 from foldloom.functions.superpose import move, superpose_points
+from foldloom.session import spread
 
 SWEEPS = 2
 REALIGNED = (
@@ -24,7 +25,7 @@ def leave_one_out(source: np.ndarray, current: np.ndarray, chain: int) -> np.nda
     return superpose_points(others, source[chain])
 
 
-def _realign_block(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _realign_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["slot", "col"])
     n = pdf["slot"].nunique()
     source = pdf[["sx", "sy", "sz"]].to_numpy(float).reshape(n, -1, 3)
@@ -55,10 +56,10 @@ def realign_blocks(columns: DataFrame) -> DataFrame:
     ``columns``: grp, side, block, slot, chain, col, res_idx, x, y, z (current) and sx, sy, sz (source).
     Blocks are independent, so each is its own group.
     """
-    return columns.groupBy("grp", "side", "block").applyInPandas(_realign_block, REALIGNED)
+    return spread(columns, ["grp", "side", "block"]).groupBy("grp", "side", "block").applyInPandas(_realign_block, REALIGNED)
 
 
-def _extend_gap(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _extend_gap(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("slot")
     chains = pdf.to_dict("records")
     n = len(chains)
@@ -132,4 +133,4 @@ def extend_blocks(realigned: DataFrame, tracks: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("high"), F.lit(None).cast("array<double>").alias("m_high"),
         F.col("last_idx").alias("low"), F.col("m").alias("m_low"), F.col("width").alias("low_width"))
     gaps = inner.unionByName(tail).join(tracks, ["job_id", "chain"])
-    return gaps.drop("job_id").groupBy("grp", "side", "gap").applyInPandas(_extend_gap, EXTENSION)
+    return spread(gaps.drop("job_id"), ["grp", "side", "gap"]).groupBy("grp", "side", "gap").applyInPandas(_extend_gap, EXTENSION)

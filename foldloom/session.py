@@ -27,6 +27,16 @@ def local_session(cores: int | str = 8, app: str = "foldloom", **conf: str) -> S
     return spark
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partition by ``keys`` over all shuffle partitions for work whose cost is not its size.
+
+    Adaptive execution merges small partitions; groups that are few bytes but much arithmetic must
+    stay apart, and an explicit partition count is left alone.  The grouping below reuses it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder.
 
