@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,14 +38,22 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="foldloom-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where neither that
-    setting nor an earlier ``setCheckpointDir`` exists (tests) is a temporary folder chosen.
+    The copy survives the loss of executors, ends the lineage, and gives the planner real sizes
+    (a checkpoint would carry on estimates that multiply with every join of a loop).
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="foldloom-ckpt-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
