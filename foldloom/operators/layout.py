@@ -71,7 +71,7 @@ def sequence_alignment(columns: DataFrame, members: DataFrame, residues: DataFra
 
 def wrapped(rows: DataFrame, size: int, text: str = "row") -> DataFrame:
     """Cut strings into lines of ``size`` characters: adds ``line_no`` and ``part``."""
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0)))
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.ceil(F.length(text) / size).cast("int") - 1))
     return rows.withColumn("line_no", F.explode(starts)).withColumn(
         "part", F.expr(f"substring({text}, line_no * {size} + 1, {size})"))
 

@@ -45,3 +45,45 @@ def structure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "ATOM  %5d  CA  %3s %1s%4d    %8.3f%8.3f%8.3f  1.00  0.00           C  ", F.col("res_idx") + 1,
             F.lit("ALA"), F.substring(F.lit("ABCDEFGH"), (F.pmod("chain", F.lit(JOB_SIZE)) + 1).cast("int"), F.lit(1)),
             F.col("res_idx") + 1, "x", "y", "z").alias("line"))
+
+
+def overlapping_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of blocks of seven that overlap their neighbour by two residues."""
+    chains = residues(spark, sf_dir).select("job_id", "chain").distinct()
+    return chains.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(26)))).select(
+        "job_id", F.lit(0).cast("long").alias("aln_id"), F.pmod("chain", F.lit(JOB_SIZE)).cast("int").alias("slot"), "chain",
+        F.floor(F.col("col") / 7).cast("int").alias("block"), "col",
+        (F.col("col") - 2 * F.floor(F.col("col") / 7) + F.when((F.col("chain") % 2 == 1) & (F.col("col") >= 7), 1).otherwise(0)).cast("int").alias("res_idx"))
+
+
+def sequence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SEQRES records naming every residue of a chain, present or not, ahead of its coordinates."""
+    named = residues(spark, sf_dir).join(F.broadcast(_names(spark)), "letter")
+    label = F.substring(F.lit("ABCDEFGH"), (F.pmod("chain", F.lit(JOB_SIZE)) + 1).cast("int"), F.lit(1))
+    path = F.concat(F.lit("job"), F.col("job_id").cast("string"))
+    grouped = named.withColumn("k", F.floor(F.col("res_idx") / 13).cast("int")).groupBy("job_id", "chain", "k").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("res_idx", "res_name"))), lambda e: e["res_name"]), " ").alias("t"))
+    seqres = grouped.select(
+        path.alias("path"), (F.pmod("chain", F.lit(JOB_SIZE)) * 10 + F.col("k")).cast("int").alias("line_no"),
+        F.format_string("SEQRES %3d %1s %4d  %s", F.col("k") + 1, label, F.lit(21), "t").alias("line"))
+    atoms = named.where("x IS NOT NULL").select(
+        path.alias("path"), (F.pmod("chain", F.lit(JOB_SIZE)) * 100 + F.col("res_idx") + 1000).cast("int").alias("line_no"),
+        F.format_string(
+            "ATOM  %5d  CA  %3s %1s%4d    %8.3f%8.3f%8.3f  1.00  0.00           C  ", F.col("res_idx") + 1, "res_name", label,
+            F.col("res_idx") + 1, "x", "y", "z").alias("line"))
+    return seqres.unionByName(atoms)
+
+
+def _names(spark: SparkSession) -> DataFrame:
+    from foldloom.functions.residues import RESIDUES
+
+    return spark.createDataFrame([(letter, name) for name, letter in RESIDUES[:20]], "letter string, res_name string")
+
+
+def document_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as letter sequences (everything but the basic letters removed)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return docs.select(
+        F.col("doc_id").alias("job_id"), F.lit(0).cast("long").alias("aln_id"), F.lit(0).alias("slot"), F.col("doc_id").alias("chain"),
+        F.concat("source", F.lit(":"), F.col("doc_id").cast("string")).alias("id_string"),
+        F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("row"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions.residues import with_codes
+from foldloom.session import spread
 
 CHAIN = ["path", "model_ord", "model_no", "chain_id"]
 # Header and crystal record kinds in output order, and the cached annotation kinds.
@@ -216,8 +217,9 @@ def residues(lines: DataFrame, use_seqres: bool = True, renumber: bool = False)
         chains = seen.select(*CHAIN).distinct()
         sequence = chains.join(seqres(lines), ["path", "chain_id"])
         covered = sequence.select(*CHAIN).distinct()
-        left = seen.join(covered, CHAIN, "left_semi").groupBy(*CHAIN)
-        right = sequence.select(*(F.col(c).alias(f"_{c}") for c in CHAIN), "seq_ord", "res_name").groupBy(*(f"_{c}" for c in CHAIN))
+        left = spread(seen.join(covered, CHAIN, "left_semi"), CHAIN).groupBy(*CHAIN)
+        keys = [f"_{c}" for c in CHAIN]
+        right = spread(sequence.select(*(F.col(c).alias(f"_{c}") for c in CHAIN), "seq_ord", "res_name"), keys).groupBy(*keys)
         aligned = left.cogroup(right).applyInPandas(_reconcile, _SEQ_SCHEMA)
         plain = plain.join(covered, CHAIN, "left_anti").select(aligned.columns).unionByName(aligned)
     if renumber:
