@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from foldloom.functions import geometry as g
 from foldloom.functions.scoring import MAX_FRAGMENT, MIN_FRAGMENT, fragment_score, rmsd_limit
-from foldloom.session import cut_lineage
+from foldloom.session import cut_lineage, spread
 
 AXES = "xyz"
 HOT_CELL = 20_000
@@ -67,7 +67,7 @@ def sliding_fragments(
             (total([inside(k, F.col(f"_{a}{k}")) for k in range(width)]) / F.col("len")).alias(f"m{a}")
             for a in AXES
         ),
-        total([inside(k, F.col(f"_spread{k}")) for k in range(width)]).alias("spread"),
+        own_method_sum(*(inside(k, F.col(f"_spread{k}")) for k in range(width))).alias("spread"),
     ).select(
         "grp", "side", "block", "pos", "len", "spread", *(f"m{a}" for a in AXES),
         *(
@@ -89,6 +89,16 @@ def sealed(df: DataFrame) -> DataFrame:
     return df.withColumn("_seal", F.spark_partition_id()).where(F.col("_seal") >= 0).drop("_seal")
 
 
+def own_method_sum(*terms: Column) -> Column:
+    """Sum of ``terms``, written so that its projection is compiled on its own.
+
+    A projection of a few hundred operations fused into one generated method is too long for the
+    JIT compiler and runs interpreted, several times slower.  A lambda function keeps the projection
+    out of the fused stage; Spark then compiles it as many short methods.
+    """
+    return F.aggregate(F.array(*terms), F.lit(0.0), lambda acc, v: acc + v)
+
+
 def _width(fragments: DataFrame) -> int:
     return sum(1 for c in fragments.columns if c.startswith("x") and c[1:].isdigit())
 
@@ -156,7 +166,9 @@ def shape_join(
         "CASE len " + " ".join(f"WHEN {n} THEN {v + SHAPE_SLACK!r}D" for n, v in limits.items()) + " END")
 
     def celled(frags: DataFrame) -> DataFrame:
-        return frags.withColumn("radius", radius).withColumn(
+        # File sources make every column nullable; these never are, and saying so halves the code.
+        numbers = {n: F.coalesce(n, F.lit(0.0)) for n, kind in frags.dtypes if kind == "double"}
+        return frags.withColumns(numbers).withColumn("radius", radius).withColumn(
             "cell", F.floor(F.col("u1") / F.col("radius")).cast("int"))
 
     one = celled(left)
@@ -169,7 +181,7 @@ def shape_join(
     a = one.select(*(F.col(c).alias(c if c in keys else f"a_{c}") for c in one.columns))
     b = two.drop("radius").select(
         *(F.col(c).alias(c if c in keys else f"b_{c}") for c in two.columns if c != "radius"))
-    joined = a.join(b, keys)
+    joined = spread(a, keys).join(spread(b, keys), keys)
     if pair is not None:
         joined = joined.where(pair)
     near = sum(
@@ -201,7 +213,7 @@ def superpose(pairs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     ]
     base = pairs.select(
         *kept,
-        (F.col("a_extent") + F.col("b_extent")).alias("_e"),
+        own_method_sum(F.col("a_extent"), F.col("b_extent")).alias("_e"),
         *(cov(j, k).alias(f"c{p}{q}") for p, j in enumerate(AXES) for q, k in enumerate(AXES)),
     )
     return rmsd_from_covariance(base)
