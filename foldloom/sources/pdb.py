@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions.residues import with_codes
-from foldloom.session import spread
+from foldloom.session import cut_lineage, spread
 
 CHAIN = ["path", "model_ord", "model_no", "chain_id"]
 # Header and crystal record kinds in output order, and the cached annotation kinds.
@@ -209,8 +209,8 @@ def _reconcile(key: tuple, seen: pd.DataFrame, sequence: pd.DataFrame) -> pd.Dat
 
 def residues(lines: DataFrame, use_seqres: bool = True, renumber: bool = False) -> DataFrame:
     """Residue table of every chain: residues from atoms, completed from SEQRES where it aligns."""
-    seen = atom_residues(atoms(lines)).select(
-        *CHAIN, "run", "res_name", "res_num", "ins_code", F.col("ca.x").alias("x"), F.col("ca.y").alias("y"), F.col("ca.z").alias("z"))
+    seen = cut_lineage(atom_residues(atoms(lines)).select(
+        *CHAIN, "run", "res_name", "res_num", "ins_code", F.col("ca.x").alias("x"), F.col("ca.y").alias("y"), F.col("ca.z").alias("z")))
     order = Window.partitionBy(*CHAIN).orderBy("run")
     plain = seen.withColumn("res_idx", (F.row_number().over(order) - 1).cast("int"))
     if use_seqres:
