@@ -68,8 +68,8 @@ def select_chains(requests: DataFrame, chains: DataFrame, residues: DataFrame) -
     firsts = chains.groupBy("path").agg(F.min("model_ord").alias("first_ord"))
     ids = ["job_id", "sel_ord", "group_ord", "chain_ord"]
     req = requests.join(firsts, "path", "left")
-    placed = req.join(models, (req.path == models.path) & F.when(F.col("model").isNull(), models.model_ord == F.col("first_ord")).otherwise(
-        models.model_no == F.col("model")), "left").drop(models.path)
+    asked = F.when(F.col("model").isNull(), F.col("model_ord") == F.col("first_ord")).otherwise(F.col("model_no") == F.col("model"))
+    placed = req.join(models.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & asked, "left").drop("_path")
     wanted = placed.withColumnRenamed("chain", "_want")
     matched = wanted.join(chains.select(*keys, "id_string", "length"), ["path", "model_ord"], "left").where(
         F.col("_want").isNull() & ((F.col("chain_id") != " ") | (F.col("n_chains") == 1)) | (F.col("_want") == F.col("chain_id")))
