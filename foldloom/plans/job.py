@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.functions.scoring import normal_cdf, significance_z
+from foldloom.functions.superpose import superposition_aggregate, with_map
 from foldloom.operators.columns import column_rmsd, input_order, reorder
 from foldloom.operators.extension import DEFAULT_CUTOFF, alignment_gaps, final_extension, insert_blocks
 from foldloom.operators.partial import partial_alignment
@@ -68,6 +69,14 @@ def extend_to_fixed_point(
     return cut_lineage(active), cut_lineage(active_placed)
 
 
+def chain_moves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The one rigid map of every chain that carries its loaded residues to their final places."""
+    a = after.where("x IS NOT NULL").select("job_id", "chain", "res_idx", *(F.col(c).alias(f"a{c}") for c in "xyz"))
+    b = before.where("x IS NOT NULL").select("job_id", "chain", "res_idx", *(F.col(c).alias(f"b{c}") for c in "xyz"))
+    return with_map(superposition_aggregate(a.join(b, ["job_id", "chain", "res_idx"]), ["job_id", "chain"])).select(
+        "job_id", "chain", "m")
+
+
 def finish_alignments(
     merged: dict[str, DataFrame], residues: DataFrame, cutoff: float = DEFAULT_CUTOFF, partial: bool = True
 ) -> dict[str, DataFrame]:
@@ -75,7 +84,7 @@ def finish_alignments(
 
     Returns ``alignments`` (adds rmsd, pvalue for pairs, n_core, reference chain), ``columns`` in input
     order with superposed coordinates (partial columns included), ``core`` (without them) and
-    ``residues`` (all residues, superposed).  The p-value comes before the extension, the RMSD after
+    ``residues`` (all residues, superposed), ``moves`` (one rigid map per chain).  The p-value comes before the extension, the RMSD after
     it and before partial columns.
     """
     if cutoff < 0:
@@ -106,6 +115,7 @@ def finish_alignments(
         "core": reorder(located(core, placed), order),
         "columns": reorder(located(full, placed), order),
         "residues": placed,
+        "moves": chain_moves(residues, placed),
     }
 
 
