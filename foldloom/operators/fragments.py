@@ -41,6 +41,7 @@ def sliding_fragments(
     ``points``: grp, side, col, block, x, y, z, spread.  Adds centroid (mx, my, mz), the squared size
     ``extent`` around it and the centred coordinates x0..x8, y0..y8, z0..z8 padded with zeros.
     """
+    # Long sums are written as SQL text: one parse instead of hundreds of calls per expression.
     width = max(lengths)
     order = Window.partitionBy("grp", "side", "block").orderBy("col")
     ahead = [
@@ -52,31 +53,25 @@ def sliding_fragments(
         F.expr("CASE len " + " ".join(f"WHEN {n} THEN _x{n - 1} IS NOT NULL" for n in lengths) + " END")
     )
 
-    def inside(k: int, value: Column) -> Column:
-        return value if k < min(lengths) else F.when(F.col("len") > k, value).otherwise(F.lit(0.0))
+    def inside(k: int, value: str) -> str:
+        return value if k < min(lengths) else f"CASE WHEN len > {k} THEN {value} ELSE 0D END"
 
-    def total(terms: list[Column]) -> Column:
-        out = terms[0]
-        for term in terms[1:]:
-            out = out + term
-        return out
+    def every(name: str) -> list[str]:
+        return [inside(k, f"_{name}{k}") for k in range(width)]
 
     centred = sized.select(
         "*",
-        *(
-            (total([inside(k, F.col(f"_{a}{k}")) for k in range(width)]) / F.col("len")).alias(f"m{a}")
-            for a in AXES
-        ),
-        own_method_sum(*(inside(k, F.col(f"_spread{k}")) for k in range(width))).alias("spread"),
+        *(F.expr(f"({' + '.join(every(a))}) / len").alias(f"m{a}") for a in AXES),
+        own_method_sum(*(F.expr(t) for t in every("spread"))).alias("spread"),
     ).select(
         "grp", "side", "block", "pos", "len", "spread", *(f"m{a}" for a in AXES),
         *(
-            F.coalesce(inside(k, F.col(f"_{a}{k}") - F.col(f"m{a}")), F.lit(0.0)).alias(f"{a}{k}")
+            F.expr(f"coalesce({inside(k, f'_{a}{k} - m{a}')}, 0D)").alias(f"{a}{k}")
             for a in AXES for k in range(width)
         ),
     )
-    squares = sum((F.col(f"{a}{k}") * F.col(f"{a}{k}") for a in AXES for k in range(width)), F.lit(0.0))
-    return centred.withColumn("extent", squares + F.col("spread"))
+    squares = " + ".join(f"{a}{k} * {a}{k}" for a in AXES for k in range(width))
+    return centred.withColumn("extent", F.expr(f"{squares} + spread"))
 
 
 def sealed(df: DataFrame) -> DataFrame:
@@ -108,7 +103,7 @@ def with_shape(fragments: DataFrame) -> DataFrame:
     width = _width(fragments)
 
     def moment(a: str, b: str) -> Column:
-        return sum((F.col(f"{a}{k}") * F.col(f"{b}{k}") for k in range(1, width)), F.col(f"{a}0") * F.col(f"{b}0"))
+        return F.expr(" + ".join(f"{a}{k} * {b}{k}" for k in range(width)))
 
     names = ("xx", "yy", "zz", "xy", "xz", "yz")
     kept = fragments.columns
@@ -199,10 +194,7 @@ def superpose(pairs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     width = sum(1 for c in pairs.columns if c.startswith("a_x") and c[3:].isdigit())
 
     def cov(j: str, k: str) -> Column:
-        return sum(
-            (F.col(f"a_{j}{i}") * F.col(f"b_{k}{i}") for i in range(1, width)),
-            F.col(f"a_{j}0") * F.col(f"b_{k}0"),
-        )
+        return F.expr(" + ".join(f"a_{j}{i} * b_{k}{i}" for i in range(width)))
 
     kept = [
         F.col("grp"), F.col("a_side").alias("side1"), F.col("b_side").alias("side2"),
