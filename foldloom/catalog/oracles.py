@@ -158,6 +158,7 @@ SELECT grp, side1, side2, p1, p2, len, {_xyz('rmsd', 'score')}, n_matches FROM r
     "chain_pairs": f"WITH {MATCHES} SELECT grp, side1, side2, count(*) AS n_matches FROM scored WHERE score >= 0.6 GROUP BY ALL",
     "chain_superposition": f"""WITH {NEIGHBOURS}
 SELECT job_id, chain, len, {_xyz('rmsd_fast', 'rmsd')}, round((rmsd - 0.155e0*len + 1.6018e0)/2.13065e0, 4) AS z FROM sized""",
+    "map_residuals": f"WITH {MATCHES} SELECT grp, side1, side2, p1, p2, len, round(rmsd, 4) AS residual FROM scored WHERE score >= 1.6",
     "hinge_scores": f"""WITH {QUATERNIONS},
 halves AS (SELECT vec_id, abs(a*e+b*f+c*g+d*h)/(n1*n2) AS half_cosine,
   sqrt((CAST(embedding[9] AS DOUBLE)-embedding[12])**2 + (CAST(embedding[10] AS DOUBLE)-embedding[13])**2 + (CAST(embedding[11] AS DOUBLE)-embedding[14])**2) AS disp FROM units)

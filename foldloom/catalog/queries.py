@@ -162,6 +162,20 @@ def rotation_maps(spark, sf_dir):
     return mapped.select("grp", "side1", "side2", "p1", "p2", "len", F.round(g.determinant_3x3(rotation), 6).alias("determinant"), "m")
 
 
+@query
+def map_residuals(spark, sf_dir):
+    """RMSD left after side 2 of every strong match is moved by its map, from the moved points."""
+    mapped = with_map(_matches(spark, sf_dir).where("score >= 1.6"))
+    cells = mapped.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
+    track = _labelled(spark, sf_dir).select("chain", "res_idx", "x", "y", "z")
+    keys = ["grp", "side1", "side2", "p1", "p2", "len"]
+    placed = cells.withColumn("i1", F.col("p1") + F.col("k")).withColumn("i2", F.col("p2") + F.col("k")).join(
+        track.toDF("side1", "i1", "ax", "ay", "az"), ["side1", "i1"]).join(track.toDF("side2", "i2", "bx", "by", "bz"), ["side2", "i2"])
+    moved = g.apply_affine(g.unpack(F.col("m")), g.vec("bx", "by", "bz"))
+    return _r(placed.select(*keys, g.distance_squared(g.vec("ax", "ay", "az"), moved).alias("d2")).groupBy(*keys).agg(
+        F.sqrt(F.avg("d2")).alias("residual")), "residual")
+
+
 # Geometry and scores ------------------------------------------------------------------------------
 
 

@@ -106,20 +106,19 @@ def multiple_alignment(residues: DataFrame, table: Sequence[float] | None = None
             "job_id", new_id.alias("aln_id"),
             F.concat(F.lit("["), F.concat_ws(",", F.col("t.tree")), F.lit("]")).alias("tree"), "score", "n_chains")
 
-        used = cut_lineage(sides.select("job_id", "aln_id"))
-        rest = alive.join(used, ["job_id", "aln_id"], "left_anti")
-        new_alive, new_members, merged = cut_lineage(new_alive), cut_lineage(new_members), cut_lineage(merged)
-        kept_columns = columns.join(used, ["job_id", "aln_id"], "left_anti")
-        kept_members = members.join(used, ["job_id", "aln_id"], "left_anti")
-        partners = rest.select("job_id", F.col("aln_id").alias("aln1")).join(
-            new_alive.select("job_id", F.col("aln_id").alias("aln2")), "job_id")
-        merges = partners.join(_representatives(kept_members, new_members, similarity), ["job_id", "aln1", "aln2"], "left").select(
+        used = sides.select("job_id", "aln_id")
+
+        def replaced(table: DataFrame, fresh: DataFrame) -> DataFrame:
+            return cut_lineage(table.join(used, ["job_id", "aln_id"], "left_anti").unionByName(fresh))
+
+        alive, members, columns = replaced(alive, new_alive), replaced(members, new_members), replaced(columns, merged)
+        is_new = F.col("aln_id") == new_id
+        partners = alive.where(~is_new).select("job_id", F.col("aln_id").alias("aln1")).join(
+            alive.where(is_new).select("job_id", F.col("aln_id").alias("aln2")), "job_id")
+        merges = partners.join(_representatives(members.where(~is_new), members.where(is_new), similarity), ["job_id", "aln1", "aln2"], "left").select(
             "job_id", F.expr(GROUP_KEY).alias("grp"), "aln1", F.coalesce("rep1", F.lit(0)).alias("rep1"),
             "aln2", F.coalesce("rep2", F.lit(0)).alias("rep2"))
         merges = cut_lineage(merges)
-        alive = cut_lineage(rest.unionByName(new_alive))
-        columns = cut_lineage(kept_columns.unionByName(merged))
-        members = cut_lineage(kept_members.unionByName(new_members))
         regions = _without(regions, used)
         if prepared is not None:
             prepared = prepared.join(regions.select("grp").distinct(), "grp", "left_semi")
@@ -131,8 +130,6 @@ def multiple_alignment(residues: DataFrame, table: Sequence[float] | None = None
         regions = cut_lineage(regions)
         if prepared is not None:
             prepared = cut_lineage(prepared)
-            fresh_cols = prepared.columns
-            prepared = prepared.select(fresh_cols)
     sizes = columns.groupBy("job_id", "aln_id").agg((F.max("col") + 1).alias("n_cols"))
     alignments = alive.join(sizes, ["job_id", "aln_id"], "left").withColumn("n_cols", F.coalesce("n_cols", F.lit(0)))
     return {"alignments": alignments, "members": members, "columns": columns}
