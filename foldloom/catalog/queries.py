@@ -283,17 +283,12 @@ def nearest_segment(spark, sf_dir):
 @query
 def hinge_edges_between_matches(spark, sf_dir):
     """Acceptable hinges between strong matches of a chain pair (the relational form of the rules)."""
-    labelled = _labelled(spark, sf_dir)
-    mapped = with_map(_matches(spark, sf_dir).where("score >= 1.6")).select(
+    mapped = cut_lineage(with_map(_matches(spark, sf_dir).where("score >= 1.6")).select(
         F.concat_ws(":", "grp", "side1", "side2").alias("grp"), "side2", "p1", "p2", "len", "m",
-        F.concat_ws("-", "p1", "p2", "len").alias("id"))
-    track = labelled.select(F.col("chain").alias("side2"), "res_idx", F.array("x", "y", "z").alias("point"))
-    first = mapped.join(track.withColumnsRenamed({"res_idx": "p2", "point": "first"}), ["side2", "p2"])
-    ends = first.withColumn("_e", F.col("p2") + F.col("len") - 1).join(
-        track.withColumnsRenamed({"res_idx": "_e", "point": "tail"}), ["side2", "_e"])
-    done = ends.withColumn("last", F.array(*g.apply_affine(g.unpack(F.col("m")), g.unpack(F.col("tail"), 3)))).drop("side2", "_e")
-    done = cut_lineage(done)
-    return hinge_edges(done, done, 45.0, 5.0)
+        F.concat_ws("-", "p1", "p2", "len").alias("id")))
+    track = mapped.select("grp", "side2").distinct().join(
+        _labelled(spark, sf_dir).select(F.col("chain").alias("side2"), F.col("res_idx").alias("col"), "x", "y", "z"), "side2").drop("side2")
+    return hinge_edges(mapped.drop("side2"), track, 45.0, 5.0)
 
 
 # Alignments ---------------------------------------------------------------------------------------

@@ -19,34 +19,36 @@ from foldloom.functions.scoring import (
     displacement_bonus,
 )
 from foldloom.functions.superpose import affine, rotations
+from foldloom.operators.radius import radius_join
 from foldloom.session import spread
 
 UNREACHED = -5000.0
 REGION_SCHEMA = "grp string, ord int, p1 int, p2 int, len int, m array<double>, total double"
 
 
-def hinge_edges(ends: DataFrame, starts: DataFrame, max_angle: float, max_displacement: float) -> DataFrame:
-    """Pairs (predecessor, successor) of matches of a merge joined by an acceptable hinge.
+def hinge_edges(matches: DataFrame, track: DataFrame, max_angle: float, max_displacement: float) -> DataFrame:
+    """Pairs (before, after) of matches of a merge joined by an acceptable hinge.
 
-    ``ends`` and ``starts`` hold grp, id, p1, p2, len, m and the points ``first`` (side-2 position at
-    p2) and ``tail`` (side-2 position at the end), as arrays in side-2 coordinates, plus ``last``, the
-    transformed tail.  The spatial part is the grid join of :mod:`foldloom.operators.radius` on
-    (predecessor's last, successor's image of the same point) done by the caller; here the exact rule
-    is evaluated on joined rows.
+    ``matches``: grp, id, p1, p2, len, m.  ``track``: grp, col, x, y, z of side 2.  A successor looks,
+    for every side-2 column ahead of it, for matches that end in that column close to where its own map
+    puts it: an equi-join on the column plus a grid radius join, so match pairs are never enumerated.
     """
-    a = ends.select("grp", *(F.col(c).alias(f"a_{c}") for c in ends.columns if c != "grp"))
-    b = starts.select("grp", *(F.col(c).alias(f"b_{c}") for c in starts.columns if c != "grp"))
+    reach = 2.0 * max_displacement  # the mean of two distances is within the limit, so each is within twice it
+    placed = matches.join(track, "grp")
+    moved = [v.alias(c) for c, v in zip("xyz", g.apply_affine(g.unpack(F.col("m")), g.vec("x", "y", "z")))]
+    names = ["grp", F.col("col").alias("end2"), *moved, "id", "p1", "p2", "len", "m"]
+    ends = placed.where("col = p2 + len - 1").select(names)
+    first = placed.where("col = p2").select("grp", "id", F.array("x", "y", "z").alias("first"))
+    looks = placed.where(f"col < p2 AND col >= {MIN_FRAGMENT - 1}").select(names).join(first, ["grp", "id"])
+    near = radius_join(ends, looks, reach, ["grp", "end2"]).where("a_p1 + a_len <= b_p1")
     ma, mb = g.unpack(F.col("a_m")), g.unpack(F.col("b_m"))
     trace = sum((x * y for x, y in zip(g.rotation_part(ma), g.rotation_part(mb))), F.lit(0.0))
-    half = F.sqrt(F.greatest(trace + 1.0, F.lit(0.0)) / 4.0)
-    gap1 = g.distance(g.unpack(F.col("a_last"), 3), g.apply_affine(mb, g.unpack(F.col("a_tail"), 3)))
-    first = g.unpack(F.col("b_first"), 3)
-    gap2 = g.distance(g.apply_affine(mb, first), g.apply_affine(ma, first))
-    joined = a.join(b, (a.grp == b.grp) & (F.col("a_p1") + F.col("a_len") <= F.col("b_p1"))
-                    & (F.col("a_p2") + F.col("a_len") <= F.col("b_p2"))).drop(b.grp)
-    return joined.select(
+    start = g.unpack(F.col("b_first"), 3)
+    second = g.distance(g.apply_affine(mb, start), g.apply_affine(ma, start))
+    return near.select(
         "grp", F.col("a_id").alias("before"), F.col("b_id").alias("after"),
-        half.alias("half_cosine"), ((gap1 + gap2) / 2.0).alias("displacement"),
+        F.sqrt(F.greatest(trace + 1.0, F.lit(0.0)) / 4.0).alias("half_cosine"),
+        ((F.col("distance") + second) / 2.0).alias("displacement"),
     ).where(
         (F.col("half_cosine") >= math.cos(math.radians(max_angle) / 2))
         & (F.col("displacement") <= max_displacement)

@@ -8,6 +8,7 @@ from foldloom.functions import scoring
 from foldloom.functions.superpose import rotations, superpose_points, with_map
 from foldloom.operators import fragments, radius
 from foldloom.operators.blocks import label_blocks
+from foldloom.operators.chaining import hinge_edges
 
 
 def exact_rmsd(a, b, proper=True):
@@ -106,3 +107,24 @@ def test_radius_join_equals_cross_join(spark):
     for hot in (5, 10_000):
         rows = radius.radius_join(df, df, 2.5, ["g"], hot_cell=hot).select("a_id", "b_id").collect()
         assert len(rows) == len(want) and {(r.a_id, r.b_id) for r in rows} == want
+
+
+def test_hinge_edges_equal_brute_force(spark):
+    points = [walk(22, 31), walk(22, 31) @ rotation(8).T + np.random.default_rng(1).normal(size=(22, 3)) * 0.3]
+    found = with_map(fragments.chain_matches(label_blocks(residue_frame(spark, {0: points})), 1.6)).select(
+        F.lit("g").alias("grp"), F.concat_ws("-", "p1", "p2", "len").alias("id"), "p1", "p2", "len", "m").collect()
+    matches = spark.createDataFrame(found)
+    track = spark.createDataFrame([("g", i, *map(float, p)) for i, p in enumerate(points[0])], "grp string, col int, x double, y double, z double")
+    want = {}
+    for a in found:
+        for b in found:
+            end = a.p2 + a.len - 1
+            if a.p1 + a.len > b.p1 or end >= b.p2:
+                continue
+            ma, mb = np.array(a.m).reshape(3, 4), np.array(b.m).reshape(3, 4)
+            half = np.sqrt(max(np.trace(ma[:, :3].T @ mb[:, :3]) + 1, 0) / 4)
+            gap = [np.linalg.norm(ma[:, :3] @ p + ma[:, 3] - mb[:, :3] @ p - mb[:, 3]) for p in (points[0][end], points[0][b.p2])]
+            if half >= np.cos(np.pi / 8) and np.mean(gap) <= 5:
+                want[a.id, b.id] = np.mean(gap)
+    got = {(r.before, r.after): r.displacement for r in hinge_edges(matches, track, 45.0, 5.0).collect()}
+    assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
