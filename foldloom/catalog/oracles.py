@@ -268,4 +268,33 @@ steps2 AS (SELECT DISTINCT job_id, chain, least(donor, acceptor) AS i, abs(donor
 isl AS (SELECT *, i - row_number() OVER (PARTITION BY chain, step, back ORDER BY i) AS island FROM steps2)
 SELECT job_id, chain, min(i) AS start, CAST(count(*) + step - 1 + back AS INTEGER) AS length, CASE step WHEN 4 THEN 1 WHEN 3 THEN 5 ELSE 3 END AS class
 FROM isl GROUP BY job_id, chain, step, back, island HAVING count(*) >= 2""",
+    "pairwise_pvalue": f"""WITH {NEIGHBOURS},
+zs AS (SELECT job_id, chain, (rmsd - 0.155e0*len + 1.6018e0)/2.13065e0 AS z FROM sized),
+slices AS (SELECT job_id, chain, z/1000 AS h, unnest(range(1000)) AS i FROM zs)
+SELECT job_id, chain, round(0.5e0 + sum(h/6 * (exp(-0.5e0*(h*i)*(h*i)) + 4*exp(-0.5e0*(h*(i+0.5e0))*(h*(i+0.5e0)))
+  + exp(-0.5e0*(h*(i+1))*(h*(i+1))))) / sqrt(2*pi()), 5) AS pvalue FROM slices GROUP BY job_id, chain""",
+    "strand_ladders": f"""WITH {BONDS},
+b AS (SELECT DISTINCT job_id, chain, donor, acceptor FROM bonds),
+rungs AS (
+  SELECT x.job_id, x.chain, -1 AS direction, x.donor AS i, x.acceptor AS j FROM b x
+  WHERE x.donor < x.acceptor AND EXISTS (SELECT 1 FROM b y WHERE y.chain = x.chain AND y.donor = x.acceptor AND y.acceptor = x.donor)
+  UNION ALL
+  SELECT x.job_id, x.chain, 1, x.donor, x.acceptor + 1 FROM b x
+  WHERE EXISTS (SELECT 1 FROM b y WHERE y.chain = x.chain AND y.donor = x.acceptor + 2 AND y.acceptor = x.donor)),
+isl AS (
+  SELECT *, j - direction*i AS diagonal, i - 2*row_number() OVER (PARTITION BY chain, direction, j - direction*i, i % 2 ORDER BY i) AS island FROM rungs),
+runs AS (SELECT job_id, chain, direction, diagonal, min(i) AS lo, max(i) AS hi FROM isl GROUP BY job_id, chain, direction, diagonal, island),
+grown AS (
+  SELECT *, CAST(EXISTS (SELECT 1 FROM b WHERE b.chain = r.chain AND b.donor = hi + 2
+      AND b.acceptor = diagonal + direction*hi + CASE WHEN direction = -1 THEN -2 ELSE 1 END) AS INTEGER) AS after,
+    CAST(EXISTS (SELECT 1 FROM b WHERE b.chain = r.chain AND b.acceptor = lo - 2
+      AND b.donor = diagonal + direction*lo + CASE WHEN direction = -1 THEN 2 ELSE -1 END) AS INTEGER) AS ahead FROM runs r),
+ladders AS (
+  SELECT job_id, chain, direction, lo - ahead AS s1, diagonal + direction*(lo - ahead) AS s2, hi + after - lo + ahead + 1 AS length FROM grown),
+low AS (
+  SELECT job_id, chain, least(s1, s2) AS start1, greatest(s1, s2) AS start2, direction, length, abs(s2 - direction*s1) AS d
+  FROM ladders WHERE length >= 2),
+reached AS (
+  SELECT *, max(start1 + length - 1) OVER (PARTITION BY chain, direction, d ORDER BY start1, length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM low)
+SELECT job_id, chain, start1, start2, direction, length FROM reached WHERE r IS NULL OR direction = -1 OR start1 > r""",
 }

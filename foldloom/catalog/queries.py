@@ -152,7 +152,7 @@ def pairwise_pvalue(spark, sf_dir):
     a = points.select("job_id", "chain", "res_idx", *(F.col(c).alias(f"a{c}") for c in "xyz"))
     b = points.select("job_id", (F.col("chain") - 1).alias("chain"), "res_idx", *(F.col(c).alias(f"b{c}") for c in "xyz"))
     done = superposition_aggregate(a.join(b, ["job_id", "chain", "res_idx"]), ["job_id", "chain"])
-    return done.select("job_id", "chain", scoring.normal_cdf(scoring.significance_z(F.col("rmsd"), F.col("len"))).alias("pvalue"))
+    return _r(done.select("job_id", "chain", scoring.normal_cdf(scoring.significance_z(F.col("rmsd"), F.col("len"))).alias("pvalue")), "pvalue", digits=5)
 
 
 @query
