@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,10 +40,30 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="foldloom-pkg-")
+        archive = shutil.make_archive(f"{folder}/foldloom", "zip", os.path.dirname(package), os.path.basename(package))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary one is made, in local mode only: on a cluster every executor
+    would write to its own disk and later reads would miss those files.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="foldloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared

@@ -6,8 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as contract  # noqa: E402
-from foldloom.session import local_session  # noqa: E402
+from foldloom.session import local_session, ship_package  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -15,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, "foldloom-tests", **{"spark.sql.shuffle.partitions": "4"})
-    contract._ship(session)
+    ship_package(session)
     yield session
     session.stop()
 
