@@ -57,3 +57,30 @@ def window_hashes(hashed: Column, size: int) -> Column:
 
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
+
+
+#: Characters stripped from both ends of a word before it is compared.
+EDGE = ".,;:!?\"'()[]{}*#%&$|-"
+
+
+def normal_words(text: Column) -> Column:
+    """Lower-case words without punctuation at their ends; an empty array for null."""
+    spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
+    return F.filter(F.transform(F.split(spaced, " "), lambda w: F.btrim(w, F.lit(EDGE))), lambda w: w != "")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, th, text): the whole row beside its id and a hash of its text.
+
+    (id, th) names a document: rows repeated in full share it and are treated alike.
+    """
+    return docs.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"),
+        F.col(text_col).alias("text"))
+
+
+def on_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on (id, th), nulls alike; the right side's key columns are dropped."""
+    right = right.withColumnRenamed("id", "r_id").withColumnRenamed("th", "r_th")
+    joined = left.join(right, same(F.col("id"), F.col("r_id")) & (F.col("th") == F.col("r_th")), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop("r_id", "r_th")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.session import cut_lineage
@@ -48,10 +48,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def linked_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_groups(
+    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], features: DataFrame, possible: Callable[[str, str], Column],
+) -> DataFrame:
     """(node, component) of all nodes with a confirmed link; ``members`` are rows (key, node), longs.
 
-    ``confirm`` takes distinct pairs (a, b), a < b, and returns those that are links.
+    ``confirm`` takes distinct pairs (a, b), a < b, and returns those that are links.  ``features``
+    has small columns for each node; ``possible(x, y)``, over those columns under the prefixes x
+    and y, must hold for every link.  It keeps hopeless pairs from ever becoming rows.
     """
     hidden = F.col("node").bitwiseXOR(F.col("key"))  # its minimum is another node for another key
     groups = members.groupBy("key").agg(F.min(hidden).alias("lo"), F.max(hidden).alias("hi")).where("lo <> hi")
@@ -65,11 +69,13 @@ def linked_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame])
         multi.select("key", "node").distinct().join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
     parts = labelled.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("part", "n").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = cut_lineage(labelled.join(mixed.select("key", "main"), "key"))
-    left = mixed.where("part <> main").select("key", F.col("node").alias("x"), F.col("part").alias("x_part"))
-    right = mixed.select("key", F.col("node").alias("y"), F.col("part").alias("y_part"), "main")
-    pairs = left.join(right, "key").where("x_part <> y_part and (y_part = main or x < y)")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    mixed = cut_lineage(labelled.join(mixed.select("key", "main"), "key").join(features, "node"))
+    names = [c for c in mixed.columns if c not in ("key", "main")]
+    left = mixed.where("part <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in names])
+    right = mixed.select("key", "main", *[F.col(c).alias(f"y_{c}") for c in names])
+    open_pair = F.expr("x_part <> y_part and (y_part = main or x_node < y_node)")
+    pairs = left.join(right, "key").where(open_pair & possible("x_", "y_"))
+    pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     second = confirm(cut_lineage(pairs.join(star, ["a", "b"], "left_anti")))
     known = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(known.union(second.select("a", "b")))

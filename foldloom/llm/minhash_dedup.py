@@ -9,6 +9,11 @@ positions left out, and such pairs always share a key (60 values, chunks of 6, 1
 all pairs up to a distance of 19; a pair with similarity 0.8 is expected at distance 12 and is
 missed once in 40,000).  Links are then confirmed on the full sets.
 
+A dense group of copies holds many pairs just below the threshold.  They are ruled out before
+they become rows by odd sketches: a set's sketch is the parity of its members in each of 2048
+bins, so two sketches never differ in more bits than the sets differ in members.  The bound is
+exact and loses no link.
+
 Defined results: a null or empty text has an empty set and links with nothing.  Rows with the
 same id count as one document.  A row without an id gets the component of its copies and goes, or
 null and is kept.  Extra columns are not read.
@@ -29,8 +34,9 @@ from foldloom.llm.links import linked_groups
 from foldloom.session import cut_lineage, ship_package
 
 VALUES, CHUNK, ERRORS = 60, 6, 1
-#: Pairs further apart than this are not confirmed: five deviations beyond the mean at 0.8.
-FAR_DEVIATIONS = 5.2
+#: Words of 64 bits of an odd sketch.
+SKETCH = 32
+ODD = [f"o{k}" for k in range(SKETCH)]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,7 +50,7 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[pa.RecordBatch]:
-    """(id, shingles) to (id, n, f1, f2, signature); minima over flat arrays, slice by slice."""
+    """(id, shingles) to (id, n, f1, f2, signature, sketch words); minima over flat arrays, slice by slice."""
     factors = _multipliers(values)
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
@@ -61,10 +67,14 @@ def signatures(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[pa.Re
                 f2[full] = np.add.reduceat(_mix(flat * factors[0] + MIX), starts)
                 for k, a in enumerate(factors):
                     low[full, k] = _mix(np.minimum.reduceat(flat * a, starts)) >> np.uint64(48)
+            bins = np.repeat(np.arange(len(sizes)), sizes) * (64 * SKETCH) + (_mix(flat + MIX) % np.uint64(64 * SKETCH)).astype(np.int64)
+            odd = np.bincount(bins, minlength=len(sizes) * 64 * SKETCH).astype(np.uint8) & 1
+            words = np.packbits(odd).view(np.int64).reshape(len(sizes), SKETCH)
             rows = [bytes(r) for r in low.view(np.uint8).reshape(len(sizes), -1)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(rows, pa.binary())],
-                names=["id", "n", "f1", "f2", "signature"])
+                [part.column("id"), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(rows, pa.binary()),
+                 *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(SKETCH))],
+                names=["id", "n", "f1", "f2", "signature", *ODD])
 
 
 def chunk_keys(batches: Iterator[pa.RecordBatch], values: int, chunk: int, errors: int) -> Iterator[pa.RecordBatch]:
@@ -82,13 +92,17 @@ def chunk_keys(batches: Iterator[pa.RecordBatch], values: int, chunk: int, error
                     yield pa.RecordBatch.from_arrays([pa.array(_mix(key).view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
 
-def _differences(left: Column, right: Column) -> Column:
-    """Number of 16-bit values in which two signatures (as hexadecimal text) differ."""
-    pieces = [F.when(F.substring(left, 4 * k + 1, 4) != F.substring(right, 4 * k + 1, 4), 1).otherwise(0) for k in range(VALUES)]
-    total = pieces[0]
-    for p in pieces[1:]:
-        total = total + p
-    return total
+def _possible(percent: int):
+    """Whether two sets can be linked, by size and by the least difference that their sketches prove."""
+
+    def holds(x: str, y: str) -> Column:
+        differ = F.lit(0)
+        for k in ODD:
+            differ = differ + F.bit_count(F.col(x + k).bitwiseXOR(F.col(y + k)))
+        n, m = F.col(f"{x}n"), F.col(f"{y}n")
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+    return holds
 
 
 def near_duplicates(
@@ -99,21 +113,20 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = docs.select("id", word_shingles(F.col("text"), shingle_words).alias("shingles"))
     rows = cut_lineage(hashed.mapInArrow(
-        lambda it: signatures(it, VALUES), "id long, n long, f1 long, f2 long, signature binary"))
+        lambda it: signatures(it, VALUES), "id long, n long, f1 long, f2 long, signature binary, " + ", ".join(f"{k} long" for k in ODD)))
     nodes = cut_lineage(
-        rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("node"), F.first("signature").alias("signature")))
+        rows.where("n > 0").groupBy("n", "f1", "f2").agg(
+            F.min("id").alias("node"), F.first("signature").alias("signature"), *[F.first(k).alias(k) for k in ODD]))
     known = nodes.where("node is not null")
+    features = known.select("node", "n", *ODD)
+    possible = _possible(percent)
     members = known.select("node", "signature").mapInArrow(
         lambda it: chunk_keys(it, VALUES, CHUNK, ERRORS), "key long, node long")
 
-    expected = VALUES * (1 - percent / 100)
-    far = int(expected + FAR_DEVIATIONS * (expected * percent / 100) ** 0.5)
-
     def confirm(pairs: DataFrame) -> DataFrame:
-        a = known.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.hex("signature").alias("a_sig"))
-        b = known.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.hex("signature").alias("b_sig"))
-        close = pairs.join(a, "a").join(b, "b").where(
-            (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (_differences(F.col("a_sig"), F.col("b_sig")) <= far))
+        x = features.toDF("a", *[f"x_{c}" for c in features.columns[1:]])
+        y = features.toDF("b", *[f"y_{c}" for c in features.columns[1:]])
+        close = pairs.join(x, "a").join(y, "b").where(possible("x_", "y_"))
         close = cut_lineage(close.select("a", "b").distinct())
         wanted = cut_lineage(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         sets = cut_lineage(
@@ -124,7 +137,7 @@ def near_duplicates(
             "a", "b", (F.size("a_s") + F.size("b_s")).alias("total"), F.size(F.array_intersect("a_s", "b_s")).alias("shared"))
         return cut_lineage(shared.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b").distinct())
 
-    groups = linked_groups(members, confirm)
+    groups = linked_groups(members, confirm, features, possible)
     labels = nodes.select("n", "f1", "f2", "node").join(groups, "node", "left").select(
         "n", "f1", "f2", F.coalesce("component", "node").alias("component"))
     out = rows.select("id", "n", "f1", "f2").join(labels, ["n", "f1", "f2"], "left").select(

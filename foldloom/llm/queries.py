@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldloom.llm import minhash_dedup
+from foldloom.llm import decontaminate, line_dedup, minhash_dedup, pii, token_count, word_table_bpe
 from foldloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +21,39 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
+@query
+def op5_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+#: The queries' demonstration key; a real run passes its own secret.
+DEMO_KEY = "demonstration key of the queries"
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "text", "n_removed")
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "matched", "window")
+
+
+@query
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
+    kinds = F.sort_array(F.array_distinct(F.col("found.kind")))
+    return out.select("row.doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(kinds, ",").alias("kinds"))
