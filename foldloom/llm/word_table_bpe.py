@@ -152,8 +152,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         {w: (n, i, p) for w, n, i, p in zip(*[c.to_pylist() for c in rows.columns], strict=True)})
 
     packed = base.mapInArrow(lambda it: pack(it, path, hot), "chunk long, payload binary, words array<string>")
-    rare = packed.select("chunk", F.explode("words").alias("word")).distinct()
+    rare = packed.select(F.col("chunk").alias("owner"), F.explode("words").alias("word")).distinct()
     rare = rare.join(words.select("word", "n_ids", "ids", "pieces"), "word")
-    out = packed.select("chunk", "payload").groupBy("chunk").cogroup(rare.groupBy("chunk")).applyInPandas(
+    out = packed.select("chunk", "payload").groupBy("chunk").cogroup(rare.groupBy("owner")).applyInPandas(
         lambda c, r: digest(c, r, path, hot), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
