@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldloom.llm import decontaminate, line_dedup, minhash_dedup, pii, token_count, word_table_bpe
+from foldloom.llm import (
+    decontaminate,
+    line_dedup,
+    minhash_dedup,
+    pii,
+    quality,
+    token_count,
+    toxicity,
+    vector_dedup,
+    word_table_bpe,
+)
 from foldloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +36,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -57,3 +78,8 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
     kinds = F.sort_array(F.array_distinct(F.col("found.kind")))
     return out.select("row.doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(kinds, ",").alias("kinds"))
+
+
+@query
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
