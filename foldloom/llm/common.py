@@ -24,10 +24,20 @@ def broadcast_if_small(written: DataFrame, row_bytes: Column | None = None) -> D
     return F.broadcast(written) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else written
 
 
+def _spaced(text: Column) -> Column:
+    """ASCII white space as single space characters; replacing is much cheaper than translating."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def ascii_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lowered; an empty array for null."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
-    return F.filter(F.split(lowered, " "), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    letters = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # lower() would turn other capitals too; on plain ASCII it does the same and is faster
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(letters)
+    return F.filter(F.split(_spaced(lowered), " "), lambda w: w != "")
 
 
 def word_shingles(text: Column, size: int) -> Column:
@@ -65,8 +75,7 @@ EDGE = ".,;:!?\"'()[]{}*#%&$|-"
 
 def normal_words(text: Column) -> Column:
     """Lower-case words without punctuation at their ends; an empty array for null."""
-    spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.transform(F.split(spaced, " "), lambda w: F.btrim(w, F.lit(EDGE))), lambda w: w != "")
+    return F.filter(F.transform(F.split(_spaced(F.lower(F.coalesce(text, F.lit("")))), " "), lambda w: F.btrim(w, F.lit(EDGE))), lambda w: w != "")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

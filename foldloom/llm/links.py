@@ -57,10 +57,12 @@ def linked_groups(
     has small columns for each node; ``possible(x, y)``, over those columns under the prefixes x
     and y, must hold for every link.  It keeps hopeless pairs from ever becoming rows.
     """
-    hidden = F.col("node").bitwiseXOR(F.col("key"))  # its minimum is another node for another key
-    groups = members.groupBy("key").agg(F.min(hidden).alias("lo"), F.max(hidden).alias("hi")).where("lo <> hi")
-    multi = cut_lineage(
-        members.join(groups.select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("centre")), "key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    multi = cut_lineage(members.join(shared, "key"))
+    mask = F.xxhash64("key")
+    hidden = F.col("node").bitwiseXOR(mask)  # its minimum is another node for another key
+    centres = multi.groupBy("key").agg(F.min(hidden).alias("lo")).select("key", F.col("lo").bitwiseXOR(mask).alias("centre"))
+    multi = cut_lineage(multi.join(centres, "key"))
     star = cut_lineage(
         multi.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     first = cut_lineage(components(confirm(star)))

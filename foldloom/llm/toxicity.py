@@ -29,13 +29,13 @@ from foldloom.llm.training import held_out, labelled_sample, logistic, sigmoid
 from foldloom.session import cut_lineage, ship_package
 
 #: Most labelled rows that the model is fitted on; landmarks, toxic-looking and ordinary.
-SAMPLE, TOXIC_LANDMARKS, PLAIN_LANDMARKS = 20_000, 160, 32
+SAMPLE, TOXIC_LANDMARKS, PLAIN_LANDMARKS = 20_000, 96, 16
 #: Offsets of the second and third letter of a triple and the decay per letter of its span.
 OFFSETS, DECAY, POWER = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)), 0.7, 3
 #: Longest stretch of letters compared as one word; longer ones are cut into overlapping pieces.
 PIECE, LAP = 32, 8
-#: Words whose values a worker keeps.
-CACHE = 600_000
+#: Words whose values a worker keeps; words whose kernels are computed at once.
+CACHE, STEP = 600_000, 400
 SENTENCE = re.compile(r"[.!?\n]+")
 #: Digits and signs that stand for letters (fixed values).
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
@@ -111,8 +111,8 @@ class Landmarks:
     def kernel(self, words: list[str]) -> np.ndarray:
         """Power of the normalised kernel of each word with each landmark."""
         out = np.zeros((len(words), len(self.words)), np.float32)
-        for start in range(0, len(words), 4000):
-            part = words[start:start + 4000]
+        for start in range(0, len(words), STEP):
+            part = words[start:start + STEP]
             number, triple, weight = triples(part)
             norm = np.sqrt(np.bincount(number, weights=weight ** 2, minlength=len(part)))
             slot = self.slot[triple]
@@ -122,7 +122,7 @@ class Landmarks:
                 rows = self.matrix[slot[hit]] * weight[hit, None].astype(np.float32)
                 first = np.flatnonzero(np.r_[True, np.diff(number[hit]) > 0])
                 value[number[hit][first]] = np.add.reduceat(rows, first, axis=0)
-            out[start:start + 4000] = (value / np.maximum(norm, 1e-9)[:, None]) ** POWER
+            out[start:start + STEP] = (value / np.maximum(norm, 1e-9)[:, None]) ** POWER
         return out
 
 
@@ -144,14 +144,18 @@ class Machine:
         starts = np.cumsum([0, *map(len, cut)])[:-1]
         return np.add.reduceat(value, starts) if len(flat) else np.zeros(0)
 
+    def look_up(self, sentences: list[list[str]], cache: dict[str, float]) -> None:
+        """Bring the values of all words of the sentences into the cache."""
+        words = {w for s in sentences for w in s}
+        if len(cache) + len(words) > CACHE:
+            cache.clear()
+        new = list(words - cache.keys())
+        cache.update(zip(new, self.values(new).tolist(), strict=True))
+
     def margins(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
         """Margin of the worst sentence of each text."""
         split = [[words_of(s) for s in SENTENCE.split(t)] for t in texts]
-        new = list({w for t in split for s in t for w in s} - cache.keys())
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({w for t in split for s in t for w in s})
-        cache.update(zip(new, self.values(new).tolist(), strict=True))
+        self.look_up([s for t in split for s in t], cache)
         get = cache.__getitem__
         return np.array([max(sum(map(get, s)) for s in t) for t in split]) + self.bias
 
@@ -169,22 +173,27 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["word", "toxic", "clean"])
 
 
-def _kernel_rows(batches: Iterator[pa.RecordBatch], landmarks: Landmarks, looks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, k): landmark kernels of the training sentences of each text."""
+def _kernel_rows(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
+    """(label, text) to (label, k): landmark kernels of the training sentences of each text, chosen by ``machine``."""
+    cache: dict[str, float] = {}
     for batch in batches:
-        out_label, out = [], []
+        out_label, chosen = [], []
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
             sentences = [x for x in (words_of(s) for s in SENTENCE.split(text)) if x]
             if not sentences:
                 continue
-            flat = [p for s in sentences for w in s for p in pieces(w)]
-            starts = np.cumsum([0, *(sum(len(pieces(w)) for w in s) for s in sentences)])[:-1]
-            k = np.add.reduceat(landmarks.kernel(flat), starts, axis=0)
-            worst = int((k @ looks).argmax())
-            for row in {worst} if label else {worst, len(sentences) // 2}:
+            machine.look_up(sentences, cache)
+            worst = max(range(len(sentences)), key=lambda k: sum(cache[w] for w in sentences[k]))
+            for row in sorted({worst} if label else {worst, len(sentences) // 2}):
                 out_label.append(label)
-                out.append(k[row].astype(np.float64).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(out_label, pa.int32()), pa.array(out, pa.list_(pa.float64()))], names=["label", "k"])
+                chosen.append(sentences[row])
+        kernels = np.zeros((0, len(machine.landmarks.words)), np.float32)
+        if chosen:
+            flat = [p for s in chosen for w in s for p in pieces(w)]
+            starts = np.cumsum([0, *(sum(len(pieces(w)) for w in s) for s in chosen)])[:-1]
+            kernels = np.add.reduceat(machine.landmarks.kernel(flat), starts, axis=0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out_label, pa.int32()), pa.array(kernels.astype(np.float64).tolist(), pa.list_(pa.float64()))], names=["label", "k"])
 
 
 def support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -226,16 +235,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
     nystroem = vectors[:, good] / np.sqrt(values[good])
     looks = np.zeros(len(chosen), np.float32)
     looks[:len(bad)] = 1 / (1 + np.arange(len(bad)) / 40)
-    weights, bias = None, 0.0
+    machine = Machine(landmarks, looks, 0.0)
     for _ in range(2):  # the second time sentences are chosen by the first machine
-        aim = looks if weights is None else weights.astype(np.float32)
-        rows = sample.mapInArrow(lambda it, aim=aim: _kernel_rows(it, landmarks, aim), "label int, k array<double>").toArrow()
+        rows = sample.mapInArrow(lambda it, m=machine: _kernel_rows(it, m), "label int, k array<double>").toArrow()
         k, y = np.array(rows.column("k").to_pylist()), np.where(np.array(rows.column("label").to_pylist()) == 1, 1.0, -1.0)
         share = (y > 0).mean()
         cost = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y) * 2000
         w = support_vectors(k @ nystroem, y, cost)
-        weights, bias = nystroem @ w[:-1], float(w[-1])
-    machine = Machine(landmarks, weights.astype(np.float32), bias)
+        machine = Machine(landmarks, (nystroem @ w[:-1]).astype(np.float32), float(w[-1]))
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
