@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foldloom.llm import (
     decontaminate,
+    html_tree,
     line_dedup,
     minhash_dedup,
     pii,
@@ -47,6 +48,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_tree.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op5_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -36,7 +36,7 @@ OFFSETS, DECAY, POWER = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)), 0.7, 3
 PIECE, LAP = 32, 8
 #: Words whose values a worker keeps; words whose kernels are computed at once.
 CACHE, STEP = 600_000, 400
-SENTENCE = re.compile(r"[.!?\n]+")
+SENTENCE, SPAN = re.compile(r"[.!?\n]+"), 16
 #: Digits and signs that stand for letters (fixed values).
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -69,6 +69,12 @@ def words_of(sentence: str) -> list[str]:
     return out + (["".join(run)] if len(run) > 2 else run)
 
 
+def sentences(text: str) -> list[list[str]]:
+    """Words of the sentences of a text; longer ones in spans of SPAN words, so that a few words are not drowned."""
+    found = (words_of(s) for s in SENTENCE.split(text))
+    return [s[k:k + SPAN] for s in found for k in range(0, len(s), SPAN)] or [[]]
+
+
 def codes(word: str) -> np.ndarray:
     """Letters as numbers below 64, between a start and an end mark."""
     inner = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 35 for c in word]
@@ -154,7 +160,7 @@ class Machine:
 
     def margins(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
         """Margin of the worst sentence of each text."""
-        split = [[words_of(s) for s in SENTENCE.split(t)] for t in texts]
+        split = [sentences(t) for t in texts]
         self.look_up([s for t in split for s in t], cache)
         get = cache.__getitem__
         return np.array([max(sum(map(get, s)) for s in t) for t in split]) + self.bias
@@ -165,7 +171,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for w in {w for s in SENTENCE.split(text) for w in words_of(s)}:
+            for w in {w for s in sentences(text) for w in s}:
                 if 2 < len(w) <= PIECE:
                     counts.setdefault(w, [0, 0])[1 - label] += 1
         yield pa.RecordBatch.from_arrays(
@@ -179,14 +185,14 @@ def _kernel_rows(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterato
     for batch in batches:
         out_label, chosen = [], []
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            sentences = [x for x in (words_of(s) for s in SENTENCE.split(text)) if x]
-            if not sentences:
+            own = [s for s in sentences(text) if s]
+            if not own:
                 continue
-            machine.look_up(sentences, cache)
-            worst = max(range(len(sentences)), key=lambda k: sum(cache[w] for w in sentences[k]))
-            for row in sorted({worst} if label else {worst, len(sentences) // 2}):
+            machine.look_up(own, cache)
+            worst = max(range(len(own)), key=lambda k: sum(cache[w] for w in own[k]))
+            for row in sorted({worst} if label else {worst, len(own) // 2}):
                 out_label.append(label)
-                chosen.append(sentences[row])
+                chosen.append(own[row])
         kernels = np.zeros((0, len(machine.landmarks.words)), np.float32)
         if chosen:
             flat = [p for s in chosen for w in s for p in pieces(w)]
@@ -256,10 +262,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
     return machine
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = SAMPLE) -> DataFrame:
-    """Per row: doc_id, th (hash of the text), held_out, score, predicted."""
+def toxicity_scores(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = SAMPLE, training: DataFrame | None = None,
+) -> DataFrame:
+    """Per row: doc_id, th (hash of the text), held_out, score, predicted; learns on ``training`` or else ``docs``."""
     ship_package(docs.sparkSession)
-    model = fit(docs, labels, most)
+    model = fit(docs if training is None else training, labels, most)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
