@@ -83,7 +83,7 @@ class Discriminant:
         total = sum(n for n, _, _ in moments.values())
         self.prior = moments.get(1, (0.0,))[0] / total if total else 0.5
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
-        self.slope, self.offset = 1.0, 0.0
+        self.slopes, self.offset = np.ones(1), 0.0
         if set(moments) != {0, 1}:
             return
         spread = {k: second / n - np.outer(first / n, first / n) for k, (n, first, second) in moments.items()}
@@ -103,7 +103,7 @@ class Discriminant:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.classes:
             return np.full(len(x), self.prior)
-        return sigmoid(self.slope * self.difference(x) + self.offset)
+        return sigmoid(self.difference(x)[:, None] @ self.slopes + self.offset)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Discriminant:
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Discriminant:
     if model.classes:
         rows = measured.select("label", "x").toArrow()  # at most ``most`` rows
         x = np.array(rows.column("x").to_pylist())
-        model.slope, model.offset = logistic(model.difference(x), np.array(rows.column("label").to_pylist(), float))
+        model.slopes, model.offset = logistic(model.difference(x)[:, None], np.array(rows.column("label").to_pylist(), float))
     return model
 
 

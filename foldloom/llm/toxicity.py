@@ -7,7 +7,7 @@ the normalised word kernel, raised to a power; sums and powers of kernels are ke
 Nyström map of the landmarks turns them into finite vectors.  The machine is trained on labelled
 sentences: of a toxic text the one that looks worst, of a clean text the worst and an ordinary
 one.  In the linear machine a word contributes a fixed amount to its sentence, so scoring is one
-lookup per word; a text scores by its worst sentence.
+lookup per word; a text scores by its two worst sentences, weighed by a logistic fit.
 
 Defined results: null and empty texts score as a sentence without words; rows repeat as given;
 without labelled rows of both classes the score is the share of the only class (0.5 without
@@ -141,7 +141,7 @@ class Machine:
 
     def __init__(self, landmarks: Landmarks, weights: np.ndarray, bias: float):
         self.landmarks, self.weights, self.bias = landmarks, weights, bias
-        self.slope, self.offset = 1.0, 0.0
+        self.slopes, self.offset = np.array([1.0, 0.0]), 0.0
 
     def values(self, words: list[str]) -> np.ndarray:
         cut = [pieces(w) for w in words]
@@ -159,11 +159,15 @@ class Machine:
         cache.update(zip(new, self.values(new).tolist(), strict=True))
 
     def margins(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
-        """Margin of the worst sentence of each text."""
+        """Margins of the two worst sentences of each text, clipped; of an empty one where there are fewer."""
         split = [sentences(t) for t in texts]
         self.look_up([s for t in split for s in t], cache)
         get = cache.__getitem__
-        return np.array([max(sum(map(get, s)) for s in t) for t in split]) + self.bias
+        worst = [sorted([*(sum(map(get, s)) for s in t), 0.0], reverse=True)[:2] for t in split]
+        return np.clip(np.array(worst).reshape(-1, 2) + self.bias, -6, 6)
+
+    def probabilities(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
+        return sigmoid(self.margins(texts, cache) @ self.slopes + self.offset)
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,12 +257,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
+            found = machine.margins(batch.column("text").to_pylist(), cache)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(machine.margins(batch.column("text").to_pylist(), cache))], names=["label", "margin"])
+                [batch.column("label"), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["label", "margins"])
 
-    rows = sample.mapInArrow(margins, "label int, margin double").toArrow()
-    machine.slope, machine.offset = logistic(
-        np.clip(np.array(rows.column("margin").to_pylist()), -6, 6), np.array(rows.column("label").to_pylist(), float))
+    rows = sample.mapInArrow(margins, "label int, margins array<double>").toArrow()
+    machine.slopes, machine.offset = logistic(
+        np.array(rows.column("margins").to_pylist()).reshape(-1, 2), np.array(rows.column("label").to_pylist(), float))
     return machine
 
 
@@ -279,7 +284,7 @@ def toxicity_scores(
                 if isinstance(model, float):
                     values += [model] * len(part)
                 else:
-                    values += sigmoid(model.slope * np.clip(model.margins(part, cache), -6, 6) + model.offset).tolist()
+                    values += model.probabilities(part, cache).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(values, pa.float64())], names=["doc_id", "th", "score"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")

@@ -27,18 +27,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
     return base.join(F.broadcast(chosen), "id")
 
 
-def logistic(margins: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float]:
-    """(slope, offset) of P(1) = 1 / (1 + exp(-(slope * margin + offset))), by Newton steps."""
+def logistic(values: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, float]:
+    """(slopes, offset) of P(1) = 1 / (1 + exp(-(values @ slopes + offset))), by Newton steps."""
+    x = np.c_[values, np.ones(len(labels))]
+    w = np.zeros(x.shape[1])
     if len(set(labels.tolist())) < 2:
-        return 0.0, 4.0 if len(labels) and labels[0] else -4.0
-    x = np.c_[margins, np.ones(len(margins))]
-    w = np.zeros(2)
+        return w[:-1], 4.0 if len(labels) and labels[0] else -4.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = sigmoid(x @ w)
         gradient = x.T @ (p - labels) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), gradient)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
         w = w - np.clip(step, -2, 2)
-    return float(w[0]), float(w[1])
+    return w[:-1], float(w[-1])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
