@@ -7,7 +7,7 @@ the normalised word kernel, raised to a power; sums and powers of kernels are ke
 Nyström map of the landmarks turns them into finite vectors.  The machine is trained on labelled
 sentences: of a toxic text the one that looks worst, of a clean text the worst and an ordinary
 one.  In the linear machine a word contributes a fixed amount to its sentence, so scoring is one
-lookup per word; a text scores by its two worst sentences, weighed by a logistic fit.
+lookup per word; a text scores by the soft maximum of its two worst sentences.
 
 Defined results: null and empty texts score as a sentence without words; rows repeat as given;
 without labelled rows of both classes the score is the share of the only class (0.5 without
@@ -141,7 +141,7 @@ class Machine:
 
     def __init__(self, landmarks: Landmarks, weights: np.ndarray, bias: float):
         self.landmarks, self.weights, self.bias = landmarks, weights, bias
-        self.slopes, self.offset = np.array([1.0, 0.0]), 0.0
+        self.slopes, self.offset = np.ones(1), 0.0
 
     def values(self, words: list[str]) -> np.ndarray:
         cut = [pieces(w) for w in words]
@@ -159,12 +159,12 @@ class Machine:
         cache.update(zip(new, self.values(new).tolist(), strict=True))
 
     def margins(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
-        """Margins of the two worst sentences of each text, clipped; of an empty one where there are fewer."""
+        """Soft maximum of the margins of each text's two worst sentences, as a column; of an empty one where there are fewer."""
         split = [sentences(t) for t in texts]
         self.look_up([s for t in split for s in t], cache)
         get = cache.__getitem__
         worst = [sorted([*(sum(map(get, s)) for s in t), 0.0], reverse=True)[:2] for t in split]
-        return np.clip(np.array(worst).reshape(-1, 2) + self.bias, -6, 6)
+        return np.logaddexp.reduce(np.clip(np.array(worst).reshape(-1, 2) + self.bias, -6, 6), axis=1, keepdims=True)
 
     def probabilities(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
         return sigmoid(self.margins(texts, cache) @ self.slopes + self.offset)
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
     rate = (F.col("toxic") + F.col("clean") + 1) / (sizes[0] + sizes[1] + 2)
     # how far the share among toxic texts exceeds the expected one, in deviations
     excess = (F.col("toxic") - sizes[1] * rate) / F.sqrt(sizes[1] * rate)
-    bad = words.where("toxic > 1").orderBy(excess.desc(), "word").limit(TOXIC_LANDMARKS).select("word").collect()
+    bad = words.where("toxic > 1").withColumn("excess", excess).orderBy(F.desc("excess"), "word").limit(TOXIC_LANDMARKS).collect()
     plain_words = words.orderBy(F.col("clean").desc(), "word").limit(PLAIN_LANDMARKS).select("word").collect()
     chosen = list(dict.fromkeys(r["word"] for r in [*bad, *plain_words]))
     if not chosen:
@@ -244,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
     good = values > 1e-4 * values.max()
     nystroem = vectors[:, good] / np.sqrt(values[good])
     looks = np.zeros(len(chosen), np.float32)
-    looks[:len(bad)] = 1 / (1 + np.arange(len(bad)) / 40)
+    looks[:len(bad)] = [max(0.0, r["excess"]) for r in bad]  # the first choice of sentences goes by these landmarks
+    looks /= max(looks.max(), 1e-9)
     machine = Machine(landmarks, looks, 0.0)
     for _ in range(2):  # the second time sentences are chosen by the first machine
         rows = sample.mapInArrow(lambda it, m=machine: _kernel_rows(it, m), "label int, k array<double>").toArrow()
@@ -263,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
 
     rows = sample.mapInArrow(margins, "label int, margins array<double>").toArrow()
     machine.slopes, machine.offset = logistic(
-        np.array(rows.column("margins").to_pylist()).reshape(-1, 2), np.array(rows.column("label").to_pylist(), float))
+        np.array(rows.column("margins").to_pylist()).reshape(-1, 1), np.array(rows.column("label").to_pylist(), float))
     return machine
 
 
