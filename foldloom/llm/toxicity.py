@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,144 +29,186 @@ from foldloom.session import cut_lineage, ship_package
 
 #: Most labelled rows that the model is fitted on; landmarks, toxic-looking and ordinary.
 SAMPLE, TOXIC_LANDMARKS, PLAIN_LANDMARKS = 20_000, 96, 16
-#: Offsets of the second and third letter of a triple and the decay per letter of its span.
-OFFSETS, DECAY, POWER = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)), 0.7, 3
+#: Offsets of the second and third letter of a triple with the letters skipped, the decay of each.
+OFFSETS, DECAY, POWER = ((1, 2, 0), (1, 3, 1), (2, 3, 1), (2, 4, 2), (1, 4, 2)), 0.7, 3
+WEIGHTS = DECAY ** np.arange(4, dtype=np.float64)
 #: Longest stretch of letters compared as one word; longer ones are cut into overlapping pieces.
 PIECE, LAP = 32, 8
-#: Words whose values a worker keeps; words whose kernels are computed at once.
-CACHE, STEP = 600_000, 400
-SENTENCE, SPAN = re.compile(r"[.!?\n]+"), 16
+#: Words whose values a worker keeps; words whose kernels are computed at once; words of a sentence at most.
+CACHE, STEP, SPAN = 800_000, 400, 16
 #: Digits and signs that stand for letters (fixed values).
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Three or more single characters in a row, read as one word.
+SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 
 
-@lru_cache(maxsize=200_000)
 def plain(word: str) -> str:
     """The letters of a word in lower case, signs inside it dropped and lookalikes read as letters."""
     if word.isalpha():
         return word.lower()
-    inner = word.strip(".,;:!?\"'()[]{}|#%&*$") or ""
+    inner = word.strip(".,;:!?\"'()[]{}|#%&*$")
     if any(c.isalpha() for c in inner):
         inner = inner.translate(LOOKALIKE)
     return "".join(LETTERS.findall(inner)).lower()
 
 
-def words_of(sentence: str) -> list[str]:
-    """Words as plain letters; runs of three or more single letters are read as one word."""
-    out, run = [], []
-    for raw in sentence.split():
-        w = plain(raw)
-        if len(w) == 1:
-            run.append(w)
-            continue
-        if run:
-            out += ["".join(run)] if len(run) > 2 else run
-            run = []
-        if w:
-            out.append(w)
-    return out + (["".join(run)] if len(run) > 2 else run)
+def tokens(text: str) -> list[str]:
+    return SPELLED.sub(lambda m: "".join(m[0].split()), text).split()
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Words of the sentences of a text; longer ones in spans of SPAN words, so that a few words are not drowned."""
-    found = (words_of(s) for s in SENTENCE.split(text))
-    return [s[k:k + SPAN] for s in found for k in range(0, len(s), SPAN)] or [[]]
-
-
-def codes(word: str) -> np.ndarray:
-    """Letters as numbers below 64, between a start and an end mark."""
-    inner = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 35 for c in word]
-    return np.array([62, *inner, 63], np.int64)
+def pieces(word: str) -> list[str]:
+    return [word] if len(word) <= PIECE else [word[k:k + PIECE] for k in range(0, len(word) - LAP, PIECE - LAP)]
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, triple, weight) of all triples in order within a span of five letters."""
-    rows = [codes(w) for w in words]
-    width = max(map(len, rows))
-    grid = np.full((len(rows), width + 4), -1, np.int64)
-    for k, r in enumerate(rows):
-        grid[k, :len(r)] = r
-    numbers, found, weights = [], [], []
-    for second, third in OFFSETS:
-        a, b, c = grid[:, :width], grid[:, second:second + width], grid[:, third:third + width]
-        i, j = np.nonzero(c >= 0)
-        numbers.append(i)
-        found.append((a[i, j] * 64 + b[i, j]) * 64 + c[i, j])
-        weights.append(np.full(len(i), DECAY ** (third - 2)))
-    number, triple, weight = np.concatenate(numbers), np.concatenate(found), np.concatenate(weights)
-    # equal triples of a word are one feature
-    key, at = np.unique(number * 64 ** 3 + triple, return_inverse=True)
-    return key // 64 ** 3, key % 64 ** 3, np.bincount(at, weights=weight)
+    """(word number, triple, weight) of the letter triples in order within a span of five, between a start and an end mark.
+
+    At most STEP words.  A letter is a number below 64; equal triples of a word are one feature.
+    """
+    n = len(words)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    width = int(sizes.max()) + 2
+    grid = np.full((n, width + 4), -1, np.int32)
+    grid[:, 0] = 62
+    row = np.repeat(np.arange(n), sizes)
+    grid[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1] = np.where((flat >= 97) & (flat <= 122), flat - 96, 27 + flat % 35)
+    grid[np.arange(n), sizes + 1] = 63
+    first = (np.arange(n, dtype=np.int32)[:, None] << 18) | (grid[:, :width] << 12)
+    keys = []
+    for second, third, skipped in OFFSETS:
+        last = grid[:, third:third + width]
+        inside = last >= 0
+        keys.append((((first | (grid[:, second:second + width] << 6) | last)[inside]) << 2) | skipped)
+    key = np.concatenate(keys)
+    key.sort()
+    found = key >> 2
+    start = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
+    weight = np.add.reduceat(WEIGHTS[key & 3], start) if len(found) else np.zeros(0)
+    return found[start] >> 18, found[start] & (64 ** 3 - 1), weight
 
 
 class Landmarks:
-    """Normalised triple weights of the landmark words, as a small matrix over the triples they hold."""
+    """The triple weights of the landmark words, normalised, listed by triple: few words hold the same one."""
 
     def __init__(self, words: list[str]):
         self.words = words
         number, triple, weight = triples(words)
-        self.known, column = np.unique(triple, return_inverse=True)
-        self.slot = np.zeros(64 ** 3, np.int32)
-        self.slot[self.known] = np.arange(1, len(self.known) + 1)
-        norm = np.sqrt(np.bincount(number, weights=weight ** 2, minlength=len(words)))
-        self.matrix = np.zeros((len(self.known) + 1, len(words)), np.float32)
-        self.matrix[column + 1, number] = weight / norm[number]
+        weight = weight / np.sqrt(np.bincount(number, weights=weight ** 2, minlength=len(words)))[number]
+        order = np.argsort(triple, kind="stable")
+        self.column, self.weight = number[order].astype(np.int64), weight[order]
+        self.count = np.bincount(triple, minlength=64 ** 3)
+        self.start = np.cumsum(self.count) - self.count
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Power of the normalised kernel of each word with each landmark."""
         out = np.zeros((len(words), len(self.words)), np.float32)
-        for start in range(0, len(words), STEP):
-            part = words[start:start + STEP]
+        for begin in range(0, len(words), STEP):
+            part = words[begin:begin + STEP]
             number, triple, weight = triples(part)
             norm = np.sqrt(np.bincount(number, weights=weight ** 2, minlength=len(part)))
-            slot = self.slot[triple]
-            hit = np.flatnonzero(slot)
-            value = np.zeros((len(part), len(self.words)), np.float32)
-            if len(hit):
-                rows = self.matrix[slot[hit]] * weight[hit, None].astype(np.float32)
-                first = np.flatnonzero(np.r_[True, np.diff(number[hit]) > 0])
-                value[number[hit][first]] = np.add.reduceat(rows, first, axis=0)
-            out[start:start + STEP] = (value / np.maximum(norm, 1e-9)[:, None]) ** POWER
+            hit = np.flatnonzero(self.count[triple])
+            times = self.count[triple[hit]]
+            entry = np.arange(times.sum()) + np.repeat(self.start[triple[hit]] - (np.cumsum(times) - times), times)
+            hit = np.repeat(hit, times)
+            total = np.bincount(
+                number[hit] * len(self.words) + self.column[entry], weights=weight[hit] * self.weight[entry],
+                minlength=len(part) * len(self.words))
+            value = total.reshape(len(part), -1) / np.maximum(norm, 1e-9)[:, None]
+            out[begin:begin + STEP] = value ** POWER
         return out
 
-
-def pieces(word: str) -> list[str]:
-    return [word] if len(word) <= PIECE else [word[k:k + PIECE] for k in range(0, len(word) - LAP, PIECE - LAP)]
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Kernels of plain words of any length; the pieces of a long one add up."""
+        cut = [pieces(w) for w in words]
+        if not words:
+            return np.zeros((0, len(self.words)), np.float32)
+        starts = np.cumsum([0, *map(len, cut)])[:-1]
+        return np.add.reduceat(self.kernel([p for c in cut for p in c]), starts, axis=0)
 
 
 class Machine:
-    """Landmarks with the weight of each: what a word adds to the margin of its sentence."""
+    """Landmarks with their weights: what a word adds to its sentence, less what a word adds on average."""
 
-    def __init__(self, landmarks: Landmarks, weights: np.ndarray, bias: float):
-        self.landmarks, self.weights, self.bias = landmarks, weights, bias
+    def __init__(self, landmarks: Landmarks, weights: np.ndarray, bias: float, average: np.ndarray):
+        self.landmarks, self.weights, self.bias, self.average = landmarks, weights, bias, average
         self.slopes, self.offset = np.ones(1), 0.0
 
-    def values(self, words: list[str]) -> np.ndarray:
-        cut = [pieces(w) for w in words]
-        flat = [p for c in cut for p in c]
-        value = self.landmarks.kernel(flat) @ self.weights
-        starts = np.cumsum([0, *map(len, cut)])[:-1]
-        return np.add.reduceat(value, starts) if len(flat) else np.zeros(0)
+    def values(self, raw: list[str]) -> np.ndarray:
+        """Values of words as they stand in a text; of those without letters 0."""
+        words = [plain(r) for r in raw]
+        full = [k for k, w in enumerate(words) if w]
+        out = np.zeros(len(raw))
+        centre = float(self.average @ self.weights)
+        for begin in range(0, len(full), 20_000):
+            part = full[begin:begin + 20_000]
+            out[part] = self.landmarks.of_words([words[k] for k in part]) @ self.weights - centre
+        return out
 
-    def look_up(self, sentences: list[list[str]], cache: dict[str, float]) -> None:
-        """Bring the values of all words of the sentences into the cache."""
-        words = {w for s in sentences for w in s}
-        if len(cache) + len(words) > CACHE:
-            cache.clear()
-        new = list(words - cache.keys())
-        cache.update(zip(new, self.values(new).tolist(), strict=True))
+    def sentences(self, texts: list[str], known: Lexicon) -> Sentences:
+        return known.cut([tokens(t) for t in texts], self)
 
-    def margins(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
+    def margins(self, texts: list[str], known: Lexicon) -> np.ndarray:
         """Soft maximum of the margins of each text's two worst sentences, as a column; of an empty one where there are fewer."""
-        split = [sentences(t) for t in texts]
-        self.look_up([s for t in split for s in t], cache)
-        get = cache.__getitem__
-        worst = [sorted([*(sum(map(get, s)) for s in t), 0.0], reverse=True)[:2] for t in split]
-        return np.logaddexp.reduce(np.clip(np.array(worst).reshape(-1, 2) + self.bias, -6, 6), axis=1, keepdims=True)
-
-    def probabilities(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
-        return sigmoid(self.margins(texts, cache) @ self.slopes + self.offset)
+        s = self.sentences(texts, known)
+        order = np.lexsort((-s.sums, s.owner))
+        place = np.arange(len(order)) - np.searchsorted(s.owner[order], s.owner[order])
+        worst = np.zeros((len(texts), 2))
+        for k in (0, 1):
+            at = order[place == k]
+            worst[s.owner[at], k] = s.sums[at]
+        return np.logaddexp.reduce(np.clip(worst + self.bias, -6, 6), axis=1, keepdims=True)
+
+    def probabilities(self, texts: list[str], known: Lexicon) -> np.ndarray:
+        return sigmoid(self.margins(texts, known) @ self.slopes + self.offset)
+
+
+class Sentences:
+    """Sentences of a batch of texts: words, start and end, text, sum of word values."""
+
+    def __init__(self, words: list[str], starts: np.ndarray, owner: np.ndarray, sums: np.ndarray):
+        self.words, self.starts, self.owner, self.sums = words, starts, owner, sums
+        self.ends = np.r_[starts[1:], len(words)]
+
+
+class Lexicon:
+    """Values of the words a worker has met, and whether they end a sentence."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.value, self.closes = np.zeros(0), np.zeros(0, bool)
+
+    def cut(self, texts: list[list[str]], machine: Machine) -> Sentences:
+        flat = [w for t in texts for w in t]
+        if not flat:
+            return Sentences([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        new = list(set(flat) - self.index.keys())
+        value = np.r_[self.value, machine.values(new)]
+        closes = np.r_[self.closes, np.fromiter((w.rstrip("\"')]}#%&*$").endswith((".", "!", "?")) for w in new), bool, len(new))]
+        index = self.index
+        if len(index) + len(new) <= CACHE:
+            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            self.value, self.closes = value, closes
+        else:  # full: the new words count for this batch only
+            index = _Both(index, dict(zip(new, range(len(index), len(index) + len(new)), strict=True)))
+        at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        opens = np.r_[True, closes[at[:-1]] | (owner[1:] != owner[:-1])]
+        begin = np.flatnonzero(opens)
+        inside = np.arange(len(flat)) - np.repeat(begin, np.diff(np.r_[begin, len(flat)]))
+        starts = np.flatnonzero(inside % SPAN == 0)
+        return Sentences(flat, starts, owner[starts], np.add.reduceat(value[at], starts))
+
+
+class _Both:
+    def __init__(self, first: dict[str, int], second: dict[str, int]):
+        self.first, self.second = first, second
+
+    def __getitem__(self, word: str) -> int:
+        found = self.first.get(word)
+        return self.second[word] if found is None else found
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +216,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for w in {w for s in sentences(text) for w in s}:
+            for w in {plain(r) for r in set(tokens(text))}:
                 if 2 < len(w) <= PIECE:
                     counts.setdefault(w, [0, 0])[1 - label] += 1
         yield pa.RecordBatch.from_arrays(
@@ -184,26 +225,25 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kernel_rows(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, k): landmark kernels of the training sentences of each text, chosen by ``machine``."""
-    cache: dict[str, float] = {}
+    """(label, text) to (label, n, k): words and landmark kernels of the training sentences of each text, chosen by ``machine``."""
+    known = Lexicon()
     for batch in batches:
-        out_label, chosen = [], []
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = [s for s in sentences(text) if s]
-            if not own:
+        labels, texts = np.array(batch.column("label").to_pylist()), batch.column("text").to_pylist()
+        s = machine.sentences(texts, known)
+        rows, sizes, kernels = [], [], [np.zeros((0, len(machine.landmarks.words)), np.float32)]
+        bounds = np.searchsorted(s.owner, np.arange(len(texts) + 1))
+        for i, label in enumerate(labels):
+            if bounds[i] == bounds[i + 1]:
                 continue
-            machine.look_up(own, cache)
-            worst = max(range(len(own)), key=lambda k: sum(cache[w] for w in own[k]))
-            for row in sorted({worst} if label else {worst, len(own) // 2}):
-                out_label.append(label)
-                chosen.append(own[row])
-        kernels = np.zeros((0, len(machine.landmarks.words)), np.float32)
-        if chosen:
-            flat = [p for s in chosen for w in s for p in pieces(w)]
-            starts = np.cumsum([0, *(sum(len(pieces(w)) for w in s) for s in chosen)])[:-1]
-            kernels = np.add.reduceat(machine.landmarks.kernel(flat), starts, axis=0)
+            worst = int(bounds[i] + s.sums[bounds[i]:bounds[i + 1]].argmax())
+            for k in sorted({worst} if label else {worst, int(bounds[i] + bounds[i + 1]) // 2}):
+                words = [w for w in map(plain, s.words[s.starts[k]:s.ends[k]]) if w]
+                rows.append(int(label))
+                sizes.append(len(words))
+                kernels.append(machine.landmarks.of_words(words).sum(0, keepdims=True))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out_label, pa.int32()), pa.array(kernels.astype(np.float64).tolist(), pa.list_(pa.float64()))], names=["label", "k"])
+            [pa.array(rows, pa.int32()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(kernels).astype(np.float64).tolist(), pa.list_(pa.float64()))],
+            names=["label", "n", "k"])
 
 
 def support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -246,19 +286,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
     looks = np.zeros(len(chosen), np.float32)
     looks[:len(bad)] = [max(0.0, r["excess"]) for r in bad]  # the first choice of sentences goes by these landmarks
     looks /= max(looks.max(), 1e-9)
-    machine = Machine(landmarks, looks, 0.0)
+    machine = Machine(landmarks, looks, 0.0, np.zeros(len(chosen), np.float32))
     for _ in range(2):  # the second time sentences are chosen by the first machine
-        rows = sample.mapInArrow(lambda it, m=machine: _kernel_rows(it, m), "label int, k array<double>").toArrow()
-        k, y = np.array(rows.column("k").to_pylist()), np.where(np.array(rows.column("label").to_pylist()) == 1, 1.0, -1.0)
+        rows = sample.mapInArrow(lambda it, m=machine: _kernel_rows(it, m), "label int, n long, k array<double>").toArrow()
+        n, labels_found = np.array(rows.column("n").to_pylist(), float), np.array(rows.column("label").to_pylist())
+        k, y = np.array(rows.column("k").to_pylist()).reshape(len(n), -1), np.where(labels_found == 1, 1.0, -1.0)
+        if len(set(labels_found.tolist())) < 2:
+            return sizes[1] / (sizes[0] + sizes[1])
+        # an average word of a clean text adds nothing, so that sentences of any length compare
+        average = k[y < 0].sum(0) / max(n[y < 0].sum(), 1.0)
         share = (y > 0).mean()
-        cost = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y) * 2000
-        w = support_vectors(k @ nystroem, y, cost)
-        machine = Machine(landmarks, (nystroem @ w[:-1]).astype(np.float32), float(w[-1]))
+        cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y) * 2000
+        w = support_vectors((k - n[:, None] * average) @ nystroem, y, cost)
+        machine = Machine(landmarks, (nystroem @ w[:-1]).astype(np.float32), float(w[-1]), average.astype(np.float32))
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        known = Lexicon()
         for batch in batches:
-            found = machine.margins(batch.column("text").to_pylist(), cache)
+            found = machine.margins(batch.column("text").to_pylist(), known)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["label", "margins"])
 
@@ -276,7 +321,7 @@ def toxicity_scores(
     model = fit(docs if training is None else training, labels, most)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        known = Lexicon()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             values: list[float] = []
@@ -285,7 +330,7 @@ def toxicity_scores(
                 if isinstance(model, float):
                     values += [model] * len(part)
                 else:
-                    values += model.probabilities(part, cache).tolist()
+                    values += model.probabilities(part, known).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(values, pa.float64())], names=["doc_id", "th", "score"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
