@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from foldloom.functions.residues import RESIDUES
-from foldloom.functions.scoring import density_sql
 
 POINTS = """
 steps AS (
@@ -47,31 +46,59 @@ stats AS (
   FROM pair_points GROUP BY grp, side1, side2, p1, p2, len)"""
 
 
-def singular(source: str) -> str:
-    """CTEs from covariances (c0..c8, e, len) to ``sized`` with rmsd_fast and rmsd."""
+def singular(source: str, tag: str = "") -> str:
+    """CTEs from covariances (c0..c8, e, len) to ``sized`` with rmsd_fast and rmsd; ``tag`` ends their names."""
     return f""",
-gram AS (
+gram{tag} AS (
   SELECT *, c0*(c4*c8-c5*c7) - c1*(c3*c8-c5*c6) + c2*(c3*c7-c4*c6) AS det,
          c0*c0+c3*c3+c6*c6 AS kxx, c1*c1+c4*c4+c7*c7 AS kyy, c2*c2+c5*c5+c8*c8 AS kzz,
          c0*c1+c3*c4+c6*c7 AS kxy, c0*c2+c3*c5+c6*c8 AS kxz, c1*c2+c4*c5+c7*c8 AS kyz FROM {source}),
-means AS (SELECT *, (kxx+kyy+kzz)/3 AS q FROM gram),
-spreads AS (
-  SELECT *, sqrt(((kxx-q)*(kxx-q)+(kyy-q)*(kyy-q)+(kzz-q)*(kzz-q)+2*(kxy*kxy+kxz*kxz+kyz*kyz))/6) AS p FROM means),
-angles AS (
+means{tag} AS (SELECT *, (kxx+kyy+kzz)/3 AS q FROM gram{tag}),
+spreads{tag} AS (
+  SELECT *, sqrt(((kxx-q)*(kxx-q)+(kyy-q)*(kyy-q)+(kzz-q)*(kzz-q)+2*(kxy*kxy+kxz*kxz+kyz*kyz))/6) AS p FROM means{tag}),
+angles{tag} AS (
   SELECT *, acos(least(greatest(((kxx-q)*((kyy-q)*(kzz-q)-kyz*kyz) - kxy*(kxy*(kzz-q)-kyz*kxz)
-         + kxz*(kxy*kyz-(kyy-q)*kxz)) / (2*p*p*p), -1e0), 1e0)) / 3 AS phi FROM spreads),
-roots AS (
+         + kxz*(kxy*kyz-(kyy-q)*kxz)) / (2*p*p*p), -1e0), 1e0)) / 3 AS phi FROM spreads{tag}),
+roots{tag} AS (
   SELECT *, sqrt(greatest(q + 2*p*cos(phi), 0)) AS s1,
-         sqrt(greatest(q + 2*p*cos(phi - 2*pi()/3), 0)) AS s2 FROM angles),
-thirds AS (
-  SELECT *, CASE WHEN s1*s2 > 1e-9 THEN least(greatest(det/(s1*s2), -s2), s2) ELSE 0 END AS s3 FROM roots),
-sized AS (
+         sqrt(greatest(q + 2*p*cos(phi - 2*pi()/3), 0)) AS s2 FROM angles{tag}),
+thirds{tag} AS (
+  SELECT *, CASE WHEN s1*s2 > 1e-9 THEN least(greatest(det/(s1*s2), -s2), s2) ELSE 0 END AS s3 FROM roots{tag}),
+sized{tag} AS (
   SELECT *, sqrt(greatest(e - 2*(s1+s2+abs(s3)), 0)/len) AS rmsd_fast,
-         sqrt(greatest(e - 2*(s1+s2+s3), 0)/len) AS rmsd FROM thirds),
-scored AS (SELECT *, len * ({density_sql('rmsd')}) AS score FROM sized)"""
+         sqrt(greatest(e - 2*(s1+s2+s3), 0)/len) AS rmsd FROM thirds{tag})"""
 
 
-MATCHES = PAIRS + singular("stats")
+# The score table of the fixture: fragments ten positions apart in a chain are the background; the share of pairs below each
+# 0.001 Angstrom, and below one per cent of the pairs the power law of 3 n - 6 free coordinates.
+CURVE = """,
+lag_points AS (
+  SELECT f.chain AS c, f.pos AS p, f.len, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS b_y, b.z AS bz
+  FROM frag f JOIN frag h ON h.chain = f.chain AND h.len = f.len AND h.pos = f.pos + 10
+  JOIN res a ON a.chain = f.chain AND a.res_idx BETWEEN f.pos AND f.pos + f.len - 1
+  JOIN res b ON b.chain = f.chain AND b.res_idx = a.res_idx + 10),
+lag_stats AS (
+  SELECT c, p AS at, len, len * (var_pop(ax)+var_pop(ay)+var_pop(az)+var_pop(bx)+var_pop(b_y)+var_pop(bz)) AS e,
+         len*covar_pop(ax,bx) AS c0, len*covar_pop(ax,b_y) AS c1, len*covar_pop(ax,bz) AS c2,
+         len*covar_pop(ay,bx) AS c3, len*covar_pop(ay,b_y) AS c4, len*covar_pop(ay,bz) AS c5,
+         len*covar_pop(az,bx) AS c6, len*covar_pop(az,b_y) AS c7, len*covar_pop(az,bz) AS c8
+  FROM lag_points GROUP BY c, p, len)""" + singular("lag_stats", "_lag") + """,
+background AS (SELECT least(CAST(ceil(rmsd * 1000) AS INTEGER), 2802) AS bin, len FROM sized_lag),
+whole AS (SELECT count(*) AS total, avg(len) AS size FROM background),
+steps_up AS (
+  SELECT m, sum(coalesce(n, 0)) OVER (ORDER BY m) AS below
+  FROM (SELECT unnest(range(2802)) AS m) LEFT JOIN (SELECT bin, count(*) AS n FROM background GROUP BY bin) ON bin = m),
+edge AS (SELECT min(m) AS tail FROM steps_up, whole WHERE m > 0 AND below >= 0.01e0 * total),
+curve AS (
+  SELECT list(CASE WHEN m < tail THEN (-ln((at_tail + 1)/(total + 1)) + (3*size - 6) * ln(tail / greatest(m, 1)))
+                   ELSE -ln((below + 1)/(total + 1)) END / size ORDER BY m) AS vals
+  FROM steps_up, whole, edge, (SELECT below AS at_tail FROM steps_up, edge WHERE m = tail))"""
+SCORED = CURVE + """,
+scored AS (
+  SELECT * EXCLUDE (vals), CASE WHEN rmsd > 2.8e0 THEN 0 ELSE len * (
+    vals[CAST(floor(rmsd*1000) AS INTEGER) + 1] * (1 - (rmsd*1000 - floor(rmsd*1000)))
+    + vals[CAST(floor(rmsd*1000) AS INTEGER) + 2] * (rmsd*1000 - floor(rmsd*1000))) END AS score FROM sized, curve)"""
+MATCHES = PAIRS + singular("stats") + SCORED
 NEIGHBOURS = PRESENT + """,
 stats AS (
   SELECT a.job_id, a.chain, CAST(count(*) AS INTEGER) AS len,
@@ -118,7 +145,7 @@ bonds AS (
     CAST(row_number() OVER (PARTITION BY chain, donor ORDER BY energy, acceptor) AS INTEGER) AS rank
     FROM energies WHERE energy < -500e0) WHERE rank <= 2)"""
 DOCS = """docs AS (
-  SELECT doc_id AS job_id, source || ':' || doc_id AS id_string, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS row FROM documents)"""
+  SELECT doc_id AS job_id, source || ':' || doc_id AS id_string, translate(regexp_replace(text, '\\P{L}', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS row FROM documents)"""
 QUATERNIONS = """quats AS (
   SELECT vec_id, CAST(embedding[1] AS DOUBLE) a, CAST(embedding[2] AS DOUBLE) b, CAST(embedding[3] AS DOUBLE) c, CAST(embedding[4] AS DOUBLE) d,
          CAST(embedding[5] AS DOUBLE) e, CAST(embedding[6] AS DOUBLE) f, CAST(embedding[7] AS DOUBLE) g, CAST(embedding[8] AS DOUBLE) h,
@@ -222,7 +249,8 @@ parts AS (SELECT job_id, row, k, substr(row, CAST(k*60 + 1 AS BIGINT), 60) AS pa
 SELECT job_id, CAST(-2 AS BIGINT) AS minor, '>P1;' || id_string AS line FROM docs UNION ALL
 SELECT job_id, CAST(-1 AS BIGINT), id_string FROM docs UNION ALL
 SELECT job_id, k, ' ' || regexp_replace(part, '(.{{1,10}})', ' \\1', 'g') || CASE WHEN k = n - 1 THEN '*' ELSE '' END FROM parts UNION ALL
-SELECT job_id, n, '' FROM parts WHERE k = n - 1""",
+SELECT job_id, n, '' FROM parts WHERE k = n - 1 UNION ALL
+SELECT job_id, unnest([0, 1]), unnest([' *', '']) FROM docs WHERE row = ''""",
     "msf_checksums": f"""WITH {DOCS},
 letters AS (SELECT job_id, unnest(string_split(row, '')) AS c, unnest(range(length(row))) AS i FROM docs)
 SELECT d.job_id, CAST(coalesce(sum((i % 57 + 1) * ascii(c)) % 10000, 0) AS BIGINT) AS checksum FROM docs d LEFT JOIN letters l ON l.job_id = d.job_id GROUP BY d.job_id""",

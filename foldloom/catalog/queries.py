@@ -48,16 +48,20 @@ def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         fragments.with_shape(fragments.sliding_fragments(fragments.chain_side(_labelled(spark, sf_dir))))))
 
 
+def _curve(spark: SparkSession, sf_dir: str) -> list[float]:
+    return _once(spark, sf_dir, "curve", lambda: fragments.score_curve(_fragments(spark, sf_dir)))
+
+
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         frags = _fragments(spark, sf_dir)
-        return cut_lineage(fragments.match_fragments(frags, frags, 0.6, F.col("a_side") > F.col("b_side")))
+        return cut_lineage(fragments.match_fragments(frags, frags, 0.6, _curve(spark, sf_dir), F.col("a_side") > F.col("b_side")))
     return _once(spark, sf_dir, "matches", make)
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _once(spark, sf_dir, "merged", lambda: {
-        k: cut_lineage(v) for k, v in progressive.multiple_alignment(derived.residues(spark, sf_dir)).items()})
+        k: cut_lineage(v) for k, v in progressive.multiple_alignment(derived.residues(spark, sf_dir), _curve(spark, sf_dir)).items()})
 
 
 def _finished(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -119,7 +123,7 @@ def fragment_rmsd(spark, sf_dir):
 def fragment_scores(spark, sf_dir):
     strong = scoring.SEARCH_PASSES[0][0]
     frags = _fragments(spark, sf_dir)
-    found = fragments.match_fragments(frags, frags, strong, F.col("a_side") > F.col("b_side"))
+    found = fragments.match_fragments(frags, frags, strong, _curve(spark, sf_dir), F.col("a_side") > F.col("b_side"))
     return _r(found.select("grp", "side1", "side2", "p1", "p2", "len", "score"), "score")
 
 
@@ -297,7 +301,7 @@ def hinge_edges_between_matches(spark, sf_dir):
 @query
 def pair_alignment(spark, sf_dir):
     return progressive.pair_scores(_once(spark, sf_dir, "pairs", lambda: cut_lineage(
-        progressive.pair_regions(derived.residues(spark, sf_dir)))))
+        progressive.pair_regions(derived.residues(spark, sf_dir), _curve(spark, sf_dir))[0])))
 
 
 @query

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldloom.functions.scoring import TABLE_SIZE
 from foldloom.operators import layout
 from foldloom.operators.rigid import move_by_block, move_chains
 from foldloom.plans import job
@@ -36,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-f", dest="formats", default=None, help="output formats, or all")
     for flag, name in (("b", "bent"), ("r", "renumber"), ("l", "relabel"), ("s", "seqres"), ("v", "verbose"), ("d", "progress"), ("p", "partial")):
         p.add_argument(f"-{flag}", dest=name, nargs="?", const=1, type=int, choices=(0, 1), default=None)
+    p.add_argument("-t", dest="score_table", default=None, help="file with score values at every 0.001 Angstrom; else they come from the chains")
+    p.add_argument("-g", dest="max_skips", type=int, default=None, help="residues of the atoms that may be missing from SEQRES, plus one")
     p.add_argument("selectors", nargs="*")
     return p
 
@@ -75,6 +78,14 @@ def job_table(spark: SparkSession, opts: argparse.Namespace) -> DataFrame:
     return jobs.split_jobs(lines, prefix)
 
 
+def score_values(spark: SparkSession, path: str) -> list[float]:
+    """Score table of a file of numbers; its size is fixed by the scored range."""
+    values = [float(v) for v in spark.read.text(path, wholetext=True).first()["value"].split()[:TABLE_SIZE]]
+    if len(values) < TABLE_SIZE - 1:
+        raise ValueError(f"a score table has at least {TABLE_SIZE - 1} values")
+    return values + values[-1:] * (TABLE_SIZE - len(values))
+
+
 def run(spark: SparkSession, opts: argparse.Namespace, search: Sequence[str] = (), mirror: str | None = None) -> DataFrame:
     """Align every job and write its files; returns the problem rows."""
     listed = job_table(spark, opts)
@@ -87,13 +98,16 @@ def run(spark: SparkSession, opts: argparse.Namespace, search: Sequence[str] = (
         return wanted.select("job_id", "sel_ord", F.lit("cannot read structure").alias("problem"))
     requests = wanted.join(lookup, "file", "left")
     lines = cut_lineage(files.read_lines(spark, sorted({os.path.abspath(p) for p in found.values()})))
-    residues = cut_lineage(pdb.residues(lines, bool(opts.seqres), bool(opts.renumber)))
+    residues = cut_lineage(pdb.residues(lines, bool(opts.seqres), bool(opts.renumber), opts.max_skips or pdb.SKIP_LIMIT))
     chains = pdb.chain_names(lines, residues)
     selected, problems = jobs.select_chains(requests, chains, residues)
     selected = cut_lineage(selected)
     loaded = cut_lineage(jobs.job_residues(selected, residues))
     prefixes = listed.select("job_id", "out_prefix").distinct()
-    merged = multiple_alignment(loaded.select("job_id", "chain", "res_idx", "letter", "x", "y", "z"))
+    curve = score_values(spark, opts.score_table) if opts.score_table else None
+    merged = multiple_alignment(loaded.select("job_id", "chain", "res_idx", "letter", "x", "y", "z"), curve)
+    apart = merged["alignments"].where("n_cols = 0").select("job_id", F.lit(0).alias("sel_ord"), F.lit("no common structure").alias("problem"))
+    problems = problems.select("job_id", F.col("sel_ord").cast("int").alias("sel_ord"), "problem").unionByName(apart)
     done = job.finish_alignments(merged, loaded, opts.cutoff, bool(opts.partial))
     ids = selected.select("job_id", "chain", "id_string")
     numbers = loaded.select("job_id", "chain", "res_idx", "res_num", "ins_code", "res_name", "letter")

@@ -24,6 +24,11 @@ CHAIN_LABELS = (
 N_LABELS = len(CHAIN_LABELS)
 
 
+def in_capitals(letters: Column) -> Column:
+    """a-z as A-Z; other letters stay, whatever a locale makes of them."""
+    return F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def residue_table(spark: SparkSession) -> DataFrame:
     """The fixed lookup (res_name, code, letter); about forty rows."""
     return spark.createDataFrame(

@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Search limits.
 MIN_FRAGMENT = 5
@@ -27,63 +25,37 @@ SIGNIFICANCE_SLOPE = 0.155
 SIGNIFICANCE_OFFSET = 1.6018
 SIGNIFICANCE_SCALE = 2.13065
 
-# Anchors (RMSD in Angstrom, negative log probability per residue) of the score
-# curve.  Between anchors the curve is a power law up to 0.28 and a straight line above it.  A full
-# table can be passed instead wherever a score is computed.
-SCORE_ANCHORS = (
-    (0.001, 22.483), (0.002, 14.2566), (0.004, 9.0402), (0.007, 6.2583), (0.012, 4.3915),
-    (0.020, 3.1392), (0.035, 2.1360), (0.060, 1.5377), (0.100, 1.0958), (0.170, 0.7592),
-    (0.280, 0.5811), (0.400, 0.5089), (0.560, 0.4561), (0.776, 0.3999), (1.125, 0.3199),
-    (1.298, 0.2857), (1.610, 0.2285), (1.895, 0.1776), (2.221, 0.1199), (2.448, 0.0856),
-    (2.604, 0.0667), (2.700, 0.0567), (2.800, 0.0474),
-)
-POWER_LAW_LIMIT = 0.28
-
-
-def _segments() -> list[tuple[float, str, float, float]]:
-    """(upper RMSD, kind, intercept, slope) of every piece of the curve, in order."""
-    pieces = []
-    for (r0, v0), (r1, v1) in zip(SCORE_ANCHORS, SCORE_ANCHORS[1:]):
-        if r1 <= POWER_LAW_LIMIT:
-            slope = math.log(v1 / v0) / math.log(r1 / r0)
-            pieces.append((r1, "power", math.log(v0) - slope * math.log(r0), slope))
-        else:
-            slope = (v1 - v0) / (r1 - r0)
-            pieces.append((r1, "line", v0 - slope * r0, slope))
-    return pieces
-
-
-def density_sql(rmsd: str) -> str:
-    """The score curve as one CASE expression, valid in any SQL dialect with ``exp`` and ``ln``."""
-    first_r, first_v = SCORE_ANCHORS[0]
-    cases = [f"WHEN {rmsd} <= {first_r!r}e0 THEN {first_v!r}e0"]
-    for upper, kind, intercept, slope in _segments():
-        line = f"({intercept!r}e0) + ({slope!r}e0) * "
-        value = f"exp({line}ln({rmsd}))" if kind == "power" else f"{line}{rmsd}"
-        cases.append(f"WHEN {rmsd} <= {upper!r}e0 THEN {value}")
-    return "CASE " + " ".join(cases) + " ELSE 0e0 END"
-
+#: Steps of a score table: one value at every 0.001 Angstrom up to the scored range, and one beyond.
+TABLE_SIZE = int(MAX_SCORED_RMSD * 1000) + 2
+#: Share of the background pairs below which a score follows the volume of small deviations.
+TAIL_SHARE = 0.01
 
-def density(rmsd: float) -> float:
-    """The same curve for one Python number."""
-    if rmsd <= SCORE_ANCHORS[0][0]:
-        return SCORE_ANCHORS[0][1]
-    for upper, kind, intercept, slope in _segments():
-        if rmsd <= upper:
-            return math.exp(intercept + slope * math.log(rmsd)) if kind == "power" else intercept + slope * rmsd
-    return 0.0
 
+def curve_from_counts(counts: dict[int, int], mean_length: float) -> list[float]:
+    """Score table from a background: pairs of unrelated fragments counted by RMSD in 0.001 Angstrom, rounded up.
 
-def fragment_score(rmsd: Column | str, size: Column, table: Sequence[float] | None = None) -> Column:
+    A value is the negative log of the share of pairs with so small an RMSD, per residue.  Too few
+    pairs are very close to count them; there the share falls with the power of the RMSD that is
+    the number of free coordinates of a superposed fragment, 3 n - 6.
+    """
+    total = sum(counts.values())
+    below, running = [], 0
+    for m in range(TABLE_SIZE):
+        running += counts.get(m, 0)
+        below.append(running)
+    tail = next((m for m in range(1, TABLE_SIZE) if below[m] >= TAIL_SHARE * total and total), TABLE_SIZE - 1)
+    at_tail = -math.log((below[tail] + 1) / (total + 1))
+    freedom = 3 * mean_length - 6
+    return [
+        (at_tail + freedom * math.log(tail / max(m, 1)) if m < tail else -math.log((below[m] + 1) / (total + 1))) / mean_length
+        for m in range(TABLE_SIZE)]
+
+
+def fragment_score(rmsd: Column | str, size: Column, table: Sequence[float]) -> Column:
     """Length times the negative log probability of so small an RMSD; 0 above the scored range.
 
-    ``table`` replaces the built-in curve by values at every 0.001 Angstrom, linearly interpolated.
+    ``table`` holds the values at every 0.001 Angstrom; between them they are interpolated linearly.
     """
-    if table is None:
-        name = rmsd if isinstance(rmsd, str) else None
-        if name is None:
-            raise TypeError("the built-in curve needs the name of the RMSD column")
-        return size * F.expr(density_sql(name))
     value = F.col(rmsd) if isinstance(rmsd, str) else rmsd
     values = F.lit([float(v) for v in table])
     milli = F.least(value, F.lit(MAX_SCORED_RMSD)) * 1000.0
@@ -93,13 +65,12 @@ def fragment_score(rmsd: Column | str, size: Column, table: Sequence[float] | No
     return F.when(value > MAX_SCORED_RMSD, F.lit(0.0)).otherwise(size * interpolated)
 
 
-def rmsd_limit(size: int, min_score: float, table: Sequence[float] | None = None) -> float:
+def rmsd_limit(size: int, min_score: float, table: Sequence[float]) -> float:
     """Largest RMSD (to 0.001, rounded up) at which a fragment of ``size`` reaches ``min_score``."""
-    lookup = (lambda m: table[m]) if table is not None else (lambda m: density(m / 1000.0))
     low, high = 0, int(MAX_SCORED_RMSD * 1000)
     while low < high:
         middle = (low + high + 1) // 2
-        if size * lookup(middle) >= min_score:
+        if size * table[middle] >= min_score:
             low = middle
         else:
             high = middle - 1
@@ -125,7 +96,16 @@ def significance_z(rmsd: Column, residues: Column) -> Column:
     return (rmsd - SIGNIFICANCE_SLOPE * residues + SIGNIFICANCE_OFFSET) / SIGNIFICANCE_SCALE
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
+# Rational approximation of the normal distribution function (error below 7.5e-8).
+CDF_SCALE, CDF_TERMS = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def normal_cdf(z: Column | str) -> Column:
     """Standard normal distribution function (Spark SQL has no error function)."""
-    return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(-v / math.sqrt(2.0)))
+    z = F.col(z) if isinstance(z, str) else z
+    t = 1.0 / (1.0 + CDF_SCALE * F.abs(z))
+    series = F.lit(0.0)
+    for term in reversed(CDF_TERMS):
+        series = (series + term) * t
+    upper = F.exp(-z * z / 2.0) / math.sqrt(2.0 * math.pi) * series
+    return F.when(z > 0, 1.0 - upper).otherwise(upper)

@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions import geometry as g
-from foldloom.functions.scoring import MAX_FRAGMENT, MIN_FRAGMENT, fragment_score, rmsd_limit
+from foldloom.functions.scoring import MAX_FRAGMENT, MIN_FRAGMENT, TABLE_SIZE, curve_from_counts, fragment_score, rmsd_limit
 from foldloom.session import cut_lineage, spread
 
 AXES = "xyz"
 HOT_CELL = 20_000
+#: Fragments this many positions apart in a chain stand for unrelated ones.
+CURVE_LAG = 10
 SHAPE_SLACK = 1e-6
 COVARIANCE = [f"c{j}{k}" for j in range(3) for k in range(3)]
 
@@ -146,9 +148,9 @@ def shape_join(
     left: DataFrame,
     right: DataFrame,
     min_score: float,
+    table: Sequence[float],
     pair: Column | None = None,
     salted: bool = True,
-    table: Sequence[float] | None = None,
 ) -> DataFrame:
     """Fragment pairs of equal group and length whose shapes allow ``min_score``.
 
@@ -251,25 +253,41 @@ def match_fragments(
     left: DataFrame,
     right: DataFrame,
     min_score: float,
+    table: Sequence[float],
     pair: Column | None = None,
-    table: Sequence[float] | None = None,
     extra: Sequence[str] = (),
 ) -> DataFrame:
     """Fragment matches scoring at least ``min_score``: the join, the superposition and the filter.
 
-    ``left`` and ``right`` come from :func:`with_shape`.
+    ``left`` and ``right`` come from :func:`with_shape`, ``table`` from :func:`score_curve` or the user.
     """
-    pairs = shape_join(left, right, min_score, pair, table=table)
+    pairs = shape_join(left, right, min_score, table, pair)
     scored = superpose(pairs, extra).withColumn("score", fragment_score("rmsd", F.col("len"), table))
     return sealed(scored).where(F.col("score") >= min_score)
 
 
+def score_curve(frags: DataFrame) -> list[float]:
+    """Score table from the fragments themselves: those CURVE_LAG positions apart in a chain are the background.
+
+    One row per fragment and length is superposed; 0.001-Angstrom counts come to the driver.
+    """
+    a = frags.select(*(F.col(c).alias(f"a_{c}") for c in frags.columns if c not in ("grp", "len")), "grp", "len")
+    b = frags.select(*(F.col(c).alias(f"b_{c}") for c in frags.columns if c not in ("grp", "len")), "grp", "len")
+    later = b.withColumn("_at", F.col("b_pos") - CURVE_LAG).withColumnRenamed("grp", "_grp").withColumnRenamed("len", "_len")
+    near = (F.col("grp") == F.col("_grp")) & (F.col("len") == F.col("_len")) & (F.col("a_side") == F.col("b_side")) & (F.col("a_pos") == F.col("_at"))
+    sized = sealed(superpose(a.join(later, near).drop("_grp", "_len", "_at")))
+    bins = sized.groupBy(F.least(F.ceil(F.col("rmsd") * 1000).cast("int"), F.lit(TABLE_SIZE)).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).collect()
+    pairs = sum(r["n"] for r in bins)
+    return curve_from_counts({r["bin"]: r["n"] for r in bins}, sum(r["total"] for r in bins) / pairs if pairs else float(MAX_FRAGMENT))
+
+
 def chain_matches(
     labelled: DataFrame, min_score: float, table: Sequence[float] | None = None
 ) -> DataFrame:
     """Matches between the chains of a job (larger chain id first)."""
     frags = cut_lineage(with_shape(sliding_fragments(chain_side(labelled))))
-    return match_fragments(frags, frags, min_score, F.col("a_side") > F.col("b_side"), table)
+    return match_fragments(frags, frags, min_score, table or score_curve(frags), F.col("a_side") > F.col("b_side"))
 
 
 def best_match_per_pair(matches: DataFrame) -> DataFrame:

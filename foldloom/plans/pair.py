@@ -80,12 +80,12 @@ def average_tracks(sided: DataFrame) -> DataFrame:
     ).withColumn("idx", F.col("_i.res_idx")).drop("_i")
 
 
-def align_sides(sided: DataFrame, table: Sequence[float] | None = None) -> DataFrame:
+def align_sides(sided: DataFrame, table: Sequence[float]) -> DataFrame:
     """Accepted regions of every merge (see ``chaining.REGION_SCHEMA``)."""
     tracks = cut_lineage(average_tracks(sided))
     frags = cut_lineage(with_shape(sliding_fragments(tracks.drop("idx"))))
     matches = match_fragments(
-        frags.where(F.col("side") == 1), frags.where(F.col("side") == 2), LOWEST_SCORE, table=table)
+        frags.where(F.col("side") == 1), frags.where(F.col("side") == 2), LOWEST_SCORE, table)
     return chain_regions(matches, tracks)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foldloom.operators.blocks import label_blocks
 from foldloom.operators.chaining import UNREACHED, chain_regions
-from foldloom.operators.fragments import chain_side, match_fragments, sliding_fragments, with_shape
+from foldloom.operators.fragments import chain_side, match_fragments, score_curve, sliding_fragments, with_shape
 from foldloom.plans.pair import (
     LOWEST_SCORE, align_sides, build_columns, prepare_sides, sides_of, source_tracks, swapped,
 )
@@ -24,14 +24,16 @@ GROUP_KEY = "concat_ws(':', job_id, aln1, aln2)"
 COLUMN_NAMES = ["job_id", "aln_id", "slot", "chain", "block", "col", "res_idx", "x", "y", "z"]
 
 
-def pair_regions(residues: DataFrame, table: Sequence[float] | None = None) -> DataFrame:
+def pair_regions(residues: DataFrame, table: Sequence[float] | None = None) -> tuple[DataFrame, Sequence[float]]:
     """First pass: the regions of every chain pair of a job that shares at least one match.
 
-    Pairs come out of the fragment join; chain pairs without any match never appear.
+    Pairs come out of the fragment join; chain pairs without any match never appear.  Also returns
+    the score table: the one given, or the one that the chains' own fragments yield.
     """
     labelled = cut_lineage(label_blocks(residues))
     frags = cut_lineage(with_shape(sliding_fragments(chain_side(labelled))))
-    matches = match_fragments(frags, frags, LOWEST_SCORE, F.col("a_side") > F.col("b_side"), table)
+    table = table or score_curve(frags)
+    matches = match_fragments(frags, frags, LOWEST_SCORE, table, F.col("a_side") > F.col("b_side"))
     matches = cut_lineage(
         matches.withColumnRenamed("grp", "job_id")
         .withColumnsRenamed({"side1": "aln1", "side2": "aln2"}).withColumn("grp", F.expr(GROUP_KEY)))
@@ -45,7 +47,7 @@ def pair_regions(residues: DataFrame, table: Sequence[float] | None = None) -> D
             F.struct(F.lit(2).alias("side"), F.col("aln2").alias("aln_id")))).alias("s"),
     ).select("job_id", "grp", "s.*")
     tracks = sides.join(points, ["job_id", "aln_id"]).drop("job_id", "aln_id")
-    return chain_regions(matches, tracks).join(pairs, "grp")
+    return chain_regions(matches, tracks).join(pairs, "grp"), table
 
 
 def pair_scores(regions: DataFrame) -> DataFrame:
@@ -74,7 +76,8 @@ def multiple_alignment(residues: DataFrame, table: Sequence[float] | None = None
         "job_id", F.col("chain").alias("aln_id"), F.lit(0).alias("slot"), "chain", "block",
         F.col("res_idx").alias("col"), "res_idx", *"xyz"))
 
-    regions = cut_lineage(pair_regions(residues, table).withColumn("rep1", F.lit(0)).withColumn("rep2", F.lit(0)))
+    regions, table = pair_regions(residues, table)
+    regions = cut_lineage(regions.withColumn("rep1", F.lit(0)).withColumn("rep2", F.lit(0)))
     # Prepared sides of later merges; the single chains of the first pass need no preparation.
     prepared: DataFrame | None = None
     scores = pair_scores(regions)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldloom.functions.residues import chain_label
+from foldloom.functions.residues import chain_label, in_capitals
 from foldloom.operators.layout import wrapped
 
 KEYS = ["job_id", "aln_id"]
@@ -44,17 +44,20 @@ def pir(rows: DataFrame) -> DataFrame:
     last = F.max("line_no").over(Window.partitionBy(*KEYS, "slot"))
     body = parts.withColumn("_last", last)
     text = F.concat(F.lit(" "), in_tens(F.col("part")), F.when(F.col("line_no") == F.col("_last"), F.lit("*")).otherwise(F.lit("")))
+    empty = rows.where(F.length("row") == 0)
     return (
         _lines(rows, F.col("slot"), F.lit(-2), F.concat(F.lit(">P1;"), "id_string"))
         .unionByName(_lines(rows, F.col("slot"), F.lit(-1), F.col("id_string")))
         .unionByName(_lines(body, F.col("slot"), F.col("line_no"), text))
         .unionByName(_lines(body.where("line_no = _last"), F.col("slot"), F.col("line_no") + 1, F.lit("")))
+        .unionByName(_lines(empty, F.col("slot"), F.lit(0), F.lit(" *")))
+        .unionByName(_lines(empty, F.col("slot"), F.lit(1), F.lit("")))
     )
 
 
 def checksum(row: Column) -> Column:
     """Sum of letter codes weighted 1..57 in turn, modulo 10000."""
-    codes = F.transform(F.split(F.upper(row), ""), lambda c, i: F.ascii(c) * (i % MSF_CHECK_CYCLE + 1))
+    codes = F.transform(F.split(in_capitals(row), ""), lambda c, i: F.ascii(c) * (i % MSF_CHECK_CYCLE + 1))
     return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, v: acc + v) % MSF_CHECK_MODULUS
 
 
@@ -207,7 +210,7 @@ def coordinates(atoms: DataFrame, residues: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("res_idx", "res_name"))), lambda e: F.lpad(e["res_name"], 3, " ")), " ").alias("_t"))
     length = residues.groupBy(*KEYS, "slot").agg(F.count(F.lit(1)).alias("_len"))
     seq = seq.join(length, [*KEYS, "slot"])
-    seqres = _lines(seq, F.lit(-1), F.col("slot") * 100000 + F.col("_k"), F.format_string("SEQRES %3d %1s %4d  %s", F.col("_k") + 1, label, "_len", "_t"))
+    seqres = _lines(seq, F.col("slot").cast("long") - 2**31, F.col("_k"), F.format_string("SEQRES %3d %1s %4d  %s", F.col("_k") + 1, label, "_len", "_t"))
     counts = atoms.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_a"), F.count_distinct("slot").alias("_c"))
     lines = seq.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_s"))
     master = counts.join(lines, KEYS).select(*KEYS, F.inline(F.array(

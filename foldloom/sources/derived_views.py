@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions import geometry as g
+from foldloom.functions.residues import in_capitals
 from foldloom.sources.derived import JOB_SIZE, chain_points, residues
 
 
@@ -81,9 +82,9 @@ def _names(spark: SparkSession) -> DataFrame:
 
 
 def document_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as letter sequences (everything but the basic letters removed)."""
+    """Whole documents as letter sequences (everything but letters removed, a-z in capitals)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return docs.select(
         F.col("doc_id").alias("job_id"), F.lit(0).cast("long").alias("aln_id"), F.lit(0).alias("slot"), F.col("doc_id").alias("chain"),
         F.concat("source", F.lit(":"), F.col("doc_id").cast("string")).alias("id_string"),
-        F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("row"))
+        in_capitals(F.regexp_replace("text", r"\P{L}", "")).alias("row"))

@@ -23,6 +23,7 @@ CRYSTAL_RECORDS = (
     "CRYST1", "ORIGX1", "ORIGX2", "ORIGX3", "SCALE1", "SCALE2", "SCALE3", "MTRIX1", "MTRIX2", "MTRIX3", "TVECT ",
 )
 ANNOTATION_RECORDS = ("DBREF ", "SEQADV", "HELIX ", "SHEET ", "TURN  ", "SSBOND", "LINK  ", "CISPEP")
+#: Default of how many residues of the atoms may be left out where they are aligned with SEQRES.
 SKIP_LIMIT = 2
 
 
@@ -113,10 +114,12 @@ def seqres(lines: DataFrame) -> DataFrame:
     return wanted.select("path", "chain_id", (F.row_number().over(order) - 1).cast("int").alias("seq_ord"), "res_name")
 
 
-def align_to_sequence(names: list[str], numbers: list[int], sequence: list[str]) -> list[tuple[int, int]] | None:
+def align_to_sequence(
+    names: list[str], numbers: list[int], sequence: list[str], max_skips: int = SKIP_LIMIT
+) -> list[tuple[int, int]] | None:
     """Pairs (atom residue, sequence position): fewest skipped residues, then fewest unexplained jumps."""
     n = len(names)
-    limit = min(SKIP_LIMIT, n - 1)
+    limit = min(max_skips, n - 1)
     where = {name: np.array([i for i, s in enumerate(sequence) if s == name], dtype=int) for name in set(names)}
     cost: list[dict[int, tuple[int, int, tuple | None]]] = []
     for a in range(n):
@@ -178,11 +181,11 @@ _SEQ_SCHEMA = (
 )
 
 
-def _reconcile(key: tuple, seen: pd.DataFrame, sequence: pd.DataFrame) -> pd.DataFrame:
+def _reconcile(key: tuple, seen: pd.DataFrame, sequence: pd.DataFrame, max_skips: int) -> pd.DataFrame:
     seen = seen.sort_values("run")
     rows = seen[["run", "res_name", "res_num", "ins_code", "x", "y", "z"]].values.tolist()
     seq = sequence.sort_values("seq_ord")["res_name"].to_list()
-    path = align_to_sequence([r[1] for r in rows], [int(r[2]) for r in rows], seq) if rows and seq else None
+    path = align_to_sequence([r[1] for r in rows], [int(r[2]) for r in rows], seq, max_skips) if rows and seq else None
     if path is not None:
         merged = []
         marks = [(-1, -1), *path, (len(rows), len(seq))]
@@ -207,8 +210,11 @@ def _reconcile(key: tuple, seen: pd.DataFrame, sequence: pd.DataFrame) -> pd.Dat
     return out[["path", "model_ord", "model_no", "chain_id", "res_idx", "run", "res_name", "res_num", "ins_code", "x", "y", "z"]]
 
 
-def residues(lines: DataFrame, use_seqres: bool = True, renumber: bool = False) -> DataFrame:
-    """Residue table of every chain: residues from atoms, completed from SEQRES where it aligns."""
+def residues(lines: DataFrame, use_seqres: bool = True, renumber: bool = False, max_skips: int = SKIP_LIMIT) -> DataFrame:
+    """Residue table of every chain: residues from atoms, completed from SEQRES where it aligns.
+
+    At most ``max_skips`` - 1 residues of the atoms may be missing from the sequence.
+    """
     seen = cut_lineage(atom_residues(atoms(lines)).select(
         *CHAIN, "run", "res_name", "res_num", "ins_code", F.col("ca.x").alias("x"), F.col("ca.y").alias("y"), F.col("ca.z").alias("z")))
     order = Window.partitionBy(*CHAIN).orderBy("run")
@@ -220,7 +226,8 @@ def residues(lines: DataFrame, use_seqres: bool = True, renumber: bool = False)
         left = spread(seen.join(covered, CHAIN, "left_semi"), CHAIN).groupBy(*CHAIN)
         keys = [f"_{c}" for c in CHAIN]
         right = spread(sequence.select(*(F.col(c).alias(f"_{c}") for c in CHAIN), "seq_ord", "res_name"), keys).groupBy(*keys)
-        aligned = left.cogroup(right).applyInPandas(_reconcile, _SEQ_SCHEMA)
+        aligned = left.cogroup(right).applyInPandas(
+            lambda key, a, b: _reconcile(key, a, b, max_skips), _SEQ_SCHEMA)
         plain = plain.join(covered, CHAIN, "left_anti").select(aligned.columns).unionByName(aligned)
     if renumber:
         plain = plain.withColumn("res_num", F.col("res_idx") + 1).withColumn("ins_code", F.lit(" "))
@@ -252,14 +259,15 @@ def annotation_lines(lines: DataFrame) -> DataFrame:
 
 
 def residue_numbers(residue_rows: DataFrame) -> DataFrame:
-    """First residue of the first model for every (chain, number, insertion code)."""
-    return residue_rows.where("model_ord <= 1").groupBy("path", "chain_id", "res_num", "ins_code").agg(F.min("res_idx").alias("res_idx"))
+    """First residue of every model for every (chain, number, insertion code)."""
+    return residue_rows.groupBy("path", "model_ord", "model_no", "chain_id", "res_num", "ins_code").agg(F.min("res_idx").alias("res_idx"))
 
 
 def annotations(lines: DataFrame, residue_rows: DataFrame) -> dict[str, DataFrame]:
     """HELIX, SHEET, SSBOND, CISPEP, DBREF and SEQADV rows resolved to residue indices.
 
-    A record whose residues are not both found is dropped.
+    Every model has its own rows; a CISPEP record with a model number belongs to that model only.  A
+    record whose residues are not both found in a model is dropped there.
     """
     cached, lookup = annotation_lines(lines), residue_numbers(residue_rows)
 
@@ -269,13 +277,14 @@ def annotations(lines: DataFrame, residue_rows: DataFrame) -> dict[str, DataFram
         for k, (chain, num, num_end, code) in enumerate(ends, 1):
             rows = rows.withColumn(f"_c{k}", field(chain, chain + 1)).withColumn(f"_n{k}", number(num, num_end)).withColumn(f"_i{k}", field(code, code + 1))
             found = lookup.select(
-                "path", F.col("chain_id").alias(f"_c{k}"), F.col("res_num").alias(f"_n{k}"), F.col("ins_code").alias(f"_i{k}"), F.col("res_idx").alias(f"res{k}"))
+                "path", F.col("model_ord").alias(f"_m{k}"), F.col("model_no").alias(f"_o{k}"), F.col("chain_id").alias(f"_c{k}"), F.col("res_num").alias(f"_n{k}"), F.col("ins_code").alias(f"_i{k}"), F.col("res_idx").alias(f"res{k}"))
             rows = rows.join(found, ["path", f"_c{k}", f"_n{k}", f"_i{k}"])
             names.append(f"res{k}")
-        return rows.where("_c1 = _c2").select("path", "line_no", F.col("_c1").alias("chain_id"), *names, *extra)
+        rows = rows.where("_c1 = _c2 and _m1 = _m2")
+        return rows.select("path", F.col("_m1").alias("model_ord"), F.col("_o1").alias("_model"), "line_no", F.col("_c1").alias("chain_id"), *names, *extra)
 
     length = (F.col("res2") - F.col("res1") + 1).alias("length")
-    return {
+    found = {
         "helices": resolve("HELIX ", [(19, 21, 25, 25), (31, 33, 37, 37)], [
             number(38, 40).alias("class"), F.trim(field(11, 14)).alias("helix_id"), field(40, 70).alias("comment"), length]),
         "strands": resolve("SHEET ", [(21, 22, 26, 26), (32, 33, 37, 37)], [
@@ -289,3 +298,5 @@ def annotations(lines: DataFrame, residue_rows: DataFrame) -> dict[str, DataFram
         "seqadvs": resolve("SEQADV", [(16, 18, 22, 22), (16, 18, 22, 22)], [
             F.trim(field(24, 28)).alias("database"), F.trim(field(29, 38)).alias("accession"), F.trim(field(49, 70)).alias("conflict")]),
     }
+    found["cispeps"] = found["cispeps"].where("coalesce(model_no, 0) in (0, _model)")
+    return {name: rows.drop("_model") for name, rows in found.items()}

@@ -6,9 +6,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from foldloom.functions import scoring  # noqa: E402
 from foldloom.session import local_session, ship_package  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
+#: A score table for made-up chains, so that expected values do not hang on the chains of a test.
+CURVE = scoring.curve_from_counts({m: m // 20 for m in range(2801)}, 7.0)
 
 
 @pytest.fixture(scope="session")

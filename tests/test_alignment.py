@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import residue_frame, rotation, walk
+from conftest import CURVE, residue_frame, rotation, walk
 from pyspark.sql import functions as F
 
 from foldloom.operators import extension, layout, partial
@@ -36,7 +36,7 @@ def planted(spark):
 @pytest.fixture(scope="module")
 def finished(spark, planted):
     residues = residue_frame(spark, planted)
-    merged = progressive.multiple_alignment(residues)
+    merged = progressive.multiple_alignment(residues, CURVE)
     return residues, merged, job.finish_alignments(merged, residues)
 
 
@@ -88,14 +88,14 @@ def test_extension_never_shrinks_the_core_and_partial_adds_no_core(finished, pla
 def test_rigid_move_of_the_input_changes_nothing(spark, planted, finished):
     _, merged, _ = finished
     moved = residue_frame(spark, {0: [planted[0][0] @ rotation(20).T + 50, planted[0][1]]})
-    again = progressive.multiple_alignment(moved)["alignments"].collect()[0]
+    again = progressive.multiple_alignment(moved, CURVE)["alignments"].collect()[0]
     same = merged["alignments"].where("job_id = 0").collect()[0]
     assert again.n_cols == same.n_cols and abs(again.score - same.score) < 1e-3
 
 
 def test_jobs_without_similarity_and_single_chains(spark):
     tiny = residue_frame(spark, {0: [walk(4, 1), walk(4, 2)], 1: [walk(20, 3)]})
-    out = progressive.multiple_alignment(tiny)["alignments"].collect()
+    out = progressive.multiple_alignment(tiny, CURVE)["alignments"].collect()
     assert len(out) == 1 and out[0].n_cols == 0 and out[0].score == -5000
 
 
@@ -141,7 +141,7 @@ def test_set_joining_reaches_the_best_score():
     gained = 0.0
     for left, right in sets:
         if left != partial.NONE and right != partial.NONE:
-            gained += 4.0 - np.linalg.norm(a[place[left]] - b[place[right]])
+            gained += 4.0 - np.linalg.norm(a[place[0][left]] - b[place[1][right]])
     value = 4.0 - np.linalg.norm(a[:, None] - b[None], axis=2)
     best = np.zeros((6, 7))
     for i in range(1, 6):

@@ -1,7 +1,7 @@
 """Superposition, fragment join and radius join against brute force."""
 
 import numpy as np
-from conftest import residue_frame, rotation, walk
+from conftest import CURVE, residue_frame, rotation, walk
 from pyspark.sql import functions as F
 
 from foldloom.functions import scoring
@@ -26,6 +26,10 @@ def chains():
     return [a, b, mirrored, walk(24, 1)[::-1] @ rotation(3).T + 5]
 
 
+def density(r):
+    return float(np.interp(r * 1000, np.arange(len(CURVE)), CURVE)) if r <= scoring.MAX_SCORED_RMSD else 0.0
+
+
 def brute_force(points, min_score):
     out = {}
     for i in range(len(points)):
@@ -37,14 +41,14 @@ def brute_force(points, min_score):
                         if np.isnan(a).any() or np.isnan(b).any():
                             continue
                         r = exact_rmsd(a, b)
-                        if size * scoring.density(r) >= min_score:
+                        if size * density(r) >= min_score:
                             out[i, j, p, q, size] = (r, exact_rmsd(a, b, proper=False))
     return out
 
 
 def test_fragment_join_finds_exactly_the_brute_force_matches(spark, monkeypatch):
     monkeypatch.setattr(fragments, "HOT_CELL", 20)  # every cell counts as crowded
-    found = fragments.chain_matches(label_blocks(residue_frame(spark, {0: chains()})), 1.6)
+    found = fragments.chain_matches(label_blocks(residue_frame(spark, {0: chains()})), 1.6, CURVE)
     got = {(r.side1, r.side2, r.p1, r.p2, r.len): (r.rmsd, r.rmsd_fast) for r in found.collect()}
     want = brute_force(chains(), 1.6)
     assert set(got) == set(want)
@@ -82,9 +86,14 @@ def test_collinear_and_identical_chains(spark):
 
 
 def test_score_curve_falls_and_limits_agree():
-    values = [scoring.density(r / 1000) for r in range(1, 2801)]
-    assert all(a >= b for a, b in zip(values, values[1:])) and scoring.density(2.81) == 0
-    assert abs(scoring.rmsd_limit(5, 2.0) - 0.776) < 0.01 and abs(scoring.rmsd_limit(9, 0.6) - 2.604) < 0.01
+    counts = {m: 3 for m in range(200, 2800)} | {2802: 900}
+    values = scoring.curve_from_counts(counts, 7.0)
+    assert len(values) == scoring.TABLE_SIZE and all(a >= b for a, b in zip(values, values[1:]))
+    assert abs(values[1500] + np.log((3 * 1301 + 1) / (3 * 2600 + 901)) / 7) < 1e-12
+    limit = scoring.rmsd_limit(5, 2.0, values)
+    assert 5 * values[round(limit * 1000) - 1] >= 2.0 > 5 * values[round(limit * 1000) + 1]
+    empty = scoring.curve_from_counts({}, 7.0)
+    assert empty[0] > empty[100] > empty[2700] >= 0
 
 
 def test_score_table_replaces_the_curve(spark):
