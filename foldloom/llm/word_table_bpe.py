@@ -1,12 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
 The tokenizer splits texts into words and merges inside words only, so a word's ids do not depend
-on its place.  Texts are split in Spark tasks, words are counted (pre-aggregated per task), every
-distinct word is encoded once, and its ids are turned back into pieces by a join with the
-id-to-piece table.  Ids return to their positions in two ways: the ``HOT_WORDS`` most frequent
-words, which cover nearly all positions and would make the join skewed, go to all tasks as a
-table of bounded size; the remaining words of a chunk of documents are joined by shuffle.  The
-documents themselves move once, as compressed chunks.
+on its place.  Texts are split in Spark tasks, words are counted (pre-aggregated per task) and
+every distinct word is encoded once.  Ids return to their positions in two ways: the ``HOT_WORDS``
+most frequent words, which cover nearly all positions and would make the join skewed, go to all
+tasks as a table of bounded size; the remaining words of a chunk of documents are joined by
+shuffle.  The documents themselves move once, as compressed numbers of their words.  Decoding
+joins ids with the id-to-piece table, whose size the vocabulary fixes.
 
 Defined results: null and empty texts have no ids and decode to an empty text; every row gives
 one row, repeated ones too; null ids stay null; extra columns are not read.
@@ -15,9 +15,12 @@ one row, repeated ones too; null ids stay null; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -29,33 +32,50 @@ from foldloom.session import cut_lineage, ship_package
 
 #: Bound of the table that all tasks hold: words, and bytes of one of them.
 HOT_WORDS, HOT_BYTES = 400_000, 48
-#: Characters of text in one chunk; distinct words held before a flush.
-CHUNK_CHARS, FLUSH_WORDS = 2_000_000, 500_000
+#: Characters of text in one chunk; distinct runs held before a flush; runs whose words a worker remembers.
+CHUNK_CHARS, FLUSH_WORDS, KNOWN_RUNS = 4_000_000, 500_000, 400_000
 #: The tokenizer's own splitting pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-_RULES: dict[str, tuple] = {}
+WHITE, SEPARATORS = regex.compile(r"\p{White_Space}+"), regex.compile("[\x1c-\x1f]")
+_RULES: dict[str, "Splitter"] = {}
 
 
-def splitter(path: str):
-    """A function from a text to its words, special tokens among them, as the tokenizer of ``path`` splits it."""
+class Splitter:
+    """Texts to words as the tokenizer of a file splits them, special tokens among them.
+
+    No word crosses white space, so it is enough to split each distinct run of other characters.
+    """
+
+    def __init__(self, path: str):
+        special = sorted((t.content for t in tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.words = regex.compile(PATTERN).findall
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def runs(self, text: str) -> list[str]:
+        # str.split also parts at four separators that are no white space to the tokenizer
+        return WHITE.split(text) if SEPARATORS.search(text) else text.split()
+
+    def _plain(self, run: str) -> list[str]:
+        # letter by letter: a final sigma is lowered like any other
+        return self.words(unicodedata.normalize("NFC", run).replace("\u03a3", "\u03c3").lower())
+
+    def split(self, run: str) -> tuple[str, ...]:
+        found = self.known.get(run)
+        if found is None:
+            if self.special is None or "<" not in run:
+                found = tuple(self._plain(run))
+            else:
+                found = tuple(w for k, part in enumerate(self.special.split(run)) for w in ([part] if k % 2 else self._plain(part)))
+            if len(self.known) < KNOWN_RUNS:
+                self.known[run] = found
+        return found
+
+
+def splitter(path: str) -> Splitter:
+    """One per worker process."""
     if path not in _RULES:
-        library = tokenizer(path)
-        special = [t.content for t in library.get_added_tokens_decoder().values()]
-        words = regex.compile(PATTERN).findall
-        cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-        normal = library.normalizer.normalize_str if library.normalizer else str
-
-        def split(text: str) -> list[str]:
-            if not text:
-                return []
-            if cut is None or not any(s in text for s in special):
-                return words(normal(text))
-            out: list[str] = []
-            for k, part in enumerate(cut(text)):
-                out += [part] if k % 2 else words(normal(part))
-            return out
-
-        _RULES[path] = split
+        _RULES[path] = Splitter(path)
     return _RULES[path]
 
 
@@ -70,16 +90,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
 
 
 def count_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    split, seen = splitter(path), Counter()
+    rules, seen = splitter(path), Counter()
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+        words: dict[str, int] = {}
+        for run, n in seen.items():
+            for w in rules.split(run):
+                words[w] = words.get(w, 0) + n
         seen.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
     for _, texts in _chunks(batches):
         for text in texts:
-            seen.update(split(text))
+            seen.update(rules.runs(text))
         if len(seen) > FLUSH_WORDS:
             yield flush()
     yield flush()
@@ -94,50 +117,82 @@ def encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
 
+def _numbered(ids: list, texts: list[str], rules: Splitter, known: dict[str, int]) -> tuple[int, list[list[str]], dict[str, tuple[int, ...]], list[str]]:
+    """(chunk, runs of each text, word numbers of each distinct run, rarer words); the rarer ones are numbered behind the known."""
+    mark = hashlib.blake2b(repr(ids).encode(), digest_size=8)
+    runs = []
+    for text in texts:
+        mark.update(text.encode("utf-8", "surrogatepass"))
+        runs.append(rules.runs(text))
+    rare: dict[str, int] = {}
+    numbers = {}
+    for run in dict.fromkeys(r for t in runs for r in t):
+        found = []
+        for w in rules.split(run):
+            n = known.get(w)
+            found.append(len(known) + rare.setdefault(w, len(rare)) if n is None else n)
+        numbers[run] = tuple(found)
+    return int.from_bytes(mark.digest(), "little", signed=True), runs, numbers, list(rare)
+
+
+def rare_words(batches: Iterator[pa.RecordBatch], path: str, hot) -> Iterator[pa.RecordBatch]:
+    """Rows (owner, k, word): each of the rarer words of a chunk of documents once, with its number."""
+    rules, known = splitter(path), hot.value[0]
+    for ids, texts in _chunks(batches):
+        chunk, _, _, rare = _numbered(ids, texts, rules, known)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([chunk] * len(rare), pa.int64()), pa.array(range(len(rare)), pa.int32()), pa.array(rare, pa.string())],
+            names=["owner", "k", "word"])
+
+
 def pack(batches: Iterator[pa.RecordBatch], path: str, hot) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, payload, word): every chunk of documents once, compressed, and each of its rarer words once."""
-    split, known = splitter(path), hot.value
+    """Rows (chunk, ids, sizes, payload): the word numbers of the documents of a chunk, byte by byte and compressed."""
+    rules, known, codec = splitter(path), hot.value[0], pa.Codec("zstd", 3)
     for ids, texts in _chunks(batches):
-        rare = set()
-        for text in texts:
-            rare.update(w for w in split(text) if w not in known)
-        sink = pa.BufferOutputStream()
-        table = pa.record_batch([pa.array(ids), pa.array(texts, pa.string())], names=["id", "text"])
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
-            writer.write_batch(table)
-        payload = sink.getvalue().to_pybytes()
-        chunk = int.from_bytes(hashlib.blake2b(payload, digest_size=8).digest(), "little", signed=True)
+        chunk, runs, numbers, _ = _numbered(ids, texts, rules, known)
+        flat = [list(chain.from_iterable(map(numbers.__getitem__, r))) for r in runs]
+        planes = np.fromiter(chain.from_iterable(flat), np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk], pa.int64()), pa.array([payload], pa.binary()), pa.array([sorted(rare)], pa.list_(pa.string()))],
-            names=["chunk", "payload", "words"])
+            [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, flat))], pa.list_(pa.int32())),
+             pa.array([codec.compress(planes, asbytes=True)], pa.binary())],
+            names=["chunk", "ids", "sizes", "payload"])
 
 
-def digest(chunks: pd.DataFrame, rare: pd.DataFrame, path: str, hot) -> pd.DataFrame:
+def digest(chunks: pd.DataFrame, rare: pd.DataFrame, hot) -> pd.DataFrame:
     """The result rows of the documents of one chunk."""
-    split, known = splitter(path), hot.value
-    own = dict(zip(rare["word"], zip(rare["n_ids"], rare["ids"], rare["pieces"], strict=True), strict=True))
+    _, ids_of, pieces_of, vocabulary = hot.value
+    own = rare.sort_values("k")["ids"].tolist()
+    ids_of = ids_of + own
+    pieces_of = pieces_of + [" ".join([vocabulary[i] for i in map(int, x.split())]) for x in own]
+    counts = np.fromiter((x.count(" ") + 1 for x in ids_of), np.int64, len(ids_of))
     out = []
-    for payload in chunks["payload"]:
-        for batch in pa.ipc.open_stream(payload):
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = [known.get(w) or own[w] for w in split(text)]
-                out.append((
-                    key, sum(f[0] for f in found), hashlib.sha256(" ".join([f[1] for f in found]).encode()).hexdigest(),
-                    hashlib.sha256(" ".join([f[2] for f in found]).encode()).hexdigest()))
-    return pd.DataFrame(out, columns=["id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"id": "Int64"})
+    codec = pa.Codec("zstd")
+    for row in chunks.itertuples():
+        total = int(sum(row.sizes))
+        planes = codec.decompress(row.payload, decompressed_size=4 * total, asbytes=True) if total else b""
+        numbers = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+        ends = np.cumsum(row.sizes)
+        for key, size, end in zip(row.ids, row.sizes, ends, strict=True):
+            part = numbers[end - size:end]
+            at = part.tolist()
+            out.append((
+                key, int(counts[part].sum()), hashlib.sha256(" ".join([ids_of[i] for i in at]).encode()).hexdigest(),
+                hashlib.sha256(" ".join([pieces_of[i] for i in at]).encode()).hexdigest()))
+    frame = pd.DataFrame(out, columns=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return frame.astype({"id": "Int64"})
 
 
 def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """(word, n, n_ids, ids, pieces) of every distinct word; ids and pieces joined by spaces."""
+    """(word, n, ids) of every distinct word."""
     words = texts.mapInArrow(lambda it: count_words(it, path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    encoded = words.mapInArrow(lambda it: encode_words(it, path), "word string, n long, ids array<int>")
-    vocabulary = sorted(tokenizer(path).get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
-    pieces = texts.sparkSession.createDataFrame([(i, p) for p, i in vocabulary], "id int, piece string")
-    one = encoded.select("word", "n", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id")
-    lists = one.groupBy("word").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "id", "piece"))).alias("x"))
-    return lists.select(
-        "word", "n", F.size("x").alias("n_ids"), F.array_join(F.col("x.id").cast("array<string>"), " ").alias("ids"),
-        F.array_join("x.piece", " ").alias("pieces"))
+    return words.mapInArrow(lambda it: encode_words(it, path), "word string, n long, ids array<int>")
+
+
+def decoded(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Words (word, ids) to (word, ids, pieces): ids joined with the id-to-piece table, in order, as texts."""
+    one = words.select("word", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id")
+    lists = one.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "piece"))).alias("x"))
+    return lists.select("word", F.array_join(F.col("x.id").cast("array<string>"), " ").alias("ids"), F.array_join("x.piece", " ").alias("pieces"))
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,14 +201,18 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ship_package(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     words = cut_lineage(word_table(base, path))
+    vocabulary = {i: p for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
+    pieces = spark.createDataFrame(sorted(vocabulary.items()), "id int, piece string")
     top = words.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
-    rows = top.select("word", "n_ids", "ids", "pieces").toArrow()
+    rows = decoded(top.select("word", "ids"), pieces).toArrow()
+    found = {name: rows.column(name).to_pylist() for name in rows.column_names}
     hot = spark.sparkContext.broadcast(
-        {w: (n, i, p) for w, n, i, p in zip(*[c.to_pylist() for c in rows.columns], strict=True)})
-
-    packed = base.mapInArrow(lambda it: pack(it, path, hot), "chunk long, payload binary, words array<string>")
-    rare = packed.select(F.col("chunk").alias("owner"), F.explode("words").alias("word")).distinct()
-    rare = rare.join(words.select("word", "n_ids", "ids", "pieces"), "word")
-    out = packed.select("chunk", "payload").groupBy("chunk").cogroup(rare.groupBy("owner")).applyInPandas(
-        lambda c, r: digest(c, r, path, hot), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        ({w: k for k, w in enumerate(found["word"])}, found["ids"], found["pieces"], vocabulary))
+
+    rare = base.mapInArrow(lambda it: rare_words(it, path, hot), "owner long, k int, word string").distinct()
+    table = words.select("word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    rare = rare.join(table, "word").select("owner", "k", "ids")
+    packed = base.mapInArrow(lambda it: pack(it, path, hot), "chunk long, ids array<long>, sizes array<int>, payload binary")
+    out = packed.groupBy("chunk").cogroup(rare.groupBy("owner")).applyInPandas(
+        lambda c, r: digest(c, r, hot), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

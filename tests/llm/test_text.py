@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, id string, n_bytes string, row int, word string"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 EXTRA = ("i", "b", 1, "w")
-ODD = [None, "", " ", "don't ünï <|endoftext|> x<|startoftext|>y", "a" * 3000, "word \n\n\t  gap " * 400, "日本語 🙂 é́ ΣΑΣ İ", "!!<|endoftext|>" * 60]
+ODD = [None, "", " ", "don't ünï <|endoftext|> x<|startoftext|>y", "a" * 3000, "word \n\n\t  gap " * 400, "日本語 🙂 é́ ΣΑΣ İ", "!!<|endoftext|>" * 60, "a\x1cb \x1f c\x85d", "<|startoftext|>e\u0301 <b> <|x"]
 
 
 def test_token_counts_with_chunks(spark):
