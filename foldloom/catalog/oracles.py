@@ -69,8 +69,8 @@ sized{tag} AS (
          sqrt(greatest(e - 2*(s1+s2+s3), 0)/len) AS rmsd FROM thirds{tag})"""
 
 
-# The score table of the fixture: fragments ten positions apart in a chain are the background; the share of pairs below each
-# 0.001 Angstrom, and below one per cent of the pairs the power law of 3 n - 6 free coordinates.
+# The score table of the fixture: fragments ten positions apart in a chain are the background; the share of pairs below every
+# 0.02 Angstrom, straight in between, and below one per cent of the pairs the power law of 3 n - 6 free coordinates.
 CURVE = """,
 lag_points AS (
   SELECT f.chain AS c, f.pos AS p, f.len, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS b_y, b.z AS bz
@@ -88,11 +88,13 @@ whole AS (SELECT count(*) AS total, avg(len) AS size FROM background),
 steps_up AS (
   SELECT m, sum(coalesce(n, 0)) OVER (ORDER BY m) AS below
   FROM (SELECT unnest(range(2802)) AS m) LEFT JOIN (SELECT bin, count(*) AS n FROM background GROUP BY bin) ON bin = m),
-edge AS (SELECT min(m) AS tail FROM steps_up, whole WHERE m > 0 AND below >= 0.01e0 * total),
+knots AS (SELECT m AS k, below, -ln((below + 1)/(total + 1)) AS v FROM steps_up, whole WHERE m % 20 = 0),
+edge AS (SELECT min(k) AS tail FROM knots, whole WHERE k > 0 AND below >= 0.01e0 * total),
 curve AS (
-  SELECT list(CASE WHEN m < tail THEN (-ln((at_tail + 1)/(total + 1)) + (3*size - 6) * ln(tail / greatest(m, 1)))
-                   ELSE -ln((below + 1)/(total + 1)) END / size ORDER BY m) AS vals
-  FROM steps_up, whole, edge, (SELECT below AS at_tail FROM steps_up, edge WHERE m = tail))"""
+  SELECT list(CASE WHEN m < tail THEN v_tail + (3*size - 6) * ln(tail / greatest(m, 1))
+                   ELSE a.v + (b.v - a.v) * (m - a.k) / 20e0 END / size ORDER BY m) AS vals
+  FROM steps_up JOIN knots a ON a.k = m - m % 20 JOIN knots b ON b.k = least(m - m % 20 + 20, 2800), whole, edge,
+       (SELECT v AS v_tail FROM knots, edge WHERE k = tail))"""
 SCORED = CURVE + """,
 scored AS (
   SELECT * EXCLUDE (vals), CASE WHEN rmsd > 2.8e0 THEN 0 ELSE len * (

@@ -89,7 +89,7 @@ def test_score_curve_falls_and_limits_agree():
     counts = {m: 3 for m in range(200, 2800)} | {2802: 900}
     values = scoring.curve_from_counts(counts, 7.0)
     assert len(values) == scoring.TABLE_SIZE and all(a >= b for a, b in zip(values, values[1:]))
-    assert abs(values[1500] + np.log((3 * 1301 + 1) / (3 * 2600 + 901)) / 7) < 1e-12
+    assert abs(values[1500] + np.log((3 * 1301 + 1) / (3 * 2600 + 901)) / 7) < 1e-12 and values[1500] > values[1501] > values[1520]
     limit = scoring.rmsd_limit(5, 2.0, values)
     assert 5 * values[round(limit * 1000) - 1] >= 2.0 > 5 * values[round(limit * 1000) + 1]
     empty = scoring.curve_from_counts({}, 7.0)
