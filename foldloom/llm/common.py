@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +95,16 @@ def on_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     right = right.withColumnRenamed("id", "r_id").withColumnRenamed("th", "r_th")
     joined = left.join(right, same(F.col("id"), F.col("r_id")) & (F.col("th") == F.col("r_th")), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop("r_id", "r_th")
+
+
+def slices(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Consecutive texts in lists of at most ``most`` characters; a longer text is a list of its own."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from foldloom.llm.common import slices
 from foldloom.session import cut_lineage, ship_package
 
 HUGE, STRIDE, OVERLAP = 65_536, 32_768, 512
@@ -42,23 +43,11 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
-def slices(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > most:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
-
-
 def count_whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     library = tokenizer(path)
     for batch in batches:
         counts = []
-        for part in slices([t or "" for t in batch.column("text").to_pylist()]):
+        for part in slices([t or "" for t in batch.column("text").to_pylist()], BATCH_CHARS):
             counts += [len(e) for e in library.encode_batch_fast(part, add_special_tokens=False)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldloom.llm.common import slices
 from foldloom.llm.training import held_out, labelled_sample, logistic, sigmoid
 from foldloom.session import cut_lineage, ship_package
 
@@ -35,7 +36,9 @@ WEIGHTS = DECAY ** np.arange(4, dtype=np.float64)
 #: Longest stretch of letters compared as one word; longer ones are cut into overlapping pieces.
 PIECE, LAP = 32, 8
 #: Words whose values a worker keeps; words whose kernels are computed at once; words of a sentence at most.
-CACHE, STEP, SPAN = 800_000, 400, 16
+CACHE, STEP, SPAN = 300_000, 400, 16
+#: Characters of text taken apart at once.
+BATCH_CHARS = 1_000_000
 #: Digits and signs that stand for letters (fixed values).
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -228,19 +231,21 @@ def _kernel_rows(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterato
     """(label, text) to (label, n, k): words and landmark kernels of the training sentences of each text, chosen by ``machine``."""
     known = Lexicon()
     for batch in batches:
-        labels, texts = np.array(batch.column("label").to_pylist()), batch.column("text").to_pylist()
-        s = machine.sentences(texts, known)
+        labels = iter(batch.column("label").to_pylist())
         rows, sizes, kernels = [], [], [np.zeros((0, len(machine.landmarks.words)), np.float32)]
-        bounds = np.searchsorted(s.owner, np.arange(len(texts) + 1))
-        for i, label in enumerate(labels):
-            if bounds[i] == bounds[i + 1]:
-                continue
-            worst = int(bounds[i] + s.sums[bounds[i]:bounds[i + 1]].argmax())
-            for k in sorted({worst} if label else {worst, int(bounds[i] + bounds[i + 1]) // 2}):
-                words = [w for w in map(plain, s.words[s.starts[k]:s.ends[k]]) if w]
-                rows.append(int(label))
-                sizes.append(len(words))
-                kernels.append(machine.landmarks.of_words(words).sum(0, keepdims=True))
+        for texts in slices(batch.column("text").to_pylist(), BATCH_CHARS):
+            s = machine.sentences(texts, known)
+            bounds = np.searchsorted(s.owner, np.arange(len(texts) + 1))
+            for i in range(len(texts)):
+                label = next(labels)
+                if bounds[i] == bounds[i + 1]:
+                    continue
+                worst = int(bounds[i] + s.sums[bounds[i]:bounds[i + 1]].argmax())
+                for k in sorted({worst} if label else {worst, int(bounds[i] + bounds[i + 1]) // 2}):
+                    words = [w for w in map(plain, s.words[s.starts[k]:s.ends[k]]) if w]
+                    rows.append(label)
+                    sizes.append(len(words))
+                    kernels.append(machine.landmarks.of_words(words).sum(0, keepdims=True))
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows, pa.int32()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(kernels).astype(np.float64).tolist(), pa.list_(pa.float64()))],
             names=["label", "n", "k"])
@@ -303,9 +308,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon()
         for batch in batches:
-            found = machine.margins(batch.column("text").to_pylist(), known)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["label", "margins"])
+            found = [m for part in slices(batch.column("text").to_pylist(), BATCH_CHARS) for m in machine.margins(part, known).tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], names=["label", "margins"])
 
     rows = sample.mapInArrow(margins, "label int, margins array<double>").toArrow()
     machine.slopes, machine.offset = logistic(
@@ -323,10 +327,8 @@ def toxicity_scores(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             values: list[float] = []
-            for start in range(0, len(texts), 500):
-                part = texts[start:start + 500]
+            for part in slices([t or "" for t in batch.column("text").to_pylist()], BATCH_CHARS):
                 if isinstance(model, float):
                     values += [model] * len(part)
                 else:

@@ -27,13 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.token_count import slices, tokenizer
+from foldloom.llm.common import slices
+from foldloom.llm.token_count import tokenizer
 from foldloom.session import cut_lineage, ship_package
 
 #: Bound of the table that all tasks hold: words, and bytes of one of them.
-HOT_WORDS, HOT_BYTES = 400_000, 48
+HOT_WORDS, HOT_BYTES = 300_000, 48
 #: Characters of text in one chunk; distinct runs held before a flush; runs whose words a worker remembers.
-CHUNK_CHARS, FLUSH_WORDS, KNOWN_RUNS = 4_000_000, 500_000, 400_000
+CHUNK_CHARS, FLUSH_WORDS, KNOWN_RUNS = 2_000_000, 300_000, 150_000
 #: The tokenizer's own splitting pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 WHITE, SEPARATORS = regex.compile(r"\p{White_Space}+"), regex.compile("[\x1c-\x1f]")
