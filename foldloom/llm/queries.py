@@ -77,7 +77,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(F.col("id").alias("doc_id"), "item_id", "matched", "window")
+    return found.select(F.col("id").alias("doc_id"), "item_id", F.col("matched").cast("long"), F.col("window").cast("long"))
 
 
 @query
@@ -90,3 +90,50 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op7_minhash_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+  SELECT doc_id AS start, doc_id AS goal FROM documents UNION SELECT r.start, b.y FROM reached r JOIN both_ways b ON b.x = r.goal),
+roots AS (SELECT start, min(goal) AS root FROM reached GROUP BY start)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, d.doc_id = root AS kept
+FROM documents d JOIN roots ON start = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
+
+ORACLES["op8_decontaminate"] = r"""
+WITH tokens AS (
+  SELECT 'd' AS side, doc_id AS id, lower(coalesce(text, '')) AS t FROM documents UNION ALL
+  SELECT 'b', item_id, lower(coalesce(text, '')) FROM benchmark),
+cut AS (
+  SELECT side, id, list_filter(list_transform(string_split_regex(t, '[\x20\x09-\x0D]'), lambda x: trim(x, '.,;:!?"''()[]{}*#%&$|-')), lambda x: x <> '') AS w
+  FROM tokens),
+placed AS (SELECT side, id, len(w) AS n, unnest(w) AS token, unnest(range(len(w))) AS pos FROM cut),
+met AS (
+  SELECT d.id AS doc_id, b.id AS item_id, d.pos - b.pos AS shift, b.pos AS j, least(b.n, 15) AS width
+  FROM placed b JOIN placed d ON d.token = b.token AND d.side = 'd' WHERE b.side = 'b' AND b.n >= 3),
+counted AS (
+  SELECT doc_id, item_id, width, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING) AS matched
+  FROM met)
+SELECT doc_id, item_id, max(matched) AS matched, max(width) AS "window" FROM counted
+WHERE 100 * matched >= 80 * width GROUP BY doc_id, item_id"""
+
+ORACLES["op9_vector_dedup"] = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reached AS (SELECT vec_id AS start, vec_id AS goal FROM embeddings UNION SELECT r.start, l.y FROM reached r JOIN links l ON l.x = r.goal),
+roots AS (SELECT start, min(goal) AS root FROM reached GROUP BY start),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
+FROM embeddings JOIN roots ON start = vec_id LEFT JOIN counts ON x = vec_id"""
