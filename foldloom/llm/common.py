@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,14 +99,21 @@ def on_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return joined if how in ("left_semi", "left_anti") else joined.drop("r_id", "r_th")
 
 
-def slices(texts: list[str], most: int) -> Iterator[list[str]]:
-    """Consecutive texts in lists of at most ``most`` characters; a longer text is a list of its own."""
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > most:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
+def parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with at most ``most`` bytes of text, or one row.
+
+    An Arrow batch may hold tens of megabytes; as Python objects only a part of it exists at a time.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start, size = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and size + n > most:
+            yield batch.slice(start, k - start)
+            start, size = k, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def texts_of(batch: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in batch.column("text").to_pylist()]

@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldloom.llm.common import parts, texts_of
 from foldloom.llm.training import held_out, labelled_sample, logistic, sigmoid
 from foldloom.session import cut_lineage, ship_package
 
-#: Most labelled rows that the model is fitted on.
-SAMPLE = 40_000
+#: Most labelled rows that the model is fitted on; bytes of text taken apart at once.
+SAMPLE, BATCH_BYTES = 40_000, 1_000_000
 #: Shrinkage of a class covariance: towards the pooled one, then towards the diagonal.
 TO_POOLED, TO_DIAGONAL, FLOOR = 0.1, 0.1, 1e-3
 SYMBOLS = "#$%&*@^~=+<>\\_{}[]"
@@ -71,7 +72,7 @@ _NON_LETTERS = {c: None for c in range(128) if chr(c).isalpha()}
 def measure(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
     """(…, text) to the kept columns and x, the statistics."""
     for batch in batches:
-        x = [statistics(t or "") for t in batch.column("text").to_pylist()]
+        x = [statistics(t) for part in parts(batch, "text", BATCH_BYTES) for t in texts_of(part)]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(k) for k in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
@@ -136,7 +137,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [statistics(t or "") for t in batch.column("text").to_pylist()]
+            x = [statistics(t) for part in parts(batch, "text", BATCH_BYTES) for t in texts_of(part)]
             values = model.score(np.array(x)) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], names=["doc_id", "score"])
 

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from foldloom.llm.common import slices
+from foldloom.llm.common import parts, texts_of
 from foldloom.session import cut_lineage, ship_package
 
 HUGE, STRIDE, OVERLAP = 65_536, 32_768, 512
-#: Characters of text handed to the library at once.
-BATCH_CHARS = 200_000
+#: Bytes of text handed to the library at once.
+BATCH_BYTES = 200_000
 _LOADED: dict[str, object] = {}
 
 
@@ -47,8 +47,8 @@ def count_whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
     library = tokenizer(path)
     for batch in batches:
         counts = []
-        for part in slices([t or "" for t in batch.column("text").to_pylist()], BATCH_CHARS):
-            counts += [len(e) for e in library.encode_batch_fast(part, add_special_tokens=False)]
+        for part in parts(batch, "text", BATCH_BYTES):
+            counts += [len(e) for e in library.encode_batch_fast(texts_of(part), add_special_tokens=False)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 

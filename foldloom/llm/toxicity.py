@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import slices
+from foldloom.llm.common import parts, texts_of
 from foldloom.llm.training import held_out, labelled_sample, logistic, sigmoid
 from foldloom.session import cut_lineage, ship_package
 
@@ -37,8 +37,8 @@ WEIGHTS = DECAY ** np.arange(4, dtype=np.float64)
 PIECE, LAP = 32, 8
 #: Words whose values a worker keeps; words whose kernels are computed at once; words of a sentence at most.
 CACHE, STEP, SPAN = 300_000, 400, 16
-#: Characters of text taken apart at once.
-BATCH_CHARS = 1_000_000
+#: Bytes of text taken apart at once.
+BATCH_BYTES = 1_000_000
 #: Digits and signs that stand for letters (fixed values).
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -233,7 +233,8 @@ def _kernel_rows(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterato
     for batch in batches:
         labels = iter(batch.column("label").to_pylist())
         rows, sizes, kernels = [], [], [np.zeros((0, len(machine.landmarks.words)), np.float32)]
-        for texts in slices(batch.column("text").to_pylist(), BATCH_CHARS):
+        for part in parts(batch, "text", BATCH_BYTES):
+            texts = texts_of(part)
             s = machine.sentences(texts, known)
             bounds = np.searchsorted(s.owner, np.arange(len(texts) + 1))
             for i in range(len(texts)):
@@ -308,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon()
         for batch in batches:
-            found = [m for part in slices(batch.column("text").to_pylist(), BATCH_CHARS) for m in machine.margins(part, known).tolist()]
+            found = [m for part in parts(batch, "text", BATCH_BYTES) for m in machine.margins(texts_of(part), known).tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], names=["label", "margins"])
 
     rows = sample.mapInArrow(margins, "label int, margins array<double>").toArrow()
@@ -328,11 +329,11 @@ def toxicity_scores(
         known = Lexicon()
         for batch in batches:
             values: list[float] = []
-            for part in slices([t or "" for t in batch.column("text").to_pylist()], BATCH_CHARS):
+            for part in parts(batch, "text", BATCH_BYTES):
                 if isinstance(model, float):
-                    values += [model] * len(part)
+                    values += [model] * part.num_rows
                 else:
-                    values += model.probabilities(part, known).tolist()
+                    values += model.probabilities(texts_of(part), known).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(values, pa.float64())], names=["doc_id", "th", "score"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")

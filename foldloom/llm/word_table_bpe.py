@@ -27,14 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import slices
+from foldloom.llm.common import parts, texts_of
 from foldloom.llm.token_count import tokenizer
 from foldloom.session import cut_lineage, ship_package
 
 #: Bound of the table that all tasks hold: words, and bytes of one of them.
 HOT_WORDS, HOT_BYTES = 300_000, 48
-#: Characters of text in one chunk; distinct runs held before a flush; runs whose words a worker remembers.
-CHUNK_CHARS, FLUSH_WORDS, KNOWN_RUNS = 2_000_000, 300_000, 150_000
+#: Bytes of text in one chunk; distinct runs held before a flush; runs whose words a worker remembers.
+CHUNK_BYTES, FLUSH_WORDS, KNOWN_RUNS = 2_000_000, 300_000, 150_000
 #: The tokenizer's own splitting pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 WHITE, SEPARATORS = regex.compile(r"\p{White_Space}+"), regex.compile("[\x1c-\x1f]")
@@ -81,13 +81,10 @@ def splitter(path: str) -> Splitter:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of consecutive rows, CHUNK_CHARS or one text at most."""
+    """(ids, texts) of consecutive rows, CHUNK_BYTES or one text at most."""
     for batch in batches:
-        ids, texts = batch.column("id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-        at = 0
-        for part in slices(texts, CHUNK_CHARS):
-            yield ids[at:at + len(part)], part
-            at += len(part)
+        for part in parts(batch, "text", CHUNK_BYTES):
+            yield part.column("id").to_pylist(), texts_of(part)
 
 
 def count_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -113,8 +110,8 @@ def encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
     library = tokenizer(path)
     for batch in batches:
         ids: list[list[int]] = []
-        for part in slices(batch.column("word").to_pylist(), 50_000):
-            ids += [e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)]
+        for part in parts(batch, "word", 50_000):
+            ids += [e.ids for e in library.encode_batch_fast(part.column("word").to_pylist(), add_special_tokens=False)]
         yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
 
