@@ -9,15 +9,28 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldloom.session import ship_package
+
 #: Most rows, and most bytes, of a table that is sent to every executor.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 48 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Make the session fit for Python stages over whole texts: the package shipped, Arrow batches bounded in bytes.
+
+    Rows of very long texts would otherwise fill batches of 64 MB in every worker.
+    """
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def broadcast_if_small(written: DataFrame, row_bytes: Column | None = None) -> DataFrame:
     """Hint a broadcast after counting a written table; larger ones are left to a shuffle join.
 

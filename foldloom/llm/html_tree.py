@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import broadcast_if_small
-from foldloom.session import cut_lineage, ship_package
+from foldloom.llm.common import broadcast_if_small, prepare
+from foldloom.session import cut_lineage
 
 IMPORTANT, ENOUGH = 0.5, 20
 #: Share of a branch's importance that its own presentation has; the rest is the content's.
@@ -217,7 +217,7 @@ def noise_paths(pages: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html)."""
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     hosts = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
     base = pages.select(
         "page_id", "url", F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), hosts, 1)).alias("host"),

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import broadcast_if_small, word_shingles
+from foldloom.llm.common import broadcast_if_small, prepare, word_shingles
 from foldloom.llm.links import linked_groups
-from foldloom.session import cut_lineage, ship_package
+from foldloom.session import cut_lineage
 
 VALUES, CHUNK, ERRORS = 60, 6, 1
 #: Words of 64 bits of an odd sketch.
@@ -109,7 +109,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80,
 ) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = docs.select("id", word_shingles(F.col("text"), shingle_words).alias("shingles"))
     rows = cut_lineage(hashed.mapInArrow(

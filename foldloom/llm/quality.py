@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import parts, texts_of
+from foldloom.llm.common import parts, prepare, texts_of
 from foldloom.llm.training import held_out, labelled_sample, logistic, sigmoid
-from foldloom.session import cut_lineage, ship_package
+from foldloom.session import cut_lineage
 
 #: Most labelled rows that the model is fitted on; bytes of text taken apart at once.
 SAMPLE, BATCH_BYTES = 40_000, 1_000_000
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Discriminant:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     model = fit(docs, labels, most)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from foldloom.llm.common import parts, texts_of
-from foldloom.session import cut_lineage, ship_package
+from foldloom.llm.common import parts, prepare, texts_of
+from foldloom.session import cut_lineage
 
 HUGE, STRIDE, OVERLAP = 65_536, 32_768, 512
 #: Bytes of text handed to the library at once.
@@ -108,7 +108,7 @@ def token_counts(
     huge: int = HUGE, stride: int = STRIDE, overlap: int = OVERLAP,
 ) -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     margin = 1 + max((len(t.content) for t in tokenizer(path).get_added_tokens_decoder().values()), default=0)
     base = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

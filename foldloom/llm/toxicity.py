@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import parts, texts_of
+from foldloom.llm.common import parts, prepare, texts_of
 from foldloom.llm.training import held_out, labelled_sample, logistic, sigmoid
-from foldloom.session import cut_lineage, ship_package
+from foldloom.session import cut_lineage
 
 #: Most labelled rows that the model is fitted on; landmarks, toxic-looking and ordinary.
 SAMPLE, TOXIC_LANDMARKS, PLAIN_LANDMARKS = 20_000, 96, 16
@@ -322,7 +322,7 @@ def toxicity_scores(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = SAMPLE, training: DataFrame | None = None,
 ) -> DataFrame:
     """Per row: doc_id, th (hash of the text), held_out, score, predicted; learns on ``training`` or else ``docs``."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     model = fit(docs if training is None else training, labels, most)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

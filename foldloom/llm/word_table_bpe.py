@@ -27,9 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import parts, texts_of
+from foldloom.llm.common import parts, prepare, texts_of
 from foldloom.llm.token_count import tokenizer
-from foldloom.session import cut_lineage, ship_package
+from foldloom.session import cut_lineage
 
 #: Bound of the table that all tasks hold: words, and bytes of one of them.
 HOT_WORDS, HOT_BYTES = 300_000, 48
@@ -196,7 +196,7 @@ def decoded(words: DataFrame, pieces: DataFrame) -> DataFrame:
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, and SHA-256 of the ids and of the decoded text."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     words = cut_lineage(word_table(base, path))
     vocabulary = {i: p for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
