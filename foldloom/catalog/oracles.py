@@ -42,7 +42,8 @@ stats AS (
          len * (var_pop(ax)+var_pop(ay)+var_pop(az)+var_pop(bx)+var_pop(b_y)+var_pop(bz)) AS e,
          len*covar_pop(ax,bx) AS c0, len*covar_pop(ax,b_y) AS c1, len*covar_pop(ax,bz) AS c2,
          len*covar_pop(ay,bx) AS c3, len*covar_pop(ay,b_y) AS c4, len*covar_pop(ay,bz) AS c5,
-         len*covar_pop(az,bx) AS c6, len*covar_pop(az,b_y) AS c7, len*covar_pop(az,bz) AS c8
+         len*covar_pop(az,bx) AS c6, len*covar_pop(az,b_y) AS c7, len*covar_pop(az,bz) AS c8,
+         avg(ax) AS m1x, avg(ay) AS m1y, avg(az) AS m1z, avg(bx) AS m2x, avg(b_y) AS m2y, avg(bz) AS m2z
   FROM pair_points GROUP BY grp, side1, side2, p1, p2, len)"""
 
 
@@ -328,3 +329,23 @@ reached AS (
   SELECT *, max(start1 + length - 1) OVER (PARTITION BY chain, direction, d ORDER BY start1, length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM low)
 SELECT job_id, chain, start1, start2, direction, length FROM reached WHERE r IS NULL OR direction = -1 OR start1 > r""",
 }
+
+# The rotation from the covariance C in closed form: ((k + |C|^2) C + l cof(C) - C C^T C) / (k l - det C), k = (l^2 - |C|^2) / 2, where
+# l, the sum of the signed singular values, solves (l^2 - |C|^2)^2 = 8 l det C + 4 |cof C|^2 (two Newton steps).
+_COF = ("c4*c8-c5*c7", "c5*c6-c3*c8", "c3*c7-c4*c6", "c2*c7-c1*c8", "c0*c8-c2*c6", "c1*c6-c0*c7", "c1*c5-c2*c4", "c2*c3-c0*c5", "c0*c4-c1*c3")
+_NEWTON = "l - ((l*l-q)*(l*l-q) - 8*det*l - 4*a) / (4*l*(l*l-q) - 8*det)"
+_GRAM = [" + ".join(f"c{3*i+k}*c{3*j+k}" for k in range(3)) for i in range(3) for j in range(3)]
+_ROTATION = ", ".join(
+    f"((k+q)*c{n} + l*f{n} - ({' + '.join(f'g{3*(n//3)+k}*c{3*k+n%3}' for k in range(3))})) / (k*l - det) AS r{n}" for n in range(9))
+_MAP = {
+    "determinant": "r0*(r4*r8-r5*r7) - r1*(r3*r8-r5*r6) + r2*(r3*r7-r4*r6)", **{f"r{n}": f"r{n}" for n in range(9)},
+    "tx": "m1x - (r0*m2x+r1*m2y+r2*m2z)", "ty": "m1y - (r3*m2x+r4*m2y+r5*m2z)", "tz": "m1z - (r6*m2x+r7*m2y+r8*m2z)"}
+ORACLES["rotation_maps"] = f"""WITH {MATCHES},
+strong AS (SELECT *, c0*c0+c1*c1+c2*c2+c3*c3+c4*c4+c5*c5+c6*c6+c7*c7+c8*c8 AS nq,
+  {', '.join(f'{e} AS f{n}' for n, e in enumerate(_COF))}, {', '.join(f'{e} AS g{n}' for n, e in enumerate(_GRAM))} FROM scored WHERE score >= 1.6),
+sums AS (SELECT * EXCLUDE (q, p), s1+s2+s3 AS l, nq AS q, f0*f0+f1*f1+f2*f2+f3*f3+f4*f4+f5*f5+f6*f6+f7*f7+f8*f8 AS a FROM strong),
+once AS (SELECT * REPLACE ({_NEWTON} AS l) FROM sums),
+twice AS (SELECT * REPLACE ({_NEWTON} AS l) FROM once),
+kappa AS (SELECT *, (l*l-q)/2 AS k FROM twice),
+turned AS (SELECT *, {_ROTATION} FROM kappa)
+SELECT grp, side1, side2, p1, p2, len, {', '.join(f'CASE WHEN round({e}, 4) = 0 THEN 0 ELSE round({e}, 4) END AS {n}' for n, e in _MAP.items())} FROM turned"""

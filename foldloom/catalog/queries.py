@@ -163,7 +163,12 @@ def pairwise_pvalue(spark, sf_dir):
 def rotation_maps(spark, sf_dir):
     mapped = with_map(_matches(spark, sf_dir).where("score >= 1.6"))
     rotation = g.rotation_part(g.unpack(F.col("m")))
-    return mapped.select("grp", "side1", "side2", "p1", "p2", "len", F.round(g.determinant_3x3(rotation), 6).alias("determinant"), "m")
+    shift = [F.element_at("m", k).alias(f"t{x}") for k, x in ((4, "x"), (8, "y"), (12, "z"))]
+    found = mapped.select(
+        "grp", "side1", "side2", "p1", "p2", "len", g.determinant_3x3(rotation).alias("determinant"),
+        *[e.alias(f"r{k}") for k, e in enumerate(rotation)], *shift)
+    rounded = {n: F.round(n, 4) for n in found.columns[6:]}
+    return found.withColumns({n: F.when(e == 0, 0.0).otherwise(e) for n, e in rounded.items()})  # no negative zeros
 
 
 @query

@@ -95,6 +95,17 @@ def multiply_3x3(a: Sequence[Column], b: Sequence[Column]) -> tuple[Column, ...]
     )
 
 
+def cofactors_3x3(m: Sequence[Column]) -> tuple[Column, ...]:
+    """Cofactors of a matrix, row major."""
+    out = []
+    for r in range(3):
+        i, j = ((r + 1) % 3, (r + 2) % 3)
+        for c in range(3):
+            k, l = ((c + 1) % 3, (c + 2) % 3)
+            out.append(m[3 * i + k] * m[3 * j + l] - m[3 * i + l] * m[3 * j + k])
+    return tuple(out)
+
+
 def compose_affine(a: Sequence[Column], b: Sequence[Column]) -> tuple[Column, ...]:
     """The map that applies ``b`` first and ``a`` second."""
     out = []

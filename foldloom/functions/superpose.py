@@ -1,16 +1,15 @@
-"""Optimal superposition: batched rotations for Arrow batches and the aggregate that feeds them."""
+"""Optimal superposition: rotations in closed form, batched ones for grouped steps, and the aggregate that feeds them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from foldloom.operators.fragments import COVARIANCE, rmsd_from_covariance, sealed
+from foldloom.functions import geometry as g
+from foldloom.operators.fragments import COVARIANCE, rmsd_from_covariance, sealed, singular_values
 
 
 def rotations(covariance: np.ndarray) -> np.ndarray:
@@ -37,20 +36,57 @@ def move(m: np.ndarray, points: np.ndarray) -> np.ndarray:
     return points @ m[:, :3].T + m[:, 3]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def superposition_map(covariance: pd.Series, centre1: pd.Series, centre2: pd.Series) -> pd.Series:
-    """Affine map (12 numbers, row major) of side 2 onto side 1, one SVD batch per Arrow batch."""
-    if not len(covariance):
-        return pd.Series([], dtype=object)
-    to, away = np.stack(centre1.to_list()), np.stack(centre2.to_list())
-    maps = affine(rotations(np.stack(covariance.to_list())), to, away)
-    return pd.Series(list(maps.reshape(-1, 12)))
+#: Singular values this close, relative to the first, leave the rotation open; it is then settled by a small shift.
+OPEN, SHIFT = 1e-6, 1e-4
 
 
 def with_map(matches: DataFrame) -> DataFrame:
-    """Add the affine map ``m`` to fragment matches (covariances and centroids are on the row)."""
-    return matches.withColumn("m", superposition_map(
-        F.array(*COVARIANCE), F.array("m1x", "m1y", "m1z"), F.array("m2x", "m2y", "m2z")))
+    """Add the affine map ``m`` (12 numbers, row major) of side 2 onto side 1 to rows with covariances and centroids.
+
+    With C the covariance and l the sum of its signed singular values, the best proper rotation is
+    ((k + |C|^2) C + l cof(C) - C C^T C) / (k l - det C), k = (l^2 - |C|^2) / 2: plain arithmetic.
+    Where it is not unique (points on a line) a small multiple of the identity is added to C first.
+    The sum is sharpened by Newton steps on its own equation, (l^2 - |C|^2)^2 = 8 l det C + 4 |cof C|^2,
+    and the rotation made orthogonal by steps of R (3 - R^T R) / 2.
+    """
+    kept = matches.columns
+    c = [F.col(n) for n in COVARIANCE]
+    first = singular_values(matches)
+    scale = F.greatest(F.col("_s1"), F.lit(1e-150))
+    open_ = F.col("_s2") + F.col("_s3") <= OPEN * scale
+    moved = [F.col(n) + F.when(open_, SHIFT * scale).otherwise(0.0) if k % 4 == 0 else F.col(n) for k, n in enumerate(COVARIANCE)]
+    others = [n for n in kept if n not in COVARIANCE]
+    settled = first.select(
+        *others, *[F.col(n).alias(f"_own{n}") for n in COVARIANCE], *[(e / scale).alias(n) for n, e in zip(COVARIANCE, moved, strict=True)])
+    second = singular_values(settled)
+    total = F.col("_s1") + F.col("_s2") + F.col("_s3")
+    square = sum((x * x for x in c[1:]), c[0] * c[0])
+    cofactor = g.cofactors_3x3(c)
+    minors = sum((x * x for x in cofactor[1:]), cofactor[0] * cofactor[0])
+    second = second.select("*", total.alias("_l"), square.alias("_q"), minors.alias("_a"))
+    low, q, det = F.col("_l"), F.col("_q"), F.col("_det")
+    for _ in range(2):
+        slope = 4.0 * low * (low * low - q) - 8.0 * det
+        value = (low * low - q) * (low * low - q) - 8.0 * det * low - 4.0 * F.col("_a")
+        second = second.withColumn("_l", low - F.when(slope > 0, value / slope).otherwise(0.0))
+    second = second.withColumn("_k", (low * low - q) / 2.0)
+    gram = [sum((c[3 * r + k] * c[3 * s + k] for k in (1, 2)), c[3 * r] * c[3 * s]) for r in range(3) for s in range(3)]  # C C^T
+    second = second.select("*", *[e.alias(f"_g{k}") for k, e in enumerate(gram)])
+    cubic = g.multiply_3x3([F.col(f"_g{k}") for k in range(9)], c)
+    below = F.col("_k") * F.col("_l") - F.col("_det")
+    rotation = [((F.col("_k") + F.col("_q")) * c[k] + F.col("_l") * cofactor[k] - cubic[k]) / below for k in range(9)]
+    turned = second.select("*", *[F.when(below > 0, e).otherwise(1.0 if k % 4 == 0 else 0.0).alias(f"_r{k}") for k, e in enumerate(rotation)])
+    r = [F.col(f"_r{k}") for k in range(9)]
+    for _ in range(2):
+        cross = [sum((r[3 * i + k] * r[3 * j + k] for k in (1, 2)), r[3 * i] * r[3 * j]) for i in range(3) for j in range(3)]  # R R^T
+        turned = turned.select("*", *[e.alias(f"_p{k}") for k, e in enumerate(cross)])
+        back = g.multiply_3x3([F.col(f"_p{k}") for k in range(9)], r)
+        turned = turned.withColumns({f"_r{k}": 1.5 * r[k] - 0.5 * back[k] for k in range(9)}).drop(*[f"_p{k}" for k in range(9)])
+    rows = []
+    for j, x in enumerate("xyz"):
+        shift = F.col(f"m1{x}") - sum((r[3 * j + k] * F.col(f"m2{y}") for k, y in ((1, "y"), (2, "z"))), r[3 * j] * F.col("m2x"))
+        rows += [*r[3 * j:3 * j + 3], shift]
+    return sealed(turned.select(*[F.col(f"_own{n}").alias(n) if n in COVARIANCE else F.col(n) for n in kept], F.array(*rows).alias("m")))
 
 
 def superposition_aggregate(points: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -213,10 +213,10 @@ def superpose(pairs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return rmsd_from_covariance(base)
 
 
-def rmsd_from_covariance(base: DataFrame) -> DataFrame:
-    """Add ``rmsd_fast`` and ``rmsd`` to rows holding ``len``, ``_e`` and c00..c22."""
+def singular_values(base: DataFrame) -> DataFrame:
+    """Add the singular values ``_s1`` >= ``_s2`` >= |``_s3``| of c00..c22 (the last with the sign of the determinant ``_det``)."""
     c = [F.col(n) for n in COVARIANCE]
-    kept = [n for n in base.columns if n != "_e"]
+    kept = base.columns
 
     def gram(j: int, k: int) -> Column:
         return c[j] * c[k] + c[3 + j] * c[3 + k] + c[6 + j] * c[6 + k]
@@ -235,17 +235,20 @@ def rmsd_from_covariance(base: DataFrame) -> DataFrame:
         F.sqrt(F.greatest(g.eigen_second(F.col("_mean"), F.col("_spread"), F.col("_angle")), F.lit(0.0))).alias("_s2"),
     )
     product = F.col("_s1") * F.col("_s2")
-    layered = layered.withColumn(
-        "_s3",
-        F.when(product > 1e-9, F.least(F.greatest(
-            F.col("_det") / F.greatest(product, F.lit(1e-300)), -F.col("_s2")), F.col("_s2"))).otherwise(F.lit(0.0)),
-    )
+    third = F.when(product > 1e-9, F.least(F.greatest(
+        F.col("_det") / F.greatest(product, F.lit(1e-300)), -F.col("_s2")), F.col("_s2"))).otherwise(F.lit(0.0))
+    return layered.select(*kept, "_det", "_s1", "_s2", third.alias("_s3"))
+
+
+def rmsd_from_covariance(base: DataFrame) -> DataFrame:
+    """Add ``rmsd_fast`` and ``rmsd`` to rows holding ``len``, ``_e`` and c00..c22."""
+    kept = [n for n in base.columns if n != "_e"]
 
     def rmsd(third: Column) -> Column:
         error = F.col("_e") - 2.0 * (F.col("_s1") + F.col("_s2") + third)
         return F.sqrt(F.greatest(error, F.lit(0.0)) / F.col("len"))
 
-    return sealed(layered.select(
+    return sealed(singular_values(base).select(
         *kept, rmsd(F.abs(F.col("_s3"))).alias("rmsd_fast"), rmsd(F.col("_s3")).alias("rmsd")))
 
 

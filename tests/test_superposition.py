@@ -137,3 +137,18 @@ def test_hinge_edges_equal_brute_force(spark):
                 want[a.id, b.id] = np.mean(gap)
     got = {(r.before, r.after): r.displacement for r in hinge_edges(matches, track, 45.0, 5.0).collect()}
     assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_closed_form_rotations_of_every_kind_of_covariance(spark):
+    rng = np.random.default_rng(0)
+    made = [rng.normal(size=(3, 3)) * 10.0 ** k for k in range(-4, 5)]
+    made += [np.outer([1, 2, 3], [2, 1, 0.0]), np.zeros((3, 3)), np.diag([3.0, 2, -2]), np.diag([1, 1, 0.0]), np.diag([-1.0, -1, -1])]
+    names = ", ".join(f"{n} double" for n in fragments.COVARIANCE)
+    rows = [(i, *map(float, c.ravel()), 1.0, 2.0, 3.0, 0.0, 0.0, 0.0) for i, c in enumerate(made)]
+    frame = spark.createDataFrame(rows, f"i int, {names}, m1x double, m1y double, m1z double, m2x double, m2y double, m2z double")
+    for r in with_map(frame).collect():
+        m = np.array(r.m).reshape(3, 4)
+        turn, best = m[:, :3], rotations(made[r.i])[0]
+        assert np.allclose(turn @ turn.T, np.eye(3), atol=1e-6) and np.linalg.det(turn) > 0.999 and np.allclose(m[:, 3], [1, 2, 3])
+        scale = max(np.abs(made[r.i]).max(), 1e-12)
+        assert ((best - turn) * made[r.i]).sum() / scale < 1e-5
