@@ -45,7 +45,7 @@ def with_map(matches: DataFrame) -> DataFrame:
 
     With C the covariance and l the sum of its signed singular values, the best proper rotation is
     ((k + |C|^2) C + l cof(C) - C C^T C) / (k l - det C), k = (l^2 - |C|^2) / 2: plain arithmetic.
-    Where it is not unique (points on a line) a small multiple of the identity is added to C first.
+    Where it is not unique (points on a line) a small diagonal is added to C first.
     The sum is sharpened by Newton steps on its own equation, (l^2 - |C|^2)^2 = 8 l det C + 4 |cof C|^2,
     and the rotation made orthogonal by steps of R (3 - R^T R) / 2.
     """
@@ -54,7 +54,8 @@ def with_map(matches: DataFrame) -> DataFrame:
     first = singular_values(matches)
     scale = F.greatest(F.col("_s1"), F.lit(1e-150))
     open_ = F.col("_s2") + F.col("_s3") <= OPEN * scale
-    moved = [F.col(n) + F.when(open_, SHIFT * scale).otherwise(0.0) if k % 4 == 0 else F.col(n) for k, n in enumerate(COVARIANCE)]
+    moved = [  # by a different amount in each direction, so that nothing stays equal
+        F.col(n) + F.when(open_, SHIFT / 2 ** (k // 4) * scale).otherwise(0.0) if k % 4 == 0 else F.col(n) for k, n in enumerate(COVARIANCE)]
     others = [n for n in kept if n not in COVARIANCE]
     settled = first.select(
         *others, *[F.col(n).alias(f"_own{n}") for n in COVARIANCE], *[(e / scale).alias(n) for n, e in zip(COVARIANCE, moved, strict=True)])

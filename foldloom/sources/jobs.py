@@ -71,7 +71,7 @@ def select_chains(requests: DataFrame, chains: DataFrame, residues: DataFrame) -
     asked = F.when(F.col("model").isNull(), F.col("model_ord") == F.col("first_ord")).otherwise(F.col("model_no") == F.col("model"))
     placed = req.join(models.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & asked, "left").drop("_path")
     wanted = placed.withColumnRenamed("chain", "_want")
-    matched = wanted.join(chains.select(*keys, "id_string", "length"), ["path", "model_ord"], "left").where(
+    matched = wanted.join(chains.select(*keys, "id_string", "length", "file_ord"), ["path", "model_ord"], "left").where(
         F.col("_want").isNull() & ((F.col("chain_id") != " ") | (F.col("n_chains") == 1)) | (F.col("_want") == F.col("chain_id")))
     numbers = residues.groupBy(*keys, "res_num", "ins_code").agg(F.min("res_idx").alias("_idx"))
 
@@ -82,7 +82,7 @@ def select_chains(requests: DataFrame, chains: DataFrame, residues: DataFrame) -
     ranged = bound(bound(matched, "range_first", "code_first", "_from"), "range_last", "code_last", "_to")
     ok = F.col("range_first").isNull() | (F.col("_from").isNotNull() & F.col("_to").isNotNull() & (F.col("_to") >= F.col("_from")))
     good = ranged.where(ok)
-    order = Window.partitionBy("job_id").orderBy("sel_ord", "group_ord", "chain_ord", "chain_id")
+    order = Window.partitionBy("job_id").orderBy("sel_ord", "group_ord", "chain_ord", "file_ord", "chain_id")
     chosen = good.withColumn("chain", (F.row_number().over(order) - 1).cast("long")).withColumn(
         "_n", F.count(F.lit(1)).over(Window.partitionBy("job_id")))
     selected = chosen.where("_n >= 2").select(

@@ -39,13 +39,18 @@ def number(start: int, end: int, kind: str = "int") -> Column:
 
 
 def with_models(lines: DataFrame) -> DataFrame:
-    """Add the record name and the model each line belongs to (model 0 where none is opened)."""
+    """Add the record name and the model each line belongs to.
+
+    Lines before the first MODEL belong to it; model 0 stands for files without any.
+    """
     rec = F.upper(F.rpad(field(0, 6), 6, " "))
     file = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     opened = F.when(F.col("rec") == "MODEL ", F.coalesce(number(6, 20), F.lit(0)))
+    whole = Window.partitionBy("path")
+    first = F.min_by(opened, F.when(opened.isNotNull(), F.col("line_no"))).over(whole)
     return lines.withColumn("rec", rec).withColumn(
-        "model_ord", F.count(opened).over(file).cast("int")).withColumn(
-        "model_no", F.coalesce(F.last(opened, ignorenulls=True).over(file), F.lit(0)))
+        "model_ord", F.greatest(F.count(opened).over(file), F.when(F.count(opened).over(whole) > 0, 1).otherwise(0)).cast("int")).withColumn(
+        "model_no", F.coalesce(F.last(opened, ignorenulls=True).over(file), first, F.lit(0)))
 
 
 def atoms(lines: DataFrame) -> DataFrame:
@@ -55,9 +60,10 @@ def atoms(lines: DataFrame) -> DataFrame:
     is_atom = F.col("rec").isin("ATOM  ", "HETATM") & (F.length("line") > 53)
     near = modelled.where(F.col("rec").isin("ATOM  ", "HETATM", "TER   ")).withColumn(
         "_own", F.when(is_atom, field(21, 22)))
-    named = near.withColumn("_last", F.last("_own", ignorenulls=True).over(file))
+    named = near.withColumn("_last", F.last("_own", ignorenulls=True).over(file)).withColumn("_seen", F.collect_set("_own").over(file))
     ter = (F.col("rec") == "TER   ") & (F.length("line") >= 21)
-    ended = F.when(F.length("line") > 21, field(21, 22)).otherwise(F.col("_last"))
+    # a TER that names no chain seen so far ends the last one
+    ended = F.when((F.length("line") > 21) & F.array_contains("_seen", field(21, 22)), field(21, 22)).otherwise(F.col("_last"))
     chained = named.withColumn("chain_id", F.when(ter, ended).otherwise(F.col("_own")))
     by_chain = Window.partitionBy(*CHAIN)
     first_ter = F.min(F.when(F.col("rec") == "TER   ", F.col("line_no"))).over(by_chain)
@@ -85,12 +91,12 @@ def atoms(lines: DataFrame) -> DataFrame:
 def atom_residues(atom_rows: DataFrame) -> DataFrame:
     """Residues seen in atoms, with their alpha carbon, unwanted hetero ends trimmed.
 
-    A residue is hetero if all of its atoms are; leading and trailing hetero residues without an alpha
+    A residue is hetero if all of its atoms are, and named by its first ATOM record if it has one; leading and trailing hetero residues without an alpha
     carbon go, and chains of nothing but unterminated hetero atoms go altogether.
     """
     carbon = F.col("name") == " CA "
     grouped = atom_rows.groupBy(*CHAIN, "run").agg(
-        F.min_by("res_name", "atom_ord").alias("res_name"), F.min("res_num").alias("res_num"),
+        F.min_by("res_name", F.struct("is_het", "atom_ord")).alias("res_name"), F.min("res_num").alias("res_num"),
         F.min("ins_code").alias("ins_code"), F.min("is_het").alias("is_het"), F.max(carbon).alias("has_ca"),
         F.max("has_ter").alias("has_ter"),
         F.min_by(F.struct("x", "y", "z"), F.when(carbon, F.col("atom_ord"))).alias("ca"),
@@ -221,6 +227,11 @@ def residues(lines: DataFrame, use_seqres: bool = True, renumber: bool = False,
     plain = seen.withColumn("res_idx", (F.row_number().over(order) - 1).cast("int"))
     if use_seqres:
         chains = seen.select(*CHAIN).distinct()
+        # chains that only SEQRES knows exist in every model, without coordinates
+        models = chains.select("path", "model_ord", "model_no").distinct()
+        named = seqres(lines).select("path", "chain_id").distinct().join(chains.select("path", "chain_id").distinct(), ["path", "chain_id"], "left_anti")
+        chains = chains.unionByName(named.join(models, "path", "left").select(
+            "path", F.coalesce("model_ord", F.lit(0)).alias("model_ord"), F.coalesce("model_no", F.lit(0)).alias("model_no"), "chain_id"))
         sequence = chains.join(seqres(lines), ["path", "chain_id"])
         covered = sequence.select(*CHAIN).distinct()
         left = spread(seen.join(covered, CHAIN, "left_semi"), CHAIN).groupBy(*CHAIN)
@@ -235,13 +246,20 @@ def residues(lines: DataFrame, use_seqres: bool = True, renumber: bool = False,
 
 
 def chain_names(lines: DataFrame, residue_rows: DataFrame) -> DataFrame:
-    """One row per chain with its id string: the file name, its chain, or the one given by a remark."""
+    """One row per chain with its place in the file and its id string: the file name, its chain, or the one given by a remark."""
     remark = lines.where(F.col("line").rlike("^REMARK 987 CHAIN . FROM ")).select(
         "path", F.substring("line", 18, 1).alias("chain_id"), F.trim(F.expr("substring(line, 25)")).alias("_given")).dropDuplicates(["path", "chain_id"])
     base = F.regexp_replace(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(gz|Z)$", ""), r"\.(pdb|ent)$", "")
     chains = residue_rows.groupBy(*CHAIN).agg(F.count(F.lit(1)).cast("int").alias("length"))
+    first = lines.withColumn("_rec", F.upper(F.rpad(field(0, 6), 6, " "))).where(F.col("_rec").isin("ATOM  ", "HETATM", "SEQRES")).withColumn(
+        "chain_id", F.when(F.col("_rec") == "SEQRES", field(11, 12)).otherwise(field(21, 22)))
+    # file order: by the first atom of a chain, then by its first SEQRES line
+    atom_line, any_line = F.min(F.when(F.col("_rec") != "SEQRES", F.col("line_no"))), F.min("line_no")
+    first = first.groupBy("path", "chain_id").agg(F.struct(atom_line.isNull().alias("none"), F.coalesce(atom_line, any_line).alias("at")).alias("_first"))
     own = F.when(F.col("chain_id") == " ", base).otherwise(F.concat_ws(":", base, "chain_id"))
-    return chains.join(remark, ["path", "chain_id"], "left").select(*CHAIN, "length", F.coalesce("_given", own).alias("id_string"))
+    placed = chains.join(first, ["path", "chain_id"], "left").withColumn(
+        "file_ord", F.row_number().over(Window.partitionBy("path", "model_ord").orderBy("_first", "chain_id")) - 1).drop("_first")
+    return placed.join(remark, ["path", "chain_id"], "left").select(*CHAIN, "length", "file_ord", F.coalesce("_given", own).alias("id_string"))
 
 
 def ordered_records(lines: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

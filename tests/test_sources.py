@@ -162,3 +162,22 @@ def test_selecting_chains(spark):
     assert {j for j, p in texts if p == "fewer than two chains"} == {2, 3, 4, 5}
     ready = jobs.job_residues(chosen, rows).where("job_id = 1 AND chain = 0").orderBy("res_idx").collect()
     assert [(r.res_idx, r.res_num) for r in ready] == [(0, 2), (1, 3), (2, 4)]
+
+
+def test_loader_follows_the_file(spark):
+    """Chains in file order, atoms before MODEL, TER of an unknown chain, SEQRES-only chains, renamed HET residues."""
+    def het(serial, name, res, chain, num, x):
+        return atom(serial, name, res, chain, num, x).replace("ATOM  ", "HETATM", 1)
+
+    text = "\n".join([
+        "SEQRES   1 C    2  GLY VAL", atom(1, " CA ", "ALA", "B", 1, 1.0), "MODEL        1", het(2, " N  ", "MSE", "B", 2, 2.0),
+        atom(3, " CA ", "MET", "B", 2, 2.5), "TER       4      MET Z   2", atom(5, " CA ", "GLY", "B", 3, 3.0), atom(6, " CA ", "SER", "A", 1, 4.0),
+        "ENDMDL", "CISPEP   1 MET B    2    ALA B    1          2       0.00", "SSBOND   1 CYS B    1    CYS B    2"])
+    lines = lines_of(spark, {"x.pdb": text})
+    rows = pdb.residues(lines)
+    found = sorted((r.chain_id, r.model_ord, r.model_no, r.res_idx, r.res_name) for r in rows.collect())
+    assert found == [("A", 1, 1, 0, "SER"), ("B", 1, 1, 0, "ALA"), ("B", 1, 1, 1, "MET"), ("C", 1, 1, 0, "GLY"), ("C", 1, 1, 1, "VAL")]
+    order = [r.chain_id for r in pdb.chain_names(lines, rows).orderBy("file_ord").collect()]
+    assert order == ["B", "A", "C"]
+    notes = pdb.annotations(lines, rows)
+    assert notes["cispeps"].count() == 0 and [(r.model_ord, r.res1, r.res2) for r in notes["ssbonds"].collect()] == [(1, 0, 1)]
