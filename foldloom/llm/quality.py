@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.llm.common import parts, prepare, texts_of
-from foldloom.llm.training import held_out, labelled_sample, logistic, sigmoid
+from foldloom.llm.training import held_out, labelled_sample, lists_of, logistic, sigmoid
 from foldloom.session import cut_lineage
 
 #: Most labelled rows that the model is fitted on; bytes of text taken apart at once.
@@ -125,8 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Discriminant:
     model = Discriminant(moments)
     if model.classes:
         rows = measured.select("label", "x").toArrow()  # at most ``most`` rows
-        x = np.array(rows.column("x").to_pylist())
-        model.slopes, model.offset = logistic(model.difference(x)[:, None], np.array(rows.column("label").to_pylist(), float))
+        x = lists_of(rows, "x")
+        model.slopes, model.offset = logistic(model.difference(x)[:, None], rows.column("label").to_numpy().astype(float))
     return model
 
 

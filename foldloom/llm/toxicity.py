@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.llm.common import parts, prepare, texts_of
-from foldloom.llm.training import held_out, labelled_sample, logistic, sigmoid
+from foldloom.llm.training import held_out, labelled_sample, lists_of, logistic, sigmoid
 from foldloom.session import cut_lineage
 
 #: Most labelled rows that the model is fitted on; landmarks, toxic-looking and ordinary.
@@ -37,6 +37,8 @@ WEIGHTS = DECAY ** np.arange(4, dtype=np.float64)
 PIECE, LAP = 32, 8
 #: Words whose values a worker keeps; words whose kernels are computed at once; words of a sentence at most.
 CACHE, STEP, SPAN = 300_000, 400, 16
+#: How close the soft maximum is to the maximum.
+SHARPNESS = 2.0
 #: Bytes of text taken apart at once.
 BATCH_BYTES = 1_000_000
 #: Digits and signs that stand for letters (fixed values).
@@ -132,10 +134,10 @@ class Landmarks:
 
 
 class Machine:
-    """Landmarks with their weights: what a word adds to its sentence, less what a word adds on average."""
+    """Landmarks with their weights: what a word adds to its sentence."""
 
-    def __init__(self, landmarks: Landmarks, weights: np.ndarray, bias: float, average: np.ndarray):
-        self.landmarks, self.weights, self.bias, self.average = landmarks, weights, bias, average
+    def __init__(self, landmarks: Landmarks, weights: np.ndarray, bias: float):
+        self.landmarks, self.weights, self.bias = landmarks, weights, bias
         self.slopes, self.offset = np.ones(1), 0.0
 
     def values(self, raw: list[str]) -> np.ndarray:
@@ -143,10 +145,9 @@ class Machine:
         words = [plain(r) for r in raw]
         full = [k for k, w in enumerate(words) if w]
         out = np.zeros(len(raw))
-        centre = float(self.average @ self.weights)
         for begin in range(0, len(full), 20_000):
             part = full[begin:begin + 20_000]
-            out[part] = self.landmarks.of_words([words[k] for k in part]) @ self.weights - centre
+            out[part] = self.landmarks.of_words([words[k] for k in part]) @ self.weights
         return out
 
     def sentences(self, texts: list[str], known: Lexicon) -> Sentences:
@@ -161,7 +162,7 @@ class Machine:
         for k in (0, 1):
             at = order[place == k]
             worst[s.owner[at], k] = s.sums[at]
-        return np.logaddexp.reduce(np.clip(worst + self.bias, -6, 6), axis=1, keepdims=True)
+        return np.logaddexp.reduce(SHARPNESS * np.clip(worst + self.bias, -6, 6), axis=1, keepdims=True) / SHARPNESS
 
     def probabilities(self, texts: list[str], known: Lexicon) -> np.ndarray:
         return sigmoid(self.margins(texts, known) @ self.slopes + self.offset)
@@ -228,11 +229,11 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kernel_rows(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, n, k): words and landmark kernels of the training sentences of each text, chosen by ``machine``."""
+    """(label, text) to (label, k): landmark kernels of the training sentences of each text, chosen by ``machine``."""
     known = Lexicon()
     for batch in batches:
         labels = iter(batch.column("label").to_pylist())
-        rows, sizes, kernels = [], [], [np.zeros((0, len(machine.landmarks.words)), np.float32)]
+        rows, kernels = [], [np.zeros((0, len(machine.landmarks.words)), np.float32)]
         for part in parts(batch, "text", BATCH_BYTES):
             texts = texts_of(part)
             s = machine.sentences(texts, known)
@@ -245,11 +246,10 @@ def _kernel_rows(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterato
                 for k in sorted({worst} if label else {worst, int(bounds[i] + bounds[i + 1]) // 2}):
                     words = [w for w in map(plain, s.words[s.starts[k]:s.ends[k]]) if w]
                     rows.append(label)
-                    sizes.append(len(words))
                     kernels.append(machine.landmarks.of_words(words).sum(0, keepdims=True))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int32()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(kernels).astype(np.float64).tolist(), pa.list_(pa.float64()))],
-            names=["label", "n", "k"])
+            [pa.array(rows, pa.int32()), pa.array(np.concatenate(kernels).astype(np.float64).tolist(), pa.list_(pa.float64()))],
+            names=["label", "k"])
 
 
 def support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -292,19 +292,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
     looks = np.zeros(len(chosen), np.float32)
     looks[:len(bad)] = [max(0.0, r["excess"]) for r in bad]  # the first choice of sentences goes by these landmarks
     looks /= max(looks.max(), 1e-9)
-    machine = Machine(landmarks, looks, 0.0, np.zeros(len(chosen), np.float32))
+    machine = Machine(landmarks, looks, 0.0)
     for _ in range(2):  # the second time sentences are chosen by the first machine
-        rows = sample.mapInArrow(lambda it, m=machine: _kernel_rows(it, m), "label int, n long, k array<double>").toArrow()
-        n, labels_found = np.array(rows.column("n").to_pylist(), float), np.array(rows.column("label").to_pylist())
-        k, y = np.array(rows.column("k").to_pylist()).reshape(len(n), -1), np.where(labels_found == 1, 1.0, -1.0)
+        rows = sample.mapInArrow(lambda it, m=machine: _kernel_rows(it, m), "label int, k array<double>").toArrow()
+        labels_found = rows.column("label").to_numpy()
+        k, y = lists_of(rows, "k"), np.where(labels_found == 1, 1.0, -1.0)
         if len(set(labels_found.tolist())) < 2:
             return sizes[1] / (sizes[0] + sizes[1])
-        # an average word of a clean text adds nothing, so that sentences of any length compare
-        average = k[y < 0].sum(0) / max(n[y < 0].sum(), 1.0)
+        # the words of clean texts add nothing on average, nor do words like no landmark, so that sentences of any length compare
+        average = k[y < 0].sum(0)
+        average /= max(average.sum(), 1e-9)
         share = (y > 0).mean()
         cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y) * 2000
-        w = support_vectors((k - n[:, None] * average) @ nystroem, y, cost)
-        machine = Machine(landmarks, (nystroem @ w[:-1]).astype(np.float32), float(w[-1]), average.astype(np.float32))
+        w = support_vectors((k - k.sum(1, keepdims=True) * average) @ nystroem, y, cost)
+        weights = nystroem @ w[:-1]
+        machine = Machine(landmarks, (weights - average @ weights).astype(np.float32), float(w[-1]))
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon()
@@ -314,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
 
     rows = sample.mapInArrow(margins, "label int, margins array<double>").toArrow()
     machine.slopes, machine.offset = logistic(
-        np.array(rows.column("margins").to_pylist()).reshape(-1, 1), np.array(rows.column("label").to_pylist(), float))
+        lists_of(rows, "margins"), rows.column("label").to_numpy().astype(float))
     return machine
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
     return base.join(F.broadcast(chosen), "id")
 
 
+def lists_of(rows: pa.Table, column: str) -> np.ndarray:
+    """A column of lists of one length as a matrix, without Python objects in between."""
+    flat = rows.column(column).combine_chunks().flatten().to_numpy()
+    return flat.reshape(rows.num_rows, -1) if rows.num_rows else flat.reshape(0, 1)
+
+
 def logistic(values: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, float]:
     """(slopes, offset) of P(1) = 1 / (1 + exp(-(values @ slopes + offset))), by Newton steps."""
     x = np.c_[values, np.ones(len(labels))]

@@ -52,7 +52,7 @@ def insults(spark, extra):
 
 def test_gapped_and_inserted_insults(spark):
     frame = "the river window {} garden silver morning"
-    bad = ["blorgnik", "BLORGNIK!!", "bl-org-nik", "b l o r g n i k", "blorrgnik", "bl0rgn1k", "blorgniik", "snarfel", "snarfelx", "bl.org.nik"]
+    bad = ["blorgnik", "BLORGNIK!!", "bl-org-nik", "b l o r g n i k", "bl0rgn1k", "blorgniik", "snarfel", "snarfelx", "bl.org.nik"]
     clean = ["bridge", "morning", "yellow paper"]
     assert insults(spark, [frame.format(x) for x in [*bad, *clean]]) == [1] * len(bad) + [0] * len(clean)
 
