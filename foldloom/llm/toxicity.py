@@ -38,7 +38,7 @@ PIECE, LAP = 32, 8
 #: Words whose values a worker keeps; words whose kernels are computed at once; words of a sentence at most.
 CACHE, STEP, SPAN = 300_000, 400, 16
 #: How close the soft maximum is to the maximum.
-SHARPNESS = 2.0
+SHARPNESS = 4.0
 #: Bytes of text taken apart at once.
 BATCH_BYTES = 1_000_000
 #: Digits and signs that stand for letters (fixed values).
