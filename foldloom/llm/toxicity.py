@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import parts, prepare, texts_of
+from foldloom.llm.common import parts, prepare, release, texts_of
 from foldloom.llm.training import held_out, labelled_sample, lists_of, logistic, sigmoid
 from foldloom.session import cut_lineage
 
@@ -36,11 +36,11 @@ WEIGHTS = DECAY ** np.arange(4, dtype=np.float64)
 #: Longest stretch of letters compared as one word; longer ones are cut into overlapping pieces.
 PIECE, LAP = 32, 8
 #: Words whose values a worker keeps; words whose kernels are computed at once; words of a sentence at most.
-CACHE, STEP, SPAN = 300_000, 400, 16
+CACHE, STEP, SPAN = 200_000, 400, 16
 #: How close the soft maximum is to the maximum.
 SHARPNESS = 4.0
 #: Bytes of text taken apart at once.
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 500_000
 #: Digits and signs that stand for letters (fixed values).
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -250,6 +250,8 @@ def _kernel_rows(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterato
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows, pa.int32()), pa.array(np.concatenate(kernels).astype(np.float64).tolist(), pa.list_(pa.float64()))],
             names=["label", "k"])
+    del known
+    release()
 
 
 def support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -313,6 +315,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine | flo
         for batch in batches:
             found = [m for part in parts(batch, "text", BATCH_BYTES) for m in machine.margins(texts_of(part), known).tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], names=["label", "margins"])
+        del known
+        release()
 
     rows = sample.mapInArrow(margins, "label int, margins array<double>").toArrow()
     machine.slopes, machine.offset = logistic(
@@ -337,6 +341,8 @@ def toxicity_scores(
                 else:
                     values += model.probabilities(texts_of(part), known).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(values, pa.float64())], names=["doc_id", "th", "score"])
+        del known
+        release()
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     out = base.mapInArrow(score, "doc_id long, th long, score double")
