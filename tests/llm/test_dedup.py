@@ -152,6 +152,85 @@ def test_lines_as_brute_force(spark):
         assert [x for x in texts[i].split("\n") if not counts(x)] == [x for x in left if not counts(x)] or got[i] == ""
 
 
+def word_edits(a, b, most):
+    """Word edit distance, or most + 1 beyond."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def test_every_similar_line_is_found(spark):
+    """Lines with evenly spread edits, at the least similarity that links, and just below it."""
+    rng = np.random.default_rng(11)
+    rows, gone = [], set()
+    for i, n in enumerate([*range(5, 31), 40, 50, 80, 200]):
+        base = [f"w{i}x{k}" for k in range(n)]
+        k = line_dedup.slack(n, 0.8)
+        for j, edits in enumerate((k, k, k + 1)):
+            words = list(base)
+            spots = [int((p + 0.5) * n / edits) for p in range(edits)] if j != 1 else rng.choice(n, edits, replace=False)
+            for p in spots:
+                words[p] = f"y{i}j{j}p{p}"
+            rows.append((1000 * (j + 1) + i, " ".join(words)))
+            if j < 2:
+                gone.add(1000 * (j + 1) + i)
+        dropped = [w for p, w in enumerate(base) if p not in {int((q + 0.5) * n / k) for q in range(k)}]
+        rows += [(i, " ".join(base)), (9000 + i, " ".join(dropped))]
+        if len(dropped) >= 5:
+            gone.add(9000 + i)
+    got = lines_kept(spark, rows)
+    texts = dict(rows)
+    removed = {r[0] for r in got if r[2]}
+    assert gone <= removed
+    for i in {i for i, _ in rows} - gone:
+        if i in removed:  # near one of the others, not the base
+            near = [texts[o].split() for o in texts if o % 1000 == i % 1000 and o != i]
+            w = texts[i].split()
+            assert any(word_edits(w, v, m := line_dedup.slack(max(len(w), len(v)), 0.8)) <= m for v in near)
+
+
+def test_similar_lines_of_the_table_as_brute_force(spark):
+    """All pairs of lines of 5 to 400 words that share words enough are compared; the same groups are found."""
+    docs = table(spark, SF, "documents").where("length(text) < 4000")
+    places: dict = {}
+    for r in docs.orderBy("doc_id").collect():
+        for k, x in enumerate(r.text.split("\n")):
+            w = tuple(x.lower().replace("\t", " ").replace("\r", " ").strip(" ").split(" "))
+            if len(w) >= 5:
+                places.setdefault(w, []).append((r.doc_id, k))
+    lines = list(places)
+    where: dict = {}
+    for i, w in enumerate(lines):
+        for x in set(w):
+            where.setdefault(x, []).append(i)
+    pairs = []
+    for i, w in enumerate(lines):
+        # of slack + 1 of the longer's words one is left; the rarest are looked at
+        rare = sorted(w, key=lambda x: len(where[x]))[:line_dedup.slack(len(w) * 5 // 4 + 1, 0.8) + 1]
+        for j in {j for x in rare for j in where[x] if j < i}:
+            v = lines[j]
+            most = line_dedup.slack(max(len(w), len(v)), 0.8)
+            if abs(len(w) - len(v)) <= most and len(set(w) ^ set(v)) <= 2 * most and word_edits(w, v, most) <= most:
+                pairs.append((i, j))
+    root = roots(range(len(lines)), pairs)
+    groups: dict = {}
+    for i, w in enumerate(lines):
+        groups.setdefault(root[i], []).extend(places[w])
+    expected: dict = {}
+    for members in groups.values():
+        for d, k in sorted(members)[1:]:
+            expected.setdefault(d, set()).add(k)
+    base = line_dedup.keyed(docs, "doc_id", "text").select("id", "th", "text")
+    got = {r.id: set(r.lines) for r in line_dedup.repeated_lines(base).collect()}
+    assert got == expected and len(pairs) > 20
+
+
 def brute_vectors(rows, cosine=0.95):
     v = np.array([r[1] for r in rows], float)
     u = v / np.linalg.norm(v, axis=1)[:, None]
