@@ -190,6 +190,16 @@ def test_values_that_fail_are_left_alone(spark):
     assert pii.pseudonymise(spark.createDataFrame([], DOCS), "k").collect() == []
 
 
+def test_values_without_three_digits_in_a_row(spark):
+    """Values in groups of one or two digits are found where a text holds nothing else, and stay linked."""
+    values = ["+49 30 12 34 56", "+33 12 34 56 78 90", "41 11 11 11 11 11 11 11", "-".join("4111111111111111")]
+    out = replaced(spark, [t for v in values for t in (f"see {v}", f"in 2024 see {v}")])
+    for k, v in enumerate(values):
+        alone, other = out[2 * k], out[2 * k + 1]
+        assert [f.value for f in alone.found] == [v] and alone.found == other.found
+        assert alone.text == f"see {alone.found[0].new}" != f"see {v}" and other.text == f"in 2024 {alone.text}"
+
+
 def test_permutations_map_no_two_values_to_one(spark):
     numbers = spark.range(1000).select(F.col("id"), F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     for n in numbers.select(pii.permuted_digits(F.col("d"), "k", "x").alias("p")).distinct().collect():
