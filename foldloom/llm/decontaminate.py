@@ -6,8 +6,9 @@ most 3 are substituted holds at least one seed of one mask undisturbed (a test g
 cases).  Benchmark and document seeds meet in an equi-join; the alignments that hits point to are
 verified: a leak is a window of ``WINDOW`` aligned tokens of which ``percent`` are equal.
 
-Items shorter than the window are compared over their whole length and get a third, short mask;
-items with fewer tokens than that mask are too short to tell and match nothing.
+Items shorter than the window are compared over their whole length and get two more, short masks
+(the second for items of five tokens whose middle one is substituted); items with fewer tokens than
+the first are too short to tell and match nothing.
 
 Defined results: null or empty texts match nothing; a null item id is reported as null; rows
 repeated in full are one document; extra columns are carried along, never read.
@@ -24,7 +25,7 @@ from foldloom.session import cut_lineage
 WINDOW = 15
 #: Fixed masks: positions of the tokens that count.
 MASKS = ((0, 3, 6, 7, 8), (0, 1, 2, 6, 8))
-SHORT_MASK = (0, 1, 2)
+SHORT_MASKS = ((0, 1, 2), (0, 1, 3))
 
 
 def _hashed(text: Column) -> Column:
@@ -60,9 +61,9 @@ def leaks(
     """(id, th, item_id, matched, window): per leaking document and item, the best window."""
     items = cut_lineage(
         benchmark.select(F.col(item_col).alias("item"), _hashed(F.col(item_text)).alias("tokens"))
-        .where(F.size("tokens") >= len(SHORT_MASK)).distinct())
+        .where(F.size("tokens") >= len(SHORT_MASKS[0])).distinct())
     short = items.where(F.size("tokens") < WINDOW).limit(1).count() > 0
-    masks = (*MASKS, SHORT_MASK) if short else MASKS
+    masks = (*MASKS, *SHORT_MASKS) if short else MASKS
     seeds = _item_seeds(items.where(F.size("tokens") >= WINDOW), MASKS)
     if short:
         seeds = seeds.union(_item_seeds(items.where(F.size("tokens") < WINDOW), masks))

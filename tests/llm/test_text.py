@@ -57,6 +57,18 @@ def test_masks_miss_no_window():
             for mask in decontaminate.MASKS for start in range(decontaminate.WINDOW - mask[-1]))
 
 
+def test_masks_miss_no_short_item():
+    """The same for items of 3 to 15 tokens, with as many substituted as 80 % leave."""
+    for n in range(len(decontaminate.SHORT_MASKS[0]), decontaminate.WINDOW + 1):
+        masks = decontaminate.MASKS if n == decontaminate.WINDOW else (*decontaminate.MASKS, *decontaminate.SHORT_MASKS)
+        for lost in combinations(range(n), n // 5):
+            assert any(all(start + k not in lost for k in mask) for mask in masks for start in range(n - mask[-1])), (n, lost)
+
+
+def test_a_short_item_with_its_middle_word_substituted_leaks(spark):
+    assert leaks(spark, [(1, "so alpha beta other delta epsilon there", *EXTRA)], [(10, "alpha beta gamma delta epsilon", "t", 1)]) == [(1, 10)]
+
+
 def leaks(spark, docs, items):
     found = decontaminate.leaks(
         spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string, th string, id long"))
