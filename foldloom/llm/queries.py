@@ -15,6 +15,7 @@ from foldloom.llm import (
     minhash_dedup,
     pii,
     quality,
+    shard_cuts,
     token_count,
     toxicity,
     vector_dedup,
@@ -92,6 +93,11 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_cuts.byte_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 ORACLES["op7_minhash_dedup"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -137,3 +143,42 @@ roots AS (SELECT start, min(goal) AS root FROM reached GROUP BY start),
 counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
 FROM embeddings JOIN roots ON start = vec_id LEFT JOIN counts ON x = vec_id"""
+
+# CRC-32 of a byte string given in hexadecimal (DuckDB has no such function)
+CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS x)"""
+
+
+def crc_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)),
+  lambda c, b: xor(x[xor(c, b) % 256 + 1], c >> 8)), 4294967295)"""
+
+
+# ends: running sizes of the ordered groups; search: binary search, one greedy shard a step; needed: sweep from the end
+ORACLES["op13_minimax_shards"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+rows_ AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS g FROM documents),
+ends AS (SELECT g, sum(size) OVER (ORDER BY g) AS e, size AS s FROM (SELECT g, sum(size) AS size FROM rows_ GROUP BY g)),
+total AS (SELECT max(e) AS t, max(s) AS m FROM ends),
+search AS (
+  SELECT greatest(m, (t + 7) // 8)::BIGINT AS lo, t::BIGINT AS hi, 0::BIGINT AS pos, 0 AS used, t::BIGINT AS t FROM total WHERE t IS NOT NULL
+  UNION ALL
+  SELECT CASE WHEN used = 8 AND pos < t THEN (lo + hi) // 2 + 1 ELSE lo END, CASE WHEN pos = t THEN (lo + hi) // 2 ELSE hi END,
+    CASE WHEN pos = t OR used = 8 THEN 0 ELSE (SELECT coalesce(max(e), 0)::BIGINT FROM ends WHERE e <= pos + (lo + hi) // 2) END,
+    CASE WHEN pos = t OR used = 8 THEN 0 ELSE used + 1 END, t
+  FROM search WHERE lo < hi),
+capacity AS (SELECT lo AS c, t FROM search WHERE lo = hi LIMIT 1),
+needed AS (
+  SELECT 8 AS j, t AS p, c FROM capacity
+  UNION ALL SELECT j - 1, (SELECT min(e)::BIGINT FROM (SELECT e FROM ends UNION ALL SELECT 0) WHERE e >= greatest(p - c, 0)), c FROM needed WHERE j > 1),
+cuts AS (
+  SELECT 0 AS j, 0::BIGINT AS p, t FROM capacity
+  UNION ALL
+  SELECT k.j + 1, greatest(
+    (SELECT coalesce(max(e), 0)::BIGINT FROM ends WHERE e <= k.p + (k.t - k.p + 7 - k.j) // (8 - k.j)),
+    (SELECT min(e)::BIGINT FROM ends WHERE e > k.p), (SELECT n.p FROM needed n WHERE n.j = k.j + 1)), k.t
+  FROM cuts k WHERE k.j < 7 AND k.p < k.t),
+placed AS (SELECT r.*, (SELECT count(*) FROM cuts WHERE j > 0 AND p < x.e)::INT AS shard FROM rows_ r JOIN ends x ON x.g = r.g)
+SELECT doc_id, size, {crc_sql('t')} AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY g, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard FROM placed, crc_table"""
