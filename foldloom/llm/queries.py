@@ -18,6 +18,7 @@ from foldloom.llm import (
     shard_cuts,
     token_count,
     toxicity,
+    turn_repair,
     vector_dedup,
     word_table_bpe,
 )
@@ -93,6 +94,11 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")), absent=F.col("absent"))
+
+
 @query
 def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_cuts.byte_shards(table(spark, sf_dir, "documents"), shards=8)
@@ -182,3 +188,59 @@ cuts AS (
 placed AS (SELECT r.*, (SELECT count(*) FROM cuts WHERE j > 0 AND p < x.e)::INT AS shard FROM rows_ r JOIN ends x ON x.g = r.g)
 SELECT doc_id, size, {crc_sql('t')} AS text_crc32, 'bytes' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY g, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard FROM placed, crc_table"""
+
+
+# from the last row backwards, for each state of the grammar: cost, edits and lines of the cheapest way on
+_GO_ON = "[{c: 0, a: '', t: ''}, {c: 10, a: 'II', t: 'user:\nassistant:\n'}, {c: 5, a: 'I', t: 'assistant:\n'}, {c: 0, a: '', t: ''}]"
+
+
+def _way(cost: str, letter: str, line: str, rest: str) -> str:
+    return f"{{c: {cost} + {rest}.c, a: '{letter}' || {rest}.a, t: {line} || {rest}.t}}"
+
+
+def _row_ways(q: int) -> str:
+    """Cheapest edit of a row in state q (1 nothing yet, 2 after s, 3 after u, 4 after a)."""
+    free, line = (4, "'assistant:' || txt || chr(10)") if q == 3 else (3, "'user:' || txt || chr(10)")
+    kept = "CASE " + {1: "WHEN kind = 's' THEN 2 ", 2: "", 3: "", 4: ""}[q] + f"WHEN kind = '{'a' if q == 3 else 'u'}' THEN {free} END"
+    keep = f"CASE WHEN NOT forced AND ({kept}) IS NOT NULL THEN {_way('late', 'K', 'ln', f'v[{kept}]')} END"
+    rerole = f"CASE WHEN NOT forced THEN {_way('1 + late', 'R', line, f'v[{free}]')} END"
+    return f"list_min([{_way('2', 'D', chr(39) * 2, f'v[{q}]')}, {keep}, {rerole}])"
+
+
+def _inserted(costs: str) -> str:
+    return "[" + ", ".join("list_min([w[{q}], {way}])".format(q=q, way=_way(
+        "5", "I", "'assistant:' || chr(10)" if q == 3 else "'user:' || chr(10)", f"{costs}[{4 if q == 3 else 3}]")) for q in range(1, 5)) + "]"
+
+
+ORACLES["op11_turn_repair"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+fates AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS r0, coalesce(text, ' ') AS t0,
+    {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate FROM conversations, crc_table),
+alive AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE r0 END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(t0, '.!?', '') ELSE t0 END AS txt
+  FROM fates JOIN (VALUES (0), (1)) c(copy) ON copy = 0 OR fate = 3 WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER rows_ AS i, left(role, 1) AS initial,
+    lag(left(role, 1)) OVER rows_ AS prev, trim(txt, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS words
+  FROM alive WINDOW rows_ AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 32), left(txt, 64), md5(role || chr(0) || txt))),
+judged AS (
+  SELECT *, CASE WHEN words = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, txt) THEN 'duplicate' WHEN right(words, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+rows_ AS (
+  SELECT conv_id, i, txt, role || ':' || txt || chr(10) AS ln, initial AS kind, fault IN ('blank', 'duplicate') AS forced,
+    CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS late FROM judged),
+sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND prev || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, n AS i, {_GO_ON} AS v FROM sums
+  UNION ALL
+  SELECT conv_id, i - 1, {_inserted('x')} FROM (SELECT *, {_inserted('w')} AS x FROM (
+    SELECT p.conv_id, p.i, [{', '.join(_row_ways(q) for q in range(1, 5))}] AS w
+    FROM ways p JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i WHERE p.i > 0)))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].a, '') AS audit,
+  sha256(coalesce(left(v[1].t, length(v[1].t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ways w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = 0"""
