@@ -16,6 +16,7 @@ from foldloom.llm import (
     pii,
     quality,
     shard_cuts,
+    token_alignment,
     token_count,
     toxicity,
     turn_repair,
@@ -99,6 +100,12 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")), absent=F.col("absent"))
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokenizers(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_cuts.byte_shards(table(spark, sf_dir, "documents"), shards=8)
