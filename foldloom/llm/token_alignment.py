@@ -21,8 +21,11 @@ null id stays null; an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +38,7 @@ from foldloom.llm.common import parts, prepare
 from foldloom.session import cut_lineage
 
 #: Windows that a worker remembers, and pairs that are sent to all workers.
-MEMO, FREQUENT = 150_000, 1_000_000
+MEMO, FREQUENT = 100_000, 1_000_000
 #: Bytes of text handed to the libraries at once.
 BATCH_BYTES = 200_000
 #: A pair of ids is packed as ``a << B_BITS | b``.
@@ -46,12 +49,15 @@ RESULT = (*COUNTS, "n_best", "count_sum", "groups_sha256")
 
 
 class Side:
-    """Bytes of every token of a vocabulary, as lists and as arrays by id."""
+    """Bytes of every token of a vocabulary, their number, and ids as text before each mark, by id."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
-        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.lengths = [len(t) for t in tokens]
+        self.names = {mark: np.array([f"{k}{mark}" for k in range(len(tokens))], object) for mark in ",|;"}
+        self.sizes = np.array(self.lengths, np.int32)
         self.spaced = np.array([t.startswith(b" ") for t in tokens], bool)
+        self.hollow = 0 in self.lengths
 
 
 def byte_letters() -> dict[str, int]:
@@ -88,31 +94,48 @@ def load_b(path: str):
         bytes([int(p[1:-1], 16)]) if library.is_byte(k) else p.replace(SPACE_MARK, " ").encode() for k, p in enumerate(pieces)])
 
 
-def align_window(a: list[int], b: list[int], side_a: Side, side_b: Side) -> tuple[str, int, list[int]]:
-    """Groups as text, their number, and packed links of a window whose sides spell the same bytes."""
-    groups, links = [], []
-    i = j = first_i = first_j = at_a = at_b = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and (at_a <= at_b or j == len(b)):
-            at_a += len(side_a.tokens[a[i]])
-            i += 1
-        else:
-            at_b += len(side_b.tokens[b[j]])
-            j += 1
-        if at_a == at_b and i > first_i and j > first_j:
-            # tokens without bytes, if a vocabulary has them, end where the one before them ends
-            ends_a, ends_b = last_ones(a[first_i:i], side_a), last_ones(b[first_j:j], side_b)
-            links += [x << B_BITS | y for x in ends_a for y in ends_b]
-            groups.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-            first_i, first_j = i, j
-    return ";".join(groups), len(groups), links
-
-
-def last_ones(ids: list[int], side: Side) -> list[int]:
-    k = len(ids) - 1
-    while k > 0 and not side.tokens[ids[k]]:
-        k -= 1
-    return ids[k:]
+Window = tuple[str, int, bytes]
+
+
+def align_windows(windows: list[tuple[list[int], list[int]]], side_a: Side, side_b: Side) -> list[Window]:
+    """Groups as text, their number, and packed links of windows whose two sides spell the same bytes.
+
+    The windows are laid end to end and aligned at once: sides that spell the same bytes end together
+    at every window's end.
+    """
+    if side_a.hollow or side_b.hollow:
+        return [align_hollow(a, b, side_a, side_b) for a, b in windows]
+    a, b = (np.array([k for w in windows for k in w[side]], np.int64) for side in (0, 1))
+    ends_a, ends_b = np.cumsum(side_a.sizes[a]), np.cumsum(side_b.sizes[b])
+    marks = np.zeros(ends_a[-1] + 1, np.uint8)
+    marks[ends_a] = 1
+    marks[ends_b] |= 2
+    last_a, last_b = marks[ends_a] == 3, marks[ends_b] == 3
+    groups_a, groups_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b  # groups ended before each token
+    # tokens in order of the text that shows them: those of a group's A side, then those of its B side
+    shown = np.empty(len(a) + len(b), object)
+    first_b = np.concatenate([[0], np.flatnonzero(last_b) + 1])
+    shown[np.arange(len(a)) + first_b[groups_a]] = np.where(last_a, side_a.names["|"][a], side_a.names[","][a])
+    shown[np.arange(len(b)) + np.flatnonzero(last_a)[groups_b] + 1] = np.where(last_b, side_b.names[";"][b], side_b.names[","][b])
+    shown = shown.tolist()
+    links = (a[last_a] << B_BITS | b[last_b]).tobytes()
+    at_a = np.cumsum([0, *(len(w[0]) for w in windows)])
+    at = (at_a + np.cumsum([0, *(len(w[1]) for w in windows)])).tolist()
+    groups = [0, *np.cumsum(last_a)[at_a[1:] - 1].tolist()]
+    return [
+        ("".join(shown[x:y])[:-1], h - g, links[8 * g:8 * h]) for x, y, g, h in zip(at, at[1:], groups, groups[1:], strict=False)]
+
+
+def align_hollow(a: list[int], b: list[int], side_a: Side, side_b: Side) -> Window:
+    """The same of one window for vocabularies with tokens without bytes, which end where the token before them ends."""
+    ends_a, ends_b = (np.cumsum([side.lengths[k] for k in ids]).tolist() for ids, side in ((a, side_a), (b, side_b)))
+    groups, links, low_a, low_b = [], [], 0, 0
+    for end in sorted(set(ends_a) & set(ends_b)):
+        high_a, high_b = bisect_right(ends_a, end), bisect_right(ends_b, end)
+        links += [x << B_BITS | y for x in a[bisect_left(ends_a, end):high_a] for y in b[bisect_left(ends_b, end):high_b]]
+        groups.append(",".join(map(str, a[low_a:high_a])) + "|" + ",".join(map(str, b[low_b:high_b])))
+        low_a, low_b = high_a, high_b
+    return ";".join(groups), len(groups), array("q", links).tobytes()
 
 
 class Aligner:
@@ -121,51 +144,71 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.library_a, self.a = load_a(path_a)
         self.library_b, self.b = load_b(path_b)
-        self.memo: dict[tuple[bytes, bytes], tuple[str, int, list[int]]] = {}
+        # bytes are merged and never changed if nothing is normalised: such a side spells every text
+        self.lossless_a = self.library_a.normalizer is None
+        self.memo: dict[bytes, Window] = {}
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         a = self.library_a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         b = self.library_b.encode(texts, num_threads=1)
-        return [(e.ids, list(f)) for e, f in zip(a, b, strict=True)]
+        return ((e.ids, f) for e, f in zip(a, b, strict=True))
 
     def spells(self, text: str, a: list[int], b: list[int]) -> bool:
         whole = (" " + text).encode()
-        return b"".join(map(self.a.tokens.__getitem__, a)) == whole and b"".join(map(self.b.tokens.__getitem__, b)) == whole
+        return b"".join(map(self.b.tokens.__getitem__, b)) == whole and (
+            self.lossless_a and len(whole) == sum(map(self.a.lengths.__getitem__, a)) or b"".join(map(self.a.tokens.__getitem__, a)) == whole)
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
         """First token of every window on either side, and the number of tokens as the last entry."""
-        ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        ends_a, ends_b = np.cumsum(self.a.sizes[a], dtype=np.int32), np.cumsum(self.b.sizes[b], dtype=np.int32)
         next_a, next_b = np.flatnonzero(self.a.spaced[a[1:]]), np.flatnonzero(self.b.spaced[b[1:]])
-        ends = np.zeros(ends_a[-1] + 1, np.uint8)
-        ends[ends_a[next_a]] = 1
-        ends[ends_b[next_b]] |= 2
-        shared = ends == 3
+        before_a, before_b = ends_a[next_a], ends_b[next_b]
+        marks = np.zeros(ends_a[-1] + 1, np.uint8)
+        marks[before_a] = 1
+        marks[before_b] |= 2
         return (
-            [0, *(next_a[shared[ends_a[next_a]]] + 1).tolist(), len(a)],
-            [0, *(next_b[shared[ends_b[next_b]]] + 1).tolist(), len(b)])
-
-    def align(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, list[int]] | None:
-        """(n_a, n_b, n_groups, digest, links) of a text, None without tokens."""
-        if not text or not self.spells(text, a, b):
-            return None
-        ids_a, ids_b = np.array(a, np.uint32), np.array(b, np.uint32)
+            [0, *(next_a[marks[before_a] == 3] + 1).tolist(), len(a)], [0, *(next_b[marks[before_b] == 3] + 1).tolist(), len(b)])
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, int, str, bytes]]:
+        """(n_a, n_b, n_groups, digest, links as packed 64-bit numbers) of each text.
+
+        Texts that are spelled are laid end to end: each begins with a space on either side and has the
+        same bytes on both, so its start is an anchor too.
+        """
+        none = (0, 0, 0, "", b"")
+        out: list[tuple[int, int, int, str, bytes]] = []
+        all_a: list[int] = []
+        all_b: list[int] = []
+        spelled = []
+        for text, (a, b) in zip(texts, self.encode(texts), strict=True):
+            if text and self.spells(text, a, b):
+                spelled.append((len(out), len(a), len(b)))
+                all_a += a
+                all_b += b
+            out.append(none)
+        if not spelled:
+            return out
+        ids_a, ids_b = (np.frombuffer(array("I", ids), np.uint32) for ids in (all_a, all_b))
         cuts_a, cuts_b = self.windows(ids_a, ids_b)
-        raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
+        raw_a, raw_b = ids_a.tobytes(), (ids_b | np.uint32(1 << 31)).tobytes()  # the marks keep the two halves of a key apart
+        at_a, at_b = ([4 * c for c in cuts] for cuts in (cuts_a, cuts_b))
+        keys = [raw_a[i:i_end] + raw_b[j:j_end] for i, i_end, j, j_end in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        shown, links, n_groups = [], [], 0
-        i = j = 0
-        for i_end, j_end in zip(cuts_a[1:], cuts_b[1:], strict=True):
-            key = raw_a[4 * i:4 * i_end], raw_b[4 * j:4 * j_end]
-            found = memo.get(key)
-            if found is None:
-                found = memo[key] = align_window(a[i:i_end], b[j:j_end], self.a, self.b)
-            shown.append(found[0])
-            n_groups += found[1]
-            links += found[2]
-            i, j = i_end, j_end
-        return len(a), len(b), n_groups, hashlib.sha256(";".join(shown).encode()).hexdigest(), links
+        found = list(map(memo.get, keys))
+        new = list({keys[k]: k for k, known in enumerate(found) if known is None}.items())
+        if new:
+            windows = [(all_a[cuts_a[k]:cuts_a[k + 1]], all_b[cuts_b[k]:cuts_b[k + 1]]) for _, k in new]
+            memo.update(zip([key for key, _ in new], align_windows(windows, self.a, self.b), strict=True))
+            found = list(map(memo.get, keys))
+        k = end = 0
+        for place, n_a, n_b in spelled:
+            end += n_a
+            mine = found[k:(k := bisect_left(cuts_a, end))]
+            shown, links = ";".join([f[0] for f in mine]), b"".join([f[2] for f in mine])
+            out[place] = (n_a, n_b, sum([f[1] for f in mine]), hashlib.sha256(shown.encode()).hexdigest(), links)
+        return out
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -178,31 +221,26 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 
 def align_texts(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and one for each batch with the sums of its links."""
+    """A row for each document, and one for each part of a batch with the sums of its links."""
     tool = aligner(path_a, path_b)
+    gc.disable()  # a pass makes no cycles, and collections would walk all remembered windows each time
     for batch in batches:
-        numbers, shas, links = [], [], []
         for part in parts(batch, "text", BATCH_BYTES):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            for text, (a, b) in zip(texts, tool.encode(texts), strict=True):
-                n_a, n_b, n_groups, sha, found = tool.align(text, a, b) or (0, 0, 0, "", [])
-                numbers.append((n_a, n_b, n_groups, len(found)))
-                shas.append(sha)
-                links.append(np.array(found, np.int64))
-        n = batch.num_rows
-        flat = np.concatenate([*links, np.zeros(0, np.int64)])
-        pairs, sums = np.unique(flat, return_counts=True)
-        offsets = np.cumsum([0, *(len(x) for x in links)])
-        none = pa.nulls(1)
-        counts = np.array(numbers, np.int64).reshape(-1, len(COUNTS))
-        columns = {
-            "id": pa.concat_arrays([batch.column("id"), none.cast(batch.column("id").type)]),
-            "row": pa.concat_arrays([batch.column("row"), none.cast(pa.int64())]),
-            **{name: pa.array([*counts[:, k].tolist(), None], pa.int64()) for k, name in enumerate(COUNTS)},
-            "groups_sha256": pa.array([*shas, None], pa.string()),
-            "links": pa.ListArray.from_arrays(pa.array([*offsets, offsets[-1] + len(pairs)], pa.int32()), pa.array(np.concatenate([flat, pairs]))),
-            "sums": pa.ListArray.from_arrays(pa.array([*[0] * (n + 1), len(sums)], pa.int32()), pa.array(sums.astype(np.int64)))}
-        yield pa.RecordBatch.from_pydict(columns)
+            rows = tool.align([t or "" for t in part.column("text").to_pylist()])
+            flat = np.frombuffer(b"".join(links for *_, links in rows), np.int64)
+            pairs, sums = np.unique(flat, return_counts=True)
+            sizes = [len(links) // 8 for *_, links in rows]
+            offsets = np.cumsum([0, *sizes, len(pairs)])
+            none = pa.nulls(1)
+            numbers = [[*(r[k] for r in rows), None] for k in range(3)] + [[*sizes, None]]
+            yield pa.RecordBatch.from_pydict({
+                "id": pa.concat_arrays([part.column("id"), none.cast(part.column("id").type)]),
+                "row": pa.concat_arrays([part.column("row"), none.cast(pa.int64())]),
+                **{name: pa.array(values, pa.int64()) for name, values in zip(COUNTS, numbers, strict=True)},
+                "groups_sha256": pa.array([*(r[3] for r in rows), None], pa.string()),
+                "links": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([flat, pairs]))),
+                "sums": pa.ListArray.from_arrays(pa.array([*[0] * (len(rows) + 1), len(sums)], pa.int32()), pa.array(sums.astype(np.int64)))})
+    gc.enable()
 
 
 def look_up(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBatch]:

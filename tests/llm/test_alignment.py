@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 
 import public_tokenizers
@@ -101,11 +102,22 @@ def test_no_rows_and_no_tokens(spark):
 
 
 def test_windows_split_nothing():
-    """A document cut at its anchors aligns as the whole does."""
+    """A document cut at its anchors aligns as the whole does, also among others."""
     tool = token_alignment.Aligner(A, B)
-    for text in ["the cat sat", "  gaps   and\n lines", "naïve 日本 x y"]:
-        [(a, b)] = tool.encode([text])
-        whole = token_alignment.align_window(a, b, tool.a, tool.b)
-        n_a, n_b, n_groups, sha, links = tool.align(text, a, b)
+    texts = ["the cat sat", "", "  gaps   and\n lines", "▁", "naïve 日本 x y"]
+    for (n_a, n_b, n_groups, sha, links), (a, b), text in zip(tool.align(texts), list(tool.encode(texts)), texts, strict=True):
+        if text in ("", "▁"):
+            assert (n_a, n_b, n_groups, sha, links) == (0, 0, 0, "", b"")
+            continue
+        [whole] = token_alignment.align_windows([(a, b)], tool.a, tool.b)
         assert (n_a, n_b, n_groups, links) == (len(a), len(b), whole[1], whole[2]) and sha == hashlib.sha256(whole[0].encode()).hexdigest()
+        assert whole == token_alignment.align_hollow(a, b, tool.a, tool.b)
     assert len(tool.memo) > 6
+
+
+def test_tokens_without_bytes():
+    """They end where the token before them ends and are linked there too."""
+    side_a, side_b = token_alignment.Side([b"ab", b"", b"c"]), token_alignment.Side([b"a", b"b", b"c", b""])
+    groups, n, links = token_alignment.align_windows([([0, 1, 2], [0, 1, 3, 2])], side_a, side_b)[0]
+    pairs = [(x >> token_alignment.B_BITS, x & (1 << token_alignment.B_BITS) - 1) for x in array("q", links)]
+    assert (groups, n) == ("0,1|0,1,3;2|2", 2) and pairs == [(0, 1), (0, 3), (1, 1), (1, 3), (2, 2)]
