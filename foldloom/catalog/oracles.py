@@ -293,41 +293,11 @@ made AS (
 SELECT k AS job_id, file, has_selector, s.g AS group_ord, s.c AS chain_ord, s.m AS model, s.l AS chain, s.a AS range_first, s.b AS code_first,
   s.y AS range_last, s.z AS code_last FROM made""",
     "hydrogen_bonds": f"WITH {BONDS} SELECT job_id, chain, donor, acceptor, round(energy, 2) AS energy, rank FROM bonds",
-    "helix_runs": f"""WITH {BONDS},
-steps2 AS (SELECT DISTINCT job_id, chain, least(donor, acceptor) AS i, abs(donor - acceptor) AS step, CAST(donor > acceptor AS INTEGER) AS back
-  FROM bonds WHERE abs(donor - acceptor) IN (3, 4, 5)),
-isl AS (SELECT *, i - row_number() OVER (PARTITION BY chain, step, back ORDER BY i) AS island FROM steps2)
-SELECT job_id, chain, min(i) AS start, CAST(count(*) + step - 1 + back AS INTEGER) AS length, CASE step WHEN 4 THEN 1 WHEN 3 THEN 5 ELSE 3 END AS class
-FROM isl GROUP BY job_id, chain, step, back, island HAVING count(*) >= 2""",
     "pairwise_pvalue": f"""WITH {NEIGHBOURS},
 zs AS (SELECT job_id, chain, (rmsd - 0.155e0*len + 1.6018e0)/2.13065e0 AS z FROM sized),
 slices AS (SELECT job_id, chain, z/1000 AS h, unnest(range(1000)) AS i FROM zs)
 SELECT job_id, chain, round(0.5e0 + sum(h/6 * (exp(-0.5e0*(h*i)*(h*i)) + 4*exp(-0.5e0*(h*(i+0.5e0))*(h*(i+0.5e0)))
   + exp(-0.5e0*(h*(i+1))*(h*(i+1))))) / sqrt(2*pi()), 5) AS pvalue FROM slices GROUP BY job_id, chain""",
-    "strand_ladders": f"""WITH {BONDS},
-b AS (SELECT DISTINCT job_id, chain, donor, acceptor FROM bonds),
-rungs AS (
-  SELECT x.job_id, x.chain, -1 AS direction, x.donor AS i, x.acceptor AS j FROM b x
-  WHERE x.donor < x.acceptor AND EXISTS (SELECT 1 FROM b y WHERE y.chain = x.chain AND y.donor = x.acceptor AND y.acceptor = x.donor)
-  UNION ALL
-  SELECT x.job_id, x.chain, 1, x.donor, x.acceptor + 1 FROM b x
-  WHERE EXISTS (SELECT 1 FROM b y WHERE y.chain = x.chain AND y.donor = x.acceptor + 2 AND y.acceptor = x.donor)),
-isl AS (
-  SELECT *, j - direction*i AS diagonal, i - 2*row_number() OVER (PARTITION BY chain, direction, j - direction*i, i % 2 ORDER BY i) AS island FROM rungs),
-runs AS (SELECT job_id, chain, direction, diagonal, min(i) AS lo, max(i) AS hi FROM isl GROUP BY job_id, chain, direction, diagonal, island),
-grown AS (
-  SELECT *, CAST(EXISTS (SELECT 1 FROM b WHERE b.chain = r.chain AND b.donor = hi + 2
-      AND b.acceptor = diagonal + direction*hi + CASE WHEN direction = -1 THEN -2 ELSE 1 END) AS INTEGER) AS after,
-    CAST(EXISTS (SELECT 1 FROM b WHERE b.chain = r.chain AND b.acceptor = lo - 2
-      AND b.donor = diagonal + direction*lo + CASE WHEN direction = -1 THEN 2 ELSE -1 END) AS INTEGER) AS ahead FROM runs r),
-ladders AS (
-  SELECT job_id, chain, direction, lo - ahead AS s1, diagonal + direction*(lo - ahead) AS s2, hi + after - lo + ahead + 1 AS length FROM grown),
-low AS (
-  SELECT job_id, chain, least(s1, s2) AS start1, greatest(s1, s2) AS start2, direction, length, abs(s2 - direction*s1) AS d
-  FROM ladders WHERE length >= 2),
-reached AS (
-  SELECT *, max(start1 + length - 1) OVER (PARTITION BY chain, direction, d ORDER BY start1, length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM low)
-SELECT job_id, chain, start1, start2, direction, length FROM reached WHERE r IS NULL OR direction = -1 OR start1 > r""",
 }
 
 # The rotation from the covariance C in closed form: ((k + |C|^2) C + l cof(C) - C C^T C) / (k l - det C), k = (l^2 - |C|^2) / 2, where
@@ -349,3 +319,195 @@ twice AS (SELECT * REPLACE ({_NEWTON} AS l) FROM once),
 kappa AS (SELECT *, (l*l-q)/2 AS k FROM twice),
 turned AS (SELECT *, {_ROTATION} FROM kappa)
 SELECT grp, side1, side2, p1, p2, len, {', '.join(f'CASE WHEN round({e}, 4) = 0 THEN 0 ELSE round({e}, 4) END AS {n}' for n, e in _MAP.items())} FROM turned"""
+
+
+# Staged search and chaining over all matches of a chain pair: theta joins for the hinges, one recursion over side-1 columns for each pass.
+def _pass(k: int, min_score: float, displacement: float) -> str:
+    """CTEs of one pass: matches admitted to the gaps of the chain before, their edges, best sums by column, the chain."""
+    if k == 1:
+        admitted = f"SELECT *, CAST(0 AS BIGINT) AS g_in, CAST(0 AS BIGINT) AS g_out FROM cand WHERE score >= {min_score}"
+    else:
+        admitted = f"""
+  SELECT n.* EXCLUDE (cnt, ok), coalesce(b.ord, cnt) AS g_in, coalesce(b.ord + 1, cnt) AS g_out
+  FROM (SELECT c.*, count(*) FILTER (r.p1 + r.len <= c.p1) AS cnt, coalesce(bool_and(
+          (r.p1 + r.len <= c.p1 AND r.p2 + r.len <= c.p2) OR (c.p1 + c.len <= r.p1 AND c.p2 + c.len <= r.p2)), true) AS ok
+        FROM cand c LEFT JOIN chain{k - 1} r ON r.g = c.g GROUP BY ALL) n
+  LEFT JOIN chain{k - 1} b ON b.g = n.g AND b.id = n.id WHERE b.id IS NOT NULL OR (ok AND n.score >= {min_score})"""
+    bounds = "0" if k == 1 else f"coalesce((SELECT count(*) FROM chain{k - 1} r WHERE r.g = d.g), 0)"
+    return f""",
+adm{k} AS MATERIALIZED ({admitted}),
+step{k} AS MATERIALIZED (
+  SELECT e.* FROM edges e JOIN adm{k} a ON a.g = e.g AND a.id = e.before JOIN adm{k} b ON b.g = e.g AND b.id = e.after
+  WHERE a.g_out = b.g_in AND displacement <= {displacement}),
+dp{k} AS (
+  SELECT g, id, p1, g_in, g_out, score, -1 AS c, CAST(NULL AS DOUBLE) AS total, CAST(NULL AS BIGINT) AS back FROM adm{k}
+  UNION ALL
+  SELECT d.g, d.id, d.p1, d.g_in, d.g_out, d.score, d.c + 1,
+    CASE WHEN d.p1 <> d.c + 1 THEN d.total WHEN w.v >= CASE d.g_in WHEN 0 THEN 0 ELSE -5000 END THEN CASE WHEN w.v >= 0 THEN w.v + d.score END
+         WHEN d.g_in = 0 THEN d.score END,
+    CASE WHEN d.p1 = d.c + 1 AND w.v >= CASE d.g_in WHEN 0 THEN 0 ELSE -5000 END THEN w.before ELSE d.back END
+  FROM dp{k} d LEFT JOIN (
+    SELECT e.g, e.after, max(f.total + e.bonus) AS v, arg_max(e.before, f.total + e.bonus) AS before
+    FROM dp{k} f JOIN step{k} e ON e.g = f.g AND e.before = f.id WHERE f.total IS NOT NULL GROUP BY e.g, e.after) w
+    ON w.g = d.g AND w.after = d.id AND d.p1 = d.c + 1
+  WHERE d.c < 20),
+done{k} AS MATERIALIZED (SELECT * FROM dp{k} d WHERE c = 20 AND total IS NOT NULL),
+path{k} AS (
+  SELECT g, arg_max(id, total) AS id FROM done{k} d WHERE g_out = {bounds} GROUP BY g
+  UNION ALL SELECT d.g, d.back FROM path{k} p JOIN done{k} d ON d.g = p.g AND d.id = p.id WHERE d.back IS NOT NULL),
+chain{k} AS MATERIALIZED (
+  SELECT a.*  EXCLUDE (g_in, g_out), d.total, row_number() OVER (PARTITION BY a.g ORDER BY a.id) - 1 AS ord
+  FROM path{k} p JOIN adm{k} a ON a.g = p.g AND a.id = p.id JOIN done{k} d ON d.g = p.g AND d.id = p.id)"""
+
+
+def _moved(m: str, p: str) -> list[str]:
+    return [f"{m}.r{3*k}*{p}.x + {m}.r{3*k+1}*{p}.y + {m}.r{3*k+2}*{p}.z + {m}.t{c}" for k, c in enumerate("xyz")]
+
+
+def _apart(one: list[str], two: list[str]) -> str:
+    return "sqrt(" + " + ".join(f"(({a}) - ({b}))**2" for a, b in zip(one, two, strict=True)) + ")"
+
+
+_TURNED = ORACLES["rotation_maps"].split("\nSELECT grp, side1")[0].replace("score >= 1.6", "score >= 0.6").replace("WITH", "WITH RECURSIVE", 1)
+SEARCH = _TURNED + f""",
+cand AS MATERIALIZED (
+  SELECT concat_ws(':', grp, side1, side2) AS g, (CAST(p1 AS BIGINT) << 34) + (CAST(p2 AS BIGINT) << 4) + len AS id, grp, side1, side2, p1, p2, len, score,
+    {', '.join(f'r{n}' for n in range(9))}, {_MAP['tx']} AS tx, {_MAP['ty']} AS ty, {_MAP['tz']} AS tz FROM turned),
+hinges AS (
+  SELECT a.g, a.id AS before, b.id AS after, a.p2 + a.len - 1 AS end2,
+    sqrt(greatest({' + '.join(f'a.r{n}*b.r{n}' for n in range(9))} + 1, 0)/4) AS half_cosine,
+    ({_apart(_moved('a', 'e'), _moved('b', 'e'))} + {_apart(_moved('a', 's'), _moved('b', 's'))})/2 AS displacement
+  FROM cand a JOIN cand b ON a.g = b.g AND a.p1 + a.len <= b.p1 AND a.p2 + a.len <= b.p2
+  JOIN res e ON e.chain = a.side2 AND e.res_idx = a.p2 + a.len - 1 JOIN res s ON s.chain = b.side2 AND s.res_idx = b.p2),
+edges AS MATERIALIZED (
+  SELECT g, before, after, end2, displacement, -ln((1 - cos(greatest(2*acos(least(half_cosine, 1)), 0.1e0)))/2) + 4 - displacement AS bonus
+  FROM hinges WHERE half_cosine >= cos(pi()/8) AND displacement <= 10)""" + _pass(1, 2.0, 4) + _pass(2, 1.6, 5) + _pass(3, 0.6, 10)
+ORACLES["pair_regions"] = SEARCH + """
+SELECT g AS grp, CAST(ord AS INTEGER) AS ord, p1, p2, len, round(score, 3) AS score, round(total, 3) AS total FROM chain3"""
+ORACLES["pair_alignment"] = SEARCH + """
+SELECT grp AS job_id, g AS grp, side1 AS aln1, side2 AS aln2, round(arg_max(total, ord), 3) AS score, CAST(sum(len) AS INTEGER) AS n_cols,
+  CAST(count(*) AS INTEGER) AS n_blocks FROM chain3 GROUP BY ALL"""
+
+# Helices as scanned: at every position of a chain the run that begins there, forward bonds first, unless a helix still covers it.
+ORACLES["helix_runs"] = f"""WITH RECURSIVE {BONDS},
+b AS (SELECT DISTINCT job_id, chain, donor, acceptor FROM bonds),
+spots AS (SELECT c.*, step, CAST(i AS INTEGER) AS i FROM (SELECT DISTINCT job_id, chain FROM b) c, (SELECT unnest([3, 4, 5]) AS step), (SELECT unnest(range(21)) AS i)),
+runs AS (
+  SELECT job_id, chain, step, i,
+    (SELECT min(k) FROM (SELECT unnest(range(22)) AS k) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.chain = s.chain AND donor = s.i + k AND acceptor = s.i + k + step)) AS f,
+    (SELECT min(k) FROM (SELECT unnest(range(22)) AS k) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.chain = s.chain AND acceptor = s.i + k AND donor = s.i + k + step)) AS r
+  FROM spots s),
+scan AS (
+  SELECT job_id, chain, step, -1 AS i, 0 AS free, CAST(NULL AS INTEGER) AS length FROM runs WHERE i = 0
+  UNION ALL
+  SELECT n.job_id, n.chain, n.step, n.i, CAST(CASE WHEN n.i < free THEN free WHEN f >= 2 THEN n.i + f WHEN r >= 2 THEN n.i + r ELSE free END AS INTEGER),
+    CAST(CASE WHEN n.i < free THEN NULL WHEN f >= 2 THEN f + n.step - 1 WHEN r >= 2 THEN r + n.step END AS INTEGER)
+  FROM scan p JOIN runs n ON n.chain = p.chain AND n.step = p.step AND n.i = p.i + 1)
+SELECT job_id, chain, i AS start, length, CASE step WHEN 4 THEN 1 WHEN 3 THEN 5 ELSE 3 END AS class FROM scan WHERE length IS NOT NULL"""
+
+# Ladders as scanned: each bond in order walks its rungs both ways, unless a ladder accepted before pairs its residues.
+_ALIGNED = """len(list_filter(acc, lambda p: p.s1 <= least({a}, {b}) AND least({a}, {b}) < p.s1 + p.n
+      AND p.s2 + p.d * (least({a}, {b}) - p.s1) = greatest({a}, {b}))) > 0"""
+
+
+def _walk(i: str, j: str, donor: str, acceptor: str) -> str:
+    """Rungs in a row from a rung, k = 0 included; ``i``, ``j`` and the closing bond as functions of k."""
+    return f"""(SELECT min(k) FROM (SELECT unnest(range(22)) AS k) WHERE NOT (
+      EXISTS (SELECT 1 FROM b y WHERE y.chain = x.chain AND y.donor = {i} AND y.acceptor = {j})
+      AND EXISTS (SELECT 1 FROM b y WHERE y.chain = x.chain AND y.donor = {donor} AND y.acceptor = {acceptor})))"""
+
+
+def _bond(donor: str, acceptor: str) -> str:
+    return f"CAST(EXISTS (SELECT 1 FROM b y WHERE y.chain = x.chain AND y.donor = {donor} AND y.acceptor = {acceptor}) AS INTEGER)"
+
+
+ORACLES["strand_ladders"] = f"""WITH RECURSIVE {BONDS},
+b AS MATERIALIZED (SELECT DISTINCT job_id, chain, donor, acceptor FROM bonds),
+walks AS MATERIALIZED (
+  SELECT x.*, row_number() OVER (PARTITION BY chain ORDER BY donor, acceptor) AS nr,
+    {_walk('x.donor + 2*k', 'x.acceptor - 2*k', 'x.acceptor - 2*k', 'x.donor + 2*k')} AS au,
+    {_walk('x.donor - 2*k', 'x.acceptor + 2*k', 'x.acceptor + 2*k', 'x.donor - 2*k')} AS ad,
+    {_walk('x.donor + 2*k', 'x.acceptor + 2*k', 'x.acceptor + 2*k + 2', 'x.donor + 2*k')} AS pu,
+    {_walk('x.donor - 2*k', 'x.acceptor - 2*k', 'x.acceptor - 2*k + 2', 'x.donor - 2*k')} AS pd FROM b x),
+ends AS MATERIALIZED (
+  SELECT job_id, chain, donor, acceptor, nr,
+    CASE WHEN au > 0 THEN 2*(ad-1) + {_bond('x.acceptor + 2*ad', 'x.donor - 2*ad')} END AS below,
+    CASE WHEN au > 0 THEN 2*(au-1) + {_bond('x.donor + 2*au', 'x.acceptor - 2*au')} END AS above,
+    CASE WHEN pu > 0 THEN 2*(pd-1) + {_bond('x.acceptor + 1 - 2*(pd-1) - 1', 'x.donor - 2*pd')} END AS p_below,
+    CASE WHEN pu > 0 THEN 2*(pu-1) + {_bond('x.donor + 2*pu', 'x.acceptor + 1 + 2*(pu-1) + 1')} END AS p_above FROM walks x),
+offers AS (
+  SELECT job_id, chain, donor, acceptor, nr,
+    CASE WHEN below + above >= 1 THEN CASE WHEN donor - below < acceptor + below THEN {{s1: donor - below, s2: acceptor + below, d: -1, n: below + above + 1}}
+      ELSE {{s1: acceptor - above, s2: donor + above, d: -1, n: below + above + 1}} END
+    WHEN p_below + p_above >= 1 THEN {{s1: least(donor, acceptor + 1) - p_below, s2: greatest(donor, acceptor + 1) - p_below, d: 1, n: p_below + p_above + 1}} END AS offer
+  FROM ends),
+scan AS (
+  SELECT DISTINCT job_id, chain, CAST(0 AS BIGINT) AS nr, list_filter([offer], lambda p: false) AS acc FROM offers
+  UNION ALL
+  SELECT o.job_id, o.chain, o.nr, CASE WHEN offer IS NULL OR {_ALIGNED.format(a='donor', b='acceptor')} OR {_ALIGNED.format(a='donor', b='acceptor + 1')}
+    THEN acc ELSE list_append(acc, offer) END
+  FROM scan s JOIN offers o ON o.chain = s.chain AND o.nr = s.nr + 1),
+final AS (SELECT job_id, chain, unnest(arg_max(acc, nr)) AS p FROM scan GROUP BY job_id, chain)
+SELECT job_id, chain, CAST(p.s1 AS INTEGER) AS start1, CAST(p.s2 AS INTEGER) AS start2, CAST(p.d AS INTEGER) AS direction, CAST(p.n AS INTEGER) AS length FROM final"""
+
+# Sheets by walking: one step of the recursion adds a ladder to either end of the open sheet, or begins the next one.
+ORACLES["beta_sheets"] = ORACLES["strand_ladders"].rsplit("\nSELECT", 1)[0] + f""",
+ladders AS MATERIALIZED (
+  SELECT job_id, chain, p.s1 AS s1, p.s2 AS s2, p.d AS d, p.n AS n, row_number() OVER (PARTITION BY chain ORDER BY p.s1, p.s2, p.d, p.n) AS pair FROM final),
+sides AS (
+  SELECT chain, pair, t AS turned, CASE t WHEN 0 THEN s1 + k ELSE s2 + d*k END AS near, CASE t WHEN 0 THEN s2 + d*k ELSE s1 + k END AS far
+  FROM (SELECT *, unnest(range(n)) AS k FROM ladders), (VALUES (0), (1)) v(t)),
+follows AS MATERIALIZED (
+  SELECT DISTINCT a.chain, a.pair AS pair1, a.turned AS turned1, b.pair AS pair2, b.turned AS turned2
+  FROM sides a JOIN sides b ON a.chain = b.chain AND a.far = b.near AND a.pair <> b.pair
+  JOIN pts p1 ON p1.chain = a.chain AND p1.res_idx = a.near JOIN pts p2 ON p2.chain = a.chain AND p2.res_idx = a.far
+  JOIN pts p3 ON p3.chain = a.chain AND p3.res_idx = b.far
+  WHERE (p2.x-p1.x)*(p3.x-p2.x) + (p2.y-p1.y)*(p3.y-p2.y) + (p2.z-p1.z)*(p3.z-p2.z) > 0),
+walk AS (
+  SELECT DISTINCT job_id, chain, 0 AS step, 0 AS sheet, [{{q: CAST(1 AS BIGINT), t: 0}}] AS row_, [CAST(1 AS BIGINT)] AS placed, false AS over FROM ladders
+  UNION ALL
+  SELECT job_id, chain, step + 1, CASE WHEN ended THEN sheet + 1 ELSE sheet END,
+    CASE WHEN ended THEN [{{q: fresh, t: 0}}] ELSE list_concat(list_concat(CASE WHEN l IS NULL THEN [] ELSE [l] END, row_), CASE WHEN r IS NULL THEN [] ELSE [r] END) END,
+    list_concat(placed, CASE WHEN ended THEN [fresh] ELSE list_filter([l.q, r.q], lambda q: q IS NOT NULL) END), false
+  FROM (SELECT *, l IS NULL AND r IS NULL AS ended,
+      (SELECT min(pair) FROM ladders n WHERE n.chain = x.chain AND NOT list_contains(x.placed, n.pair)) AS fresh
+    FROM (SELECT y.*, (SELECT arg_min({{q: pair2, t: turned2}}, pair2*2 + turned2) FROM follows f WHERE f.chain = y.chain AND f.pair1 = row_[-1].q
+            AND f.turned1 = row_[-1].t AND NOT list_contains(list_transform(row_, lambda w: w.q), f.pair2) AND (l IS NULL OR f.pair2 <> l.q)) AS r
+      FROM (SELECT s.*, (SELECT arg_min({{q: pair2, t: 1 - turned2}}, pair2*2 + turned2) FROM follows f WHERE f.chain = s.chain AND f.pair1 = row_[1].q
+              AND f.turned1 = 1 - row_[1].t AND NOT list_contains(list_transform(row_, lambda w: w.q), f.pair2)) AS l FROM walk s) y) x)
+  WHERE NOT ended OR fresh IS NOT NULL),
+whole AS (SELECT job_id, chain, sheet, arg_max(row_, step) AS row_ FROM walk GROUP BY job_id, chain, sheet),
+cells AS (SELECT job_id, chain, sheet, unnest(row_) AS w, unnest(range(len(row_))) AS ord FROM whole)
+SELECT c.job_id, c.chain, c.sheet, CAST(ord AS INTEGER) AS ord,
+  CAST(CASE WHEN w.t = 0 THEN s1 WHEN d < 0 THEN s2 - n + 1 ELSE s2 END AS INTEGER) AS start1,
+  CAST(CASE WHEN w.t = 0 THEN s2 WHEN d < 0 THEN s1 + n - 1 ELSE s1 END AS INTEGER) AS start2, CAST(d AS INTEGER) AS direction, CAST(n AS INTEGER) AS length
+FROM cells c JOIN ladders l ON l.chain = c.chain AND l.pair = w.q"""
+
+_LADDERS = ORACLES["strand_ladders"].rsplit("\nSELECT", 1)[0] + f""",
+names AS (SELECT * FROM (VALUES {', '.join(f"('{letter}', '{name}')" for name, letter in RESIDUES[:20])}) t(letter, res_name)),
+ladders AS (
+  SELECT job_id, chain, p.s1 AS s1, p.s2 AS s2, p.d AS d, p.n AS n, row_number() OVER (PARTITION BY chain ORDER BY p.s1, p.s2, p.d, p.n) AS sheet FROM final),
+named AS (SELECT chain, res_idx, res_name || ' A' || lpad(CAST(res_idx + 1 AS VARCHAR), 4, ' ') || ' ' AS t FROM pts JOIN names USING (letter))"""
+
+
+def _strand(strand: int, sense: str, first: str, last: str, ties: str) -> str:
+    tail = f"""'  O  ' || c.t || '  N  ' || p.t""" if ties else "''"
+    joins = f"JOIN named c ON c.chain = l.chain AND c.res_idx = s2 + d*(n // 2) JOIN named p ON p.chain = l.chain AND p.res_idx = s1 + n // 2 + CASE WHEN d > 0 THEN 1 ELSE 0 END" if ties else ""
+    return f"""
+SELECT l.job_id, l.chain, CAST(2*sheet - {2 - strand} AS INTEGER) AS ord, rpad('SHEET    {strand} ' || lpad(CAST(sheet AS VARCHAR), 3, ' ') || ' 2 ' || a.t || ' ' || b.t
+  || lpad(CAST({sense} AS VARCHAR), 2, ' ') || {tail}, 80, ' ') AS line
+FROM ladders l JOIN named a ON a.chain = l.chain AND a.res_idx = {first} JOIN named b ON b.chain = l.chain AND b.res_idx = {last} {joins}"""
+
+
+ORACLES["sheet_records"] = _LADDERS + _strand(1, "0", "s1", "s1 + n - 1", "") + "\nUNION ALL" + _strand(
+    2, "d", "CASE WHEN d < 0 THEN s2 - n + 1 ELSE s2 END", "CASE WHEN d < 0 THEN s2 ELSE s2 + n - 1 END", "yes")
+ORACLES["sheet_registration"] = _LADDERS + """
+SELECT job_id || '/' || chain AS path, 0 AS model_ord, 'A' AS chain_id, CAST(sheet AS VARCHAR) AS sheet_id, 2 AS strand, CAST(s1 AS INTEGER) AS start1,
+  CAST(s2 AS INTEGER) AS start2, CAST(d AS INTEGER) AS direction, CAST(n AS INTEGER) AS length FROM ladders"""
+
+ORACLES["hinge_edges_between_matches"] = SEARCH.split(",\nedges AS MATERIALIZED")[0] + """
+SELECT h.g AS grp, concat_ws('-', a.p1, a.p2, a.len) AS "before", concat_ws('-', b.p1, b.p2, b.len) AS "after",
+  round(half_cosine, 4) AS half_cosine, round(displacement, 4) AS displacement,
+  round(-ln((1 - cos(greatest(2*acos(least(half_cosine, 1)), 0.1e0)))/2) + 4 - displacement, 4) AS bonus
+FROM hinges h JOIN cand a ON a.g = h.g AND a.id = h.before JOIN cand b ON b.g = h.g AND b.id = h.after
+WHERE a.score >= 1.6 AND b.score >= 1.6 AND half_cosine >= cos(pi()/8) AND displacement <= 5"""

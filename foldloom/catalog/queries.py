@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions import geometry as g
@@ -297,16 +297,26 @@ def hinge_edges_between_matches(spark, sf_dir):
         F.concat_ws("-", "p1", "p2", "len").alias("id")))
     track = mapped.select("grp", "side2").distinct().join(
         _labelled(spark, sf_dir).select(F.col("chain").alias("side2"), F.col("res_idx").alias("col"), "x", "y", "z"), "side2").drop("side2")
-    return hinge_edges(mapped.drop("side2"), track, 45.0, 5.0)
+    return _r(hinge_edges(mapped.drop("side2"), track, 45.0, 5.0).drop("end2"), "half_cosine", "displacement", "bonus")
 
 
 # Alignments ---------------------------------------------------------------------------------------
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "pairs", lambda: cut_lineage(
+        progressive.pair_regions(derived.residues(spark, sf_dir), _curve(spark, sf_dir))[0]))
+
+
+@query
+def pair_regions(spark, sf_dir):
+    """Regions of every chain pair after the three passes of the staged search."""
+    return _r(_pairs(spark, sf_dir).select("grp", "ord", "p1", "p2", "len", "score", "total"), "score", "total", digits=3)
+
+
 @query
 def pair_alignment(spark, sf_dir):
-    return progressive.pair_scores(_once(spark, sf_dir, "pairs", lambda: cut_lineage(
-        progressive.pair_regions(derived.residues(spark, sf_dir), _curve(spark, sf_dir))[0])))
+    return _r(progressive.pair_scores(_pairs(spark, sf_dir)), "score", digits=3)
 
 
 @query
@@ -481,10 +491,35 @@ def strand_ladders(spark, sf_dir):
 
 @query
 def beta_sheets(spark, sf_dir):
-    return secondary.sheets(secondary.strand_pairs(_bonds(spark, sf_dir)))
+    points = derived.chain_points(spark, sf_dir).select("job_id", "chain", "res_idx", "x", "y", "z")
+    return secondary.sheets(secondary.strand_pairs(_bonds(spark, sf_dir)), points)
 
 
 @query
 def helix_records(spark, sf_dir):
     numbered = _numbered(spark, sf_dir).join(F.broadcast(derived_views._names(spark)), "letter")
     return secondary.record_lines(secondary.helices(_bonds(spark, sf_dir)), numbered, F.lit("A"))
+
+
+def _sheet_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ladder as a sheet of two strands, in SHEET records."""
+    ladders = secondary.strand_pairs(_bonds(spark, sf_dir))
+    order = Window.partitionBy("job_id", "chain").orderBy("start1", "start2", "direction", "length")
+    alone = ladders.withColumns({"sheet": F.row_number().over(order) - 1, "ord": F.lit(0)})
+    numbered = _numbered(spark, sf_dir).join(F.broadcast(derived_views._names(spark)), "letter")
+    return secondary.sheet_lines(alone, numbered, F.lit("A"))
+
+
+@query
+def sheet_records(spark, sf_dir):
+    return _sheet_records(spark, sf_dir)
+
+
+@query
+def sheet_registration(spark, sf_dir):
+    """SHEET records read back: the registered residue pair is carried to the strands' ends."""
+    path = F.concat_ws("/", F.col("job_id").cast("string"), F.col("chain").cast("string"))
+    lines = _sheet_records(spark, sf_dir).select(path.alias("path"), F.col("ord").alias("line_no"), "line")
+    numbers = _numbered(spark, sf_dir).select(
+        path.alias("path"), F.lit(0).alias("model_ord"), F.lit(0).alias("model_no"), F.lit("A").alias("chain_id"), "res_num", "ins_code", "res_idx")
+    return pdb.sheet_pairs(lines, numbers)

@@ -1,190 +1,173 @@
 """Chaining of fragment matches into flexible alignments.
 
-``hinge_edges`` is the relational form of the compatibility rules; ``chain_regions`` finds the best
-chains of one merge per group, all merges in parallel, without materialising the edges.
+Two matches may follow each other if no chain steps back and the hinge between them is small.  Such
+pairs, the edges, come out of joins: a match looks, for every side-2 column ahead of it, for matches
+that end in that column close to where its own map puts it.  Only edges that survive are grouped, one
+group for each merge, and the best chain is the longest path over them in order of the matches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.functions import geometry as g
-from foldloom.functions.scoring import (
-    MAX_ANGLE_BONUS, MAX_DISPLACEMENT_BONUS, MIN_ANGLE, MIN_FRAGMENT, SEARCH_PASSES, angle_bonus,
-    displacement_bonus,
-)
-from foldloom.functions.superpose import affine, rotations
+from foldloom.functions.scoring import MIN_FRAGMENT, angle_bonus, displacement_bonus
 from foldloom.operators.radius import radius_join
 from foldloom.session import spread
 
 UNREACHED = -5000.0
-REGION_SCHEMA = "grp string, ord int, p1 int, p2 int, len int, m array<double>, total double"
+#: What a match is in its gap: a candidate, or a region accepted before that bounds the gap below or above.
+CANDIDATE, LOWER, UPPER = 0, 1, 2
+CHAIN = "grp string, ord int, id long, total double"
 
 
-def hinge_edges(matches: DataFrame, track: DataFrame, max_angle: float, max_displacement: float) -> DataFrame:
-    """Pairs (before, after) of matches of a merge joined by an acceptable hinge.
+def match_id() -> Column:
+    """One number for (p1, p2, len) that sorts like them."""
+    return F.shiftleft(F.col("p1").cast("long"), 34) + F.shiftleft(F.col("p2").cast("long"), 4) + F.col("len")
 
-    ``matches``: grp, id, p1, p2, len, m.  ``track``: grp, col, x, y, z of side 2.  A successor looks,
-    for every side-2 column ahead of it, for matches that end in that column close to where its own map
-    puts it: an equi-join on the column plus a grid radius join, so match pairs are never enumerated.
+
+def hinge_edges(
+    matches: DataFrame, track: DataFrame, max_angle: float, max_displacement: float,
+    keys: tuple[str, ...] = ("grp",), conflicts: DataFrame | None = None,
+) -> DataFrame:
+    """Pairs (before, after) of matches joined by an acceptable hinge.
+
+    ``matches``: the keys, grp, id, p1, p2, len, m, and optionally ``from2``, the first side-2 column in
+    which a match before it may end.  ``track``: grp, col, x, y, z of side 2.  ``conflicts``: grp, side,
+    earlier, later, columns that may not follow each other because some chain would step back.
     """
     reach = 2.0 * max_displacement  # the mean of two distances is within the limit, so each is within twice it
-    placed = matches.join(track, "grp")
-    moved = [v.alias(c) for c, v in zip("xyz", g.apply_affine(g.unpack(F.col("m")), g.vec("x", "y", "z")))]
-    names = ["grp", F.col("col").alias("end2"), *moved, "id", "p1", "p2", "len", "m"]
-    ends = placed.where("col = p2 + len - 1").select(names)
-    first = placed.where("col = p2").select("grp", "id", F.array("x", "y", "z").alias("first"))
-    looks = placed.where(f"col < p2 AND col >= {MIN_FRAGMENT - 1}").select(names).join(first, ["grp", "id"])
-    near = radius_join(ends, looks, reach, ["grp", "end2"]).where("a_p1 + a_len <= b_p1")
-    ma, mb = g.unpack(F.col("a_m")), g.unpack(F.col("b_m"))
+    first = F.greatest(F.col("from2"), F.lit(MIN_FRAGMENT - 1)) if "from2" in matches.columns else F.lit(MIN_FRAGMENT - 1)
+    names = [*keys, "grp", "id", "p1", "p2", "len", "m"]
+    names = list(dict.fromkeys(names))
+    points = track.select("grp", "col", *"xyz")
+    image = [v.alias(c) for c, v in zip("xyz", g.apply_affine(g.unpack(F.col("m")), g.vec("x", "y", "z")))]
+    ends = matches.select(*names, (F.col("p2") + F.col("len") - 1).alias("col")).join(points, ["grp", "col"]).select(
+        *names, F.col("col").alias("end2"), *image)
+    starts = points.select("grp", F.col("col").alias("p2"), F.array(*"xyz").alias("first"))
+    ahead = matches.where(F.col("p2") > first).select(*names, F.explode(F.sequence(first, F.col("p2") - 1)).alias("col"))
+    looks = ahead.join(points, ["grp", "col"]).join(starts, ["grp", "p2"]).select(*names, F.col("col").alias("end2"), "first", *image)
+    group = list(dict.fromkeys([*keys, "grp", "end2"]))
+    near = radius_join(looks, ends, reach, group, hot_cell=None).where("b_p1 + b_len <= a_p1")
+    ma, mb = g.unpack(F.col("b_m")), g.unpack(F.col("a_m"))
     trace = sum((x * y for x, y in zip(g.rotation_part(ma), g.rotation_part(mb))), F.lit(0.0))
-    start = g.unpack(F.col("b_first"), 3)
+    start = g.unpack(F.col("a_first"), 3)
     second = g.distance(g.apply_affine(mb, start), g.apply_affine(ma, start))
-    return near.select(
-        "grp", F.col("a_id").alias("before"), F.col("b_id").alias("after"),
+    found = near.select(
+        *group, F.col("b_id").alias("before"), F.col("a_id").alias("after"), (F.col("b_p1") + F.col("b_len") - 1).alias("end1"),
+        F.col("a_p1").alias("start1"), F.col("a_p2").alias("start2"),
         F.sqrt(F.greatest(trace + 1.0, F.lit(0.0)) / 4.0).alias("half_cosine"),
         ((F.col("distance") + second) / 2.0).alias("displacement"),
-    ).where(
-        (F.col("half_cosine") >= math.cos(math.radians(max_angle) / 2))
-        & (F.col("displacement") <= max_displacement)
-    ).withColumn("bonus", angle_bonus(F.col("half_cosine")) + displacement_bonus(F.col("displacement")))
-
-
-class _Matches:
-    """The matches of one merge as arrays, with everything a hinge test needs."""
-
-    def __init__(self, matches: pd.DataFrame, track1: pd.DataFrame, track2: pd.DataFrame):
-        m = matches.sort_values(["p1", "p2", "len"])
-        self.p1, self.p2, self.len = (m[c].to_numpy(np.int64) for c in ("p1", "p2", "len"))
-        self.score = m["score"].to_numpy(float)
-        cov = m[[f"c{j}{k}" for j in range(3) for k in range(3)]].to_numpy(float)
-        maps = affine(rotations(cov), m[["m1x", "m1y", "m1z"]].to_numpy(float),
-                      m[["m2x", "m2y", "m2z"]].to_numpy(float))
-        self.rot, self.shift = maps[:, :, :3], maps[:, :, 3]
-        self.flat = self.rot.reshape(-1, 9)
-        self.point2 = np.full((int(track2["col"].max()) + 1, 3), np.nan)
-        self.point2[track2["col"].to_numpy(np.int64)] = track2[["x", "y", "z"]].to_numpy(float)
-        self.end1, self.end2 = self.p1 + self.len - 1, self.p2 + self.len - 1
-        self.tail = self.point2[self.end2]
-        self.last = self.image(slice(None), self.tail)
-        self.bar1, self.bar2 = _conflicts(track1), _conflicts(track2)
-
-    def image(self, which, points: np.ndarray) -> np.ndarray:
-        return np.einsum("...ij,...j->...i", self.rot[which], points) + self.shift[which]
-
-
-def _conflicts(track: pd.DataFrame) -> np.ndarray:
-    """bar[e, p]: column p may not follow a block ending in column e (some chain would step back)."""
-    cols = track["col"].to_numpy(np.int64)
-    idx = np.stack(track["idx"].to_list())
-    bar = np.zeros((cols.max() + 1, cols.max() + 1), dtype=bool)
-    for chain in idx.T:
-        bar[np.ix_(cols, cols)] |= chain[:, None] >= chain[None, :]
-    return bar
-
-
-def _best_chain(ms: _Matches, ids: np.ndarray, first: float | None, ends_last: bool,
-                cosine: float, reach: float) -> list[tuple[int, float]]:
-    """Best chain through ``ids`` (in order): [(match, accumulated score)].
-
-    ``first`` is the accumulated score of a fixed first match, None when the start is free;
-    ``ends_last`` forces the chain to end in the last match.
+    ).where((F.col("half_cosine") >= math.cos(math.radians(max_angle) / 2)) & (F.col("displacement") <= max_displacement))
+    if conflicts is not None:
+        for side in (1, 2):
+            found = found.join(
+                conflicts.where(F.col("side") == side).select("grp", F.col("earlier").alias(f"end{side}"), F.col("later").alias(f"start{side}")),
+                ["grp", f"end{side}", f"start{side}"], "left_anti")
+    bonus = angle_bonus(F.col("half_cosine")) + displacement_bonus(F.col("displacement"))
+    return found.select(*dict.fromkeys([*keys, "grp"]), "before", "after", "end2", "half_cosine", "displacement", bonus.alias("bonus"))
+
+
+class _Merge:
+    """Matches of one merge and the edges among them as arrays in order of the ids."""
+
+    def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame):
+        nodes = nodes.sort_values("id").drop_duplicates("id")
+        self.id, self.score = nodes["id"].to_numpy(np.int64), nodes["score"].to_numpy(float)
+        self.p1, self.p2, size = self.id >> 34, (self.id >> 4) & ((1 << 30) - 1), self.id & 15
+        self.end1, self.end2 = self.p1 + size, self.p2 + size  # behind the last column
+        self.bounds = np.flatnonzero(nodes["kind"].to_numpy() != CANDIDATE)
+        edges = edges.sort_values(["after", "end2", "before"])
+        self.before, self.after = (np.searchsorted(self.id, edges[c].to_numpy(np.int64)) for c in ("before", "after"))
+        self.half_cosine, self.displacement, self.bonus = (edges[c].to_numpy(float) for c in ("half_cosine", "displacement", "bonus"))
+
+    def fill(self, left: tuple[int, float] | None, right: int | None, limits: tuple[float, float, float]) -> list[tuple[int, float]]:
+        """Best chain in the gap between two accepted matches (either may be missing)."""
+        min_score, max_angle, max_displacement = limits
+        fits = self.score >= min_score
+        if left is not None:
+            fits &= (self.p1 >= self.end1[left[0]]) & (self.p2 >= self.end2[left[0]])
+        if right is not None:
+            fits &= (self.end1 <= self.p1[right]) & (self.end2 <= self.p2[right])
+        chosen = [*([] if left is None else [left[0]]), *np.flatnonzero(fits), *([] if right is None else [right])]
+        if not chosen:
+            return []
+        place = np.full(len(self.id), -1)
+        place[chosen] = np.arange(len(chosen))
+        low, high = np.searchsorted(self.after, (chosen[0], chosen[-1] + 1))
+        before, after = place[self.before[low:high]], place[self.after[low:high]]
+        good = (before >= 0) & (after >= 0) & (self.displacement[low:high] <= max_displacement)
+        good &= self.half_cosine[low:high] >= math.cos(math.radians(max_angle) / 2)
+        path = best_path(
+            self.score[chosen], before[good], after[good], self.bonus[low:high][good], None if left is None else left[1], right is not None)
+        return [(chosen[k], total) for k, total in path]
+
+
+def best_path(
+    scores: np.ndarray, before: np.ndarray, after: np.ndarray, bonus: np.ndarray, carried: float | None, to_last: bool,
+) -> list[tuple[int, float]]:
+    """Best chain over edges: [(match, accumulated score)]; edges are in order of ``after`` and of preference among equals.
+
+    ``carried`` is the accumulated score of a fixed first match, None if the start is free;
+    ``to_last`` makes the chain end in the last match.  A match with a negative sum ahead of it is not used.
     """
-    n = len(ids)
-    best = np.full(n, 0.0 if first is None else UNREACHED)
+    n = len(scores)
+    low, high = np.searchsorted(after, np.arange(n), "left"), np.searchsorted(after, np.arange(n), "right")
+    best = np.full(n, 0.0 if carried is None else UNREACHED)
     back = np.full(n, -1)
-    usable = np.zeros(n, dtype=bool)
-    end1, end2 = ms.end1[ids], ms.end2[ids]
-    for i, mid in enumerate(ids):
-        if i == 0 and first is not None:
-            best[0] = first - ms.score[mid]
-        can = usable[:i] & (end1[:i] < ms.p1[mid]) & (end2[:i] < ms.p2[mid])
-        can &= best[:i] + MAX_ANGLE_BONUS + MAX_DISPLACEMENT_BONUS >= best[i]
-        prev = np.flatnonzero(can)
-        if len(prev):
-            prev = prev[~(ms.bar1[end1[prev], ms.p1[mid]] | ms.bar2[end2[prev], ms.p2[mid]])]
-        if len(prev):
-            trace = ms.flat[ids[prev]] @ ms.flat[mid]
-            half = np.sqrt(np.maximum(trace + 1.0, 0.0) / 4.0)
-            prev, half = prev[half >= cosine], half[half >= cosine]
-        if len(prev):
-            pid = ids[prev]
-            start = ms.point2[ms.p2[mid]]
-            gap = np.linalg.norm(ms.last[pid] - ms.image(mid, ms.tail[pid]), axis=1)
-            gap = (gap + np.linalg.norm(ms.image(mid, start) - ms.image(pid, start), axis=1)) / 2
-            near = gap <= reach
-            prev, half, gap = prev[near], half[near], gap[near]
-        if len(prev):
-            angle = np.maximum(2 * np.arccos(np.minimum(half, 1.0)), MIN_ANGLE)
-            value = best[prev] - np.log((1 - np.cos(angle)) / 2) + MAX_DISPLACEMENT_BONUS - gap
-            pick = np.lexsort((prev, end2[prev], value))[-1]
-            if value[pick] >= best[i]:
-                best[i], back[i] = value[pick], prev[pick]
+    total = np.full(n, -np.inf)
+    for i in range(n):
+        if i == 0 and carried is not None:
+            best[0] = carried - scores[0]
+        if high[i] > low[i]:
+            ways = total[before[low[i]:high[i]]] + bonus[low[i]:high[i]]
+            pick = len(ways) - 1 - int(np.argmax(ways[::-1]))
+            if ways[pick] >= best[i]:
+                best[i], back[i] = ways[pick], before[low[i] + pick]
         if best[i] >= 0:
-            best[i] += ms.score[mid]
-            usable[i] = True
-    if ends_last:
-        at = n - 1
-    else:
-        at = int(np.argmax(np.where(usable, best, -np.inf)))
+            total[i] = best[i] + scores[i]
+    at = n - 1 if to_last else int(np.argmax(total))
     path = []
     while at >= 0:
-        path.append((int(ids[at]), float(best[at])))
+        path.append((at, float(total[at] if total[at] > -np.inf else best[at])))
         at = back[at]
     return path[::-1]
 
 
-def _relax(ms: _Matches) -> list[tuple[int, float]]:
-    """Three passes with falling thresholds; each fills the gaps between the blocks accepted so far."""
-    chain: list[tuple[int, float]] = []
-    for min_score, max_angle, reach in SEARCH_PASSES:
-        cosine = math.cos(math.radians(max_angle) / 2)
-        good = ms.score >= min_score
-        filled: list[tuple[int, float]] = []
-        for left, right in zip([None, *range(len(chain))], [*range(len(chain)), None]):
-            fits = good.copy()
-            lead: list[int] = []
-            tail: list[int] = []
-            carried = None
-            if left is not None:
-                before, carried = filled.pop()
-                lead = [before]
-                fits &= (ms.p1 > ms.end1[before]) & (ms.p2 > ms.end2[before])
-            if right is not None:
-                after = chain[right][0]
-                tail = [after]
-                fits &= (ms.p1 + MIN_FRAGMENT <= ms.p1[after]) & (ms.p2 + MIN_FRAGMENT <= ms.p2[after])
-            ids = np.array([*lead, *np.flatnonzero(fits), *tail], dtype=np.int64)
-            if len(ids):
-                filled.extend(_best_chain(ms, ids, carried, bool(tail), cosine, reach))
-        chain = filled
-    return chain
-
-
-def _regions(key: tuple, matches: pd.DataFrame, tracks: pd.DataFrame) -> pd.DataFrame:
-    names = ["grp", "ord", "p1", "p2", "len", "m", "total"]
-    if not len(matches):
+def _chain(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame, passes: Sequence[tuple[float, float, float]]) -> pd.DataFrame:
+    """Chains of one merge; the sum reached at a gap's end is carried into the next gap."""
+    names = ["grp", "ord", "id", "total"]
+    if not len(nodes):
         return pd.DataFrame(columns=names)
-    ms = _Matches(matches, tracks[tracks["side"] == 1], tracks[tracks["side"] == 2])
-    chain = _relax(ms)
-    maps = np.concatenate([ms.rot, ms.shift[:, :, None]], axis=2).reshape(-1, 12)
-    return pd.DataFrame(
-        [(key[0], i, ms.p1[m], ms.p2[m], ms.len[m], maps[m], total) for i, (m, total) in enumerate(chain)],
-        columns=names,
-    )
-
-
-def chain_regions(matches: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Accepted regions of every merge.
-
-    ``matches``: grp, p1, p2, len, score, covariance, centroids.  ``tracks``: grp, side (1 or 2), col,
-    x, y, z and ``idx``, the residue of every chain in that column.  One group holds one merge, so a
-    group is bounded by the lengths of two alignments and never by the size of the data.
+    merge = _Merge(nodes, edges)
+    accepted = merge.bounds.tolist()
+    chain: list[tuple[int, float]] = []
+    for limits in passes:
+        chain = []
+        for left, right in zip([None, *accepted], [*accepted, None], strict=True):
+            bound = chain.pop() if left is not None else None
+            path = merge.fill(bound, right, limits)
+            if bound is not None and (not path or path[0][0] != bound[0]):
+                chain.append(bound)
+            chain.extend(path)
+        accepted = [i for i, _ in chain]
+    return pd.DataFrame([(key[0], k, int(merge.id[i]), t) for k, (i, t) in enumerate(chain)], columns=names)
+
+
+def chain_matches(nodes: DataFrame, edges: DataFrame, passes: Sequence[tuple[float, float, float]]) -> DataFrame:
+    """Accepted matches (grp, ord, id, total) of every merge after passes of (score, angle, displacement) limits.
+
+    ``nodes``: grp, id, score, kind (a match that bounds two gaps may come twice).  ``edges``: grp, before,
+    after, end2, half_cosine, displacement, bonus; an edge may come twice as well.  Each pass fills the gaps
+    between the matches accepted so far, at first those that are bounds.  A group is one merge's matches in
+    its open gaps and the edges among them.
     """
-    tracks = spread(tracks.withColumnRenamed("grp", "track_grp"), ["track_grp"])
-    return spread(matches, ["grp"]).groupBy("grp").cogroup(tracks.groupBy("track_grp")).applyInPandas(_regions, REGION_SCHEMA)
+    edges = edges.select(F.col("grp").alias("edge_grp"), "before", "after", "end2", "half_cosine", "displacement", "bonus")
+    return spread(nodes, ["grp"]).groupBy("grp").cogroup(spread(edges, ["edge_grp"]).groupBy("edge_grp")).applyInPandas(
+        lambda key, n, e: _chain(key, n, e, passes), CHAIN)

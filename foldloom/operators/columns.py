@@ -61,25 +61,25 @@ def leave_one_out_means(columns: DataFrame) -> DataFrame:
         F.try_divide(F.sum(c).over(over) - F.col(c), (n - 1).cast("double")).alias(f"other_{c}") for c in "xyz"))
 
 
-def conflict_pairs(columns: DataFrame) -> DataFrame:
-    """Column pairs (earlier, later) where some chain would not advance.
+def conflict_pairs(columns: DataFrame, keys: list[str] = ALIGNMENT) -> DataFrame:
+    """Column pairs (earlier, later) of each of ``keys`` where some chain would not advance.
 
     Within one chain residue numbers rise with the column except where extended blocks overlap, so an
     earlier column conflicts only if the running maximum of the residue number reaches the later one;
     only such columns enter the join, which keeps it proportional to the overlaps.
     """
-    chain = Window.partitionBy(*ALIGNMENT, "slot").orderBy("col")
+    chain = Window.partitionBy(*keys, "slot").orderBy("col")
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
     after = chain.rowsBetween(1, Window.unboundedFollowing)
     marked = columns.select(
-        *COLUMN, "slot", "res_idx",
+        *keys, "col", "slot", "res_idx",
         F.max("res_idx").over(before).alias("_high"), F.min("res_idx").over(after).alias("_low"))
     later = marked.where("_high >= res_idx").select(
-        *ALIGNMENT, "slot", F.col("col").alias("later"), F.col("res_idx").alias("_later_idx"))
+        *keys, "slot", F.col("col").alias("later"), F.col("res_idx").alias("_later_idx"))
     earlier = marked.where("_low <= res_idx").select(
-        *ALIGNMENT, "slot", F.col("col").alias("earlier"), F.col("res_idx").alias("_earlier_idx"))
-    return earlier.join(later, [*ALIGNMENT, "slot"]).where(
-        "earlier < later AND _earlier_idx >= _later_idx").select(*ALIGNMENT, "earlier", "later").distinct()
+        *keys, "slot", F.col("col").alias("earlier"), F.col("res_idx").alias("_earlier_idx"))
+    return earlier.join(later, [*keys, "slot"]).where(
+        "earlier < later AND _earlier_idx >= _later_idx").select(*keys, "earlier", "later").distinct()
 
 
 def reorder(columns: DataFrame, order: DataFrame) -> DataFrame:

@@ -144,6 +144,68 @@ def _salted(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFra
     return split, copied
 
 
+def limit_of(min_score: float, table: Sequence[float]) -> Column:
+    """Largest RMSD, by ``len``, that reaches ``min_score`` (with slack for rounding)."""
+    limits = {n: rmsd_limit(n, max(min_score, 1e-9), table) for n in range(MIN_FRAGMENT, MAX_FRAGMENT + 1)}
+    return F.expr("CASE len " + " ".join(f"WHEN {n} THEN {v + SHAPE_SLACK!r}D" for n, v in limits.items()) + " END")
+
+
+def near_shapes(squared: Column) -> Column:
+    """Whether the shapes a_u1.. and b_u1.. are at most the root of ``squared`` apart."""
+    def gap(i: int) -> Column:
+        return (F.col(f"a_u{i}") - F.col(f"b_u{i}")) * (F.col(f"a_u{i}") - F.col(f"b_u{i}"))
+
+    return gap(1) + gap(2) + gap(3) <= squared
+
+
+#: Rows of one side of a join key that stay together.
+CROWD = 4_000
+
+
+def split_crowded(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Split keys that are crowded on either side over a grid of salts; returns the salt columns too.
+
+    Rows of a crowded key are dealt over the salts of their own side and copied over those of the other,
+    so that each pair meets once.  The crowded keys are counted first; without any nothing is added.
+    """
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    hot = counted(left, "_n1").join(counted(right, "_n2"), keys).where(F.greatest("_n1", "_n2") > CROWD)
+    hot = cut_lineage(hot.select(*keys, *(F.ceil(F.col(f"_n{s}") / CROWD).cast("int").alias(f"_salts{s}") for s in (1, 2))))
+    if hot.isEmpty():
+        return left, right, []
+    out = []
+    for side, own, other in ((left, 1, 2), (right, 2, 1)):
+        salts = {s: F.coalesce(F.col(f"_salts{s}"), F.lit(1)) for s in (1, 2)}
+        rows = side.join(hot, keys, "left")
+        rows = rows.withColumn(f"salt{own}", F.pmod(F.xxhash64("side", "pos", "len"), salts[own]).cast("int"))
+        out.append(rows.withColumn(f"salt{other}", F.explode(F.sequence(F.lit(0), salts[other] - 1))).drop("_salts1", "_salts2"))
+    return out[0], out[1], ["salt1", "salt2"]
+
+
+def shape_pairs(left: DataFrame, right: DataFrame, min_score: float, table: Sequence[float]) -> DataFrame:
+    """Pairs (grp, len, a_side, a_pos, b_side, b_pos), a_side > b_side, of fragments whose shapes allow ``min_score``.
+
+    An equi-join on cells over all three extents, with rows that hold nothing but the shape.
+    """
+    shapes = [f"u{i}" for i in (1, 2, 3)]
+
+    def celled(frags: DataFrame) -> DataFrame:
+        narrow = frags.select("grp", "len", "side", "pos", *shapes, limit_of(min_score, table).alias("radius"))
+        return narrow.withColumns({f"cell{i}": F.floor(F.col(f"u{i}") / F.col("radius")).cast("int") for i in (1, 2, 3)})
+
+    narrow, copies = celled(left), celled(right)
+    for i in (1, 2, 3):
+        copies = copies.withColumn(f"cell{i}", F.explode(F.array(*(F.col(f"cell{i}") + d for d in (-1, 0, 1)))))
+    one, two, extra = split_crowded(narrow, copies, ["grp", "len", "cell1", "cell2", "cell3"])
+    keys = ["grp", "len", "cell1", "cell2", "cell3", *extra]
+    a = one.select(*keys, "radius", *(F.col(c).alias(f"a_{c}") for c in ("side", "pos", *shapes)))
+    b = two.select(*keys, *(F.col(c).alias(f"b_{c}") for c in ("side", "pos", *shapes)))
+    close = a.join(b, keys).where((F.col("a_side") > F.col("b_side")) & near_shapes(F.col("radius") * F.col("radius")))
+    return close.select("grp", "len", "a_side", "a_pos", "b_side", "b_pos")
+
+
 def shape_join(
     left: DataFrame,
     right: DataFrame,
@@ -158,9 +220,7 @@ def shape_join(
     ``pair`` restricts the sides (columns a_side, b_side).  Passing ``min_score`` <= 0 keeps every
     pair within the scored RMSD range.
     """
-    limits = {n: rmsd_limit(n, max(min_score, 1e-9), table) for n in range(MIN_FRAGMENT, MAX_FRAGMENT + 1)}
-    radius = F.expr(
-        "CASE len " + " ".join(f"WHEN {n} THEN {v + SHAPE_SLACK!r}D" for n, v in limits.items()) + " END")
+    radius = limit_of(min_score, table)
 
     def celled(frags: DataFrame) -> DataFrame:
         # File sources make every column nullable; these never are, and saying so halves the code.
@@ -181,11 +241,7 @@ def shape_join(
     joined = spread(a, keys).join(spread(b, keys), keys)
     if pair is not None:
         joined = joined.where(pair)
-    near = sum(
-        ((F.col(f"a_u{i}") - F.col(f"b_u{i}")) * (F.col(f"a_u{i}") - F.col(f"b_u{i}")) for i in (2, 3)),
-        (F.col("a_u1") - F.col("b_u1")) * (F.col("a_u1") - F.col("b_u1")),
-    )
-    return joined.where(near <= F.col("a_radius") * F.col("a_radius")).drop("cell", "salt")
+    return joined.where(near_shapes(F.col("a_radius") * F.col("a_radius"))).drop("cell", "salt")
 
 
 def superpose(pairs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

@@ -59,94 +59,176 @@ def hydrogen_bonds(backbone: DataFrame) -> DataFrame:
 def helices(bonds: DataFrame) -> DataFrame:
     """Runs of at least two consecutive bonds between i and i+k (k = 4, 3, 5), either way round.
 
-    Bonds pointing forward span one residue less than bonds pointing back.  Result: job_id, chain,
-    start, length, class.
+    A chain is scanned once for each k: a helix masks the positions of its run, so that a run of the
+    other direction inside it is not reported and one that reaches out of it begins behind it; at one
+    position bonds pointing forward come first.  They span one residue less than bonds pointing back.
+    Result: job_id, chain, start, length, class.
     """
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("step"), F.lit(c).alias("class")) for k, c in HELIX_KINDS)))
     marked = bonds.select(
         *CHAIN, F.least("donor", "acceptor").alias("i"), F.abs(F.col("donor") - F.col("acceptor")).alias("_step"),
-        (F.col("donor") > F.col("acceptor")).cast("int").alias("back"), kinds.alias("k")).where("_step = k.step").distinct()
+        (F.col("donor") > F.col("acceptor")).alias("back"), kinds.alias("k")).where("_step = k.step").distinct()
     order = Window.partitionBy(*CHAIN, "_step", "back").orderBy("i")
-    runs = marked.withColumn("_island", F.col("i") - F.row_number().over(order)).groupBy(
-        *CHAIN, "_step", "back", "_island", F.col("k.class").alias("class")).agg(F.min("i").alias("start"), F.count(F.lit(1)).alias("n"))
-    return runs.where("n >= 2").select(
-        *CHAIN, "start", (F.col("n") + F.col("_step") - 1 + F.col("back")).cast("int").alias("length"), "class")
+    run = Window.partitionBy(*CHAIN, "_step", "back", "_island")
+    ends = marked.withColumn("_island", F.col("i") - F.row_number().over(order)).withColumn("end", F.max("i").over(run))
+    kind = [*CHAIN, F.col("_step").alias("step"), F.col("k.class").alias("class")]
+    at = ends.groupBy(*kind, "i").agg(
+        F.max(F.when(~F.col("back"), F.col("end"))).alias("forward"), F.max(F.when(F.col("back"), F.col("end"))).alias("backward"))
+    scan = at.groupBy(*CHAIN, "step", "class").agg(F.array_sort(F.collect_list(F.struct("i", "forward", "backward"))).alias("at"))
+    nothing = F.array().cast("array<struct<start:int,end:int,back:int>>")
 
+    def step(state: Column, x: Column) -> Column:
+        def taken(end: Column, back: int) -> Column:
+            found = F.struct(x["i"].cast("int").alias("start"), end.cast("int").alias("end"), F.lit(back).alias("back"))
+            return F.struct((end + 1).cast("int").alias("free"), F.concat(state["runs"], F.array(found)).alias("runs"))
 
-def strand_pairs(bonds: DataFrame) -> DataFrame:
-    """Ladders of paired strands: start1, start2, direction (-1 antiparallel, 1 parallel), length.
+        return F.when(x["i"] < state["free"], state).when(x["forward"] > x["i"], taken(x["forward"], 0)).when(
+            x["backward"] > x["i"], taken(x["backward"], 1)).otherwise(state)
+
+    found = scan.select(*CHAIN, "step", "class", F.inline(F.aggregate(
+        "at", F.struct(F.lit(-1).alias("free"), nothing.alias("runs")), step, lambda state: state["runs"])))
+    return found.select(*CHAIN, "start", (F.col("end") - F.col("start") + F.col("step") + F.col("back")).cast("int").alias("length"), "class")
+
+
+def _ladders(bonds: DataFrame) -> DataFrame:
+    """The ladder of strands that every bond begins: anti and par as (start1, start2, direction, length), NULL if none.
 
     A rung is a pair of bonds (both ways for antiparallel strands; i to j-1 and j+1 to i for parallel
-    ones).  Rungs two residues apart on the same diagonal form islands; a single bond at an end
-    extends the ladder by one.  Ladders shorter than two residues are dropped.
+    ones).  Rungs two residues apart on the same diagonal form islands; a single bond at an end extends
+    the ladder by one.  A ladder has at least two residues; its lower strand comes first.
     """
-    b = bonds.select(*CHAIN, "donor", "acceptor").distinct()
-    other = b.select(*CHAIN, F.col("donor").alias("acceptor"), F.col("acceptor").alias("donor"))
-    anti = b.join(other, [*CHAIN, "donor", "acceptor"]).where("donor < acceptor").select(
-        *CHAIN, F.lit(-1).alias("direction"), F.col("donor").alias("i"), F.col("acceptor").alias("j"))
-    closing = b.select(*CHAIN, F.col("acceptor").alias("donor"), (F.col("donor") - 2).alias("acceptor"))
-    parallel = b.join(closing, [*CHAIN, "donor", "acceptor"]).select(
-        *CHAIN, F.lit(1).alias("direction"), F.col("donor").alias("i"), (F.col("acceptor") + 1).alias("j"))
+    other = bonds.select(*CHAIN, F.col("donor").alias("acceptor"), F.col("acceptor").alias("donor"))
+    anti = bonds.join(other, [*CHAIN, "donor", "acceptor"]).select(
+        *CHAIN, "donor", "acceptor", F.lit(-1).alias("direction"), F.col("donor").alias("i"), F.col("acceptor").alias("j"))
+    closing = bonds.select(*CHAIN, F.col("acceptor").alias("donor"), (F.col("donor") - 2).alias("acceptor"))
+    parallel = bonds.join(closing, [*CHAIN, "donor", "acceptor"]).select(
+        *CHAIN, "donor", "acceptor", F.lit(1).alias("direction"), F.col("donor").alias("i"), (F.col("acceptor") + 1).alias("j"))
     rungs = anti.unionByName(parallel).withColumn("diagonal", F.col("j") - F.col("direction") * F.col("i"))
+    island = [*CHAIN, "direction", "diagonal", "_island"]
     order = Window.partitionBy(*CHAIN, "direction", "diagonal", F.pmod("i", F.lit(2))).orderBy("i")
-    runs = rungs.withColumn("_island", F.col("i") - 2 * F.row_number().over(order)).groupBy(
-        *CHAIN, "direction", "diagonal", "_island").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    rungs = rungs.withColumn("_island", F.col("i") - 2 * F.row_number().over(order))
+    runs = rungs.groupBy(*island).agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
     anti_side = F.col("direction") == -1
-    mate_hi = F.col("diagonal") + F.col("direction") * F.col("hi")
-    mate_lo = F.col("diagonal") + F.col("direction") * F.col("lo")
+    mate_hi, mate_lo = (F.col("diagonal") + F.col("direction") * F.col(x) for x in ("hi", "lo"))
     # The single bond that may follow the last or precede the first rung.
     after = runs.select("*", (F.col("hi") + 2).alias("donor"), F.when(anti_side, mate_hi - 2).otherwise(mate_hi + 1).alias("acceptor"))
-    ends = b.withColumn("_after", F.lit(1))
-    grown = after.join(ends, [*CHAIN, "donor", "acceptor"], "left").drop("donor", "acceptor")
-    before = grown.select("*", F.when(anti_side, mate_lo + 2).otherwise(mate_lo - 1).alias("donor"), (F.col("lo") - 2).alias("acceptor"))
-    grown = before.join(ends.withColumnRenamed("_after", "_before"), [*CHAIN, "donor", "acceptor"], "left")
-    first = F.col("lo") - F.coalesce("_before", F.lit(0))
-    last = F.col("hi") + F.coalesce("_after", F.lit(0))
-    ladders = grown.select(
-        *CHAIN, "direction", first.alias("s1"), (F.col("diagonal") + F.col("direction") * first).alias("s2"), (last - first + 1).alias("length")
-    ).where("length >= 2")
-    # Write the lower strand first; a parallel ladder seen from both strands keeps its longest form.
-    low = ladders.select(
-        *CHAIN, F.least("s1", "s2").alias("start1"), F.greatest("s1", "s2").alias("start2"), "direction", "length",
-        F.abs(F.col("s2") - F.col("direction") * F.col("s1")).alias("_diagonal"))
-    spans = Window.partitionBy(*CHAIN, "direction", "_diagonal").orderBy("start1", F.desc("length"))
-    reach = F.max(F.col("start1") + F.col("length") - 1).over(spans.rowsBetween(Window.unboundedPreceding, -1))
-    return low.withColumn("_reach", reach).where("_reach IS NULL OR direction = -1 OR start1 > _reach").select(
-        *CHAIN, "start1", "start2", "direction", "length")
+    grown = after.join(bonds.withColumn("_after", F.lit(1)), [*CHAIN, "donor", "acceptor"], "left").drop("donor", "acceptor")
+    ahead = grown.select("*", F.when(anti_side, mate_lo + 2).otherwise(mate_lo - 1).alias("donor"), (F.col("lo") - 2).alias("acceptor"))
+    grown = ahead.join(bonds.withColumn("_before", F.lit(1)), [*CHAIN, "donor", "acceptor"], "left").drop("donor", "acceptor")
+    first, last = F.col("lo") - F.coalesce("_before", F.lit(0)), F.col("hi") + F.coalesce("_after", F.lit(0))
+    sized = grown.select(*island, first.alias("s1"), (F.col("diagonal") + F.col("direction") * first).alias("s2"), (last - first + 1).alias("length"))
+    swap = F.col("s1") > F.col("s2")
+    # written from its other strand, an antiparallel ladder begins at the other end
+    turn = F.when(anti_side, F.col("length") - 1).otherwise(0)
+    ladder = F.struct(
+        F.when(swap, F.col("s2") - turn).otherwise(F.col("s1")).cast("int").alias("start1"),
+        F.when(swap, F.col("s1") + turn).otherwise(F.col("s2")).cast("int").alias("start2"),
+        F.col("direction").cast("int").alias("direction"), F.col("length").cast("int").alias("length"))
+    long_ones = sized.where("length >= 2").select(*island, ladder.alias("ladder"))
+    return rungs.join(long_ones, island).groupBy(*CHAIN, "donor", "acceptor").agg(
+        F.max(F.when(anti_side, F.col("ladder"))).alias("anti"), F.max(F.when(~anti_side, F.col("ladder"))).alias("par"))
+
+
+def strand_pairs(bonds: DataFrame) -> DataFrame:
+    """Ladders of paired strands: start1, start2, direction (-1 antiparallel, 1 parallel), length.
+
+    Bonds are taken in order of donor and acceptor.  One that a ladder accepted before explains (its
+    residues, or the acceptor's successor, are paired there) is passed over; otherwise it adds the
+    antiparallel ladder it begins, or else the parallel one.
+    """
+    b = bonds.select(*CHAIN, "donor", "acceptor").distinct()
+    marked = b.join(_ladders(b), [*CHAIN, "donor", "acceptor"]).groupBy(*CHAIN).agg(
+        F.array_sort(F.collect_list(F.struct("donor", "acceptor", "anti", "par"))).alias("bonds"))
+    nothing = F.array().cast("array<struct<start1:int,start2:int,direction:int,length:int>>")
+
+    def paired(ladder: Column, one: Column, two: Column) -> Column:
+        low, high = F.least(one, two), F.greatest(one, two)
+        inside = (ladder["start1"] <= low) & (low < ladder["start1"] + ladder["length"])
+        return inside & (ladder["start2"] + ladder["direction"] * (low - ladder["start1"]) == high)
+
+    def step(accepted: Column, bond: Column) -> Column:
+        explained = F.exists(accepted, lambda p: paired(p, bond["donor"], bond["acceptor"]) | paired(p, bond["donor"], bond["acceptor"] + 1))
+        return F.when(explained, accepted).otherwise(F.concat(accepted, F.array(F.coalesce(bond["anti"], bond["par"]))))
+
+    return marked.select(*CHAIN, F.inline(F.aggregate("bonds", nothing, step)))
 
 
 _SHEETS = "job_id long, chain long, sheet int, ord int, start1 int, start2 int, direction int, length int"
 
 
-def _assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow strands from pair to pair, to the right and to the left, until nothing is left to add."""
-    pairs = pdf.sort_values(["start1", "start2"]).to_dict("records")
-
-    def strands(p: dict) -> list[tuple[int, int]]:
-        second = p["start2"] - p["length"] + 1 if p["direction"] < 0 else p["start2"]
-        return [(p["start1"], p["start1"] + p["length"] - 1), (second, second + p["length"] - 1)]
-
-    rows, sheet = [], 0
-    while pairs:
-        first = pairs.pop(0)
-        row, edges = [first], strands(first)
-        for side in (1, 0):
-            while True:
-                lo, hi = edges[side]
-                found = next(((k, s) for k, p in enumerate(pairs) for s, (a, b) in enumerate(strands(p)) if a <= hi and lo <= b), None)
-                if found is None:
-                    break
-                pair = pairs.pop(found[0])
-                edges[side] = strands(pair)[1 - found[1]]
-                row.insert(len(row) if side else 0, pair)
-        rows.extend((*key, sheet, k, p["start1"], p["start2"], p["direction"], p["length"]) for k, p in enumerate(row))
+def _oriented(pairs: DataFrame) -> DataFrame:
+    """Residues of every ladder seen from either strand: pair, turned, near, far (paired residues).
+
+    A ladder leads from its near to its far strand; turned ones begin at the second strand.
+    """
+    cells = pairs.select(*CHAIN, "pair", F.inline(F.transform(
+        F.sequence(F.lit(0), F.col("length") - 1),
+        lambda k: F.struct((F.col("start1") + k).alias("one"), (F.col("start2") + F.col("direction") * k).alias("two")))))
+    return cells.select(*CHAIN, "pair", F.inline(F.array(
+        F.struct(F.lit(0).alias("turned"), F.col("one").alias("near"), F.col("two").alias("far")),
+        F.struct(F.lit(1).alias("turned"), F.col("two").alias("near"), F.col("one").alias("far")))))
+
+
+def strand_edges(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Which oriented ladder may follow which: they share a strand residue and the step across it goes on.
+
+    A step goes on if the way from the near residue to the shared one and from there to the far residue of
+    the next ladder have a positive dot product (a negative one folds back).  ``pairs`` carries ``pair``, the
+    ladder's number in its chain; ``points``: job_id, chain, res_idx, x, y, z.
+    """
+    cells = _oriented(pairs)
+    shared = cells.select(*CHAIN, F.col("pair").alias("pair1"), F.col("turned").alias("turned1"), F.col("near").alias("r1"), F.col("far").alias("r2"))
+    ahead = cells.select(*CHAIN, F.col("pair").alias("pair2"), F.col("turned").alias("turned2"), F.col("near").alias("r2"), F.col("far").alias("r3"))
+    steps = shared.join(ahead, [*CHAIN, "r2"]).where("pair1 <> pair2")
+    for k in (1, 2, 3):
+        steps = steps.join(points.select(*CHAIN, F.col("res_idx").alias(f"r{k}"), *(F.col(c).alias(f"{c}{k}") for c in "xyz")), [*CHAIN, f"r{k}"])
+    p1, p2, p3 = (g.vec(f"x{k}", f"y{k}", f"z{k}") for k in (1, 2, 3))
+    on = g.dot(g.subtract(p2, p1), g.subtract(p3, p2)) > 0
+    return steps.where(on).select(*CHAIN, "pair1", "turned1", "pair2", "turned2").distinct()
+
+
+def _assemble(key: tuple, pairs: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Walk the graph from each ladder without a sheet, to both sides at once, lowest ladder first."""
+    pairs = pairs.sort_values("pair").set_index("pair")
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for p, t, q, u in sorted(zip(edges["pair1"], edges["turned1"], edges["pair2"], edges["turned2"], strict=True)):
+        after.setdefault((p, t), []).append((q, u))
+    rows, placed, sheet = [], set(), 0
+    for start in pairs.index:
+        if start in placed:
+            continue
+        row, inside = [(start, 0)], {start}
+        while True:
+            grown = False
+            # to the left the walk leads out of the first ladder's near strand: the turned ladder's far one
+            for left in (True, False):
+                p, t = row[0] if left else row[-1]
+                found = next((q for q in after.get((p, 1 - t if left else t), ()) if q[0] not in inside), None)
+                if found is not None:
+                    inside.add(found[0])
+                    row.insert(0, (found[0], 1 - found[1])) if left else row.append(found)
+                    grown = True
+            if not grown:
+                break
+        placed |= inside
+        for k, (p, t) in enumerate(row):
+            r = pairs.loc[p]
+            reach = r["length"] - 1 if r["direction"] < 0 else 0
+            ends = (r["start2"] - reach, r["start1"] + reach) if t else (r["start1"], r["start2"])
+            rows.append((*key, sheet, k, *ends, r["direction"], r["length"]))
         sheet += 1
     return pd.DataFrame(rows, columns=["job_id", "chain", "sheet", "ord", "start1", "start2", "direction", "length"])
 
 
-def sheets(pairs: DataFrame) -> DataFrame:
-    """Sheets as ordered strand pairs; one group is the handful of ladders of one chain."""
-    return pairs.groupBy(*CHAIN).applyInPandas(_assemble, _SHEETS)
+def sheets(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Sheets as ordered, oriented strand pairs.
+
+    A ladder that has no sheet begins one and may be joined there by ladders of earlier sheets.  A group
+    is the ladders of one chain and the edges among them.
+    """
+    numbered = pairs.withColumn("pair", F.row_number().over(Window.partitionBy(*CHAIN).orderBy("start1", "start2", "direction", "length")))
+    edges = strand_edges(numbered, points).select(F.col("job_id").alias("_job"), F.col("chain").alias("_chain"), "pair1", "turned1", "pair2", "turned2")
+    return numbered.groupBy(*CHAIN).cogroup(edges.groupBy("_job", "_chain")).applyInPandas(_assemble, _SHEETS)
 
 
 def record_lines(helix_rows: DataFrame, numbered: DataFrame, label: Column) -> DataFrame:
@@ -159,3 +241,33 @@ def record_lines(helix_rows: DataFrame, numbered: DataFrame, label: Column) -> D
     return ends.withColumn("ord", F.row_number().over(order)).select(*CHAIN, "ord", F.format_string(
         "HELIX  %3d %3d %3s %1s %4d%1s %3s %1s %4d%1s%2d%30s %5d", "ord", "ord", "_n1", label, "_r1", "_i1", "_n2", label, "_r2", "_i2",
         "class", F.lit(""), "length").alias("line"))
+
+
+def sheet_lines(sheet_rows: DataFrame, numbered: DataFrame, label: Column) -> DataFrame:
+    """SHEET records (job_id, chain, ord, line) of oriented strand pairs (sheet, ord, start1, start2, direction, length).
+
+    A sheet of n pairs has n + 1 strands: the near strand of its first pair, then every far strand with
+    the middle pair of residues as its registration (antiparallel O to N; parallel N of the residue after).
+    """
+    num = numbered.select(*CHAIN, "res_idx", "res_name", "res_num", "ins_code")
+    size, d = F.col("length"), F.col("direction")
+    middle = F.floor(size / 2).cast("int")
+    far = F.when(d < 0, F.col("start2") - size + 1).otherwise(F.col("start2"))
+    none = F.lit(None).cast("int")
+    strands = sheet_rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*CHAIN, "sheet")) + 1).select(*CHAIN, "sheet", "n", F.inline(F.concat(
+        F.when(F.col("ord") == 0, F.array(F.struct(
+            F.lit(1).alias("strand"), F.lit(0).alias("sense"), F.col("start1").alias("a"), (F.col("start1") + size - 1).alias("b"), none.alias("c"), none.alias("p"))
+        )).otherwise(F.array()),
+        F.array(F.struct(
+            (F.col("ord") + 2).alias("strand"), d.alias("sense"), far.alias("a"), (far + size - 1).alias("b"), (F.col("start2") + d * middle).alias("c"),
+            (F.col("start1") + middle + F.when(d > 0, 1).otherwise(0)).alias("p"))))))
+    for k in "abcp":
+        strands = strands.join(num.select(*CHAIN, F.col("res_idx").alias(k), *(F.col(c).alias(f"_{c}_{k}") for c in ("res_name", "res_num", "ins_code"))), [*CHAIN, k], "left")
+
+    def shown(k: str) -> list[Column | str]:
+        return [f"_res_name_{k}", label, f"_res_num_{k}", f"_ins_code_{k}"]
+
+    head = F.format_string("SHEET  %3d %3d%2d %3s %1s%4d%1s %3s %1s%4d%1s%2d", "strand", F.col("sheet") + 1, "n", *shown("a"), *shown("b"), "sense")
+    ties = F.when(F.col("c").isNotNull(), F.format_string("  O  %3s %1s%4d%1s  N  %3s %1s%4d%1s", *shown("c"), *shown("p"))).otherwise("")
+    order = Window.partitionBy(*CHAIN).orderBy("sheet", "strand")
+    return strands.select(*CHAIN, F.row_number().over(order).alias("ord"), F.rpad(F.concat(head, ties), 80, " ").alias("line"))

@@ -15,14 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions import geometry as g
-from foldloom.functions.scoring import SEARCH_PASSES
-from foldloom.operators.chaining import chain_regions
-from foldloom.operators.fragments import match_fragments, sliding_fragments, with_shape
+from foldloom.operators.columns import conflict_pairs
+from foldloom.operators.fragments import sliding_fragments, with_shape
 from foldloom.operators.realign import extend_blocks, realign_blocks
+from foldloom.plans.search import find_regions
 from foldloom.session import cut_lineage
 
-LOWEST_SCORE = min(p[0] for p in SEARCH_PASSES)
-
 
 def swapped(slot: Column, rep: Column) -> Column:
     """Slot numbers after the representative and slot 0 trade places."""
@@ -72,21 +70,19 @@ def prepare_sides(merges: DataFrame, columns: DataFrame, residues: DataFrame, tr
 
 
 def average_tracks(sided: DataFrame) -> DataFrame:
-    """Mean position, spread and residue numbers of every column of a side."""
+    """Mean position and spread of every column of a side."""
     return sided.groupBy("grp", "side", "col", "block").agg(
-        *(F.avg(c).alias(c) for c in "xyz"),
-        (F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("spread"),
-        F.array_sort(F.collect_list(F.struct("slot", "res_idx"))).alias("_i"),
-    ).withColumn("idx", F.col("_i.res_idx")).drop("_i")
+        *(F.avg(c).alias(c) for c in "xyz"), (F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("spread"))
 
 
 def align_sides(sided: DataFrame, table: Sequence[float]) -> DataFrame:
-    """Accepted regions of every merge (see ``chaining.REGION_SCHEMA``)."""
+    """Accepted regions of every merge (see ``search.find_regions``)."""
     tracks = cut_lineage(average_tracks(sided))
-    frags = cut_lineage(with_shape(sliding_fragments(tracks.drop("idx"))))
-    matches = match_fragments(
-        frags.where(F.col("side") == 1), frags.where(F.col("side") == 2), LOWEST_SCORE, table)
-    return chain_regions(matches, tracks)
+    frags = cut_lineage(with_shape(sliding_fragments(tracks)))
+    pairs = sided.groupBy("grp").agg(F.countDistinct("side").alias("n")).where("n = 2").select(
+        "grp", F.col("grp").alias("pool"), F.lit(1).alias("side1"), F.lit(2).alias("side2"))
+    conflicts = cut_lineage(conflict_pairs(sided, ["grp", "side"]))
+    return find_regions(frags, tracks, pairs, table, conflicts=None if conflicts.isEmpty() else conflicts)
 
 
 def build_columns(regions: DataFrame, sided: DataFrame) -> DataFrame:

@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.operators.blocks import label_blocks
-from foldloom.operators.chaining import UNREACHED, chain_regions
-from foldloom.operators.fragments import chain_side, match_fragments, score_curve, sliding_fragments, with_shape
-from foldloom.plans.pair import (
-    LOWEST_SCORE, align_sides, build_columns, prepare_sides, sides_of, source_tracks, swapped,
-)
+from foldloom.operators.chaining import UNREACHED
+from foldloom.operators.fragments import chain_side, score_curve, sliding_fragments, with_shape
+from foldloom.plans.pair import align_sides, build_columns, prepare_sides, sides_of, source_tracks, swapped
+from foldloom.plans.search import find_regions
 from foldloom.session import cut_lineage
 
 GROUP_KEY = "concat_ws(':', job_id, aln1, aln2)"
@@ -27,27 +26,18 @@ COLUMN_NAMES = ["job_id", "aln_id", "slot", "chain", "block", "col", "res_idx",
 def pair_regions(residues: DataFrame, table: Sequence[float] | None = None) -> tuple[DataFrame, Sequence[float]]:
     """First pass: the regions of every chain pair of a job that shares at least one match.
 
-    Pairs come out of the fragment join; chain pairs without any match never appear.  Also returns
-    the score table: the one given, or the one that the chains' own fragments yield.
+    Chains meet in their job.  Also returns the score table: the one given, or the one that the chains'
+    own fragments yield.
     """
     labelled = cut_lineage(label_blocks(residues))
     frags = cut_lineage(with_shape(sliding_fragments(chain_side(labelled))))
     table = table or score_curve(frags)
-    matches = match_fragments(frags, frags, LOWEST_SCORE, table, F.col("a_side") > F.col("b_side"))
-    matches = cut_lineage(
-        matches.withColumnRenamed("grp", "job_id")
-        .withColumnsRenamed({"side1": "aln1", "side2": "aln2"}).withColumn("grp", F.expr(GROUP_KEY)))
-    pairs = matches.select("job_id", "grp", "aln1", "aln2").distinct()
-    points = labelled.select(
-        "job_id", F.col("chain").alias("aln_id"), F.col("res_idx").alias("col"), *"xyz",
-        F.array("res_idx").alias("idx"))
-    sides = pairs.select(
-        "job_id", "grp", F.explode(F.array(
-            F.struct(F.lit(1).alias("side"), F.col("aln1").alias("aln_id")),
-            F.struct(F.lit(2).alias("side"), F.col("aln2").alias("aln_id")))).alias("s"),
-    ).select("job_id", "grp", "s.*")
-    tracks = sides.join(points, ["job_id", "aln_id"]).drop("job_id", "aln_id")
-    return chain_regions(matches, tracks).join(pairs, "grp"), table
+    chains = labelled.select("job_id", "chain").distinct()
+    pairs = chains.withColumnRenamed("chain", "aln1").join(chains.withColumnRenamed("chain", "aln2"), "job_id").where("aln1 > aln2")
+    pairs = cut_lineage(pairs.withColumn("grp", F.expr(GROUP_KEY)))
+    tracks = labelled.select(F.col("job_id").alias("grp"), F.col("chain").alias("side"), F.col("res_idx").alias("col"), *"xyz")
+    named = pairs.select("grp", F.col("job_id").alias("pool"), F.col("aln1").alias("side1"), F.col("aln2").alias("side2"))
+    return find_regions(frags, tracks, named, table, merge=F.concat_ws(":", "grp", "side1", "side2")).join(pairs, "grp"), table
 
 
 def pair_scores(regions: DataFrame) -> DataFrame:

@@ -318,3 +318,64 @@ def annotations(lines: DataFrame, residue_rows: DataFrame) -> dict[str, DataFram
     }
     found["cispeps"] = found["cispeps"].where("coalesce(model_no, 0) in (0, _model)")
     return {name: rows.drop("_model") for name, rows in found.items()}
+
+
+def sheet_pairs(lines: DataFrame, residue_rows: DataFrame) -> DataFrame:
+    """Strand pairs that SHEET records register: path, model_ord, chain_id, sheet_id, strand, start1, start2, direction, length.
+
+    A record names one residue of its strand and the residue of the strand before that it is bonded to.
+    Parallel bonds join residues one apart, so one of the two moves by one, away from the bonded atom.
+    From that pair the ladder is carried back and forth as far as both strands reach.  A record opens a
+    sheet anew if the one before it has another sheet or chain or was not understood; ladders of one
+    residue are dropped; the lower strand comes first.
+    """
+    lookup = residue_numbers(residue_rows)
+    # fixed columns of (chain, number, insertion code): first and last residue, registered one, its partner in the strand before
+    places = {"start": (21, 22, 26), "end": (32, 33, 37), "cur": (49, 50, 54), "prev": (64, 65, 69)}
+    rows = annotation_lines(lines).where("rec = 'SHEET '").join(lookup.select("path", "model_ord").distinct(), "path")
+    for name, (chain, num, code) in places.items():
+        keys = {f"_c_{name}": field(chain, chain + 1), f"_n_{name}": number(num, code), f"_i_{name}": field(code, code + 1)}
+        found = lookup.select(
+            "path", "model_ord", *(F.col(c).alias(k) for k, c in zip(keys, ("chain_id", "res_num", "ins_code"))), F.col("res_idx").alias(name))
+        rows = rows.withColumns(keys).join(found, ["path", "model_ord", *keys], "left")
+    rows = rows.select(
+        "path", "model_ord", "line_no", F.col("_c_start").alias("chain_id"), field(11, 14).alias("sheet_id"), number(7, 10).alias("strand"),
+        number(38, 40).alias("direction"), (field(42, 43) == "N").alias("at_n"), *places,
+        ((F.col("_c_start") == F.col("_c_end")) & (F.col("_c_cur") == F.col("_c_prev"))).alias("sound"),
+        (F.col("_c_cur") == F.col("_c_start")).alias("inside"))
+    fields = ["line_no", "chain_id", "sheet_id", "strand", "direction", "at_n", *places, "sound", "inside"]
+    scan = rows.groupBy("path", "model_ord").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("records"))
+    kept = [c for c in fields if c not in ("sound", "inside")]
+    kinds = {"chain_id": "string", "sheet_id": "string", "at_n": "boolean"}
+    nothing = F.array().cast("array<struct<" + ",".join(f"{c}:{kinds.get(c, 'int')}" for c in (*kept, "low", "high")) + ">>")
+    none = F.lit(None).cast("int")
+
+    def step(state: Column, x: Column) -> Column:
+        """The strand before (chain NULL: none) and the records registered so far."""
+        def then(chain: Column, found: Column = None) -> Column:
+            low, high = (F.when(chain.isNotNull(), x[c]).otherwise(none) for c in ("start", "end"))
+            return F.struct(chain.alias("chain"), x["sheet_id"].alias("sheet"), low.alias("low"), high.alias("high"),
+                            (state["found"] if found is None else found).alias("found"))
+
+        lost, here = F.lit(None).cast("string"), F.when(x["start"].isNotNull() & x["end"].isNotNull(), x["chain_id"])
+        first = ~F.coalesce((state["chain"] == x["chain_id"]) & (state["sheet"] == x["sheet_id"]), F.lit(False))
+        usable = x["inside"] & x["direction"].isin(1, -1) & here.isNotNull() & x["cur"].isNotNull() & x["prev"].isNotNull()
+        row = F.struct(*(x[c].cast(kinds.get(c, "int")).alias(c) for c in kept), state["low"].alias("low"), state["high"].alias("high"))
+        return F.when(~x["sound"], then(lost)).when(first, then(here)).when(F.coalesce(usable, F.lit(False)), then(here, F.concat(state["found"], F.array(row)))).otherwise(then(lost))
+
+    begin = F.struct(F.lit(None).cast("string").alias("chain"), F.lit(None).cast("string").alias("sheet"), none.alias("low"), none.alias("high"), nothing.alias("found"))
+    rows = scan.select("path", "model_ord", F.inline(F.aggregate("records", begin, step, lambda state: state["found"])))
+    up, start, end = F.col("direction") == 1, F.col("start"), F.col("end")
+    cur_moves = F.when(F.col("at_n"), F.when(F.col("cur") < start, -1)).otherwise(F.when(F.col("cur") > end, 1))
+    prev_moves = F.when(F.col("at_n"), 1).otherwise(-1)
+    rows = rows.withColumns({
+        "cur": F.col("cur") + F.when(up, F.coalesce(cur_moves, F.lit(0))).otherwise(0),
+        "prev": F.col("prev") + F.when(up & cur_moves.isNull(), prev_moves).otherwise(0)})
+    back = F.greatest(F.lit(0), F.least(F.col("prev") - F.col("low"), F.when(up, F.col("cur") - start).otherwise(end - F.col("cur"))))
+    rows = rows.withColumn("_back", back).withColumns({"prev": F.col("prev") - F.col("_back"), "cur": F.col("cur") - F.col("direction") * F.col("_back")})
+    on = F.greatest(F.lit(0), F.least(F.col("high") - F.col("prev"), F.when(up, end - F.col("cur")).otherwise(F.col("cur") - start)))
+    swap, turn = F.col("prev") >= F.col("cur"), F.when(up, 0).otherwise(F.col("length") - 1)
+    return rows.withColumn("length", (on + 1).cast("int")).where("length >= 2").select(
+        "path", "model_ord", "chain_id", F.trim("sheet_id").alias("sheet_id"), "strand",
+        F.when(swap, F.col("cur") - turn).otherwise(F.col("prev")).cast("int").alias("start1"),
+        F.when(swap, F.col("prev") + turn).otherwise(F.col("cur")).cast("int").alias("start2"), "direction", "length")

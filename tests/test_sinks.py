@@ -95,5 +95,6 @@ def test_ladders_and_sheets(spark):
     got = secondary.strand_pairs(bonds_of(spark, anti + parallel))
     rows = {(r.start1, r.start2, r.direction, r.length) for r in got.collect()}
     assert (2, 20, -1, 3) in rows and any(d == 1 and s1 == 30 and s2 == 50 and n >= 3 for s1, s2, d, n in rows)
-    sheets = secondary.sheets(got).collect()
+    points = spark.createDataFrame([(0, 0, k, float(k), 0.0, 0.0) for k in range(60)], "job_id long, chain long, res_idx int, x double, y double, z double")
+    sheets = secondary.sheets(got, points).collect()
     assert {r.sheet for r in sheets} == {0, 1}
