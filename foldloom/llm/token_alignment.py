@@ -144,8 +144,9 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.library_a, self.a = load_a(path_a)
         self.library_b, self.b = load_b(path_b)
-        # bytes are merged and never changed if nothing is normalised: such a side spells every text
-        self.lossless_a = self.library_a.normalizer is None
+        # with every byte in the vocabulary and nothing normalised, bytes are merged but never changed: such a side spells every text
+        letters = {k for k, t in enumerate(self.a.tokens) if len(t) == 1}
+        self.lossless_a = self.library_a.normalizer is None and len({self.a.tokens[k] for k in letters}) == 256
         self.memo: dict[bytes, Window] = {}
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
@@ -156,9 +157,9 @@ class Aligner:
     def spells(self, text: str, a: list[int], b: list[int]) -> bool:
         whole = (" " + text).encode()
         return b"".join(map(self.b.tokens.__getitem__, b)) == whole and (
-            self.lossless_a and len(whole) == sum(map(self.a.lengths.__getitem__, a)) or b"".join(map(self.a.tokens.__getitem__, a)) == whole)
+            self.lossless_a or b"".join(map(self.a.tokens.__getitem__, a)) == whole)
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First token of every window on either side, and the number of tokens as the last entry."""
         ends_a, ends_b = np.cumsum(self.a.sizes[a], dtype=np.int32), np.cumsum(self.b.sizes[b], dtype=np.int32)
         next_a, next_b = np.flatnonzero(self.a.spaced[a[1:]]), np.flatnonzero(self.b.spaced[b[1:]])
@@ -166,8 +167,7 @@ class Aligner:
         marks = np.zeros(ends_a[-1] + 1, np.uint8)
         marks[before_a] = 1
         marks[before_b] |= 2
-        return (
-            [0, *(next_a[marks[before_a] == 3] + 1).tolist(), len(a)], [0, *(next_b[marks[before_b] == 3] + 1).tolist(), len(b)])
+        return np.concatenate([[0], next_a[marks[before_a] == 3] + 1, [len(a)]]), np.concatenate([[0], next_b[marks[before_b] == 3] + 1, [len(b)]])
 
     def align(self, texts: list[str]) -> list[tuple[int, int, int, str, bytes]]:
         """(n_a, n_b, n_groups, digest, links as packed 64-bit numbers) of each text.
@@ -191,7 +191,8 @@ class Aligner:
         ids_a, ids_b = (np.frombuffer(array("I", ids), np.uint32) for ids in (all_a, all_b))
         cuts_a, cuts_b = self.windows(ids_a, ids_b)
         raw_a, raw_b = ids_a.tobytes(), (ids_b | np.uint32(1 << 31)).tobytes()  # the marks keep the two halves of a key apart
-        at_a, at_b = ([4 * c for c in cuts] for cuts in (cuts_a, cuts_b))
+        at_a, at_b = ((4 * cuts).tolist() for cuts in (cuts_a, cuts_b))
+        cuts_a, cuts_b = cuts_a.tolist(), cuts_b.tolist()
         keys = [raw_a[i:i_end] + raw_b[j:j_end] for i, i_end, j, j_end in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)]
         memo = self.memo
         if len(memo) > MEMO:
