@@ -511,3 +511,12 @@ SELECT h.g AS grp, concat_ws('-', a.p1, a.p2, a.len) AS "before", concat_ws('-',
   round(-ln((1 - cos(greatest(2*acos(least(half_cosine, 1)), 0.1e0)))/2) + 4 - displacement, 4) AS bonus
 FROM hinges h JOIN cand a ON a.g = h.g AND a.id = h.before JOIN cand b ON b.g = h.g AND b.id = h.after
 WHERE a.score >= 1.6 AND b.score >= 1.6 AND half_cosine >= cos(pi()/8) AND displacement <= 5"""
+
+ORACLES["helix_records"] = ORACLES["helix_runs"].rsplit("\nSELECT", 1)[0] + f""",
+names AS (SELECT * FROM (VALUES {', '.join(f"('{letter}', '{name}')" for name, letter in RESIDUES[:20])}) t(letter, res_name)),
+named AS (SELECT chain, res_idx, res_name || ' A ' || lpad(CAST(res_idx + 1 AS VARCHAR), 4, ' ') || ' ' AS t FROM pts JOIN names USING (letter)),
+kinds AS (SELECT job_id, chain, i AS start, length, CASE step WHEN 4 THEN 1 WHEN 3 THEN 5 ELSE 3 END AS class FROM scan WHERE length IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY start, class) AS nr FROM kinds)
+SELECT h.job_id, h.chain, CAST(nr AS INTEGER) AS ord, 'HELIX  ' || lpad(CAST(nr AS VARCHAR), 3, ' ') || ' ' || lpad(CAST(nr AS VARCHAR), 3, ' ') || ' ' || a.t || ' '
+  || b.t || lpad(CAST(class AS VARCHAR), 2, ' ') || repeat(' ', 31) || lpad(CAST(length AS VARCHAR), 5, ' ') AS line
+FROM numbered h JOIN named a ON a.chain = h.chain AND a.res_idx = start JOIN named b ON b.chain = h.chain AND b.res_idx = start + length - 1"""

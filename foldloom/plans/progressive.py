@@ -2,7 +2,9 @@
 
 Every round picks the best merge of every job, replaces its two alignments by the merged one and
 aligns that one with the remaining alignments.  Only the loop runs on the driver: the rounds equal
-the largest number of chains in a job less one, and all state is kept in checkpointed tables.
+the largest number of chains in a job less one.  Members, columns, regions and prepared sides are
+append-only: a round writes what it made, the small table of living alignments tells which rows
+count, and a round none of whose alignments lives is deleted.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from foldloom.operators.chaining import UNREACHED
 from foldloom.operators.fragments import chain_side, score_curve, sliding_fragments, with_shape
 from foldloom.plans.pair import align_sides, build_columns, prepare_sides, sides_of, source_tracks, swapped
 from foldloom.plans.search import find_regions
-from foldloom.session import cut_lineage
+from foldloom.session import RoundTable, cut_lineage
 
 GROUP_KEY = "concat_ws(':', job_id, aln1, aln2)"
 COLUMN_NAMES = ["job_id", "aln_id", "slot", "chain", "block", "col", "res_idx", "x", "y", "z"]
@@ -61,35 +63,36 @@ def multiple_alignment(residues: DataFrame, table: Sequence[float] | None = None
     alive = cut_lineage(counted.select(
         "job_id", F.col("chain").alias("aln_id"), F.col("chain").cast("string").alias("tree"),
         F.lit(None).cast("double").alias("score"), F.lit(1).alias("n_chains")))
-    members = cut_lineage(counted.select("job_id", F.col("chain").alias("aln_id"), F.lit(0).alias("slot"), "chain"))
-    columns = cut_lineage(labelled.select(
+    spark = residues.sparkSession
+    members, columns, found, prepared = (RoundTable(spark) for _ in range(4))
+    members.append(counted.select("job_id", F.col("chain").alias("aln_id"), F.lit(0).alias("slot"), "chain"), 0)
+    columns.append(labelled.select(
         "job_id", F.col("chain").alias("aln_id"), F.lit(0).alias("slot"), "chain", "block",
-        F.col("res_idx").alias("col"), "res_idx", *"xyz"))
+        F.col("res_idx").alias("col"), "res_idx", *"xyz").select(COLUMN_NAMES), 0)
 
     regions, table = pair_regions(residues, table)
-    regions = cut_lineage(regions.withColumn("rep1", F.lit(0)).withColumn("rep2", F.lit(0)))
-    # Prepared sides of later merges; the single chains of the first pass need no preparation.
-    prepared: DataFrame | None = None
-    scores = pair_scores(regions)
+    found.append(regions.withColumn("rep1", F.lit(0)).withColumn("rep2", F.lit(0)), 0)
+    scores = pair_scores(found.read())
     one_way = scores.select("job_id", F.col("aln1").alias("c1"), F.col("aln2").alias("c2"), "score")
     similarity = cut_lineage(one_way.unionByName(one_way.select("job_id", F.col("c2").alias("c1"), F.col("c1").alias("c2"), "score")))
 
     step = 0
     while not alive.groupBy("job_id").count().where("count > 1").isEmpty():
         step += 1
-        best = cut_lineage(_best_merges(alive, regions))
+        best = cut_lineage(_best_merges(alive, _between(found.read(), alive)))
         new_id = F.lit(-step).cast("long")
-        chosen = regions.join(best.select("grp"), "grp", "left_semi")
+        chosen = found.read().join(best.select("grp"), "grp", "left_semi")
         sides = sides_of(best)
-        sided = sides.join(columns, ["job_id", "aln_id"]).withColumn(
+        sided = sides.join(columns.read(), ["job_id", "aln_id"]).withColumn(
             "slot", swapped(F.col("slot"), F.col("rep"))).drop("aln_id", "rep")
-        if prepared is not None:
-            ready = prepared.join(best.select("grp"), "grp", "left_semi")
+        # Prepared sides of merges of earlier rounds; single chains need no preparation.
+        if prepared.rounds:
+            ready = prepared.read().join(best.select("grp"), "grp", "left_semi")
             sided = sided.join(ready.select("grp").distinct(), "grp", "left_anti").unionByName(ready)
-        merged = build_columns(chosen, sided).withColumn("aln_id", new_id).select(COLUMN_NAMES)
+        merged = build_columns(chosen, sided).withColumn("aln_id", new_id)
 
         size1 = best.join(alive.select("job_id", F.col("aln_id").alias("aln1"), F.col("n_chains").alias("_n1")), ["job_id", "aln1"])
-        new_members = sides.join(members, ["job_id", "aln_id"]).join(size1.select("grp", "_n1"), "grp").select(
+        new_members = sides.join(members.read(), ["job_id", "aln_id"]).join(size1.select("grp", "_n1"), "grp").select(
             "job_id", new_id.alias("aln_id"),
             (swapped(F.col("slot"), F.col("rep")) + F.when(F.col("side") == 2, F.col("_n1")).otherwise(0)).alias("slot"),
             "chain")
@@ -98,40 +101,36 @@ def multiple_alignment(residues: DataFrame, table: Sequence[float] | None = None
         new_alive = tree.join(best.select("grp", "score"), "grp").select(
             "job_id", new_id.alias("aln_id"),
             F.concat(F.lit("["), F.concat_ws(",", F.col("t.tree")), F.lit("]")).alias("tree"), "score", "n_chains")
+        columns.append(merged, step)
+        members.append(new_members, step)
+        alive = cut_lineage(alive.join(sides.select("job_id", "aln_id"), ["job_id", "aln_id"], "left_anti").unionByName(new_alive))
+        # an alignment bears the number of its round, and so do the merges that it is side 2 of; at most one value a round comes back
+        living = {max(-r.aln_id, 0) for r in alive.select(F.least("aln_id", F.lit(0)).alias("aln_id")).distinct().collect()}
+        for kept in (members, columns, found, prepared):
+            kept.keep(living)
 
-        used = sides.select("job_id", "aln_id")
-
-        def replaced(table: DataFrame, fresh: DataFrame) -> DataFrame:
-            return cut_lineage(table.join(used, ["job_id", "aln_id"], "left_anti").unionByName(fresh))
-
-        alive, members, columns = replaced(alive, new_alive), replaced(members, new_members), replaced(columns, merged)
         is_new = F.col("aln_id") == new_id
         partners = alive.where(~is_new).select("job_id", F.col("aln_id").alias("aln1")).join(
             alive.where(is_new).select("job_id", F.col("aln_id").alias("aln2")), "job_id")
-        merges = partners.join(_representatives(members.where(~is_new), members.where(is_new), similarity), ["job_id", "aln1", "aln2"], "left").select(
+        present = members.read().join(alive, ["job_id", "aln_id"], "left_semi")
+        merges = partners.join(_representatives(present.where(~is_new), present.where(is_new), similarity), ["job_id", "aln1", "aln2"], "left").select(
             "job_id", F.expr(GROUP_KEY).alias("grp"), "aln1", F.coalesce("rep1", F.lit(0)).alias("rep1"),
             "aln2", F.coalesce("rep2", F.lit(0)).alias("rep2"))
         merges = cut_lineage(merges)
-        regions = _without(regions, used)
-        if prepared is not None:
-            prepared = prepared.join(regions.select("grp").distinct(), "grp", "left_semi")
         if not merges.isEmpty():
-            fresh = cut_lineage(prepare_sides(merges, columns, residues, tracks))
-            found = align_sides(fresh, table).join(merges, "grp")
-            regions = regions.unionByName(found.select(regions.columns))
-            prepared = fresh if prepared is None else prepared.unionByName(fresh.select(prepared.columns))
-        regions = cut_lineage(regions)
-        if prepared is not None:
-            prepared = cut_lineage(prepared)
+            prepared.append(prepare_sides(merges, columns.read(), residues, tracks), step)
+            fresh = prepared.read().join(merges.select("grp"), "grp", "left_semi")
+            found.append(align_sides(fresh, table).join(merges, "grp"), step)
+    members, columns = (kept.read().join(alive, ["job_id", "aln_id"], "left_semi") for kept in (members, columns))
     sizes = columns.groupBy("job_id", "aln_id").agg((F.max("col") + 1).alias("n_cols"))
     alignments = alive.join(sizes, ["job_id", "aln_id"], "left").withColumn("n_cols", F.coalesce("n_cols", F.lit(0)))
     return {"alignments": alignments, "members": members, "columns": columns}
 
 
-def _without(regions: DataFrame, used: DataFrame) -> DataFrame:
-    """Drop the merges that touch an alignment that has just been consumed."""
+def _between(regions: DataFrame, alive: DataFrame) -> DataFrame:
+    """Regions of merges both of whose alignments live."""
     for side in ("aln1", "aln2"):
-        regions = regions.join(used.withColumnRenamed("aln_id", side), ["job_id", side], "left_anti")
+        regions = regions.join(alive.select("job_id", F.col("aln_id").alias(side)), ["job_id", side], "left_semi")
     return regions
 
 

@@ -69,6 +69,41 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+def fresh_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+class RoundTable:
+    """A table that grows by one written part a round; what is there is never rewritten.
+
+    Rows of earlier rounds that no longer count are left to the reader's joins, until a round as a whole
+    is dead: then its part is deleted and no longer read.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, fresh_path(spark)
+        self.schema = None
+        self.rounds: list[int] = []
+
+    def append(self, rows: DataFrame, step: int) -> None:
+        if self.schema is None:
+            self.schema = rows.schema
+        rows.select(*self.schema.names).write.parquet(f"{self.path}/round={step}")
+        self.rounds.append(step)
+
+    def read(self) -> DataFrame:
+        if not self.rounds:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/round={r}" for r in self.rounds))
+
+    def keep(self, rounds: set[int]) -> None:
+        """Delete the parts of all other rounds; frames read before must no longer be used."""
+        for r in [r for r in self.rounds if r not in rounds]:
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/round={r}")
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            self.rounds.remove(r)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -76,6 +111,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     (a checkpoint would carry on estimates that multiply with every join of a loop).
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
