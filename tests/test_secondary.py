@@ -39,63 +39,45 @@ def bonds(spark):
 def plain_helices(found):
     have, out = set(found), []
     for step, kind in ((4, 1), (3, 5), (5, 3)):
-        i = 0
-        while i < LENGTH - step:
-            for back in (0, 1):
-                n = 0
-                while ((i + n + step, i + n) if back else (i + n, i + n + step)) in have:
-                    n += 1
-                if n >= 2:
-                    out.append((i, n + step - 1 + back, kind))
-                    i += n - 1
-                    break
-            i += 1
+        free = 0
+        for i in range(LENGTH):
+            runs = [next(n for n in range(LENGTH) if (i + n, i + n + step)[::way] not in have) for way in (1, -1)]
+            back = next((w for w in (0, 1) if runs[w] >= 2), None)
+            if i >= free and back is not None:
+                free = i + runs[back]
+                out.append((i, runs[back] + step - 1 + back, kind))
     return sorted(out)
 
 
 def plain_ladders(found):
-    have, out = set(found), []
-
-    def explained(x, y):
-        x, y = min(x, y), max(x, y)
-        return any(s <= x < s + n and t + d * (x - s) == y for s, t, d, n in out)
+    """Residue pairs of each ladder written out; a bond is passed over if its pair, or the acceptor's successor's, is among them."""
+    have, out, told = set(found), [], set()
 
-    def add(s1, s2, d, n):
-        out.append((s1, s2, d, n) if s1 < s2 else (s2, s1, d, n) if d == 1 else (s2 - n + 1, s1 + n - 1, d, n))
+    def reach(full, single):
+        n = next(k for k in range(1, LENGTH) if not full(k))
+        return 2 * (n - 1) + single(n)
 
     for x, y in sorted(found):
-        if explained(x, y) or explained(x, y + 1):
+        if {(x, y), (y, x), (x, y + 1), (y + 1, x)} & told:
             continue
-        if (y, x) in have:
-            up = down = 0
-            while (x + up + 2, y - up - 2) in have:
-                up += 1
-                if (y - up - 1, x + up + 1) not in have:
-                    break
-                up += 1
-            while (y + down + 2, x - down - 2) in have:
-                down += 1
-                if (x - down - 1, y + down + 1) not in have:
-                    break
-                down += 1
-            if up + down:
-                add(x - down, y + down, -1, up + down + 1)
-                continue
         z = y + 1
+        offers = []
+        if (y, x) in have:
+            offers.append((-1, y, *(reach(
+                lambda k, w=w: (x + 2 * w * k, y - 2 * w * k) in have and (y - 2 * w * k, x + 2 * w * k) in have,
+                lambda k, w=w: (x + 2 * w * k, y - 2 * w * k)[::w] in have) for w in (1, -1))))
         if (z + 1, x) in have:
-            up = down = 0
-            while (x + up + 2, z + up + 1) in have:
-                up += 1
-                if (z + up + 2, x + up + 1) not in have:
-                    break
-                up += 1
-            while (z - down - 1, x - down - 2) in have:
-                down += 1
-                if (x - down - 1, z - down - 2) not in have:
-                    break
-                down += 1
-            if up + down:
-                add(x - down, z - down, 1, up + down + 1)
+            offers.append((1, z, reach(
+                lambda k: (x + 2 * k, z + 2 * k - 1) in have and (z + 2 * k + 1, x + 2 * k) in have, lambda k: (x + 2 * k, z + 2 * k - 1) in have),
+                reach(lambda k: (z - 2 * k + 1, x - 2 * k) in have and (x - 2 * k, z - 2 * k - 1) in have, lambda k: (z - 2 * k + 1, x - 2 * k) in have)))
+        for way, mate, up, down in offers:
+            pairs = [(x + k, mate + way * k) for k in range(-down, up + 1)]
+            if len(pairs) > 1:
+                # from the strand that begins lower, in its order
+                pairs = pairs if pairs[0][0] < pairs[0][1] else [p[::-1] for p in pairs][::way]
+                out.append((*pairs[0], way, len(pairs)))
+                told |= set(pairs)
+                break
     return sorted(out)
 
 
