@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.llm.common import broadcast_if_small, prepare, same
+from foldloom.llm.common import prepare, same
 from foldloom.session import cut_lineage
 
 #: Cost of each edit, and of a truncated row that stays.
