@@ -1,13 +1,22 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree of presentation paths (tags and classes, digits
-dropped).  Every path gets two measures over the host's pages: how far the texts of its leaves
-repeat (their entropy: texts that are all different give 1, the same text everywhere gives 0), and
-how varied its presentation is (entropy of the child sequences).  A branch's importance combines
-its own presentation with the content below it.  Branches below ``IMPORTANT`` on hosts with at
-least ``ENOUGH`` pages are cut from every page, as are elements that declare themselves boilerplate
-by tag or class.  Inside an article or main element only the latter are cut: copies of an article
-are no reason to lose it.
+The different pages of a host are merged into one tree of presentation paths (tags and classes, digits
+dropped).  A feature of a path is a text found there (content) or a child sequence (presentation).  Of
+the ``m`` pages that show a path, a text on ``n`` of them has entropy ``log n / log m`` over the pages:
+0 on one page, 1 on all.  A path's content importance is 1 less the mean entropy of its texts; its
+presentation importance is the entropy of its child sequences.  Both are drawn towards 1 by ``PRIOR``
+pages that say nothing, so that a host of few pages is judged by the same rule as any other: two
+equal texts are no proof, three are.  A branch combines its own presentation with the content below,
+and is cut from every page if that stays under ``IMPORTANT`` and no path below it reaches that: a
+branch with varied content anywhere stays whole.  The frame (html, body, main, article) is never cut
+itself.  Inside an article or main element the tree takes the lesser part only: if it would
+take as much text as it leaves, the pages are copies of one article and all of it stays; likewise a
+page that the tree would leave without any text.
+
+Names are evidence beside the tree, for content that varies though it is none (comments, adverts): a tag
+of that kind, or a class, id or role that is a name of ``DECLARED`` as a whole token, or a token made of such
+names and ``QUALIFIERS`` alone (``site-footer``, but not ``has-sidebar`` or ``entry-header``).  Names never
+cut html, body, main, or an article that lies in no other.
 
 Blocks are the texts between the boundaries of block elements; inline elements, comments and line
 breaks do not end one.  Equal pages of a host count once in the measures, so copies of a page do
@@ -15,7 +24,7 @@ not make its article look like a menu.
 
 Defined results: null, empty and text-free pages give an empty text; a null or unreadable url makes
 a host of its own name ''; a tag that never closes ends its page; rows repeat as given; extra
-columns are not read.
+columns are not read; very long pages are read whole.
 """
 
 from __future__ import annotations
@@ -25,6 +34,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,7 +44,9 @@ from pyspark.sql import functions as F
 from foldloom.llm.common import broadcast_if_small, prepare
 from foldloom.session import cut_lineage
 
-IMPORTANT, ENOUGH = 0.5, 20
+IMPORTANT = 0.5
+#: Pages without evidence that stand beside those of a path.
+PRIOR = 2
 #: Share of a branch's importance that its own presentation has; the rest is the content's.
 OWN = 0.1
 #: Rows held by a task before they are handed on, summed up.
@@ -48,12 +60,18 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 BOILERPLATE = frozenset(
     "nav footer aside form script style noscript template iframe svg button select input textarea head title dialog menu object canvas "
     "audio video map search".split())
-#: Words in a class, id or role that declare boilerplate.
+#: Names in a class, id or role that declare boilerplate.
 DECLARED = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion "
     "sponsor sponsored cookie cookies consent notice notices notification popup modal overlay newsletter subscribe subscription signup login "
     "breadcrumb breadcrumbs pagination pager share sharing social related recommended comment comments commentlist disqus reply replies "
     "widget toolbar contentinfo complementary".split())
+#: Words that may stand beside such a name in a token; those of PARTS not beside a header, which holds the title.
+QUALIFIERS = frozenset(
+    "site main top bottom left right global primary secondary sub mobile desktop bar box list area section container wrapper wrap inner "
+    "block form link links item items posts buttons icons policy thread".split())
+PARTS = frozenset("post entry article page content".split())
+FRAME = frozenset("html body main article".split())
 #: A start tag of the first kind closes an open element of the second (the omitted end tags of HTML).
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -64,27 +82,51 @@ MARK = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+def _names_boilerplate(token: str) -> bool:
+    words = set(re.findall(r"[a-z]+", token))
+    named = words & DECLARED
+    return bool(named) and words <= DECLARED | QUALIFIERS | (set() if "header" in named else PARTS)
+
+
 @lru_cache(maxsize=50_000)
 def element(tag: str, attributes: str) -> tuple[str, bool]:
     """(name in the tree, whether it declares itself boilerplate)."""
     values = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-    words = set(re.split(r"[^a-z]+", " ".join(values.values()).lower()))
-    shown = re.sub(r"\d+", "", values.get("class", "") or values.get("id", "")).split()
-    return ".".join([tag, *sorted(shown)[:4]]), tag in BOILERPLATE or bool(words & DECLARED)
+    shown = re.sub(r"\d+", "", values.get("class", "") or values.get("id", "")).replace("/", "").split()
+    declared = tag in BOILERPLATE or any(map(_names_boilerplate, " ".join(values.values()).lower().split()))
+    return ".".join([tag, *sorted(shown)[:4]]), declared
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "main", "children")
+    __slots__ = ("tag", "path", "dropped", "noise", "main", "children")
 
-    def __init__(self, tag: str, path: str, dropped: bool, main: bool):
-        self.tag, self.path, self.dropped, self.main = tag, path, dropped, main
+    def __init__(self, tag: str, path: str, dropped: bool, noise: bool, main: bool):
+        self.tag, self.path, self.dropped, self.noise, self.main = tag, path, dropped, noise, main
         self.children: list[str] = []
 
 
-def read(page: str, noise: frozenset[str] = frozenset()) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]]]:
-    """Blocks (path, text, kept) in page order, and presentations (path, child sequence) of the elements."""
-    stack = [Element("", "", False, False)]
-    blocks: list[tuple[str, str, bool]] = []
+@dataclass(slots=True)
+class Block:
+    path: str
+    text: str
+    dropped: bool  # by a name
+    noise: bool  # by the tree
+    main: bool
+
+
+def kept(blocks: list[Block]) -> list[str]:
+    """The texts that stay: what the tree cuts goes, unless it would take a page's article."""
+    left = [b for b in blocks if not b.dropped]
+    inside = [sum(len(b.text) for b in left if b.main and b.noise is cut) for cut in (False, True)]
+    spared = inside[1] >= inside[0]
+    out = [b.text for b in left if not b.noise or b.main and spared]
+    return out or [b.text for b in left]
+
+
+def read(page: str, noise: frozenset[str] = frozenset()) -> tuple[list[Block], list[tuple[str, str]]]:
+    """Blocks in page order, and presentations (path, child sequence) of the elements."""
+    stack = [Element("", "", False, False, False)]
+    blocks: list[Block] = []
     shapes: list[tuple[str, str]] = []
     text: list[str] = []
 
@@ -92,7 +134,8 @@ def read(page: str, noise: frozenset[str] = frozenset()) -> tuple[list[tuple[str
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                blocks.append((stack[-1].path, whole, not stack[-1].dropped))
+                e = stack[-1]
+                blocks.append(Block(e.path, whole, e.dropped, e.noise, e.main))
             text.clear()
 
     def close(until: int) -> None:
@@ -158,8 +201,10 @@ def read(page: str, noise: frozenset[str] = frozenset()) -> tuple[list[tuple[str
             continue
         path = f"{parent.path}/{name}"
         main = parent.main or tag in ("article", "main")
-        dropped = parent.dropped or declared or (tag == "header" and not parent.main) or (not main and path in noise)
-        stack.append(Element(tag, path, dropped, main))
+        if tag in FRAME and not (tag == "article" and any(e.tag == "article" for e in stack)):
+            declared = False
+        dropped = parent.dropped or declared or (tag == "header" and not parent.main)
+        stack.append(Element(tag, path, dropped, parent.noise or path in noise, main))
     close(1)
     return blocks, shapes
 
@@ -169,7 +214,7 @@ def _code(text: str) -> int:
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages (host, html) to rows (host, path, kind, code, n): how often a leaf text (kind 1) or child sequence (kind 0) occurs."""
+    """Pages (host, html) to rows (host, path, kind, code, n): on how many pages a path shows a text (kind 1), a child sequence (kind 0), itself (-1)."""
     seen: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -184,34 +229,47 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             blocks, shapes = read(page)
-            seen.update((host, path, 1, _code(text)) for path, text, _ in blocks)
-            seen.update((host, path, 0, _code(shape)) for path, shape in shapes)
+            # once a page, however often it shows them
+            seen.update({(host, b.path, 1, _code(b.text)) for b in blocks})
+            seen.update({(host, path, 0, _code(shape)) for path, shape in shapes})
+            seen.update({(host, path, -1, 0) for path in {b.path for b in blocks} | {path for path, _ in shapes}})
         if len(seen) > FLUSH:
             yield flush()
     yield flush()
 
 
-def noise_paths(pages: DataFrame) -> DataFrame:
-    """(host, noise): paths of unimportant branches of each host with enough different pages; pages are (host, html)."""
+def branch_importance(pages: DataFrame) -> DataFrame:
+    """(host, branch, content, best, shape, importance) of each host's different pages (host, html).
+
+    ``content`` is the mean importance of the texts below a branch, ``best`` that of its best path.
+    """
     counted = pages.mapInArrow(features, "host string, path string, kind int, code long, n long")
-    counted = counted.groupBy("host", "path", "kind", "code").agg(F.sum("n").alias("n"))
-    spread = counted.groupBy("host", "path", "kind").agg(
-        F.sum("n").alias("total"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("inner"))
-    # entropy over its maximum: 1 if all differ, 0 if all are the same; one occurrence tells nothing
-    entropy = F.when(F.col("total") > 1, 1 - F.col("inner") / (F.col("total") * F.log(F.col("total").cast("double")))).otherwise(F.lit(1.0))
-    spread = cut_lineage(spread.select("host", "path", "kind", "total", entropy.alias("entropy")))
-
-    leaves = spread.where("kind = 1")
+    counted = cut_lineage(counted.groupBy("host", "path", "kind", "code").agg(F.sum("n").alias("n")))
+    shown = counted.where("kind = -1").select("host", "path", F.col("n").cast("double").alias("m"))
+    log_n, log_m = F.log(F.col("n").cast("double")), F.log("m")
+    sums = counted.where("kind >= 0").join(shown, ["host", "path"]).groupBy("host", "path", "kind", "m").agg(
+        F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total"), F.sum(log_n).alias("logs"), F.sum(F.col("n") * log_n).alias("inner"))
+    trust = F.col("m") / (F.col("m") + PRIOR)
+    # the entropy of a text on n of m pages is log n / log m; one page tells nothing
+    repeated = F.when(F.col("m") > 1, F.col("logs") / F.col("texts") / log_m).otherwise(F.lit(0.0))
+    # the entropy of the sequences over its maximum
+    total = F.col("total").cast("double")
+    varied = F.when(F.col("total") > 1, (F.log(total) - F.col("inner") / total) / F.log(total)).otherwise(F.lit(1.0))
+    paths = cut_lineage(sums.select(
+        "host", "path", "kind", "texts", F.when(F.col("kind") == 1, 1 - trust * repeated).otherwise(1 - trust * (1 - varied)).alias("importance")))
+
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
-    content = leaves.select("host", F.explode(above).alias("branch"), "total", "entropy").groupBy("host", "branch").agg(
-        (F.sum(F.col("entropy") * F.col("total")) / F.sum("total")).alias("content"))
-    shape = spread.where("kind = 0").select("host", F.col("path").alias("branch"), F.col("entropy").alias("shape"), "total")
-    branches = content.join(shape, ["host", "branch"])
-    importance = OWN * F.col("shape") + (1 - OWN) * F.col("content")
-    low = branches.where((importance < IMPORTANT) & (F.col("total") >= ENOUGH))
-    # the page's own frame is no branch to cut
-    low = low.where(~F.regexp_extract("branch", "([^/.]*)[^/]*$", 1).isin("html", "body"))
+    content = paths.where("kind = 1 and path <> ''").select("host", F.explode(above).alias("branch"), "texts", "importance").groupBy("host", "branch").agg(
+        (F.sum(F.col("importance") * F.col("texts")) / F.sum("texts")).alias("content"), F.max("importance").alias("best"))
+    shape = paths.where("kind = 0").select("host", F.col("path").alias("branch"), F.col("importance").alias("shape"))
+    return content.join(shape, ["host", "branch"]).withColumn("importance", OWN * F.col("shape") + (1 - OWN) * F.col("content"))
+
+
+def noise_paths(pages: DataFrame) -> DataFrame:
+    """(host, noise): paths of the unimportant branches of each host; pages are (host, html)."""
+    low = branch_importance(pages).where((F.col("importance") < IMPORTANT) & (F.col("best") < IMPORTANT))
+    low = low.where(~F.regexp_extract("branch", "([^/.]*)[^/]*$", 1).isin(*sorted(FRAME)))
     return low.groupBy("host").agg(F.collect_set("branch").alias("noise"))
 
 
@@ -241,7 +299,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
             for page, paths in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist(), strict=True):
                 key = tuple(paths or ())
                 blocks, _ = read(page, sets.setdefault(key, frozenset(key)))
-                out.append("\n".join(text for _, text, kept in blocks if kept))
+                out.append("\n".join(kept(blocks)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     small = broadcast_if_small(noise.withColumnRenamed("host", "n_host"), F.aggregate("noise", F.lit(0), lambda a, x: a + F.length(x)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from itertools import combinations
 
@@ -143,13 +144,70 @@ def test_pages(spark):
     assert html_tree.main_texts(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def site(host, n, first=0):
+    return [(first + k, f"http://{host}/x", f"<body><div class='box'>Same words</div><article><h1>Title {k}</h1><div class='call'>Subscribe now</div>"
+             f"<p>Own {k}</p><p>More {k * 7} and more</p></article><div class='c'>Read {k % 2}</div></body>") for k in range(n)]
+
+
 def test_repeated_branches_of_a_site_are_cut(spark):
-    """Branches that nothing declares as boilerplate go if their content repeats over the host's pages."""
-    rows = [(k, "http://site.example/x", f"<body><div class='box'>Same words</div><div class='text'><p>Own {k}</p><p>More {k * 7}</p></div></body>")
-            for k in range(60)]
-    rows += [(100 + k, "http://few.example/x", f"<body><div class='box'>Same words</div><p>Own {k}</p></body>") for k in range(3)]
+    """Branches that nothing declares as boilerplate go if their content repeats over the host's pages, on small hosts too."""
+    rows = site("site.example", 60) + site("few.example", 3, 100) + site("two.example", 2, 200)
+    # copies of one article: the tree may not take it
+    rows += [(300 + k, "http://copies.example/x", f"<body><div>Visits {k}</div><article><h1>One</h1><p>The same article</p></article></body>") for k in range(5)]
     got = {r.page_id: r.text for r in html_tree.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
-    assert got[5] == "Own 5\nMore 35" and got[101] == "Same words\nOwn 1"
+    assert got[5] == "Title 5\nOwn 5\nMore 35 and more"
+    assert got[101] == "Title 1\nOwn 1\nMore 7 and more\nRead 1"
+    assert got[201] == "Same words\nTitle 1\nSubscribe now\nOwn 1\nMore 7 and more\nRead 1"
+    assert got[303] == "Visits 3\nOne\nThe same article"
+
+
+def test_importance_of_branches_as_plain_counts(spark):
+    rows = site("site.example", 12) + site("few.example", 3, 100)
+    rows += [(50 + k, "http://site.example/y", "<body><div class='box'>Same words<p>a<p>a<p>b</div></body>".replace("b<", f"b{k}<")) for k in range(4)]
+    pages = spark.createDataFrame([("few" if i >= 100 else "site", h) for i, _, h in rows], "host string, html string")
+    got = {(r.host, r.branch): (r.content, r.best, r.shape, r.importance) for r in html_tree.branch_importance(pages).collect()}
+    expected = {}
+    for host in ("site", "few"):
+        texts, shapes, shown = {}, {}, {}
+        for k, (_, _, h) in enumerate(r for r in rows if (r[0] >= 100) == (host == "few")):
+            blocks, forms = html_tree.read(h)
+            for b in blocks:
+                texts.setdefault(b.path, {}).setdefault(b.text, set()).add(k)
+            for path, form in forms:
+                shapes.setdefault(path, {}).setdefault(form, set()).add(k)
+            for path in [b.path for b in blocks] + [p for p, _ in forms]:
+                shown.setdefault(path, set()).add(k)
+        leaf = {}
+        for path, found in texts.items():
+            m = len(shown[path])
+            mean = sum(math.log(len(on)) / math.log(m) for on in found.values()) / len(found) if m > 1 else 0
+            leaf[path] = (1 - m / (m + 2) * mean, len(found))
+        for path, found in shapes.items():
+            below = [v for q, v in leaf.items() if q == path or q.startswith(path + "/")]
+            if below:
+                total, m = sum(map(len, found.values())), len(shown[path])
+                varied = -sum(len(on) / total * math.log(len(on) / total) for on in found.values()) / math.log(total) if total > 1 else 1
+                shape, content = 1 - m / (m + 2) * (1 - varied), sum(i * n for i, n in below) / sum(n for _, n in below)
+                expected[host, path] = (content, max(i for i, _ in below), shape, 0.1 * shape + 0.9 * content)
+    assert set(got) == set(expected)
+    for key, values in expected.items():
+        assert got[key] == pytest.approx(values, abs=1e-9), key
+
+
+def test_names_are_whole_tokens(spark):
+    """Names inside longer words and names of the frame take nothing away; long pages, clashing columns, rows without an id."""
+    long = "<article>" + "".join(f"<p>part {k}</p>" for k in range(40_000)) + "</article>"
+    pages = [
+        "<body class='has-sidebar'><article><p>text</p></article></body>", "<article class='post comments-open'><p>text</p></article>",
+        "<article><h1 class='entry-header'>title</h1><p>text</p></article>", "<div class='page-with-navigation'><p>text</p></div>",
+        "<body class='sidebar'><main class='widget'><article class='comments'><p>text</p></article></main></body>",
+        "<div class='site-footer'>no</div><article><p>text</p><div id='post-comments'>no</div><article class='comment'>no</article></article>"]
+    rows = [(k, f"http://h{k}.example/", h, "x", "y", 3) for k, h in enumerate(pages)] + [(50, "http://long.example", long, "x", "y", 3)]
+    rows += [(None, "http://h9.example/", pages[0], "x", "y", 3)] * 2
+    out = html_tree.main_texts(spark.createDataFrame(rows, PAGES + ", host string, text string, noise int")).collect()
+    got = {r.page_id: r.text for r in out}
+    assert [got[k] for k in range(6)] == ["text", "text", "title\ntext", "text", "text", "text"]
+    assert got[50].count("\n") == 39_999 and len(out) == len(rows) and got[None] == "text"
 
 
 def test_page_texts_of_the_table(spark):
