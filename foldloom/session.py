@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,8 +71,27 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+_SCRATCH: list[str] = []
+
+
 def fresh_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = _SCRATCH[-1] if _SCRATCH else f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for all that ``cut_lineage`` writes inside; the caller deletes it when no frame needs it any more."""
+    _SCRATCH.append(fresh_path(spark))
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        _SCRATCH.pop()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 class RoundTable:
@@ -99,8 +120,7 @@ class RoundTable:
     def keep(self, rounds: set[int]) -> None:
         """Delete the parts of all other rounds; frames read before must no longer be used."""
         for r in [r for r in self.rounds if r not in rounds]:
-            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/round={r}")
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            delete_folder(self.spark, f"{self.path}/round={r}")
             self.rounds.remove(r)
 
 
