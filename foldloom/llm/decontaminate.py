@@ -7,8 +7,10 @@ cases).  Benchmark and document seeds meet in an equi-join; the alignments that
 verified: a leak is a window of ``WINDOW`` aligned tokens of which ``percent`` are equal.
 
 Items shorter than the window are compared over their whole length and get two more, short masks
-(the second for items of five tokens whose middle one is substituted); items with fewer tokens than
-the first are too short to tell and match nothing.
+(the second for items of five tokens whose middle one is substituted).  Items of one or two tokens are no
+passages: a document leaks one if it holds these tokens and no others.  Items without tokens match nothing.
+
+The masks promise windows of which 80 % are equal; a smaller ``percent`` is refused.
 
 Defined results: null or empty texts match nothing; a null item id is reported as null; rows
 repeated in full are one document; extra columns are carried along, never read.
@@ -16,6 +18,8 @@ repeated in full are one document; extra columns are carried along, never read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,10 @@ WINDOW = 15
 #: Fixed masks: positions of the tokens that count.
 MASKS = ((0, 3, 6, 7, 8), (0, 1, 2, 6, 8))
 SHORT_MASKS = ((0, 1, 2), (0, 1, 3))
+#: For items of one and of two tokens.
+TINY_MASKS = ((0,), (0, 1))
+#: The least share of equal tokens that the masks find for certain.
+LEAST_PERCENT = 80
 
 
 def _hashed(text: Column) -> Column:
@@ -59,20 +67,28 @@ def leaks(
     item_col: str = "item_id", item_text: str = "text", percent: int = 80,
 ) -> DataFrame:
     """(id, th, item_id, matched, window): per leaking document and item, the best window."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the masks find windows of at least {LEAST_PERCENT} percent")
     items = cut_lineage(
-        benchmark.select(F.col(item_col).alias("item"), _hashed(F.col(item_text)).alias("tokens"))
-        .where(F.size("tokens") >= len(SHORT_MASKS[0])).distinct())
-    short = items.where(F.size("tokens") < WINDOW).limit(1).count() > 0
-    masks = (*MASKS, *SHORT_MASKS) if short else MASKS
-    seeds = _item_seeds(items.where(F.size("tokens") >= WINDOW), MASKS)
-    if short:
-        seeds = seeds.union(_item_seeds(items.where(F.size("tokens") < WINDOW), masks))
+        benchmark.select(F.col(item_col).alias("item"), _hashed(F.col(item_text)).alias("tokens")).where(F.size("tokens") > 0).distinct())
+    size, tiny = F.size("tokens"), len(SHORT_MASKS[0])
+    kinds = [(size >= WINDOW, MASKS), (size.between(tiny, WINDOW - 1), (*MASKS, *SHORT_MASKS)),
+             *[(size == n, TINY_MASKS[n - 1:n]) for n in range(1, tiny)]]
+    has = items.agg(*[F.coalesce(F.bool_or(fits), F.lit(False)) for fits, _ in kinds]).first()
+    # every seed is tagged by its mask, so one list of masks serves all kinds of items
+    present = [kind for kind, there in zip(kinds, has, strict=True) if there] or kinds[:1]
+    masks = tuple(dict.fromkeys(m for _, some in present for m in some))
+    def tagged(fits: Column, some: tuple[tuple[int, ...], ...]) -> DataFrame:
+        whole = F.lit(len(some[0]) if some[0] in TINY_MASKS else None).cast("int")  # the size of the document too
+        return _item_seeds(items.where(fits), some).withColumn("whole", whole)
+
+    seeds = reduce(DataFrame.union, [tagged(fits, some) for fits, some in present])
     seeds = cut_lineage(seeds)
 
     base = keyed(docs, id_col, text_col).select("id", "th", "text")
     hashed = base.select("id", "th", _hashed(F.col("text")).alias("tokens"))
     spread = hashed.select("id", "th", F.size("tokens").alias("n"), F.posexplode(_seeds(F.col("tokens"), masks)).alias("k", "seed"))
-    hits = spread.join(broadcast_if_small(seeds), "seed").select(
+    hits = spread.join(broadcast_if_small(seeds), "seed").where("whole is null or whole = n").select(
         "id", "th", "item", (F.col("k") % F.col("n") - F.col("at")).alias("shift"))
     hits = cut_lineage(hits.distinct())
 

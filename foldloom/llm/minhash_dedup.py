@@ -14,8 +14,8 @@ they become rows by odd sketches: a set's sketch is the parity of its members in
 bins, so two sketches never differ in more bits than the sets differ in members.  The bound is
 exact and loses no link.
 
-Defined results: a null or empty text has an empty set and links with nothing.  Rows with the
-same id count as one document.  A row without an id gets the component of its copies and goes, or
+Defined results: a null or empty text has an empty set and links with nothing.  Rows of one id are
+judged by their own texts; equal ones alike.  A row without an id gets the component of its copies and goes, or
 null and is kept.  Extra columns are not read.
 """
 
@@ -50,7 +50,7 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[pa.RecordBatch]:
-    """(id, shingles) to (id, n, f1, f2, signature, sketch words); minima over flat arrays, slice by slice."""
+    """(id, th, shingles) to (id, th, n, f1, f2, signature, sketch words); minima over flat arrays, slice by slice."""
     factors = _multipliers(values)
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
@@ -72,9 +72,9 @@ def signatures(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[pa.Re
             words = np.packbits(odd).view(np.int64).reshape(len(sizes), SKETCH)
             rows = [bytes(r) for r in low.view(np.uint8).reshape(len(sizes), -1)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(rows, pa.binary()),
+                [part.column("id"), part.column("th"), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(rows, pa.binary()),
                  *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(SKETCH))],
-                names=["id", "n", "f1", "f2", "signature", *ODD])
+                names=["id", "th", "n", "f1", "f2", "signature", *ODD])
 
 
 def chunk_keys(batches: Iterator[pa.RecordBatch], values: int, chunk: int, errors: int) -> Iterator[pa.RecordBatch]:
@@ -109,14 +109,29 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80,
 ) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept."""
+    return near_texts(docs, id_col, text_col, shingle_words, percent).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def near_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80,
+) -> DataFrame:
+    """Per row of ``docs``: id and th, which name a document as in keyed(), n_shingles, component_id, kept."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hashed = docs.select("id", word_shingles(F.col("text"), shingle_words).alias("shingles"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    hashed = docs.select("id", "th", word_shingles(F.col("text"), shingle_words).alias("shingles"))
     rows = cut_lineage(hashed.mapInArrow(
-        lambda it: signatures(it, VALUES), "id long, n long, f1 long, f2 long, signature binary, " + ", ".join(f"{k} long" for k in ODD)))
+        lambda it: signatures(it, VALUES), "id long, th long, n long, f1 long, f2 long, signature binary, " + ", ".join(f"{k} long" for k in ODD)))
+    named = F.when(F.col("id").isNotNull(), F.struct("id", "th"))
     nodes = cut_lineage(
         rows.where("n > 0").groupBy("n", "f1", "f2").agg(
-            F.min("id").alias("node"), F.first("signature").alias("signature"), *[F.first(k).alias(k) for k in ODD]))
+            F.min(named).alias("least"), F.first("signature").alias("signature"), *[F.first(k).alias(k) for k in ODD])
+        .select("n", "f1", "f2", F.col("least.id").alias("id"), F.col("least.th").alias("th"), F.col("least.id").alias("node"), "signature", *ODD))
+    # an id may have several texts: their nodes get numbers of their own
+    shared = cut_lineage(nodes.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("several")))
+    apart = not shared.isEmpty()
+    if apart:
+        nodes = cut_lineage(nodes.join(broadcast_if_small(shared), F.col("id") == F.col("several"), "left").withColumn(
+            "node", F.when(F.col("several").isNotNull(), F.xxhash64("n", "f1", "f2")).otherwise(F.col("node"))).drop("several"))
     known = nodes.where("node is not null")
     features = known.select("node", "n", *ODD)
     possible = _possible(percent)
@@ -128,20 +143,24 @@ def near_duplicates(
         y = features.toDF("b", *[f"y_{c}" for c in features.columns[1:]])
         close = pairs.join(x, "a").join(y, "b").where(possible("x_", "y_"))
         close = cut_lineage(close.select("a", "b").distinct())
-        wanted = cut_lineage(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        wanted = cut_lineage(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        wanted = cut_lineage(known.select("node", "id", "th").join(broadcast_if_small(wanted), "node"))
         sets = cut_lineage(
-            docs.join(broadcast_if_small(wanted), "id", "left_semi").select("id", word_shingles(F.col("text"), shingle_words).alias("s")))
-        left = sets.select(F.col("id").alias("a"), F.col("s").alias("a_s"))
-        right = sets.select(F.col("id").alias("b"), F.col("s").alias("b_s"))
+            docs.join(broadcast_if_small(wanted), ["id", "th"]).select("node", word_shingles(F.col("text"), shingle_words).alias("s")))
+        left = sets.select(F.col("node").alias("a"), F.col("s").alias("a_s"))
+        right = sets.select(F.col("node").alias("b"), F.col("s").alias("b_s"))
         shared = close.join(left, "a").join(right, "b").select(
             "a", "b", (F.size("a_s") + F.size("b_s")).alias("total"), F.size(F.array_intersect("a_s", "b_s")).alias("shared"))
         return cut_lineage(shared.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b").distinct())
 
     groups = linked_groups(members, confirm, features, possible)
-    labels = nodes.select("n", "f1", "f2", "node").join(groups, "node", "left").select(
-        "n", "f1", "f2", F.coalesce("component", "node").alias("component"))
-    out = rows.select("id", "n", "f1", "f2").join(labels, ["n", "f1", "f2"], "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles", "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    labels = nodes.select("n", "f1", "f2", "node", "id").join(groups, "node", "left").select(
+        "n", "f1", "f2", "id", F.coalesce("component", "node").alias("component"))
+    if apart:  # groups are named by the smallest id, not by the smallest number
+        labels = cut_lineage(labels)
+        names = labels.groupBy("component").agg(F.min("id").alias("name"))
+        labels = labels.join(names, "component").select("n", "f1", "f2", F.col("name").alias("component"))
+    labels = labels.select("n", "f1", "f2", "component")
+    out = rows.select("id", "th", "n", "f1", "f2").join(labels, ["n", "f1", "f2"], "left").select(
+        "id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

@@ -139,7 +139,7 @@ cut AS (
 placed AS (SELECT side, id, len(w) AS n, unnest(w) AS token, unnest(range(len(w))) AS pos FROM cut),
 met AS (
   SELECT d.id AS doc_id, b.id AS item_id, d.pos - b.pos AS shift, b.pos AS j, least(b.n, 15) AS width
-  FROM placed b JOIN placed d ON d.token = b.token AND d.side = 'd' WHERE b.side = 'b' AND b.n >= 3),
+  FROM placed b JOIN placed d ON d.token = b.token AND d.side = 'd' WHERE b.side = 'b' AND (b.n >= 3 OR b.n = d.n)),
 counted AS (
   SELECT doc_id, item_id, width, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING) AS matched
   FROM met)
@@ -150,7 +150,7 @@ ORACLES["op9_vector_dedup"] = """
 WITH RECURSIVE vectors AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
 reached AS (SELECT vec_id AS start, vec_id AS goal FROM embeddings UNION SELECT r.start, l.y FROM reached r JOIN links l ON l.x = r.goal),
 roots AS (SELECT start, min(goal) AS root FROM reached GROUP BY start),
 counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)

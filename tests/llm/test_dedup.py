@@ -247,11 +247,13 @@ def test_vectors_as_brute_force(spark, monkeypatch):
     centre = rng.normal(size=64)
     rows += [(10_000 + k, (centre + 0.08 * rng.normal(size=64)).tolist()) for k in range(150)]
     rows += [(20_000 + k, rows[3][1]) for k in range(40)]
+    short = rng.normal(size=(300, 5))
     monkeypatch.setattr(vector_dedup, "PER_PIVOT", 60)
     monkeypatch.setattr(vector_dedup, "BLOCK", 100)
+    short = [(30_000 + k, v.tolist()) for k, v in enumerate(short)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(
-        spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert got == brute_vectors(rows)
+        spark.createDataFrame(rows + short, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_vectors(rows) | brute_vectors(short)
 
 
 def test_vectors_edge_cases(spark):
@@ -259,8 +261,9 @@ def test_vectors_edge_cases(spark):
     rows = [
         (1, [1.0, 0.0], "n", 1, "i"), (2, [2.0, 0.0], "n", 1, "i"), (3, [0.0, 0.0], "n", 1, "i"), (4, None, "n", 1, "i"), (5, [1.0, None], "n", 1, "i"),
         (6, [float("nan"), 1.0], "n", 1, "i"), (7, [float("inf"), 1.0], "n", 1, "i"), (8, [], "n", 1, "i"), (9, [1.0, 0.0, 0.0], "n", 1, "i"),
-        (None, [1.0, 0.0], "n", 1, "i"), (10, [0.0, 1.0], "n", 1, "i"), (11, [1.0, 0.0], "n", 1, "i")]
+        (None, [1.0, 0.0], "n", 1, "i"), (10, [0.0, 1.0], "n", 1, "i"), (11, [1.0, 0.0], "n", 1, "i"), (12, [2.0, 0.0, 0.0], "n", 1, "i"),
+        (13, [1.0, 0.0, 0.0, 0.0], "n", 1, "i")]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, schema)).collect()}
-    alone = {i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, None)}
-    assert got == {**alone, 1: (2, 1, True), 2: (2, 1, False), 11: (2, 1, False)}
+    alone = {i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 10, 13, None)}
+    assert got == {**alone, 1: (2, 1, True), 2: (2, 1, False), 11: (2, 1, False), 9: (1, 9, True), 12: (1, 9, False)}
     assert vector_dedup.near_vectors(spark.createDataFrame([], schema)).collect() == []

@@ -70,6 +70,13 @@ def test_a_short_item_with_its_middle_word_substituted_leaks(spark):
     assert leaks(spark, [(1, "so alpha beta other delta epsilon there", *EXTRA)], [(10, "alpha beta gamma delta epsilon", "t", 1)]) == [(1, 10)]
 
 
+def test_tiny_items_leak_as_whole_documents(spark):
+    docs = [(1, "Yes!", *EXTRA), (2, "yes and no", *EXTRA), (3, "no way", *EXTRA), (4, "no way out", *EXTRA), (5, " ".join(["word"] * 50_000), *EXTRA)]
+    assert leaks(spark, docs, [(10, "yes", "t", 1), (11, "no way", "t", 1), (12, "", "t", 1), (13, "no way out", "t", 1)]) == [(1, 10), (3, 11), (4, 13)]
+    with pytest.raises(ValueError):
+        decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string"), percent=70)
+
+
 def leaks(spark, docs, items):
     found = decontaminate.leaks(
         spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string, th string, id long"))
