@@ -242,6 +242,27 @@ pairs AS (
   FROM seg a JOIN seg b ON a.job_id = b.job_id AND a.gap = b.gap AND a.chain <> b.chain)
 SELECT job_id, aln_id, gap, chain, pos, chain2, arg_min(pos2, distance) AS pos2, round(min(distance), 4) AS distance
 FROM pairs WHERE distance <= 12 GROUP BY job_id, aln_id, gap, chain, pos, chain2""",
+    # every column walks left over the whole alignment, one a step, without stretches
+    "column_compaction": f"""WITH RECURSIVE {PRESENT},
+wide AS (
+  SELECT job_id, chain, CAST(chain % 4 AS INTEGER) AS slot, res_idx, letter,
+    res_idx * 4 + CASE WHEN res_idx % 6 = 0 OR (chain * 7 + res_idx // 2 * 3) % 5 >= 3 THEN 0 ELSE (chain * 3 + res_idx) % 4 END AS w FROM res),
+cells AS (SELECT *, dense_rank() OVER (PARTITION BY job_id ORDER BY w) AS pos FROM wide),
+cols AS (SELECT job_id, pos, min(slot) AS f, CAST(sum(1 << slot) AS BIGINT) AS m FROM cells GROUP BY ALL),
+walk AS (
+  SELECT job_id, 1::BIGINT AS k, [{{'f': f, 'm': m, 'p': pos}}] AS seq FROM cols WHERE pos = 1
+  UNION ALL
+  SELECT job_id, k + 1, list_concat(list_concat(list_slice(seq, 1, spot), [{{'f': f, 'm': m, 'p': pos}}]), list_slice(seq, spot + 1, len(seq))) FROM (
+    SELECT w.job_id, w.k, w.seq, c.f, c.m, c.pos,
+      coalesce(list_max(list_filter(range(1, len(w.seq) + 1), lambda i: c.f >= w.seq[i].f OR (c.m & w.seq[i].m) <> 0)), 0) AS spot
+    FROM walk w JOIN cols c ON c.job_id = w.job_id AND c.pos = w.k + 1)),
+placed AS (
+  SELECT job_id, unnest(seq).p AS pos, unnest(range(len(seq))) AS place FROM walk
+  WHERE k = (SELECT max(pos) FROM cols c WHERE c.job_id = walk.job_id)),
+grid AS (SELECT p.job_id, p.pos, p.place, s.chain, s.slot FROM placed p JOIN (SELECT DISTINCT job_id, chain, slot FROM cells) s ON s.job_id = p.job_id)
+SELECT g.job_id, CAST(0 AS BIGINT) AS aln_id, g.slot, g.chain, string_agg(coalesce(letter, '-'), '' ORDER BY g.place) AS "row",
+  string_agg(coalesce(letter, '-'), '' ORDER BY g.pos) AS scattered
+FROM grid g LEFT JOIN cells c ON c.job_id = g.job_id AND c.chain = g.chain AND c.pos = g.pos GROUP BY ALL""",
     "fasta_lines": f"""WITH {DOCS}
 SELECT job_id, CAST(0 AS BIGINT) AS minor, '>' || id_string AS line FROM docs UNION ALL
 SELECT job_id, k + 1 AS minor, substr(row, CAST(k*60 + 1 AS BIGINT), 60) AS line

@@ -357,6 +357,14 @@ def partial_alignment(spark, sf_dir):
     return _finished(spark, sf_dir)["columns"]
 
 
+@query
+def column_compaction(spark, sf_dir):
+    """Gapped rows before and after gap columns moved left."""
+    placed = derived_views.scattered_columns(spark, sf_dir)
+    before = layout.gapped_rows(placed).withColumnRenamed("row", "scattered")
+    return layout.gapped_rows(layout.compact_columns(placed)).join(before, ["job_id", "aln_id", "slot", "chain"])
+
+
 @query
 def sequence_alignment(spark, sf_dir):
     return _rows(spark, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["job_id", "aln_id"]
-ROWS = "job_id long, aln_id long, slot int, chain long, row string"
+PLACES = "job_id long, aln_id long, pos int, to int"
 
 
 def sequence_columns(columns: DataFrame, members: DataFrame, residues: DataFrame) -> DataFrame:
@@ -43,30 +43,43 @@ def gapped_rows(placed: DataFrame) -> DataFrame:
     return strings.join(width, KEYS).select(*KEYS, "slot", "chain", F.rpad("_s", F.col("_width"), F.lit("-")).alias("row"))
 
 
-def _compact(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("slot")
-    order: list[tuple[int, int]] = []
-    kept: list[tuple] = []
-    for letters in zip(*pdf["row"]):
-        held = [k for k, c in enumerate(letters) if c not in "-. "]
-        first, mask = held[0], sum(1 << k for k in held)
+def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """New places of the columns of one stretch: each goes left past higher columns that share no chain with it."""
+    pdf = pdf.sort_values("pos")
+    order: list[tuple[int, frozenset, int]] = []
+    for pos, held in zip(pdf["pos"], pdf["held"]):
+        first, own = min(held), frozenset(held)
         at = len(order)
-        while at and first < order[at - 1][0] and not mask & order[at - 1][1]:
+        while at and first < order[at - 1][0] and own.isdisjoint(order[at - 1][1]):
             at -= 1
-        order.insert(at, (first, mask))
-        kept.insert(at, letters)
-    return pdf.assign(row=["".join(s) for s in zip(*kept)])
+        order.insert(at, (first, own, pos))
+    start = int(pdf["pos"].iloc[0])
+    return pd.DataFrame({"job_id": key[0], "aln_id": key[1], "pos": [p for *_, p in order], "to": range(start, start + len(order))})
 
 
-def compact_columns(rows: DataFrame) -> DataFrame:
-    """Move gap columns left past columns they do not share a chain with, lower chains first."""
-    return rows.groupBy(*KEYS).applyInPandas(_compact, ROWS)
+def compact_columns(placed: DataFrame) -> DataFrame:
+    """Move gap columns left past columns they do not share a chain with, lower chains first.
+
+    ``placed`` as of sequence_columns; only ``pos`` changes.  A column that holds every chain of the
+    alignment can neither move nor be passed, so the columns between two such are a stretch of their
+    own: a group is one stretch with more than one column, never an alignment, and holds no letters.
+    """
+    chains = placed.groupBy(*KEYS).agg(F.count_distinct("slot").alias("chains"))
+    held = placed.groupBy(*KEYS, "pos").agg(F.collect_list("slot").alias("held")).join(chains, KEYS)
+    full = F.size("held") == F.col("chains")
+    before = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumn("stretch", F.count_if(full).over(before)).where(~full)
+    moved = held.groupBy(*KEYS, "stretch").applyInPandas(_pack, PLACES).where("pos <> to")
+    moved = moved.select(*[F.col(k).alias(f"m_{k}") for k in KEYS], F.col("pos").alias("m_pos"), "to")
+    same = [F.col(k) == F.col(f"m_{k}") for k in [*KEYS, "pos"]]
+    others = [c for c in placed.columns if c != "pos"]
+    return placed.join(moved, same, "left").select(*others, F.coalesce("to", "pos").alias("pos"))
 
 
 def sequence_alignment(columns: DataFrame, members: DataFrame, residues: DataFrame) -> DataFrame:
     """Gapped rows in output order."""
-    return compact_columns(gapped_rows(sequence_columns(columns, members, residues)).select(
-        F.col("job_id"), F.col("aln_id"), F.col("slot").cast("int"), "chain", "row"))
+    return gapped_rows(compact_columns(sequence_columns(columns, members, residues))).select(
+        F.col("job_id"), F.col("aln_id"), F.col("slot").cast("int"), "chain", "row")
 
 
 def wrapped(rows: DataFrame, size: int, text: str = "row") -> DataFrame:

@@ -57,6 +57,18 @@ def overlapping_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("col") - 2 * F.floor(F.col("col") / 7) + F.when((F.col("chain") % 2 == 1) & (F.col("col") >= 7), 1).otherwise(0)).cast("int").alias("res_idx"))
 
 
+def scattered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Present residues in linear columns: two in five stay together, the others stand by the number of their chain in the job."""
+    slot = F.pmod("chain", F.lit(JOB_SIZE)).cast("int")
+    turn = F.when(F.pmod(F.col("chain") * 7 + F.floor(F.col("res_idx") / 2) * 3, F.lit(5)) < 3, (F.col("chain") * 3 + F.col("res_idx")) % JOB_SIZE).otherwise(0)
+    together = F.col("res_idx") % 6 == 0
+    spread = F.when(together, 0).otherwise(turn)
+    rows = residues(spark, sf_dir).where("x IS NOT NULL").select(
+        "job_id", F.lit(0).cast("long").alias("aln_id"), slot.alias("slot"), "chain", "res_idx", "letter",
+        (F.col("res_idx") * JOB_SIZE + spread).alias("wide"))
+    return rows.withColumn("pos", F.dense_rank().over(Window.partitionBy("job_id").orderBy("wide")) - 1).drop("wide")
+
+
 def sequence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQRES records naming every residue of a chain, present or not, ahead of its coordinates."""
     named = residues(spark, sf_dir).join(F.broadcast(_names(spark)), "letter")

@@ -150,7 +150,9 @@ def test_set_joining_reaches_the_best_score():
     assert abs(gained - best[5, 6]) < 1e-9
 
 
-def test_column_compaction():
-    import pandas as pd
-    out = layout._compact((1, 1), pd.DataFrame({"slot": [0, 1], "chain": [0, 1], "row": ["--AB-", "CD--E"], "job_id": 1, "aln_id": 1}))
-    assert out["row"].to_list() == ["AB---", "--CDE"]
+def test_column_compaction(spark):
+    rows = ["--AB-", "CD--E"]
+    cells = [(1, 1, k, k, c, p) for k, row in enumerate(rows) for p, c in enumerate(row) if c != "-"]
+    placed = spark.createDataFrame(cells, "job_id long, aln_id long, slot int, chain long, letter string, pos int")
+    out = layout.gapped_rows(layout.compact_columns(placed)).orderBy("slot").collect()
+    assert [r.row for r in out] == ["AB---", "--CDE"]
