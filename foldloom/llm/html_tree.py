@@ -247,8 +247,10 @@ def branch_importance(pages: DataFrame) -> DataFrame:
     counted = cut_lineage(counted.groupBy("host", "path", "kind", "code").agg(F.sum("n").alias("n")))
     shown = counted.where("kind = -1").select("host", "path", F.col("n").cast("double").alias("m"))
     log_n, log_m = F.log(F.col("n").cast("double")), F.log("m")
-    sums = counted.where("kind >= 0").join(shown, ["host", "path"]).groupBy("host", "path", "kind", "m").agg(
+    # summed before the join, so that a path with many texts is no hot key
+    sums = counted.where("kind >= 0").groupBy("host", "path", "kind").agg(
         F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total"), F.sum(log_n).alias("logs"), F.sum(F.col("n") * log_n).alias("inner"))
+    sums = sums.join(shown, ["host", "path"])
     trust = F.col("m") / (F.col("m") + PRIOR)
     # the entropy of a text on n of m pages is log n / log m; one page tells nothing
     repeated = F.when(F.col("m") > 1, F.col("logs") / F.col("texts") / log_m).otherwise(F.lit(0.0))
