@@ -1,6 +1,6 @@
 """Sliding fragments and the fragment-by-fragment superposition join.
 
-Fragment pairs are found by an equi-join on (group, length, shape cell), never by a cross join.
+Fragment pairs are found by an equi-join on (group, length), in large groups on (group, length, shape cell).
 The shape of a fragment is the vector of singular values of its centred coordinates divided by the
 square root of its length.  Two fragments whose optimal superposition has RMSD r have shapes at most
 r apart (von Neumann's trace inequality), so bucketing the largest value by the acceptance radius and
@@ -184,6 +184,37 @@ def split_crowded(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[D
     return out[0], out[1], ["salt1", "salt2"]
 
 
+def small_and_large(left: DataFrame, right: DataFrame, limit: int) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """Both sides restricted to the (grp, len) of at most ``limit`` rows on either side, and to the others (None without any)."""
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("grp", "len").agg(F.count(F.lit(1)).alias(name))
+
+    large = counted(left, "_n1").join(counted(right, "_n2"), ["grp", "len"]).where(F.greatest("_n1", "_n2") > limit).select("grp", "len")
+    if large.isEmpty():
+        return (left, right), None
+    large = cut_lineage(large)
+    small, rest = (tuple(side.join(large, ["grp", "len"], how) for side in (left, right)) for how in ("left_anti", "left_semi"))
+    return small, rest
+
+
+def direct_pairs(left: DataFrame, right: DataFrame, min_score: float, table: Sequence[float], pair: Column) -> DataFrame:
+    """Fragment pairs of equal group and length, ``pair`` true, whose shapes allow ``min_score``, whole rows a_* and b_*.
+
+    All rows of a (grp, len) meet and none is copied: for groups that :func:`small_and_large` calls small.
+    """
+    keys = ["grp", "len"]
+
+    def dealt(frags: DataFrame) -> DataFrame:
+        # File sources make every column nullable; these never are, and saying so halves the code.
+        return spread(frags.withColumns({n: F.coalesce(n, F.lit(0.0)) for n, kind in frags.dtypes if kind == "double"}), keys)
+
+    one = dealt(left)
+    two = one if right is left else dealt(right)
+    a, b = (side.select(*(F.col(c).alias(c if c in keys else f"{x}_{c}") for c in side.columns)) for side, x in ((one, "a"), (two, "b")))
+    radius = limit_of(min_score, table)
+    return a.join(b, keys).where(pair).where(near_shapes(radius * radius))
+
+
 def shape_pairs(left: DataFrame, right: DataFrame, min_score: float, table: Sequence[float]) -> DataFrame:
     """Pairs (grp, len, a_side, a_pos, b_side, b_pos), a_side > b_side, of fragments whose shapes allow ``min_score``.
 
@@ -218,12 +249,18 @@ def shape_join(
 
     ``left``/``right`` come from :func:`with_shape`; the result prefixes their columns ``a_``/``b_``.
     ``pair`` restricts the sides (columns a_side, b_side).  Passing ``min_score`` <= 0 keeps every
-    pair within the scored RMSD range.
+    pair within the scored RMSD range.  Small groups meet as they are, large ones by shape cells.
     """
+    pair = F.lit(True) if pair is None else pair
+    small, large = small_and_large(left, right, min(CROWD, HOT_CELL))
+    found = direct_pairs(*small, min_score, table, pair)
+    return found if large is None else found.unionByName(_cell_join(*large, min_score, table, pair, salted).select(found.columns))
+
+
+def _cell_join(left: DataFrame, right: DataFrame, min_score: float, table: Sequence[float], pair: Column, salted: bool) -> DataFrame:
     radius = limit_of(min_score, table)
 
     def celled(frags: DataFrame) -> DataFrame:
-        # File sources make every column nullable; these never are, and saying so halves the code.
         numbers = {n: F.coalesce(n, F.lit(0.0)) for n, kind in frags.dtypes if kind == "double"}
         return frags.withColumns(numbers).withColumn("radius", radius).withColumn(
             "cell", F.floor(F.col("u1") / F.col("radius")).cast("int"))
@@ -238,9 +275,7 @@ def shape_join(
     a = one.select(*(F.col(c).alias(c if c in keys else f"a_{c}") for c in one.columns))
     b = two.drop("radius").select(
         *(F.col(c).alias(c if c in keys else f"b_{c}") for c in two.columns if c != "radius"))
-    joined = spread(a, keys).join(spread(b, keys), keys)
-    if pair is not None:
-        joined = joined.where(pair)
+    joined = spread(a, keys).join(spread(b, keys), keys).where(pair)
     return joined.where(near_shapes(F.col("a_radius") * F.col("a_radius"))).drop("cell", "salt")
 
 

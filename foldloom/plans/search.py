@@ -1,8 +1,8 @@
 """Staged search for matching regions: strong fragments first, weaker ones only in the gaps they leave.
 
-Three passes with falling score limits.  The first finds fragment pairs by an equi-join on cells over
-all three principal extents, with narrow rows; only pairs that survive fetch their coordinates.  Its
-matches are chained.  The later passes look only into the gaps that the first one leaves: fragments
+Three passes with falling score limits.  The first lets all fragments of a pool and length meet; in large
+pools it finds them by an equi-join on cells over all three principal extents, with narrow rows, and only
+pairs that survive fetch their coordinates.  Its matches are chained.  The later passes look only into the gaps that the first one leaves: fragments
 are joined on (merge, gap, length), and what they match is chained between the regions that bound the
 gap, first under the second pass's limits, then, in the gaps still open, under the third's.
 """
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from foldloom.functions.scoring import MIN_FRAGMENT, SEARCH_PASSES, fragment_score
 from foldloom.functions.superpose import with_map
+from foldloom.operators import fragments
 from foldloom.operators.chaining import CANDIDATE, LOWER, UPPER, chain_matches, hinge_edges, match_id
-from foldloom.operators.fragments import limit_of, near_shapes, sealed, shape_pairs, split_crowded, superpose
+from foldloom.operators.fragments import direct_pairs, limit_of, near_shapes, sealed, shape_pairs, small_and_large, split_crowded, superpose
 from foldloom.session import cut_lineage, spread
 
 #: Behind every column of a chain.
@@ -29,16 +30,21 @@ REGION = ["grp", "ord", "p1", "p2", "len", "score", "m", "total"]
 def strong_matches(frags: DataFrame, merge: Column | None, min_score: float, table: Sequence[float]) -> DataFrame:
     """Matches of at least ``min_score`` over whole sides, with maps."""
     left, right = (frags, frags) if merge is not None else (frags.where("side = 2"), frags.where("side = 1"))
-    pairs = cut_lineage(shape_pairs(left, right, min_score, table))
-    if merge is None:  # the pair's larger side came first; side 1 leads here
-        pairs = pairs.select("grp", "len", *(F.col(f"{x}_{c}").alias(f"{y}_{c}") for x, y in ("ab", "ba") for c in ("side", "pos")))
-    keys = ["grp", "side", "pos", "len"]
+    small, large = small_and_large(left, right, fragments.CROWD)
+    pairs = direct_pairs(*small, min_score, table, F.col("a_side") > F.col("b_side"))
+    if large is not None:
+        narrow = cut_lineage(shape_pairs(*large, min_score, table))
+        keys = ["grp", "side", "pos", "len"]
 
-    def fetched(pairs: DataFrame, end: str) -> DataFrame:
-        wide = frags.select(*(F.col(c).alias(c if c in ("grp", "len") else f"{end}_{c}") for c in frags.columns))
-        return pairs.join(wide, [c if c in ("grp", "len") else f"{end}_{c}" for c in keys])
+        def fetched(pairs: DataFrame, end: str, side: DataFrame) -> DataFrame:
+            wide = side.select(*(F.col(c).alias(c if c in ("grp", "len") else f"{end}_{c}") for c in side.columns))
+            return pairs.join(wide, [c if c in ("grp", "len") else f"{end}_{c}" for c in keys])
 
-    scored = superpose(fetched(fetched(pairs, "a"), "b")).withColumn("score", fragment_score("rmsd", F.col("len"), table))
+        pairs = pairs.unionByName(fetched(fetched(narrow, "a", large[0]), "b", large[1]).select(pairs.columns))
+    if merge is None:  # the pair's larger side came first; side 1 leads here
+        turned = {c: f"{'ba'['ab'.index(c[0])]}{c[1:]}" if c[:2] in ("a_", "b_") else c for c in pairs.columns}
+        pairs = pairs.select(*(F.col(c).alias(n) for c, n in turned.items()))
+    scored = superpose(pairs).withColumn("score", fragment_score("rmsd", F.col("len"), table))
     found = with_map(sealed(scored).where(F.col("score") >= min_score))
     return found.select((F.col("grp") if merge is None else merge).alias("grp"), F.lit(0).alias("gap"), match_id().alias("id"), "p1", "p2", "len", "score", "m")
 

@@ -46,3 +46,18 @@ def test_hinges_copy_no_match_for_every_column(matches, track, monkeypatch):
     assert min(sizes) < max(sizes)
     monkeypatch.setattr(chaining, "CROWD", min(sizes))  # some merges are crowded, others are not
     assert rows and rows == sorted(tuple(r) for r in edges().select(names).collect())
+
+
+def test_fragments_of_a_small_pool_are_not_copied(frags, matches, monkeypatch):
+    def found():
+        return search.strong_matches(frags, F.concat_ws(":", "grp", "side1", "side2"), 1.6, CURVE)
+
+    larger = F.col("a_side") > F.col("b_side")
+    assert "Generate" not in plan(found())
+    assert "Generate" not in plan(fragments.match_fragments(frags, frags, 1.6, CURVE, larger))
+    rows = sorted(tuple(r) for r in found().select("grp", "id").collect())
+    sizes = [r.n for r in frags.groupBy("grp", "len").agg(F.count("*").alias("n")).collect()]
+    monkeypatch.setattr(fragments, "CROWD", sorted(sizes)[len(sizes) // 2])  # half the pools are large
+    assert rows == sorted(tuple(r) for r in found().select("grp", "id").collect())
+    scored = fragments.match_fragments(frags, frags, 1.6, CURVE, larger)
+    assert len(rows) == scored.count() == scored.select("grp", "side1", "side2", "p1", "p2", "len").distinct().count()
