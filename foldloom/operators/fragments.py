@@ -365,15 +365,15 @@ def score_curve(frags: DataFrame) -> list[float]:
 
     One row per fragment and length is superposed; 0.001-Angstrom counts come to the driver.
     """
-    a = frags.select(*(F.col(c).alias(f"a_{c}") for c in frags.columns if c not in ("grp", "len")), "grp", "len")
-    b = frags.select(*(F.col(c).alias(f"b_{c}") for c in frags.columns if c not in ("grp", "len")), "grp", "len")
-    later = b.withColumn("_at", F.col("b_pos") - CURVE_LAG).withColumnRenamed("grp", "_grp").withColumnRenamed("len", "_len")
-    near = (F.col("grp") == F.col("_grp")) & (F.col("len") == F.col("_len")) & (F.col("a_side") == F.col("b_side")) & (F.col("a_pos") == F.col("_at"))
-    sized = sealed(superpose(a.join(later, near).drop("_grp", "_len", "_at")))
+    parts = [c for c in frags.columns if c not in ("grp", "len")]
+    later = Window.partitionBy("grp", "side", "len").orderBy("pos").rangeBetween(CURVE_LAG, CURVE_LAG)
+    paired = frags.select("grp", "len", *(F.col(c).alias(f"a_{c}") for c in parts), F.first(F.struct(*parts)).over(later).alias("_later"))
+    pairs = paired.where("_later IS NOT NULL").select("*", *(F.col(f"_later.{c}").alias(f"b_{c}") for c in parts)).drop("_later")
+    sized = sealed(superpose(pairs))
     bins = sized.groupBy(F.least(F.ceil(F.col("rmsd") * 1000).cast("int"), F.lit(TABLE_SIZE)).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).collect()
-    pairs = sum(r["n"] for r in bins)
-    return curve_from_counts({r["bin"]: r["n"] for r in bins}, sum(r["total"] for r in bins) / pairs if pairs else float(MAX_FRAGMENT))
+    count = sum(r["n"] for r in bins)
+    return curve_from_counts({r["bin"]: r["n"] for r in bins}, sum(r["total"] for r in bins) / count if count else float(MAX_FRAGMENT))
 
 
 def chain_matches(

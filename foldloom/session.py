@@ -42,6 +42,11 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, for rows that hold whole groups."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 _SHIPPED: set[str] = set()
 
 
