@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,11 +52,10 @@ def _curve(spark: SparkSession, sf_dir: str) -> list[float]:
     return _once(spark, sf_dir, "curve", lambda: fragments.score_curve(_fragments(spark, sf_dir)))
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
-        frags = _fragments(spark, sf_dir)
-        return cut_lineage(fragments.match_fragments(frags, frags, 0.6, _curve(spark, sf_dir), F.col("a_side") > F.col("b_side")))
-    return _once(spark, sf_dir, "matches", make)
+def _matches(spark: SparkSession, sf_dir: str, min_score: float = 0.6, extra: Sequence[str] = ()) -> DataFrame:
+    """Matches of all chain pairs; a query takes them as they come, since written they are far larger than the fragments."""
+    frags = _fragments(spark, sf_dir)
+    return fragments.match_fragments(frags, frags, min_score, _curve(spark, sf_dir), F.col("a_side") > F.col("b_side"), extra)
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -121,9 +120,7 @@ def fragment_rmsd(spark, sf_dir):
 
 @query
 def fragment_scores(spark, sf_dir):
-    strong = scoring.SEARCH_PASSES[0][0]
-    frags = _fragments(spark, sf_dir)
-    found = fragments.match_fragments(frags, frags, strong, _curve(spark, sf_dir), F.col("a_side") > F.col("b_side"))
+    found = _matches(spark, sf_dir, scoring.SEARCH_PASSES[0][0])
     return _r(found.select("grp", "side1", "side2", "p1", "p2", "len", "score"), "score")
 
 
@@ -161,7 +158,7 @@ def pairwise_pvalue(spark, sf_dir):
 
 @query
 def rotation_maps(spark, sf_dir):
-    mapped = with_map(_matches(spark, sf_dir).where("score >= 1.6"))
+    mapped = with_map(_matches(spark, sf_dir, 1.6))
     rotation = g.rotation_part(g.unpack(F.col("m")))
     shift = [F.element_at("m", k).alias(f"t{x}") for k, x in ((4, "x"), (8, "y"), (12, "z"))]
     found = mapped.select(
@@ -174,15 +171,15 @@ def rotation_maps(spark, sf_dir):
 @query
 def map_residuals(spark, sf_dir):
     """RMSD left after side 2 of every strong match is moved by its map, from the moved points."""
-    mapped = with_map(_matches(spark, sf_dir).where("score >= 1.6"))
-    cells = mapped.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
-    track = _labelled(spark, sf_dir).select("chain", "res_idx", "x", "y", "z")
-    keys = ["grp", "side1", "side2", "p1", "p2", "len"]
-    placed = cells.withColumn("i1", F.col("p1") + F.col("k")).withColumn("i2", F.col("p2") + F.col("k")).join(
-        track.toDF("side1", "i1", "ax", "ay", "az"), ["side1", "i1"]).join(track.toDF("side2", "i2", "bx", "by", "bz"), ["side2", "i2"])
-    moved = g.apply_affine(g.unpack(F.col("m")), g.vec("bx", "by", "bz"))
-    return _r(placed.select(*keys, g.distance_squared(g.vec("ax", "ay", "az"), moved).alias("d2")).groupBy(*keys).agg(
-        F.sqrt(F.avg("d2")).alias("residual")), "residual")
+    points = [f"{s}_{c}{k}" for s in "ab" for c in "xyz" for k in range(scoring.MAX_FRAGMENT)]
+    mapped = with_map(_matches(spark, sf_dir, 1.6, points))
+    parts = []
+    for k in range(scoring.MAX_FRAGMENT):
+        one, two = (tuple(F.col(f"m{n}{c}") + F.col(f"{x}_{c}{k}") for c in "xyz") for n, x in ((1, "a"), (2, "b")))
+        apart = g.distance_squared(one, g.apply_affine(g.unpack(F.col("m")), two))
+        parts.append(F.when(F.col("len") > k, apart).otherwise(0.0))
+    return _r(mapped.select(
+        "grp", "side1", "side2", "p1", "p2", "len", F.sqrt(fragments.own_method_sum(*parts) / F.col("len")).alias("residual")), "residual")
 
 
 # Geometry and scores ------------------------------------------------------------------------------
@@ -292,7 +289,7 @@ def nearest_segment(spark, sf_dir):
 @query
 def hinge_edges_between_matches(spark, sf_dir):
     """Acceptable hinges between strong matches of a chain pair (the relational form of the rules)."""
-    mapped = cut_lineage(with_map(_matches(spark, sf_dir).where("score >= 1.6")).select(
+    mapped = cut_lineage(with_map(_matches(spark, sf_dir, 1.6)).select(
         F.concat_ws(":", "grp", "side1", "side2").alias("grp"), "side2", "p1", "p2", "len", "m",
         F.concat_ws("-", "p1", "p2", "len").alias("id")))
     track = mapped.select("grp", "side2").distinct().join(
