@@ -14,6 +14,8 @@ CHAIN = ["job_id", "chain"]
 BOND_CONSTANT = -27888.0
 BOND_CUTOFF = -500.0
 BOND_REACH = 9.0
+#: Residues of a chain that all meet when bonds are looked for; longer chains go over grid cells.
+SHORT_CHAIN = 300
 CLASH_DISTANCE = 0.5
 CLASH_ENERGY = -9900.0
 # Helix kinds as (bond step, class code).
@@ -29,20 +31,21 @@ def hydrogen_bonds(backbone: DataFrame) -> DataFrame:
 
     ``backbone``: job_id, chain, res_idx, letter and nx..nz, cax..caz, cx..cz, ox..oz (NULL if missing).
     The hydrogen sits one unit from N along the reversed C=O of the residue before.  Acceptors come
-    from a grid join on alpha carbons.  Result: job_id, chain, donor, acceptor, energy, rank.
+    from a join on alpha carbons, in chains that are not short over grid cells.  Result: job_id, chain, donor, acceptor, energy, rank.
     """
+    backbone = backbone.withColumn("_short", F.count(F.lit(1)).over(Window.partitionBy(*CHAIN)) <= SHORT_CHAIN)
     order = Window.partitionBy(*CHAIN).orderBy("res_idx")
     near = F.lag("res_idx").over(order) == F.col("res_idx") - 1
     back = backbone.select(
         "*", *(F.when(near, F.lag(f"{a}{c}").over(order)).alias(f"_p{a}{c}") for a in "co" for c in "xyz"))
     unit = g.normalise(g.subtract(_atom("_pc"), _atom("_po")))
     donors = back.where("letter <> 'P' AND cx IS NOT NULL AND ox IS NOT NULL").select(
-        *CHAIN, F.col("cax").alias("x"), F.col("cay").alias("y"), F.col("caz").alias("z"), "res_idx", "nx", "ny", "nz",
+        *CHAIN, F.col("cax").alias("x"), F.col("cay").alias("y"), F.col("caz").alias("z"), "res_idx", "_short", "nx", "ny", "nz",
         *(h.alias(f"h{c}") for c, h in zip("xyz", g.add(unit, _atom("n"))))).where("hx IS NOT NULL AND x IS NOT NULL")
     acceptors = backbone.where("cax IS NOT NULL AND cx IS NOT NULL AND ox IS NOT NULL").select(
-        *CHAIN, F.col("cax").alias("x"), F.col("cay").alias("y"), F.col("caz").alias("z"), "res_idx",
+        *CHAIN, F.col("cax").alias("x"), F.col("cay").alias("y"), F.col("caz").alias("z"), "res_idx", "_short",
         "cx", "cy", "cz", "ox", "oy", "oz")
-    pairs = radius_join(donors, acceptors, BOND_REACH, CHAIN).where("b_res_idx <> a_res_idx AND b_res_idx <> a_res_idx - 1")
+    pairs = radius_join(donors, acceptors, BOND_REACH, CHAIN, hot_cell=None, small="_short").where("b_res_idx <> a_res_idx AND b_res_idx <> a_res_idx - 1")
     h, n, c, o = _atom("a_h"), _atom("a_n"), _atom("b_c"), _atom("b_o")
     apart = {"ho": g.distance(h, o), "hc": g.distance(h, c), "no": g.distance(n, o), "nc": g.distance(n, c)}
     measured = pairs.select(*CHAIN, F.col("a_res_idx").alias("donor"), F.col("b_res_idx").alias("acceptor"),

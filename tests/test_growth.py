@@ -4,7 +4,7 @@ import pytest
 from conftest import CURVE, residue_frame, rotation, walk
 from pyspark.sql import functions as F
 
-from foldloom.operators import chaining, fragments
+from foldloom.operators import chaining, fragments, radius, secondary
 from foldloom.operators.blocks import label_blocks
 from foldloom.plans import search
 from foldloom.session import cut_lineage
@@ -61,3 +61,25 @@ def test_fragments_of_a_small_pool_are_not_copied(frags, matches, monkeypatch):
     assert rows == sorted(tuple(r) for r in found().select("grp", "id").collect())
     scored = fragments.match_fragments(frags, frags, 1.6, CURVE, larger)
     assert len(rows) == scored.count() == scored.select("grp", "side1", "side2", "p1", "p2", "len").distinct().count()
+
+
+def test_residues_of_short_chains_are_not_copied(spark, monkeypatch):
+    residues = [(0, c, i, "A", *map(float, p)) for c, n in ((0, 30), (1, 70)) for i, p in enumerate(walk(n, 40 + c) * 0.6)]
+    points = spark.createDataFrame(residues, "job_id long, chain long, res_idx int, letter string, cax double, cay double, caz double")
+    shift = {"n": (-0.8, 0.9, 0.2), "c": (0.9, 0.8, 0.1), "o": (1.1, 1.9, 0.4)}
+    backbone = points.select("*", *((F.col(f"ca{x}") + by[k]).alias(f"{a}{x}") for a, by in shift.items() for k, x in enumerate("xyz")))
+
+    def bonds():
+        return sorted(tuple(r) for r in secondary.hydrogen_bonds(backbone).collect())
+
+    rows = bonds()  # both chains are short
+    assert rows and max(r[1] for r in rows) == 1
+    copied = [r.n for r in radius.radius_join(
+        backbone.select("job_id", "chain", "res_idx", (F.col("chain") < 9).alias("s"), *(F.col(f"ca{x}").alias(x) for x in "xyz")),
+        backbone.select("job_id", "chain", "res_idx", (F.col("chain") < 9).alias("s"), *(F.col(f"ca{x}").alias(x) for x in "xyz")),
+        9.0, ["job_id", "chain"], hot_cell=None, small="s").groupBy("chain", "a_res_idx", "b_res_idx").agg(F.count("*").alias("n")).collect()]
+    assert set(copied) == {1}
+    monkeypatch.setattr(secondary, "SHORT_CHAIN", 50)  # one short, one long
+    assert bonds() == rows
+    monkeypatch.setattr(secondary, "SHORT_CHAIN", 0)
+    assert bonds() == rows
