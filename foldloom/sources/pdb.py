@@ -5,13 +5,15 @@ All steps are keyed by file (and chain), so a scan over many files is spread by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions.residues import with_codes
-from foldloom.session import cut_lineage, spread
+from foldloom.session import cut_lineage, small_batches, spread
 
 CHAIN = ["path", "model_ord", "model_no", "chain_id"]
 # Header and crystal record kinds in output order, and the cached annotation kinds.
@@ -187,10 +189,11 @@ _SEQ_SCHEMA = (
 )
 
 
-def _reconcile(key: tuple, seen: pd.DataFrame, sequence: pd.DataFrame, max_skips: int) -> pd.DataFrame:
-    seen = seen.sort_values("run")
-    rows = seen[["run", "res_name", "res_num", "ins_code", "x", "y", "z"]].values.tolist()
-    seq = sequence.sort_values("seq_ord")["res_name"].to_list()
+_SEEN = ["run", "res_name", "res_num", "ins_code", "x", "y", "z"]
+
+
+def _reconcile(rows: list[list], seq: list[str], max_skips: int) -> list[list]:
+    """Residues of a chain (values of _SEEN, in order) completed from its sequence."""
     path = align_to_sequence([r[1] for r in rows], [int(r[2]) for r in rows], seq, max_skips) if rows and seq else None
     if path is not None:
         merged = []
@@ -208,12 +211,22 @@ def _reconcile(key: tuple, seen: pd.DataFrame, sequence: pd.DataFrame, max_skips
             r[2], r[3] = v, c
     elif not rows:
         rows = [[None, name, k + 1, " ", None, None, None] for k, name in enumerate(seq)]
-    out = pd.DataFrame(rows, columns=["run", "res_name", "res_num", "ins_code", "x", "y", "z"])
-    for name, value in zip(CHAIN, key):
-        out[name] = value
-    out["res_idx"] = range(len(out))
-    out["run"] = out["run"].astype("Int64")
-    return out[["path", "model_ord", "model_no", "chain_id", "res_idx", "run", "res_name", "res_num", "ins_code", "x", "y", "z"]]
+    return rows
+
+
+def _reconcile_batches(batches: Iterator[pa.RecordBatch], max_skips: int) -> Iterator[pa.RecordBatch]:
+    """A batch holds many chains, each as one row with its residues and its sequence."""
+    schema = pa.schema([
+        *zip(CHAIN, (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True), ("res_idx", pa.int32()),
+        *zip(_SEEN, (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64()), strict=True)])
+    for batch in batches:
+        found = []
+        for chain in batch.to_pylist():
+            key = [chain[c] for c in CHAIN]
+            rows = _reconcile([[r[c] for c in _SEEN] for r in chain["seen"]], [r["res_name"] for r in chain["named"]], max_skips)
+            found.extend((*key, k, *r) for k, r in enumerate(rows))
+        columns = zip(*found) if found else [[]] * len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def residues(lines: DataFrame, use_seqres: bool = True, renumber: bool = False, max_skips: int = SKIP_LIMIT) -> DataFrame:
@@ -234,11 +247,12 @@ def residues(lines: DataFrame, use_seqres: bool = True, renumber: bool = False,
             "path", F.coalesce("model_ord", F.lit(0)).alias("model_ord"), F.coalesce("model_no", F.lit(0)).alias("model_no"), "chain_id"))
         sequence = chains.join(seqres(lines), ["path", "chain_id"])
         covered = sequence.select(*CHAIN).distinct()
-        left = spread(seen.join(covered, CHAIN, "left_semi"), CHAIN).groupBy(*CHAIN)
-        keys = [f"_{c}" for c in CHAIN]
-        right = spread(sequence.select(*(F.col(c).alias(f"_{c}") for c in CHAIN), "seq_ord", "res_name"), keys).groupBy(*keys)
-        aligned = left.cogroup(right).applyInPandas(
-            lambda key, a, b: _reconcile(key, a, b, max_skips), _SEQ_SCHEMA)
+        one = seen.join(covered, CHAIN, "left_semi").select(*CHAIN, F.struct(*_SEEN).alias("seen"))
+        two = sequence.select(*CHAIN, F.struct("seq_ord", "res_name").alias("named"))
+        parts = spread(one.unionByName(two, allowMissingColumns=True), CHAIN).groupBy(*CHAIN).agg(
+            *(F.array_sort(F.collect_list(c)).alias(c) for c in ("seen", "named")))
+        small_batches(lines.sparkSession)
+        aligned = parts.mapInArrow(lambda batches: _reconcile_batches(batches, max_skips), _SEQ_SCHEMA)
         plain = plain.join(covered, CHAIN, "left_anti").select(aligned.columns).unionByName(aligned)
     if renumber:
         plain = plain.withColumn("res_num", F.col("res_idx") + 1).withColumn("ins_code", F.lit(" "))

@@ -1,7 +1,9 @@
 """Steps whose rows must grow no faster than their input, and the same results from their ways for crowded groups."""
 
 import pytest
-from conftest import CURVE, residue_frame, rotation, walk
+
+import __spark_entry__ as contract
+from conftest import CURVE, SMALL, residue_frame, rotation, walk
 from pyspark.sql import functions as F
 
 from foldloom.operators import chaining, fragments, radius, secondary
@@ -83,3 +85,14 @@ def test_residues_of_short_chains_are_not_copied(spark, monkeypatch):
     assert bonds() == rows
     monkeypatch.setattr(secondary, "SHORT_CHAIN", 0)
     assert bonds() == rows
+
+
+def test_many_chains_go_to_python_at_once(spark, matches, track):
+    edges = chaining.hinge_edges(matches, track, 45.0, 4.0, ("grp", "gap"))
+    chains = chaining.chain_matches(matches.select("grp", "id", "score", F.lit(0).alias("kind")), edges, [(1.6, 45.0, 4.0)])
+    read = contract.queries()["sequence_reconciliation"](spark, SMALL)
+    for frame in (chains, read):
+        assert "MapInArrow" in plan(frame) and "CoGroup" not in plan(frame)
+    totals = {r.grp: r.total for r in chains.groupBy("grp").agg(F.max("total").alias("total")).collect()}
+    best = {r.grp: r.score for r in matches.groupBy("grp").agg(F.max("score").alias("score")).collect()}
+    assert set(totals) == set(best) and all(totals[g] >= best[g] for g in best)  # no chain is worse than its best match
