@@ -195,6 +195,30 @@ def test_every_similar_line_is_found(spark):
             assert any(word_edits(w, v, m := line_dedup.slack(max(len(w), len(v)), 0.8)) <= m for v in near)
 
 
+def test_keys_of_lines_are_the_rare_grams(spark):
+    """Three in five of a line's grams are keys, the rarest; linked lines share one under any ranks, at other similarities too."""
+    rng = np.random.default_rng(3)
+    lines, links = [], []
+    for similarity in (0.8, 0.6, 0.45):
+        for n in (1, 2, 5, 9, 10, 14, 15, 52, 130):
+            base = [int(c) for c in rng.integers(0, line_dedup.CODES if n % 2 else 6, n)]
+            other, k = list(base), line_dedup.slack(n, similarity)
+            for p in (int((j + 0.5) * n / k) for j in range(k)):
+                other[p] = line_dedup.CODES - 1 - p
+            links.append((similarity, len(lines), len(lines) + 1))
+            lines += [base, other]
+    nodes = spark.createDataFrame(list(enumerate(lines)), "node long, codes array<short>")
+    common = [0] * (line_dedup.CODES // 2) + [9] * (line_dedup.CODES // 2)
+    for similarity in (0.8, 0.6, 0.45):
+        for ranks in (line_dedup.word_ranks(nodes), common):
+            keys: dict = {}
+            for r in line_dedup.line_keys(nodes, similarity, ranks).collect():
+                keys.setdefault(r.node, set()).add(r.key)
+            assert all(keys[a] & keys[b] for s, a, b in links if s == similarity)
+            if similarity == 0.8:
+                assert all(len(keys[i]) <= 0.6 * len(w) + 1 for i, w in enumerate(lines) if len(w) > 1)
+
+
 def test_similar_lines_of_the_table_as_brute_force(spark):
     """All pairs of lines of 5 to 400 words that share words enough are compared; the same groups are found."""
     docs = table(spark, SF, "documents").where("length(text) < 4000")
