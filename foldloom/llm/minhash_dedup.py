@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.llm.common import broadcast_if_small, prepare, word_shingles
-from foldloom.llm.links import linked_groups
+from foldloom.llm.links import linked_groups, shared_keys
 from foldloom.session import cut_lineage
 
 VALUES, CHUNK, ERRORS = 60, 6, 1
@@ -153,7 +153,7 @@ def near_texts(
             "a", "b", (F.size("a_s") + F.size("b_s")).alias("total"), F.size(F.array_intersect("a_s", "b_s")).alias("shared"))
         return cut_lineage(shared.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b").distinct())
 
-    groups = linked_groups(members, confirm, features, possible)
+    groups = linked_groups(shared_keys(members), confirm, features, possible)
     labels = nodes.select("n", "f1", "f2", "node", "id").join(groups, "node", "left").select(
         "n", "f1", "f2", "id", F.coalesce("component", "node").alias("component"))
     if apart:  # groups are named by the smallest id, not by the smallest number

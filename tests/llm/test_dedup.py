@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from foldloom.llm import line_dedup, links, minhash_dedup, vector_dedup
 from foldloom.llm.common import table
@@ -195,6 +196,27 @@ def test_every_similar_line_is_found(spark):
             assert any(word_edits(w, v, m := line_dedup.slack(max(len(w), len(v)), 0.8)) <= m for v in near)
 
 
+def test_large_keys_are_dealt_and_equal_ones_meet_once(spark, monkeypatch):
+    """Groups do not hang on how the open pairs of a key are dealt; keys of the same nodes are one."""
+    monkeypatch.setattr(links, "SALTED", 2)
+    nodes = [7 * i if i % 3 else 7 * i + 2 for i in range(60)]
+    rows = [(k, n) for k in (1, 2, 3) for n in nodes] + [(4, nodes[0]), (4, nodes[1]), (5, nodes[9])]
+    members = links.shared_keys(spark.createDataFrame(rows, "key long, node long"))
+    assert members.groupBy("key").count().orderBy("count").select("count").collect() == [(2,), (60,)]
+    features = spark.createDataFrame([(n, n) for n in nodes], "node long, v long")
+    asked = []
+
+    def confirm(pairs):
+        asked.append(sorted(map(tuple, pairs.collect())))
+        return pairs.where("abs(a - b) <= 7")
+
+    got = {r.node: r.component for r in links.linked_groups(members, confirm, features, lambda x, y: F.abs(F.col(x + "v") - F.col(y + "v")) <= 8).collect()}
+    pairs = [(a, b) for a in nodes for b in nodes if a < b <= a + 7]
+    root = roots(nodes, pairs)
+    assert got == {n: root[n] for n in nodes if any(n in p for p in pairs)}
+    assert len(asked) == 2 and len(set(asked[0] + asked[1])) == len(asked[0] + asked[1])
+
+
 def test_keys_of_lines_are_the_rare_grams(spark):
     """Three in five of a line's grams are keys, the rarest; linked lines share one under any ranks, at other similarities too."""
     rng = np.random.default_rng(3)
