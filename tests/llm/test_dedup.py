@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import time
 from itertools import combinations
 
 import duckdb
@@ -11,8 +13,9 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from foldloom.llm import line_dedup, links, minhash_dedup, vector_dedup
+from foldloom.llm import common, line_dedup, links, minhash_dedup, vector_dedup
 from foldloom.llm.common import table
+from foldloom.session import cut_lineage, scratch_folder
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, id string, node long, row string, th string"
@@ -277,6 +280,36 @@ def test_similar_lines_of_the_table_as_brute_force(spark):
     assert got == expected and len(pairs) > 20
 
 
+def shuffle_files(spark) -> set[str]:
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in (found.apply(k).getName() for k in range(found.size())) if f.startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark):
+    before = shuffle_files(spark)
+    rows = spark.range(20_000).groupBy((F.col("id") % 5_000).alias("k")).agg(F.sum("id").alias("s"))
+    assert cut_lineage(rows.join(rows.select("k", F.lit(1).alias("one")), "k")).count() == 5_000
+    for _ in range(50):  # files go when the executors hear of it
+        if not (left := {f for f in shuffle_files(spark) - before if f.endswith(".data")}):
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1  # that of the count
+
+
+def test_documents_are_not_sorted_and_line_tables_go(spark, monkeypatch):
+    """Where the lines to remove are too many for a broadcast, documents pass one shuffle with their text once; the working tables are deleted."""
+    rows = [(i, "\n".join(f"line of five words {i // 2} {k}" for k in range(4))) for i in range(40)]
+    want = lines_kept(spark, rows)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with scratch_folder(spark) as folder:
+        out = line_dedup.drop_repeated_lines(docs)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert len(os.listdir(folder.removeprefix("file:"))) == 1
+    assert sorted((r.row.doc_id, r.text, r.n_removed) for r in out.collect()) == want
+
+
 def brute_vectors(rows, cosine=0.95):
     v = np.array([r[1] for r in rows], float)
     u = v / np.linalg.norm(v, axis=1)[:, None]
