@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions.scoring import EXTEND_DISTANCE, EXTEND_OVERLAP
 from foldloom.functions.superpose import move, superpose_points
-from foldloom.session import spread
+from foldloom.operators.grouped import Group, map_groups, ordered, points_of
 
 SWEEPS = 2
 REALIGNED = (
@@ -25,11 +24,10 @@ def leave_one_out(source: np.ndarray, current: np.ndarray, chain: int) -> np.nda
     return superpose_points(others, source[chain])
 
 
-def _realign_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["slot", "col"])
-    n = pdf["slot"].nunique()
-    source = pdf[["sx", "sy", "sz"]].to_numpy(float).reshape(n, -1, 3)
-    now = pdf[["x", "y", "z"]].to_numpy(float).reshape(n, -1, 3).copy()
+def _realign_block(key: tuple, cells: Group) -> list[tuple]:
+    cells = ordered(cells, "slot", "col")
+    n = len(np.unique(cells["slot"]))
+    source, now = (np.stack([cells[c] for c in names], axis=1).astype(float).reshape(n, -1, 3) for names in (("sx", "sy", "sz"), "xyz"))
     width = now.shape[1]
     # The block moves as a whole so that the representative is back in its own frame.
     m = leave_one_out(source, now, 0)
@@ -41,13 +39,10 @@ def _realign_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         for chain in range(n - 1, -1, -1):
             maps[chain] = leave_one_out(source, now, chain)
             now[chain] = move(maps[chain], source[chain])
-    flat = now.reshape(-1, 3)
-    return pd.DataFrame({
-        "grp": pdf["grp"], "side": pdf["side"], "block": pdf["block"], "slot": pdf["slot"],
-        "chain": pdf["chain"], "t": np.tile(np.arange(width), n), "res_idx": pdf["res_idx"],
-        "x": flat[:, 0], "y": flat[:, 1], "z": flat[:, 2],
-        "m": [maps[s].reshape(12) for s in range(n) for _ in range(width)],
-    })
+    flat = (now.reshape(-1, 3)[:, k].tolist() for k in range(3))
+    return list(zip(
+        *([k] * (n * width) for k in key), cells["slot"].tolist(), cells["chain"].tolist(), list(range(width)) * n, cells["res_idx"].tolist(),
+        *flat, [m for one in maps for m in [one.reshape(12)] * width], strict=True))
 
 
 def realign_blocks(columns: DataFrame) -> DataFrame:
@@ -56,46 +51,45 @@ def realign_blocks(columns: DataFrame) -> DataFrame:
     ``columns``: grp, side, block, slot, chain, col, res_idx, x, y, z (current) and sx, sy, sz (source).
     Blocks are independent, so each is its own group.
     """
-    return spread(columns, ["grp", "side", "block"]).groupBy("grp", "side", "block").applyInPandas(_realign_block, REALIGNED)
+    return map_groups(columns, ["grp", "side", "block"], _realign_block, REALIGNED)
 
 
-def _extend_gap(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("slot")
-    chains = pdf.to_dict("records")
-    n = len(chains)
+def _extend_gap(key: tuple, chains: Group) -> list[tuple]:
+    chains = ordered(chains, "slot")
+    slots, names = chains["slot"].tolist(), chains["chain"].tolist()
+    n = len(slots)
     rows: list[tuple] = []
     upper = np.triu_indices(n, 1)
+    source = [points_of(chains, k) for k in range(n)]
+    #: First columns of the flanks and the chains in their frames; none where the gap has no such flank.
+    flanks = {
+        side: (chains[side].astype(int).tolist(), [move(m.reshape(3, 4), p) for m, p in zip(chains[f"m_{side}"], source, strict=True)])
+        for side in ("low", "high") if not np.isnan(chains[side][0])}
 
-    def step(anchor: str, matrix: str, offset: int) -> tuple[float, np.ndarray, list[int]] | None:
+    def step(side: str, offset: int) -> tuple[float, np.ndarray, list[int]] | None:
         """Mean pairwise distance of the residues ``offset`` away from the flank, in its own frame."""
-        points, picked = [], []
-        for c in chains:
-            at = int(c[anchor]) + offset
-            if at < 0 or at >= len(c["xs"]):
-                return None
-            p = np.array([c["xs"][at], c["ys"][at], c["zs"][at]], dtype=float)
-            if np.isnan(p).any():
-                return None
-            points.append(move(np.asarray(c[matrix], dtype=float).reshape(3, 4), p))
-            picked.append(at)
-        points = np.stack(points)
+        anchors, moved = flanks[side]
+        picked = [a + offset for a in anchors]
+        if any(at < 0 or at >= len(p) for at, p in zip(picked, moved, strict=True)):
+            return None
+        points = np.stack([p[at] for at, p in zip(picked, moved, strict=True)])
+        if np.isnan(points).any():
+            return None
         gaps = np.linalg.norm(points[upper[0]] - points[upper[1]], axis=1)
         return float(gaps.mean()), points, picked
 
-    has_low, has_high = chains[0]["low"] is not None and not pd.isna(chains[0]["low"]), \
-        chains[0]["high"] is not None and not pd.isna(chains[0]["high"])
-    room = min(c["high"] - c["low"] - 1 for c in chains) if has_low and has_high else None
+    room = min(h - w - 1 for h, w in zip(flanks["high"][0], flanks["low"][0], strict=True)) if len(flanks) == 2 else None
     back = forward = skips = 0
-    gap = int(chains[0]["gap"])
+    gap = key[2]
     while True:
         overlap = room is not None and back + forward >= room
         if room is not None and skips >= EXTEND_OVERLAP:
             break
         options = []
-        if has_high:
-            options.append((step("high", "m_high", -back - 1), True))
-        if has_low:
-            options.append((step("low", "m_low", forward + 1), False))
+        if "high" in flanks:
+            options.append((step("high", -back - 1), True))
+        if "low" in flanks:
+            options.append((step("low", forward + 1), False))
         options = [(s, b) for s, b in options if s is not None and s[0] < EXTEND_DISTANCE]
         if not options:
             break
@@ -106,10 +100,9 @@ def _extend_gap(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             block, t = gap, -back
         else:
             forward += 1
-            block, t = gap - 1, int(chains[0]["low_width"]) - 1 + forward
-        for c, p, at in zip(chains, points, picked):
-            rows.append((key[0], key[1], block, c["slot"], c["chain"], t, at, *p))
-    return pd.DataFrame(rows, columns=["grp", "side", "block", "slot", "chain", "t", "res_idx", "x", "y", "z"])
+            block, t = gap - 1, int(chains["low_width"][0]) - 1 + forward
+        rows.extend((*key[:2], block, slot, chain, t, at, *p) for slot, chain, at, p in zip(slots, names, picked, points.tolist(), strict=True))
+    return rows
 
 
 def extend_blocks(realigned: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -133,4 +126,4 @@ def extend_blocks(realigned: DataFrame, tracks: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("high"), F.lit(None).cast("array<double>").alias("m_high"),
         F.col("last_idx").alias("low"), F.col("m").alias("m_low"), F.col("width").alias("low_width"))
     gaps = inner.unionByName(tail).join(tracks, ["job_id", "chain"])
-    return spread(gaps.drop("job_id"), ["grp", "side", "gap"]).groupBy("grp", "side", "gap").applyInPandas(_extend_gap, EXTENSION)
+    return map_groups(gaps.drop("job_id"), ["grp", "side", "gap"], _extend_gap, EXTENSION)
