@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.functions import geometry as g
 from foldloom.functions.superpose import move, superpose_points
+from foldloom.operators.grouped import Group, map_groups, ordered
 from foldloom.operators.realign import SWEEPS, leave_one_out
 
 MAPS = "job_id long, aln_id long, chain long, m array<double>"
@@ -34,12 +34,14 @@ def _superpose_tree(tree, source: dict[int, np.ndarray], maps: dict[int, np.ndar
     return chains, now
 
 
-def _rigid_maps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    source = {int(c): p.sort_values("col")[["x", "y", "z"]].to_numpy(float) for c, p in pdf.groupby("chain")}
+def _rigid_maps(key: tuple, cells: Group) -> list[tuple]:
+    cells = ordered(cells, "chain", "col")
+    chains, first = np.unique(cells["chain"], return_index=True)
+    points = np.stack([cells[c] for c in "xyz"], axis=1).astype(float)
+    source = dict(zip(chains.tolist(), np.split(points, first[1:]), strict=True))
     maps: dict[int, np.ndarray] = {}
-    _superpose_tree(json.loads(pdf["tree"].iloc[0]), source, maps)
-    return pd.DataFrame({
-        "job_id": key[0], "aln_id": key[1], "chain": list(maps), "m": [m.reshape(12) for m in maps.values()]})
+    _superpose_tree(json.loads(key[2]), source, maps)
+    return [(*key[:2], chain, m.reshape(12)) for chain, m in maps.items()]
 
 
 def rigid_maps(columns: DataFrame, alignments: DataFrame, residues: DataFrame) -> DataFrame:
@@ -49,8 +51,8 @@ def rigid_maps(columns: DataFrame, alignments: DataFrame, residues: DataFrame) -
     """
     source = columns.select("job_id", "aln_id", "chain", "col", "res_idx").join(
         residues.select("job_id", "chain", "res_idx", *"xyz"), ["job_id", "chain", "res_idx"])
-    return source.join(alignments.select("job_id", "aln_id", "tree"), ["job_id", "aln_id"]).drop("res_idx").groupBy(
-        "job_id", "aln_id").applyInPandas(_rigid_maps, MAPS)
+    cells = source.join(alignments.select("job_id", "aln_id", "tree"), ["job_id", "aln_id"]).drop("res_idx")
+    return map_groups(cells, ["job_id", "aln_id", "tree"], _rigid_maps, MAPS)
 
 
 def move_chains(points: DataFrame, maps: DataFrame) -> DataFrame:
