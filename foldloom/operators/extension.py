@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions import geometry as g
-from foldloom.session import spread
+from foldloom.operators.grouped import Group, map_groups, ordered, points_of
 
 DEFAULT_CUTOFF = 5.0
 LONGEST_INSERT = 4
@@ -132,17 +131,16 @@ def final_extension(gaps: DataFrame, tracks: DataFrame, cutoff: float = DEFAULT_
         "job_id", "aln_id", "gap", "chain", "gap_first",
         *(F.slice(c, F.col("gap_first") + 1, width).alias(c) for c in ("xs", "ys", "zs")))
 
-    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chain")
-        points = [np.stack([np.array(r[c], dtype=float) for c in ("xs", "ys", "zs")], axis=1) for _, r in pdf.iterrows()]
+    def fill(key: tuple, group: Group) -> list[tuple]:
+        group = ordered(group, "chain")
+        chains, first = group["chain"].tolist(), group["gap_first"].tolist()
+        points = [points_of(group, k) for k in range(len(chains))]
         spans = [(0, len(p) - 1) for p in points]
-        rows = []
-        for part, (size, starts) in enumerate(_fill_gap(points, spans, cutoff)):
-            for chain, base, start in zip(pdf["chain"], pdf["gap_first"], starts):
-                rows.extend((*key, part, t, chain, base + start + t) for t in range(size))
-        return pd.DataFrame(rows, columns=["job_id", "aln_id", "gap", "part", "t", "chain", "res_idx"])
+        return [
+            (*key, part, t, chain, base + start + t) for part, (size, starts) in enumerate(_fill_gap(points, spans, cutoff))
+            for chain, base, start in zip(chains, first, starts, strict=True) for t in range(size)]
 
-    return spread(cut, ["job_id", "aln_id", "gap"]).groupBy("job_id", "aln_id", "gap").applyInPandas(fill, INSERTS)
+    return map_groups(cut, ["job_id", "aln_id", "gap"], fill, INSERTS)
 
 
 def insert_blocks(columns: DataFrame, inserts: DataFrame) -> DataFrame:

@@ -13,11 +13,10 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.session import spread
+from foldloom.operators.grouped import Group, map_groups, ordered, points_of
 
 ROUND_OFF = 1e-5
 NONE = -1
@@ -145,18 +144,14 @@ def partial_alignment(gaps: DataFrame, tracks: DataFrame, alignments: DataFrame,
         left, right = (prune(t, held) for t in tree)
         return [left, right] if left is not None and right is not None else (right if left is None else left)
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = ["job_id", "aln_id", "gap", "part", "chain", "res_idx"]
-        if len(pdf) < 2:
-            return pd.DataFrame(columns=names)
-        pdf = pdf.sort_values("chain")
-        chains, base = [int(c) for c in pdf["chain"]], pdf["gap_first"].to_list()
-        points = [np.stack([np.array(r[c], dtype=float) for c in ("xs", "ys", "zs")], axis=1) for _, r in pdf.iterrows()]
-        tree = prune(json.loads(pdf["tree"].iloc[0]), set(chains))
-        sets, place = _gap_sets(chains, points, tree, cutoff - ROUND_OFF)
+    def merge(key: tuple, group: Group) -> list[tuple]:
+        group = ordered(group, "chain")
+        chains, base = group["chain"].tolist(), group["gap_first"].tolist()
+        tree = prune(json.loads(key[3]), set(chains))
+        sets, place = _gap_sets(chains, [points_of(group, k) for k in range(len(chains))], tree, cutoff - ROUND_OFF)
         sets = sets[(sets != NONE).sum(axis=1) >= 2]
-        return pd.DataFrame(
-            [(*key, part, chains[k], base[k] + int(place[k][r]))
-             for part, row in enumerate(sets) for k, r in enumerate(row) if r != NONE], columns=names)
+        return [
+            (*key[:3], part, chains[k], base[k] + int(place[k][r]))
+            for part, row in enumerate(sets.tolist()) for k, r in enumerate(row) if r != NONE]
 
-    return spread(cut, ["job_id", "aln_id", "gap"]).groupBy("job_id", "aln_id", "gap").applyInPandas(merge, SETS)
+    return map_groups(cut, ["job_id", "aln_id", "gap", "tree"], merge, SETS, least=2)
