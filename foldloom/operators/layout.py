@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldloom.operators.grouped import Group, map_groups, ordered
+
 KEYS = ["job_id", "aln_id"]
 PLACES = "job_id long, aln_id long, pos int, to int"
 
@@ -43,18 +44,19 @@ def gapped_rows(placed: DataFrame) -> DataFrame:
     return strings.join(width, KEYS).select(*KEYS, "slot", "chain", F.rpad("_s", F.col("_width"), F.lit("-")).alias("row"))
 
 
-def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack(key: tuple, stretch: Group) -> list[tuple]:
     """New places of the columns of one stretch: each goes left past higher columns that share no chain with it."""
-    pdf = pdf.sort_values("pos")
+    stretch = ordered(stretch, "pos")
     order: list[tuple[int, frozenset, int]] = []
-    for pos, held in zip(pdf["pos"], pdf["held"]):
+    for pos, slots in zip(stretch["pos"].tolist(), stretch["held"], strict=True):
+        held = slots.tolist()
         first, own = min(held), frozenset(held)
         at = len(order)
         while at and first < order[at - 1][0] and own.isdisjoint(order[at - 1][1]):
             at -= 1
         order.insert(at, (first, own, pos))
-    start = int(pdf["pos"].iloc[0])
-    return pd.DataFrame({"job_id": key[0], "aln_id": key[1], "pos": [p for *_, p in order], "to": range(start, start + len(order))})
+    start = int(stretch["pos"][0])
+    return [(*key[:2], pos, start + k) for k, (*_, pos) in enumerate(order)]
 
 
 def compact_columns(placed: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def compact_columns(placed: DataFrame) -> DataFrame:
     full = F.size("held") == F.col("chains")
     before = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = held.withColumn("stretch", F.count_if(full).over(before)).where(~full)
-    moved = held.groupBy(*KEYS, "stretch").applyInPandas(_pack, PLACES).where("pos <> to")
+    moved = map_groups(held.drop("chains"), [*KEYS, "stretch"], _pack, PLACES, least=2).where("pos <> to")
     moved = moved.select(*[F.col(k).alias(f"m_{k}") for k in KEYS], F.col("pos").alias("m_pos"), "to")
     same = [F.col(k) == F.col(f"m_{k}") for k in [*KEYS, "pos"]]
     others = [c for c in placed.columns if c != "pos"]
