@@ -125,7 +125,8 @@ def bent_blocks(merged: dict[str, DataFrame], residues: DataFrame) -> tuple[Data
     columns = merged["columns"].join(
         merged["alignments"].where("n_chains > 1").select(KEYS), KEYS, "left_semi"
     ).join(source, ["job_id", "chain", "res_idx"])
-    keyed = columns.withColumn("grp", F.concat_ws(":", *KEYS)).withColumn("side", F.lit(1))
+    # a constant would be left out of the grouping, which then would not find its rows dealt and deal them again, to few tasks
+    keyed = columns.withColumn("grp", F.concat_ws(":", *KEYS)).withColumn("side", (F.col("slot") - F.col("slot") + 1).cast("int"))
     realigned = realign_blocks(keyed.select(
         "grp", "side", "block", "slot", "chain", "col", "res_idx", *"xyz", "sx", "sy", "sz"))
     maps = cut_lineage(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
 from foldloom.operators import extension, grouped, layout, partial, realign, rigid
+from foldloom.plans import job
 
 KEYS = "job_id long, aln_id long"
 XYZ = "x double, y double, z double"
@@ -51,3 +54,13 @@ def test_groups_of_a_batch(spark):
     assert sorted(map(tuple, out.collect())) == [(k, "b", 2 * k + 50, True, True) for k in range(50)]
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert grouped.map_groups(df.limit(0), ["a", "b"], seen, "a long, b string, s int, nan boolean, none boolean").collect() == []
+
+
+def test_blocks_of_bent_alignments_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(job, "cut_lineage", lambda df: df)
+    merged = {
+        "columns": spark.createDataFrame([], f"{KEYS}, slot int, chain long, block int, col int, res_idx int, {XYZ}"),
+        "alignments": spark.createDataFrame([], f"{KEYS}, n_chains int")}
+    _, maps = job.bent_blocks(merged, spark.createDataFrame([], f"job_id long, chain long, res_idx int, {XYZ}"))
+    plan = maps._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\(grp#\d+, (?!chain)\S+, block#\d+, \d+\), ENSURE", plan)
